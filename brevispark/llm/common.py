@@ -47,7 +47,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     """base ** k for k under n, modulo 2 ** 64."""
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         x = np.full(max(n, CHUNK + 4096), base, np.uint64)
         x[0] = 1
         _powers[name] = np.cumprod(x)

@@ -143,7 +143,7 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def _traverse(cosine: float):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = (key[2], key[3]) == (key[4], key[5])
         first = ((rows["cell"] == key[2]) & (rows["block"] == key[3])).to_numpy()
         a = rows[first].sort_values("rep")
@@ -181,7 +181,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
     # the top of the trees: nets of a bounded sample, for labels with more than one block
     counts = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     sample = classes.join(counts.where(F.col("n") > BLOCK), ["label", "dim"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("label", "dim", "n", "vec").toPandas()
-    nets = {(label, int(dim)): _net(_unit(g["vec"].tolist()), int(min(MOST_CENTERS, -(-g["n"].iloc[0] // PER_CENTER)))) for (label, dim), g in sample.groupby(["label", "dim"])} if len(sample) else {}
+    nets = {(label.item() if hasattr(label, "item") else label, int(dim)): _net(_unit(g["vec"].tolist()), int(min(MOST_CENTERS, -(-g["n"].iloc[0] // PER_CENTER)))) for (label, dim), g in sample.groupby(["label", "dim"])} if len(sample) else {}
     shared = spark.sparkContext.broadcast(nets)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,6 @@ TEMPLATES = {
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
-    "cc-by": ["licensed under cc by 4 0", "creative commons attribution 4 0 international license"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 

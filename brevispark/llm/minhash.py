@@ -31,7 +31,7 @@ def shingle_sets(texts: list[bytes | None], k: int = K) -> list[np.ndarray]:
     starts, words = word_hashes(b"\n".join(t or b"" for t in texts))
     cuts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     shingles = np.zeros(len(words), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(words))):
         shingles[: len(words) - j] = shingles[: len(words) - j] * np.uint64(0x9E3779B97F4A7C15) + words[j:]
     shingles = mix64(shingles)
     out = []
@@ -144,7 +144,7 @@ def _verify(percent: int):
 def _within(percent: int):
     """Links between documents of different components in one bucket or pair of its blocks; already joined pairs are passed over."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("doc_id").sort_values(["comp", "doc_id"])
         ids, side = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
