@@ -6,12 +6,14 @@ ids do not depend on what stands around it. Pieces are encoded once per worker a
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
-MOST_PIECES = 400_000
+MOST_PIECES = 800_000
+_MARKS = ".,;:!?%$#&*"
 _CUT = re.compile(r" (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -29,30 +31,86 @@ class Encoder:
         self.opens = np.zeros(self.size, bool)
         for token, i in self.t.get_vocab(with_added_tokens=False).items():
             self.opens[i] = token[0] == "Ġ"
+        self.line_ids = self._ids(["\n"])[0].tobytes()
+        self.line = int.from_bytes(self.line_ids, "little")
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of ' ' + piece. Plain pieces are encoded joined by spaces; the token that opens with the space cuts them apart again."""
-        plain, other = [], []
-        for p in pieces:
-            (other if len(p.split()) != 1 or p != p.strip() else plain).append(p)
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            ids = self._ids([" " + " ".join(part)])[0]
-            edge = np.flatnonzero(self.opens[ids])
-            if len(edge) == len(part):
-                raw, edge = ids.tobytes(), [*(4 * edge).tolist(), 4 * len(ids)]
-                self.known.update((p, raw[edge[i] : edge[i + 1]]) for i, p in enumerate(part))
+    def _joined(self, words: list[str], mark: str, edges, known: dict[str, bytes]) -> None:
+        """Remembers the ids of words without white space, encoded together with mark between them; edges(ids) finds where each begins and ends."""
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            raw = self._ids([mark + mark.join(part) + mark])[0]
+            starts, ends = edges(raw)
+            if len(starts) == len(part):
+                ids = raw.tobytes()
+                known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
             else:
-                other += part
-        self.known.update((p, x.tobytes()) for p, x in zip(other, self._ids([" " + p for p in other])))
+                known.update((w, x.tobytes()) for w, x in zip(part, self._ids([mark.strip("\n") + w for w in part])))
+
+    def _learn_heads(self, words: set[str]) -> None:
+        """Words that no space precedes: between line breaks, each of which is one token."""
+
+        def edges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero(ids == self.line)
+            return at[:-1] + 1, at[1:]
+
+        self._joined(sorted(w for w in words if w not in self.heads), "\n", edges, self.heads)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers the ids of ' ' + piece. A piece is put together from its lines, and these from a stem and the marks behind it, as far as the pre-tokeniser always cuts there."""
+        marked, made, other, spaced, heads = [], [], [], set(), set()
+        for p in pieces:
+            if p.isalnum():
+                spaced.add(p)
+                continue
+            stem = p.rstrip(_MARKS)
+            if stem.isalnum():
+                spaced.add(stem)
+                marked.append((p, stem, p[len(stem) :]))
+                continue
+            lines = p.split("\n")
+            if p.split() != lines:
+                other.append(p)
+                continue
+            parts = []
+            for k, line in enumerate(lines):
+                stem = line.rstrip(_MARKS)
+                if not stem or not stem[-1].isalnum():
+                    stem = line
+                (heads if k else spaced).add(stem)
+                if len(stem) < len(line):
+                    heads.add(line[len(stem) :])
+                parts.append((stem, line[len(stem) :]))
+            if len(parts) > 1 or parts[0][1]:
+                made.append((p, parts))
+
+        def edges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero(self.opens[ids])  # the last is the space at the end
+            return at[:-1], at[1:]
+
+        known, at_start = self.known, self.heads
+        self._joined(sorted(w for w in spaced if w not in known), " ", edges, known)
+        self._learn_heads(heads.union(m for *_, m in marked))
+        known.update([(p, known[stem] + at_start[marks]) for p, stem, marks in marked])
+        for p, parts in made:
+            known[p] = self.line_ids.join((at_start if k else known)[stem] + (at_start[marks] if marks else b"") for k, (stem, marks) in enumerate(parts))
+        known.update((p, x.tobytes()) for p, x in zip(other, self._ids([" " + p for p in other])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and each collection would walk the table of pieces
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             cut = [_CUT.split(x) if x else [""] for x in texts[at : at + 256]]
@@ -60,12 +118,16 @@ class Encoder:
                 self.known.clear()
             if len(self.heads) > MOST_PIECES // 8:
                 self.heads.clear()
-            new = {p for pieces in cut for p in pieces[1:] if p not in self.known}
+            got = [list(map(self.known.get, pieces[1:])) for pieces in cut]
+            gaps = [k for k, ids in enumerate(got) if None in ids]
+            new = {p for k in gaps for p, ids in zip(cut[k][1:], got[k]) if ids is None}
             if new:
-                self._learn(sorted(new))
+                self._learn(new)
+            for k in gaps:
+                got[k] = [self.known[p] if ids is None else ids for p, ids in zip(cut[k][1:], got[k])]
             heads = sorted({pieces[0] for pieces in cut if pieces[0] not in self.heads})
             self.heads.update((h, x.tobytes()) for h, x in zip(heads, self._ids(heads)))
-            out += [self.heads[p[0]] + b"".join(map(self.known.__getitem__, p[1:])) for p in cut]
+            out += [self.heads[p[0]] + b"".join(ids) for p, ids in zip(cut, got)]
         return out
 
 

@@ -98,7 +98,7 @@ def reference_ids(texts, end):
 
 
 def test_pieces_give_the_ids_of_whole_texts(docs):
-    texts = [d[1] for d in docs] + [r[1] for r in ROWS] + ["a  b", " a", "a ", "it's  \n b", "x 　y", "<|endoftext|> a", "a  b", "x \x1cy", "tab\t z", "é  é'll 12 3"]
+    texts = [d[1] for d in docs] + [r[1] for r in ROWS] + ["a  b", " a", "a ", "it's  \n b", "x 　y", "<|endoftext|> a", "a  b", "x \x1cy", "tab\t z", "é  é'll 12 3", "a end.\nThe x,\n\nNew !!\n! y_! _. z's.\n's q.\r\nr", "w.\n", "\nq w..\n..e"]
     assert tokens.Encoder(tokens.byte_bpe_path()).encode(texts) == [x[:-1].tobytes() for x in reference_ids(texts, 0)]
 
 
