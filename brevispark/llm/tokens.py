@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-MOST_PIECES = 800_000
+MOST_PIECES = 1_200_000
 _MARKS = ".,;:!?%$#&*"
 _CUT = re.compile(r" (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
@@ -58,7 +58,7 @@ class Encoder:
             at = np.flatnonzero(ids == self.line)
             return at[:-1] + 1, at[1:]
 
-        self._joined(sorted(w for w in words if w not in self.heads), "\n", edges, self.heads)
+        self._joined([w for w in words if w not in self.heads], "\n", edges, self.heads)
 
     def _learn(self, pieces: set[str]) -> None:
         """Remembers the ids of ' ' + piece. A piece is put together from its lines, and these from a stem and the marks behind it, as far as the pre-tokeniser always cuts there."""
@@ -93,7 +93,7 @@ class Encoder:
             return at[:-1], at[1:]
 
         known, at_start = self.known, self.heads
-        self._joined(sorted(w for w in spaced if w not in known), " ", edges, known)
+        self._joined([w for w in spaced if w not in known], " ", edges, known)
         self._learn_heads(heads.union(m for *_, m in marked))
         known.update([(p, known[stem] + at_start[marks]) for p, stem, marks in marked])
         for p, parts in made:
