@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import cut
+from brevispark.llm.common import settle
 
 BITS = 15
 SIZE = 1 << BITS
@@ -148,6 +148,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         df[SIZE] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["slot", "n"])
+        settle()
 
     df = np.zeros(SIZE + 1, np.int64)
     for r in train.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # one row a slot
@@ -197,6 +198,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
         for batch in batches:
             out = [m.predict(x.as_py()) for x in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        settle()
 
     return rest.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import connected_components, cut, mix64, word_hashes
+from brevispark.llm.common import connected_components, cut, mix64, settle, word_hashes
 
 K = 5
 BANDS, ROWS = 24, 5
@@ -113,12 +113,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = [next(keys) if len(s) else None for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+    settle()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, texts in _pieces(batch):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "shingles"])
+    settle()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -137,6 +139,7 @@ def _verify(percent: int):
         for batch in batches:
             ok = [linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent) for a, b in zip(batch.column("sa"), batch.column("sb"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        settle()
 
     return run
 

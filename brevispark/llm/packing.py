@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brevispark.llm.common import settle
 from brevispark.llm.tokens import byte_bpe_path, encoder
 
 LENGTH = 2048
@@ -133,6 +134,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id:
                     waiting = sum(len(h[2]) // 4 for h in held)
         if held:
             yield from flush(True)
+        settle()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 

@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import cut, shared_dir
+from brevispark.llm.common import cut, settle, shared_dir
 from brevispark.llm.tokens import byte_bpe_path, encoder
 
 MAGIC, EVERY = b"BRVTOK01", 64
@@ -154,6 +154,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0,
                     keys, lengths, held, shard = [], [], [], shard + 1
         if keys:
             yield flush()
+        settle()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")

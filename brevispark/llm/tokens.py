@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-MOST_PIECES = 1_200_000
+MOST_PIECES = 600_000
 _MARKS = ".,;:!?%$#&*"
 _CUT = re.compile(r" (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
@@ -60,8 +60,8 @@ class Encoder:
 
         self._joined([w for w in words if w not in self.heads], "\n", edges, self.heads)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of ' ' + piece. A piece is put together from its lines, and these from a stem and the marks behind it, as far as the pre-tokeniser always cuts there."""
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of ' ' + piece. Stems are remembered, and so are pieces of a stem known before (a new one will hardly come again). A piece is put together from its lines, and these from a stem and the marks behind it, as far as the pre-tokeniser always cuts there."""
         marked, made, other, spaced, heads = [], [], [], set(), set()
         for p in pieces:
             if p.isalnum():
@@ -93,12 +93,15 @@ class Encoder:
             return at[:-1], at[1:]
 
         known, at_start = self.known, self.heads
+        again = {p for p, stem, _ in marked if stem in known}
         self._joined([w for w in spaced if w not in known], " ", edges, known)
         self._learn_heads(heads.union(m for *_, m in marked))
-        known.update([(p, known[stem] + at_start[marks]) for p, stem, marks in marked])
+        out = {p: known[stem] + at_start[marks] for p, stem, marks in marked}
+        known.update([(p, out[p]) for p in again])
         for p, parts in made:
-            known[p] = self.line_ids.join((at_start if k else known)[stem] + (at_start[marks] if marks else b"") for k, (stem, marks) in enumerate(parts))
-        known.update((p, x.tobytes()) for p, x in zip(other, self._ids([" " + p for p in other])))
+            out[p] = self.line_ids.join((at_start if k else known)[stem] + (at_start[marks] if marks else b"") for k, (stem, marks) in enumerate(parts))
+        out.update((p, x.tobytes()) for p, x in zip(other, self._ids([" " + p for p in other])))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
@@ -121,10 +124,9 @@ class Encoder:
             got = [list(map(self.known.get, pieces[1:])) for pieces in cut]
             gaps = [k for k, ids in enumerate(got) if None in ids]
             new = {p for k in gaps for p, ids in zip(cut[k][1:], got[k]) if ids is None}
-            if new:
-                self._learn(new)
+            fresh = self._learn(new) if new else {}
             for k in gaps:
-                got[k] = [self.known[p] if ids is None else ids for p, ids in zip(cut[k][1:], got[k])]
+                got[k] = [(fresh[p] if p in fresh else self.known[p]) if ids is None else ids for p, ids in zip(cut[k][1:], got[k])]
             heads = sorted({pieces[0] for pieces in cut if pieces[0] not in self.heads})
             self.heads.update((h, x.tobytes()) for h, x in zip(heads, self._ids(heads)))
             out += [self.heads[p[0]] + b"".join(ids) for p, ids in zip(cut, got)]
