@@ -2,8 +2,8 @@
 
 Tokens are ordered by their frequency over all documents, rarest first. A block that contains the threshold share of a
 template's tokens must hold one of the template's first |T| - need + 1 tokens (prefix filter), at least `need` words
-(length filter), and, counting the prefix tokens it holds, enough of the rest (positional filter); only such blocks are
-compared in full. Blocks are windows of twice a template's words, half overlapping, so a notice always lies in one.
+(length filter), and, after the rarest token that both share, enough tokens in the template and among its own template
+tokens (positional filter); only such blocks are compared in full. Blocks are windows of twice a template's words, half overlapping, so a notice always lies in one.
 """
 
 from __future__ import annotations
@@ -71,11 +71,14 @@ def _containment(words: Column, template: str, order: dict[str, int], threshold:
     prefix = F.array(*map(F.lit, tokens[: len(tokens) - need + 1]))
     whole = F.array(*map(F.lit, tokens))
     starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(length))
+    later = F.array(*[F.array(*map(F.lit, [t for t in sorted(order, key=order.__getitem__) if order[t] > order[p]] or [p])) for p in tokens[: len(tokens) - need + 1]])
 
     def overlap(i: Column) -> Column:
         block = F.slice(words, i + 1, F.lit(2 * length))
-        in_prefix = F.size(F.array_intersect(prefix, block))
-        near = (F.size(block) >= need) & (in_prefix > 0) & (in_prefix + need - 1 >= need)
+        first = F.array_position(prefix, F.get(F.array_intersect(prefix, block), F.lit(0))).cast("int")  # from 1; null without a match
+        # template tokens and block tokens that come after the rarest shared one
+        after = F.least(len(tokens) - first, F.size(F.array_intersect(F.element_at(later, first), block)))
+        near = (F.size(block) >= need) & (first > 0) & (1 + after >= need)
         return F.when(near, F.size(F.array_intersect(whole, block))).otherwise(0)
 
     best = F.array_max(F.transform(starts, overlap))

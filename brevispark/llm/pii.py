@@ -82,7 +82,7 @@ KINDS = [
     ("date", r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./-])\d{2}([./])\d{2}\1\d{4}(?![\d/])"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])"),
+    ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
 ]
 _ANY = re.compile("|".join(f"(?P<{k}>{p.replace('(?P', '(').replace(chr(92) + '1', '(?P=sep)').replace('([./])', '(?P<sep>[./])')})" for k, p in KINDS))

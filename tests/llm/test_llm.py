@@ -420,6 +420,7 @@ def test_pseudonyms_keep_format_link_and_invert(kind, value):
     tail = '"' if kind == "secret" else ""
     text, found = pii.replace(f"See {value}{tail}, and {value}{tail} again.", names)
     assert text == f"See {new}{tail}, and {new}{tail} again." and [f[0] for f in found] == [kind] * 2
+    assert len(pii.replace("+1 (826) 555-4081 190.137.2.3", names)[1]) == 2
     for other in ("9", "b"):
         assert pii.Pseudonyms(other.encode()).pseudonym(kind, value) != new
 
