@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brevispark.llm.common import settle
-from brevispark.llm.tokens import byte_bpe_path, encoder
+from brevispark.llm.tokens import MOST_PIECES, byte_bpe_path, encoder
 
 LENGTH = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -86,7 +86,7 @@ def pack_window(sizes: list[int], length: int, last: bool) -> tuple[list[list[tu
     return done, rest
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = MOST_PIECES) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Packs each input partition by itself and without a shuffle, in windows of WINDOW tokens, so memory is bounded by the
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, most_pieces), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         # waiting documents or parts of them: id, start of what is held, ids held, tokens of the document
         held: list[tuple[int | None, int, bytes, int]] = []
@@ -140,4 +140,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id:
 
 
 def op6_pack(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe_path())
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe_path(), most_pieces=1_200_000)

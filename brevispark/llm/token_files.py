@@ -111,12 +111,13 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
 MANIFEST = "first_id long, shard int, file string, n_docs long, n_ids long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 23) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 23, most_pieces: int = 1_200_000) -> DataFrame:
     """Writes token shards in ascending id order below folder; returns the manifest (see MANIFEST) with start long, the ids before each shard.
 
     Null texts count as empty; a null id sorts first; rows that share an id all stay, next to each other; other columns are
     ignored. An empty table gives an empty manifest. A task writes under a name of its own attempt, so a repeated task
-    never damages a file, and only files in the manifest count. Shards hold about shard_ids ids, which bounds memory.
+    never damages a file, and only files in the manifest count. Shards hold about shard_ids ids, and a worker remembers
+    most_pieces pieces, which bounds memory.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -125,7 +126,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0,
         from pyspark import TaskContext
 
         fs, base = _open(folder)
-        enc, task, shard = encoder(tokenizer_path), TaskContext.get(), 0
+        enc, task, shard = encoder(tokenizer_path, most_pieces), TaskContext.get(), 0
         width = 2 if enc.size <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         keys: list[int | None] = []

@@ -12,16 +12,28 @@ import re
 
 import numpy as np
 
+#: Pieces that a worker remembers: about 0.2 GB a million. More save CPU seconds.
 MOST_PIECES = 600_000
+_BREAKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _MARKS = ".,;:!?%$#&*"
 _CUT = re.compile(r" (?=\S)")
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
+
+
+def _pieces(text: str) -> list[str]:
+    """text cut at each space before a non-space; a plain split does for most texts in ASCII."""
+    if text.isascii() and " \n" not in text and not any(c in text for c in _BREAKS):
+        out = text.split(" ")
+        if "" not in out[1:]:
+            return out
+    return _CUT.split(text)
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, without special tokens; their strings in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_pieces: int = MOST_PIECES):
+        self.most = most_pieces
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -116,10 +128,10 @@ class Encoder:
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
-            cut = [_CUT.split(x) if x else [""] for x in texts[at : at + 256]]
-            if len(self.known) > MOST_PIECES:
+            cut = [_pieces(x) if x else [""] for x in texts[at : at + 256]]
+            if len(self.known) > self.most:
                 self.known.clear()
-            if len(self.heads) > MOST_PIECES // 8:
+            if len(self.heads) > self.most // 8:
                 self.heads.clear()
             got = [list(map(self.known.get, pieces[1:])) for pieces in cut]
             gaps = [k for k, ids in enumerate(got) if None in ids]
@@ -133,11 +145,12 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_pieces: int = MOST_PIECES) -> Encoder:
     """One encoder for each file and worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, most_pieces
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def byte_bpe_path() -> str:
