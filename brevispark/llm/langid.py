@@ -209,6 +209,6 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is recognised with a calibrated score of at least `least`."""
+def keep_identified(docs: DataFrame, *, least: float = 0.35) -> DataFrame:
+    """The rows of docs whose language is recognised with a calibrated score of at least `least`: low, so that short clean texts stay."""
     return predict(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)

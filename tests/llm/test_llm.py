@@ -444,7 +444,7 @@ def test_pipeline_by_brute_force(spark):
     rows = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     known = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(docs)).collect()}
-    rows = [r for r in rows if known[r["doc_id"]]["lang_pred"] != "und" and known[r["doc_id"]]["score"] >= 0.5]
+    rows = [r for r in rows if known[r["doc_id"]]["lang_pred"] != "und" and known[r["doc_id"]]["score"] >= 0.35]
     last = {r["text"]: r["doc_id"] for r in sorted(rows, key=lambda r: r["doc_id"])}
     rows = [r for r in rows if last[r["text"]] == r["doc_id"]]
     sets = {r["doc_id"]: brute_shingles(r["text"]) for r in rows}
