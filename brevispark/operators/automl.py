@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brevispark.functions.binning import bin_of, rice_bins
 from brevispark.operators.combined import COMPONENTS, CombinedScore
 from brevispark.operators.inaccuracy import inaccuracy_of_candidates
 from brevispark.operators.models import MLP, DecisionTree, GaussianNB, LinearClassifier, LinearRegressor, LinearSVC, LinearSVR, Model, TreeNode, artifacts, gram, partial_sums, pruning_path, solve_ols
@@ -50,6 +51,78 @@ class SearchContext:
         return [self.features[i] for i in self.score.metric.feature_order()]
 
 
+def _finish(ctx: SearchContext, c: CandidateResult, inaccuracy: float, native: float) -> CandidateResult:
+    a = artifacts(c.model, ctx.features)
+    c.subset, c.text, c.native = a.subset, a.model_string, native
+    m = ctx.score.metric.measures(sorted(c.subset))
+    c.components = dict(zip(COMPONENTS, (m["deficiency"], m["surplus"], inaccuracy, ctx.score.surfeit.surfeit_string(a.model_string))))
+    c.combined = ctx.score.total(c.components)
+    return c
+
+
+def evaluate_nested(ctx: SearchContext, found: list[CandidateResult]) -> list[CandidateResult]:
+    """evaluate() for pruned versions of found[0]'s tree: one grouping of the rows by its leaves and the target's states serves all.
+
+    The grouped table has leaves times states rows; a pruned tree only maps leaves to other values.
+    """
+    full: list[TreeNode] = found[0].model.root.leaves()
+    at = {id(n): k for k, n in enumerate(full)}
+    leaf = found[0].model._walk(lambda n: F.lit(at[id(n)]))
+    y, n = F.col(ctx.target), ctx.score.metric.n_samples
+    if ctx.classes is None:
+        y = y.cast("double")
+        lo, hi = ctx.df.agg(F.min(y), F.max(y)).first()
+        bins = rice_bins(ctx.score.n_bins, n)
+        state = bin_of(y, lo, hi, bins)
+    else:
+        lo = hi = None
+        state = F.array_position(F.array(*map(F.lit, ctx.classes)), y) - 1
+    sums = [F.sum(y - F.lit(lo)).alias("s"), F.sum((y - F.lit(lo)) * (y - F.lit(lo))).alias("q")] if ctx.classes is None else []
+    rows = ctx.df.groupBy(leaf.alias("leaf"), state.alias("state")).agg(F.count(F.lit(1)).alias("c"), *sums).collect()
+    states = max(r["state"] for r in rows) + 1
+    counts, s, q = np.zeros((len(full), states)), np.zeros(len(full)), np.zeros(len(full))
+    for r in rows:
+        counts[r["leaf"], r["state"]] = r["c"]
+        if ctx.classes is None:
+            s[r["leaf"]] += r["s"]
+            q[r["leaf"]] += r["q"]
+
+    def length(c: np.ndarray) -> float:
+        c = c[c > 0]
+        return float(-(c * np.log2(c / n)).sum())
+
+    def values(a: TreeNode, b: TreeNode, out: list) -> list:
+        """The prediction of pruned tree a for each leaf of b."""
+        if a.feature is None:
+            return out.extend((at[id(x)], a) for x in b.leaves()) or out
+        values(a.left, b.left, out)
+        return values(a.right, b.right, out)
+
+    k_y, used = length(counts.sum(0)), counts.sum(1) > 0
+    for c in found:
+        p = np.zeros(len(full))
+        for k, node in values(c.model.root, found[0].model.root, []):
+            p[k] = c.model._leaf(node)
+        if ctx.classes is None:
+            p0, p1 = p[used].min(), p[used].max()
+            edges = p0 + np.arange(1, bins) * ((p1 - p0) / bins)
+            p_state = np.searchsorted(edges, p, side="right") if p1 > p0 else np.zeros(len(p), int)
+            size, v = counts.sum(1), p - lo
+            e = (q - 2 * v * s + size * v * v).sum() / n
+            spread = q.sum() / n - (s.sum() / n) ** 2
+            native, equal = 1 - e / spread if spread else 0.0, abs(lo - p0) <= 1e-8 + 1e-5 * abs(p0)
+        else:
+            p_state = p.astype(int)
+            native, equal = counts[np.arange(len(p)), p_state].sum() / n, True
+        joint = np.zeros((p_state.max() + 1, states))
+        np.add.at(joint, p_state, counts)
+        k_p, k_yp = length(joint.sum(1)), length(joint)
+        top = max(k_y, k_p)
+        bad = min(1.0, max(0.0, (k_yp - min(k_y, k_p)) / top)) if top > 0 else 0.0 if equal else 1.0
+        _finish(ctx, c, bad, float(native))
+    return found
+
+
 def evaluate(ctx: SearchContext, found: list[CandidateResult]) -> list[CandidateResult]:
     """Fills in components, combined and native scores; all candidates share one scan for predictions and one for native scores."""
     if not found:
@@ -65,11 +138,7 @@ def evaluate(ctx: SearchContext, found: list[CandidateResult]) -> list[Candidate
         r = wide.agg(*[F.avg((F.col("y").cast("string") == F.col(n).cast("string")).cast("double")).alias(n) for n in names]).first()
         native = r.asDict()
     for n, c in zip(names, found):
-        a = artifacts(c.model, ctx.features)
-        c.subset, c.text, c.native = a.subset, a.model_string, native[n]
-        m = ctx.score.metric.measures(sorted(c.subset))
-        c.components = dict(zip(COMPONENTS, (m["deficiency"], m["surplus"], bad[n], ctx.score.surfeit.surfeit_string(a.model_string))))
-        c.combined = ctx.score.total(c.components)
+        _finish(ctx, c, bad[n], native[n])
     return found
 
 
@@ -101,7 +170,7 @@ def search_tree(ctx: SearchContext, max_depth: int = 5, max_bins: int = 64) -> S
 
     trees = pruning_path(convert(model._java_obj.rootNode()))
     found = [CandidateResult(f"decision_tree_{k}_leaves_{len(t.leaves())}", "decision_tree", DecisionTree(ctx.features, t, ctx.classes), {"n_leaves": str(len(t.leaves()))}) for k, t in enumerate(trees)]
-    return SearchReport("decision_tree", evaluate(ctx, found))
+    return SearchReport("decision_tree", evaluate_nested(ctx, found))
 
 
 def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brevispark.functions.binning import bin_of, rice_bins
 from brevispark.functions.text import fixed_number, sci_number
+from brevispark.operators import automl
 from brevispark.operators import combined as cs
 from brevispark.operators import timeseries as ts
 from brevispark.operators.anomalies import AnomalyDetector, two_means_1d
@@ -196,6 +197,17 @@ def test_classifier(labelled):
     assert nb.predict_proba(labelled).first()["probability"].keys() == {"n", "p"} and nb.diagnostics_dataframe().count() == 0
 
 
+@pytest.mark.parametrize("target,kind", [("k", "categorical"), ("y", "numeric")])
+def test_pruned_trees_at_once_equal_each_by_itself(labelled, target, kind):
+    score = cs.CombinedScore("numeric", kind).fit(labelled, ["a", "b", "c"], target)
+    ctx = automl.SearchContext(labelled, ["a", "b", "c"], target, score, ["n", "p"] if target == "k" else None, 0)
+    found = automl.search_tree(ctx).candidates
+    got = [(c.components, c.native) for c in found]
+    for (components, native), c in zip(got, automl.evaluate(ctx, found)):
+        assert components == pytest.approx(c.components) and native == pytest.approx(c.native, abs=1e-9)
+    assert len(found) > 2
+
+
 def test_regressor(labelled):
     auto = Regressor().fit(labelled, ["a", "b", "c"], "y", candidates={"mine": LinearRegressor(["a", "b"], [3.0, -2.0], 0.0)})
     table = {r["candidate"]: r for r in auto.results_dataframe().collect()}
