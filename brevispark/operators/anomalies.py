@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brevispark.functions.binning import bin_of, rice_bins
 from brevispark.operators.codelength import profile
 from brevispark.operators.miscoding import Miscoding
+from brevispark.operators.models import Model
 from brevispark.sources.tables import as_number, resolve_numeric, resolve_target
 
 RULES = {"classification": ("misclassification", "probability_quantile"), "regression": ("residual_quantile", "standardized_residual", "bin_mismatch")}
@@ -47,7 +48,10 @@ def two_means_1d(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 class AnomalyDetector:
-    """fit() takes a table with a prediction column (and, for probability_quantile, a column with the probability of the observed class)."""
+    """fit() takes a table with a prediction column (and, for probability_quantile, a column with the probability of the observed class).
+
+    Without that column the probability comes from the model, which must know every observed class.
+    """
 
     def __init__(self, task: str = "auto", X_type: str = "auto", y_type: str = "auto", anomaly_rule: str = "auto", anomaly_quantile: float = 0.95, z_score_threshold: float = 3.0, n_bins: int | str = "auto", fit_model: bool = False, auto_model_kwargs: dict | None = None, min_cluster_fraction: float = 0.1, redundancy_threshold: float = 0.85, random_state: int | None = None):
         if task not in ("auto", *RULES) or anomaly_rule not in ("auto", *RULES["classification"], *RULES["regression"]):
@@ -76,6 +80,11 @@ class AnomalyDetector:
             elif self.fit_model and hasattr(model, "fit"):
                 self.model = model.copy().fit(df)
             df = self.model.transform(df)
+            own = self.model.get_model() if hasattr(self.model, "get_model") else self.model
+            if probability is None and self.rule == "probability_quantile" and isinstance(own, Model):
+                probability = "_true_class_probability"
+                by_class = F.create_map(*[x for c, p in zip(own.classes or [], own.probabilities()) for x in (F.lit(c), p)])
+                df = df.withColumn(probability, F.try_element_at(by_class, F.col(target)))
         self.task_, rule = task, self.rule
         if rule == "auto":
             rule = RULES[task][0]
@@ -90,6 +99,8 @@ class AnomalyDetector:
             if rule == "probability_quantile":
                 if not probability:
                     raise ValueError("probability_quantile needs the probability of the observed class")
+                if base.where(F.col("true_class_probability").isNull()).limit(1).count():
+                    raise ValueError("an observed class has no probability")
                 base = base.withColumn("anomaly_score", 1 - F.col("true_class_probability"))
                 mask = self._quantile(base)
             else:
@@ -202,7 +213,8 @@ class AnomalyDetector:
     def group_points(self, attribute_1, attribute_2=None, kind: str = "all") -> DataFrame:
         at = [self.features.index(a) if isinstance(a, str) else int(a) for a in (attribute_1, attribute_2) if a is not None]
         if len(at) == 1:
-            cut = two_means_1d(self._views(kind).where(F.col("attribute") == at[0]), "attribute", "value").first()["cut"]
+            found = two_means_1d(self._views(kind).where(F.col("attribute") == at[0]), "attribute", "value").first()
+            cut = found["cut"] if found else 0.0  # without an anomaly there is no point either
             labels = self.rows.where(self._of_kind(kind)).select("sample_index", (as_number(self.rows, f"x_{at[0]}") > F.lit(cut)).cast("int").alias("cluster"))
         else:
             labels = self._kmeans((at[0], at[1]), kind)[0]

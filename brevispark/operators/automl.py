@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brevispark.functions.binning import bin_of, rice_bins
+from brevispark.operators.adapters import fit_ml, from_ml, tree_of
 from brevispark.operators.combined import COMPONENTS, CombinedScore
 from brevispark.operators.inaccuracy import inaccuracy_of_candidates
 from brevispark.operators.models import MLP, DecisionTree, GaussianNB, LinearClassifier, LinearRegressor, LinearSVC, LinearSVR, Model, TreeNode, artifacts, gram, partial_sums, pruning_path, solve_ols
@@ -158,17 +159,7 @@ def search_tree(ctx: SearchContext, max_depth: int = 5, max_bins: int = 64) -> S
     kind = DecisionTreeRegressor if ctx.classes is None else DecisionTreeClassifier
     model = kind(maxDepth=max_depth, maxBins=max_bins, seed=ctx.seed).fit(_assembled(ctx, ctx.features))
     total = float(ctx.score.metric.n_samples)
-
-    def convert(n) -> TreeNode:
-        stats = list(n.impurityStats().stats())
-        weight = sum(stats) if ctx.classes is not None else stats[0]
-        node = TreeNode([float(x) for x in stats] if ctx.classes is not None else float(n.prediction()), weight, float(n.impurity()) * weight / total)
-        if n.getClass().getSimpleName() == "InternalNode":
-            node.feature, node.threshold = n.split().featureIndex(), float(n.split().threshold())
-            node.left, node.right = convert(n.leftChild()), convert(n.rightChild())
-        return node
-
-    trees = pruning_path(convert(model._java_obj.rootNode()))
+    trees = pruning_path(tree_of(model._java_obj.rootNode(), ctx.classes is not None, total))
     found = [CandidateResult(f"decision_tree_{k}_leaves_{len(t.leaves())}", "decision_tree", DecisionTree(ctx.features, t, ctx.classes), {"n_leaves": str(len(t.leaves()))}) for k, t in enumerate(trees)]
     return SearchReport("decision_tree", evaluate_nested(ctx, found))
 
@@ -373,9 +364,10 @@ class _Auto:
         rows = df.select(*[F.col(f).cast("double").alias(f) if f != target else F.col(f) for f in self.features], *([] if target in features else [F.col(target)])).persist()
         self.classes_, ctx = classes, SearchContext(rows, self.features, target, self.score_, classes, self.seed)
         try:
+            explicit = [] if candidates is None else self._explicit(ctx, candidates)
             self.reports = [SEARCHERS[m](ctx, **self.options.get(m, {})) for m in self.models]
-            if candidates is not None:
-                self.reports.append(SearchReport("explicit", evaluate(ctx, self._explicit(candidates))))
+            if explicit:
+                self.reports.append(SearchReport("explicit", evaluate(ctx, explicit)))
         finally:
             rows.unpersist()
         self.candidates = sorted((c for r in self.reports for c in r.candidates), key=lambda c: c.combined)
@@ -385,14 +377,15 @@ class _Auto:
         return self
 
     @staticmethod
-    def _explicit(candidates) -> list[CandidateResult]:
+    def _explicit(ctx: SearchContext, candidates) -> list[CandidateResult]:
+        """Candidates are models of this library, fitted models of pyspark.ml over the features, or its unfitted estimators."""
+        from pyspark.ml import Estimator
+
         if isinstance(candidates, str) or not len(candidates):
             raise ValueError("candidates are models, a mapping, or (name, model) pairs")
         pairs = candidates.items() if isinstance(candidates, Mapping) else [c if isinstance(c, tuple) else (f"{type(c).__name__}_{i}", c) for i, c in enumerate(candidates)]
-        for _, m in pairs:
-            if not isinstance(m, Model):
-                raise TypeError(f"no description for {type(m).__name__}")
-        return [CandidateResult(name, "explicit", m, {}) for name, m in pairs]
+        own = [(name, fit_ml(m, _assembled(ctx, ctx.features), ctx.features, ctx.classes) if isinstance(m, Estimator) else from_ml(m, ctx.features, ctx.classes)) for name, m in pairs]
+        return [CandidateResult(name, "explicit", m, {}) for name, m in own]
 
     def get_model(self) -> Model:
         return self.best_result.model
@@ -443,8 +436,13 @@ class Classifier(_Auto):
     families, y_type = CLASSIFIERS, "categorical"
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
+        """df with the map probability: class to probability, where the best model has them."""
         return df.withColumn("probability", F.create_map(*[x for c, p in zip(self.classes_, self.best_result.model.probabilities()) for x in (F.lit(c), p)]))
 
+    def decision_function(self, df: DataFrame) -> DataFrame:
+        """df with the array decision: one margin for two classes, or a score for each class, where the best model has them."""
+        return df.withColumn("decision", F.array(*self.best_result.model.scores()))
+
 
 class Regressor(_Auto):
     families, y_type = REGRESSORS, "numeric"

@@ -118,6 +118,10 @@ class Model:
     def probabilities(self) -> list[Column]:
         raise TypeError(f"{type(self).__name__} has no probabilities")
 
+    def scores(self) -> list[Column]:
+        """What is compared to decide: one margin for two classes, or a score for each class."""
+        raise TypeError(f"{type(self).__name__} has no scores")
+
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         return df.withColumn(prediction, self.column())
 
@@ -305,15 +309,26 @@ def pruning_path(root: TreeNode, tolerance: float = 1e-12) -> list[TreeNode]:
     return out
 
 
+ACTIVATIONS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "identity": ("v", lambda s: s), "relu": ("max(0,v)", lambda s: F.greatest(F.lit(0.0), s)), "logistic": ("1/(1+E**-v)", lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-s))),
+    "tanh": ("(E**v-E**-v)/(E**v+E**-v)", F.tanh),
+}
+
+
 @dataclass
 class MLP(Model):
-    """Dense layers with ReLU between them, over standardised inputs."""
+    """Dense layers with an activation between them, over standardised inputs (as they are without mean)."""
 
     classes: list | None = None
     weights: list[np.ndarray] = field(default_factory=list)
     biases: list[np.ndarray] = field(default_factory=list)
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
+    activation: str = "relu"
+
+    def __post_init__(self):
+        if self.activation not in ACTIVATIONS:
+            raise ValueError(f"an activation is one of {', '.join(ACTIVATIONS)}")
 
     def subset(self) -> list[int]:
         return [i for i in range(len(self.features)) if (self.weights[0][i] != 0).any()]
@@ -321,29 +336,43 @@ class MLP(Model):
     def text(self, tokens: Sequence[int] | None = None) -> str:
         at = list(tokens or range(len(self.features)))
         nest = lambda a: "[" + ",".join(nest(x) if getattr(x, "ndim", 0) else sci_number(x) for x in a) + "]"
-        prefix = ["P StandardScaler", *[f" {feature_token(i)} = ({feature_token(i)}-{sci_number(m)})/{sci_number(s)}" for i, m, s in zip(at, self.mean, self.scale)]]
-        body = ["def predict(x):", " W=[" + ",".join(map(nest, self.weights)) + "]", " B=[" + ",".join(map(nest, self.biases)) + "]", " a=[" + ",".join(f"x[{i}]" for i in range(len(self.features))) + "]", " for l in range(len(W)):", "  z=[]", "  for j in range(len(B[l])):", "   s=B[l][j]", "   for i in range(len(a)):", "    s+=a[i]*W[l][i][j]", "   z.append(s)", "  if l<len(W)-1:", "   a=[max(0,v) for v in z]", "  else:", "   a=z"]
+        prefix = ["P StandardScaler", *[f" {feature_token(i)} = ({feature_token(i)}-{sci_number(m)})/{sci_number(s)}" for i, m, s in zip(at, self.mean, self.scale)]] if self.mean else []
+        between = ACTIVATIONS[self.activation][0]
+        body = ["def predict(x):", *([f" E={math.e}"] if "E" in between else []), " W=[" + ",".join(map(nest, self.weights)) + "]", " B=[" + ",".join(map(nest, self.biases)) + "]", " a=[" + ",".join(f"x[{i}]" for i in range(len(self.features))) + "]", " for l in range(len(W)):", "  z=[]", "  for j in range(len(B[l])):", "   s=B[l][j]", "   for i in range(len(a)):", "    s+=a[i]*W[l][i][j]", "   z.append(s)", *(["  if l<len(W)-1:", f"   a=[{between} for v in z]", "  else:", "   a=z"] if self.activation != "identity" else ["  a=z"])]
         if self.classes is None:
             body.append(" return a[0]")
-        elif len(self.classes) == 2:
+        elif len(self.biases[-1]) == 1:
             body += [" if a[0]>0:", "  return 1", " return 0"]
         else:
             body += [" best=0", " for k in range(1,len(a)):", "  if a[k]>a[best]:", "   best=k", " return best"]
         return "\n".join([*prefix, *body]) + "\n"
 
-    def column(self) -> Column:
-        a = [(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.mean, self.scale)]
+    def outputs(self) -> list[Column]:
+        a = [(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.mean, self.scale)] if self.mean else [F.col(f).cast("double") for f in self.features]
         for layer, (w, b) in enumerate(zip(self.weights, self.biases)):
             z = []
             for j in range(len(b)):
                 s = F.lit(float(b[j]))
                 for i, x in enumerate(a):
                     s = s + x * F.lit(float(w[i][j]))
-                z.append(F.greatest(F.lit(0.0), s) if layer < len(self.weights) - 1 else s)
+                z.append(ACTIVATIONS[self.activation][1](s) if layer < len(self.weights) - 1 else s)
             a = z
+        return a
+
+    def scores(self) -> list[Column]:
+        return self.outputs() if self.classes is not None else super().scores()
+
+    def column(self) -> Column:
+        a = self.outputs()
         if self.classes is None:
             return a[0]
-        return F.when(a[0] > 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])) if len(self.classes) == 2 else argmax_column(a, self.classes)
+        return F.when(a[0] > 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])) if len(a) == 1 else argmax_column(a, self.classes)
+
+    def probabilities(self) -> list[Column]:
+        if self.classes is None:
+            return super().probabilities()
+        a = self.outputs()
+        return softmax_columns([F.lit(0.0), a[0]] if len(a) == 1 else a)
 
 
 def artifacts(model: Model, features: Sequence[str] | None = None, prediction: str = "prediction") -> ModelArtifacts:

@@ -125,6 +125,28 @@ s AS (SELECT attribute, x, sum(c) OVER u AS n0, sum(c * z) OVER u AS s0, sum(c)
 i AS (SELECT *, q - s0 * s0 / n0 - (s - s0) * (s - s0) / (n - n0) AS inertia FROM s WHERE n > n0),
 k AS (SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY inertia) AS r FROM i)
 SELECT attribute::INTEGER AS attribute, round(x, 6) AS cut, round(inertia, 4) AS inertia, n0::BIGINT AS cluster_0_size, (n - n0)::BIGINT AS cluster_1_size FROM k WHERE r = 1"""
+_views = f"""WITH v AS ({_two_means.replace('round(inertia, 4) AS inertia', 'inertia')}), w AS (SELECT *, cluster_0_size + cluster_1_size AS n FROM v)
+SELECT attribute AS attribute_1, ['l_quantity', 'l_discount', 'l_tax'][attribute + 1] AS attribute_1_name, 1::INTEGER AS dimensions, round(inertia, 4) AS inertia, cluster_0_size, cluster_1_size, round(abs(cluster_0_size - cluster_1_size) / n, 4) AS balance, n::BIGINT AS n_anomalies
+FROM w WHERE least(cluster_0_size, cluster_1_size) / n >= 0.1"""
+
+
+def _smoothing(window: int, alpha: float) -> list[float]:
+    raw = [alpha * (1 - alpha) ** k for k in range(window)]
+    return [x / sum(raw) for x in raw]
+
+
+_fixed = {f"moving_average_w{w}": [1.0 / w] * w for w in (1, 2, 3)} | {f"exponential_smoothing_w{w}_a{a:g}": _smoothing(w, a) for w in (1, 2, 3) for a in (0.2, 0.5)}
+
+
+def _fixed_scores() -> str:
+    one = []
+    for name, weights in _fixed.items():
+        p = " + ".join(["0e0", *[f"{w:.17e} * y_lag_{k}" for k, w in enumerate(weights, 1)]])
+        source = f"(SELECT y, {p} AS p FROM {lag_rows(3)} WHERE t >= 3)"
+        one.append(f"(SELECT i.candidate, i.inaccuracy, f.estimator_score FROM ({inaccuracy(source, name)}) i, (SELECT round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS estimator_score FROM {source}) f)")
+    return "\n UNION ALL ".join(one)
+
+
 _gram_names = ["one", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 _gram = "SELECT " + " UNION ALL SELECT ".join(f"{i} AS i, {j} AS j, round(sum({a} * {b}) / count(*), 2) AS v FROM (SELECT 1.0::DOUBLE AS one, * FROM lineitem)" for i, a in enumerate(_gram_names) for j, b in enumerate(_gram_names))
 _nb_stats = "SELECT l_returnflag AS c, count(*) AS n, " + ", ".join(f"avg({x}) AS m{k}, var_pop({x}) AS v{k}" for k, x in enumerate(("l_quantity", "l_extendedprice"))) + " FROM lineitem GROUP BY 1"
@@ -162,6 +184,7 @@ SQL: dict[str, str] = {
     "auto_lag_analysis_events": lag_analysis(["y"], 3, False),
     "cross_lag_analysis_events": lag_analysis(["k"], 3, True),
     "lag_analysis_union": lag_analysis(["y", "k"], 2, True),
+    "ts_fixed_candidate_scores": _fixed_scores(),
     "recursive_forecast_ma": _rolling,
     "rolling_segments_code_length": _segments,
     "anomaly_residual_quantile": _quantile,
@@ -172,6 +195,7 @@ SQL: dict[str, str] = {
     "anomaly_summary": f"WITH t AS (SELECT y - p AS r FROM {PREDICTED}), th AS (SELECT quantile_cont(abs(r), 0.95) AS th FROM t) SELECT count(*)::BIGINT AS n_samples, count(*) FILTER (abs(r) >= th)::BIGINT AS n_anomalies, round(avg(abs(r)), 4) AS mean_absolute_residual, round(median(abs(r)), 4) AS median_absolute_residual, count(*) FILTER (abs(r) >= th AND r > 0)::BIGINT AS n_under_predicted, count(*) FILTER (abs(r) >= th AND r < 0)::BIGINT AS n_over_predicted, round(any_value(th), 4) AS threshold FROM t, th",
     "anomaly_by_kind": f"SELECT sample_index FROM ({_quantile}) WHERE direction = 'under_predicted'",
     "anomaly_two_means_1d": _two_means,
+    "anomaly_group_views": _views,
     "ols_single_feature": "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem",
     "ols_gram_matrix": _gram,
     "gnb_moments": f"SELECT c AS class, n::BIGINT AS n, round(m0, 4) AS mean_0, round(v0, 4) AS var_0, round(m1, 4) AS mean_1, round(v1, 1) AS var_1 FROM ({_nb_stats})",

@@ -139,6 +139,11 @@ def candidates_of_series(spark: SparkSession, d: str) -> DataFrame:
     return ts.TimeSeries(window_size=3, smoothing_alphas=(0.2, 0.5)).fit(_events(spark, d), "y", ORDER, ["k"]).results_dataframe()
 
 
+def fixed_candidates_of_series(spark: SparkSession, d: str) -> DataFrame:
+    fit = ts.TimeSeries(window_size=3, models=["moving_average", "exponential_smoothing"], smoothing_alphas=(0.2, 0.5)).fit(_events(spark, d), "y", ORDER)
+    return r6(fit.results_dataframe().select(F.col("model_name").alias("candidate"), "inaccuracy", "estimator_score"))
+
+
 def recursive_forecast(spark: SparkSession, d: str) -> DataFrame:
     s = ts.TimeSeries(window_size=4, models=["moving_average"], moving_average_windows=[4]).fit(_events(spark, d), "y", ORDER)
     return r6(spark.createDataFrame(list(enumerate(s.forecast(5), 1)), "step int, forecast double"))
@@ -251,13 +256,14 @@ QUERIES = {
     "auto_lag_analysis_events": lambda s, d: r6(_series(s, d).auto_lag_analysis()),
     "cross_lag_analysis_events": lambda s, d: r6(_series(s, d).cross_lag_analysis("k")),
     "lag_analysis_union": lambda s, d: r6(_series(s, d).lag_analysis(2)),
-    "ts_candidate_scores": candidates_of_series, "recursive_forecast_ma": recursive_forecast, "rolling_segments_code_length": segments,
+    "ts_candidate_scores": candidates_of_series, "ts_fixed_candidate_scores": fixed_candidates_of_series, "recursive_forecast_ma": recursive_forecast, "rolling_segments_code_length": segments,
     "anomaly_residual_quantile": lambda s, d: residual_rule(s, d, "residual_quantile"),
     "anomaly_standardized_residual": lambda s, d: residual_rule(s, d, "standardized_residual", z_score_threshold=2.0),
     "anomaly_bin_mismatch": lambda s, d: residual_rule(s, d, "bin_mismatch").drop("direction"),
     "anomaly_misclassification": misclassification, "anomaly_probability_quantile": probability_quantile, "anomaly_summary": summary,
     "anomaly_by_kind": lambda s, d: _detector(s, d, "residual_quantile").anomalies("under_predicted"),
     "anomaly_two_means_1d": two_means,
+    "anomaly_group_views": lambda s, d: r6(_detector(s, d, "residual_quantile").group_anomalies(filter_redundant=False), 4),
     "anomaly_groups": lambda s, d: _detector(s, d, "residual_quantile").group_anomalies(),
     "ols_single_feature": ols, "ols_gram_matrix": gram_matrix, "gnb_moments": gnb_moments, "gnb_scores_accuracy": gnb_accuracy,
     "automl_classifier_results": automl_classifier, "automl_regressor_results": automl_regressor, "windowed_code_length": windowed,
