@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brevispark.llm.common import SPACES, cut, mix64, word_hashes, _power
 
-SENTENCES, WORDS, LONG = 3, 20, 25
+SENTENCES, WORDS, LONG, NEAR = 3, 20, 12, 3
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _PAUSES = np.zeros(256, bool)
@@ -24,8 +24,8 @@ def segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte of each word, hash of each word, first word of each sentence and at last the number of words).
 
     A sentence ends after a word that ends with . ! or ?, or before a line break. One of more than LONG words is cut
-    further, after words that end with , ; or : and after words whose hash is 0 modulo 16, so that a passage is cut alike
-    wherever it stands.
+    further, after words that end with , ; or : and after words whose hash is the least within NEAR words on both sides, so
+    that a passage is cut alike wherever it stands, marks or not; one word over and over is cut everywhere.
     """
     starts, hashes = word_hashes(raw)
     n = len(starts)
@@ -41,7 +41,11 @@ def segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.flatnonzero(stop) + 1])
     long = np.repeat(np.diff(first) > LONG, np.diff(first))
     if long.any():
-        stop |= long & (_PAUSES[data[ends]] | (hashes % np.uint64(16) == 0))
+        least = hashes.copy()
+        for k in range(1, NEAR + 1):
+            least[k:] = np.minimum(least[k:], hashes[:-k])
+            least[:-k] = np.minimum(least[:-k], hashes[k:])
+        stop |= long & (_PAUSES[data[ends]] | (hashes == least))
         first = np.concatenate([[0], np.flatnonzero(stop) + 1])
     return starts, hashes, first
 

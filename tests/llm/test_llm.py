@@ -193,6 +193,20 @@ def test_op3(spark, docs, odd, none):
     assert [(x["doc_id"], x["first_docs"], x["text"]) for x in r] == [(11, [10], "Another one\nAnd more.")]
 
 
+def test_op3_passages_without_marks(spark):
+    words = lambda seed, n: [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, n)]
+    rows = []
+    for k in range(100):
+        for side in (0, 1):
+            own = words(1000 + 2 * k + side, 60)
+            rows.append((2 * k + side, " ".join([*own[:30], *words(k, 52), *own[30:]])))
+    rows += [(900, "ha " * 60), (901, "ho ho " + "ha " * 70), (902, " ".join(words(5000, 300)))]
+    r = {x["doc_id"]: x for x in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len([k for k in range(100) if 2 * k + 1 in r]) >= 98 and not [k for k in range(100) if 2 * k in r]
+    assert 901 in r and 902 not in r
+    assert all(x["words_removed"] <= 52 for i, x in r.items() if i < 900)
+
+
 def test_op4(spark, none):
     path = "/root/testdata/sf0.01"
     rows = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{path}/embeddings.parquet'").fetchall()
