@@ -97,13 +97,24 @@ def dominant(d: Column, s: Column, i: Column, f: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, COMPONENTS)), F.array_position(values, F.array_max(values)).cast("int"))
 
 
-def pareto(candidates: DataFrame, key: str, columns: Sequence[str] = COMPONENTS) -> DataFrame:
-    """Candidates that no other is at least as good as in all columns and better in one. Meant for tables of candidates: pairs are compared."""
-    other = candidates.select(*[F.col(c).alias(f"_{c}") for c in columns])
+def pareto(candidates: DataFrame, key: str, columns: Sequence[str] = COMPONENTS, *, small: int = 20_000) -> DataFrame:
+    """The candidates that no other is as good as in all columns and better in one; lower is better.
+
+    Up to `small` distinct points are broadcast (a counted bound). More are dealt to blocks of that many, and every point is
+    held against each block by an equi-join on the block, so no task holds more than a block of them.
+    """
+    points = candidates.select(*columns).distinct()
+    other = points.select(*[F.col(c).alias(f"_{c}") for c in columns])
     no_worse, better = F.lit(True), F.lit(False)
     for c in columns:
         no_worse, better = no_worse & (F.col(f"_{c}") <= F.col(c)), better | (F.col(f"_{c}") < F.col(c))
-    return candidates.join(F.broadcast(other), no_worse & better, "left_anti")
+    blocks = -(-points.count() // small)
+    if blocks <= 1:
+        return candidates.join(F.broadcast(other), no_worse & better, "left_anti")
+    dealt = other.withColumn("_block", F.pmod(F.xxhash64(*other.columns), F.lit(blocks)))
+    each = points.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    beaten = each.join(dealt, (F.col("_at") == F.col("_block")) & no_worse & better, "left_semi").select(*columns).distinct()
+    return candidates.join(beaten, list(columns), "left_anti").select(*candidates.columns)
 
 
 class CombinedScore:
@@ -150,3 +161,11 @@ class CombinedScore:
 
     def explain(self, subset: Sequence, prediction: str, description: str, df: DataFrame | None = None) -> dict:
         return self.explain_components(self.components(subset, prediction, description, df))
+
+
+def components(df: DataFrame, features: Sequence[str], target: str, subset: Sequence, prediction: str, description: str, **options) -> dict[str, float]:
+    return CombinedScore(**options).fit(df, features, target).components(subset, prediction, description)
+
+
+def combined_score(df: DataFrame, features: Sequence[str], target: str, subset: Sequence, prediction: str, description: str, **options) -> float:
+    return CombinedScore(**options).fit(df, features, target).combined(subset, prediction, description)

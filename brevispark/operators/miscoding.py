@@ -146,6 +146,14 @@ class Miscoding:
         return [*chosen, *rest]
 
 
+def feature_mask(indices: Sequence[int], n_features: int) -> list[int]:
+    """Ones at the indices, zeros elsewhere."""
+    if any(not 0 <= j < n_features for j in indices):
+        raise ValueError("a feature index is out of range")
+    chosen = set(indices)
+    return [int(j in chosen) for j in range(n_features)]
+
+
 def feature_analysis(df: DataFrame, features: Sequence[str], target: str, **options) -> DataFrame:
     return Miscoding(**options).fit(df, features, target).feature_analysis()
 

@@ -238,6 +238,12 @@ class TimeSeries:
         meta = lag_metadata(self.w, self.exogenous)
         return [meta[j] | {"feature_index": j, "feature_name": self.best.inputs[k]} for k, j in enumerate(self.best.results["selected"])]
 
+    def get_model(self) -> Forecaster:
+        return self.best
+
+    def combined_score(self) -> float:
+        return self.best.results["combined"]
+
     def model_string(self) -> str:
         return self.best.text()
 

@@ -112,7 +112,7 @@ _profile = """CASE WHEN deficiency <= 0.25 AND surplus <= 0.25 AND inaccuracy <=
  WHEN deficiency <= 0.25 AND surplus <= 0.25 AND inaccuracy >= 0.5 THEN 'bad_learner' WHEN deficiency <= 0.25 AND surplus <= 0.25 AND inaccuracy <= 0.25 AND surfeit >= 0.5 THEN 'over_complex_model' WHEN deficiency >= 0.5 AND surplus >= 0.5 THEN 'poor_input_representation'
  WHEN inaccuracy >= 0.5 AND surfeit >= 0.5 THEN 'complex_but_inaccurate_model' ELSE 'mixed_profile' END"""
 _dominant = "CASE greatest(deficiency, surplus, inaccuracy, surfeit) WHEN deficiency THEN 'deficiency' WHEN surplus THEN 'surplus' WHEN inaccuracy THEN 'inaccuracy' ELSE 'surfeit' END"
-_pareto = f"WITH c AS (SELECT * FROM {COMPONENTS} WHERE id % 7 = 3 OR id % 11 = 5) SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.deficiency <= c.deficiency AND o.surplus <= c.surplus AND o.inaccuracy <= c.inaccuracy AND o.surfeit <= c.surfeit AND (o.deficiency < c.deficiency OR o.surplus < c.surplus OR o.inaccuracy < c.inaccuracy OR o.surfeit < c.surfeit))"
+_pareto = f"WITH c AS (SELECT * FROM {COMPONENTS} WHERE deficiency + surplus + inaccuracy + surfeit >= 1.5) SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.deficiency <= c.deficiency AND o.surplus <= c.surplus AND o.inaccuracy <= c.inaccuracy AND o.surfeit <= c.surfeit AND (o.deficiency < c.deficiency OR o.surplus < c.surplus OR o.inaccuracy < c.inaccuracy OR o.surfeit < c.surfeit))"
 _es = [0.3 * 0.7**k for k in range(4)]
 _es = [x / sum(_es) for x in _es]
 _class = "(SELECT o_orderkey AS row_id, o_orderstatus AS y, CASE WHEN o_totalprice > 250000 THEN 'O' ELSE 'F' END AS p, o_totalprice FROM orders)"

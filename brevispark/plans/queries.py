@@ -249,7 +249,7 @@ QUERIES = {
     "inaccuracy_batch_candidates": lambda s, d: inaccuracies(s, d, {c: x.replace("1000.0", "1000.0D").replace("(1.0 -", "(1.0D -") for c, x in CANDIDATES.items()}),
     "surfeit_from_lengths": surfeit_lengths, "surfeit_documents": surfeit_documents,
     "aggregate_components_all_modes": modes, "profiles_and_dominant": profiles,
-    "pareto_candidates": lambda s, d: pareto(_grid(s).where("id % 7 = 3 OR id % 11 = 5"), "id").select("id"),
+    "pareto_candidates": lambda s, d: pareto(_grid(s).where("deficiency + surplus + inaccuracy + surfeit >= 1.5"), "id").select("id"),
     "lag_matrix_events": lag_matrix,
     "moving_average_forecast": lambda s, d: forecast_of(s, d, ts.moving_average_weights(4)),
     "exp_smoothing_forecast": lambda s, d: forecast_of(s, d, ts.exponential_smoothing_weights(4, 0.3)),

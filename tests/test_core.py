@@ -291,3 +291,19 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.stop()
     batch = joint_counts(src, ["event_type", "value"], bounds)
     assert code_length(spark.table("counts")).first()["code_length"] == pytest.approx(code_length(batch).first()["code_length"])
+
+
+def test_pareto_in_blocks_agrees_with_brute_force(spark):
+    rows = [(i, *(float((i * k * k + k) % 7) for k in (3, 5, 11, 13))) for i in range(120)]
+    df = frame(spark, "id int, " + ", ".join(f"{c} double" for c in cs.COMPONENTS), rows)
+    beats = lambda a, b: all(x <= y for x, y in zip(a[1:], b[1:])) and a[1:] != b[1:]
+    want = sorted(r[0] for r in rows if not any(beats(o, r) for o in rows))
+    assert [sorted(r["id"] for r in cs.pareto(df, "id", small=n).collect()) for n in (20_000, 9)] == [want, want]
+
+
+def test_functional_forms_agree_with_objects(spark):
+    rows = frame(spark, "x0 int, x1 int, y int, p int", [(r[0], r[1], r[3], r[3]) for r in TOY])
+    args = (rows, ["x0", "x1"], "y", [0], "p", "return 1")
+    fitted = cs.CombinedScore("categorical").fit(*args[:3])
+    assert cs.components(*args, X_type="categorical") == fitted.components(*args[3:])
+    assert cs.combined_score(*args, X_type="categorical") == fitted.combined(*args[3:])
