@@ -133,15 +133,17 @@ class Encoder:
                 self.known.clear()
             if len(self.heads) > self.most // 8:
                 self.heads.clear()
-            got = [list(map(self.known.get, pieces[1:])) for pieces in cut]
-            gaps = [k for k, ids in enumerate(got) if None in ids]
-            new = {p for k in gaps for p, ids in zip(cut[k][1:], got[k]) if ids is None}
-            fresh = self._learn(new) if new else {}
-            for k in gaps:
-                got[k] = [(fresh[p] if p in fresh else self.known[p]) if ids is None else ids for p, ids in zip(cut[k][1:], got[k])]
-            heads = sorted({pieces[0] for pieces in cut if pieces[0] not in self.heads})
+            first = [pieces.pop(0) for pieces in cut]
+            got = [list(map(self.known.get, pieces)) for pieces in cut]
+            gaps = [(pieces, ids, [i for i, x in enumerate(ids) if not x]) for pieces, ids in zip(cut, got) if not all(ids)]
+            fresh = self._learn({pieces[i] for pieces, _, where in gaps for i in where}) if gaps else {}
+            for pieces, ids, where in gaps:
+                for i in where:
+                    p = pieces[i]
+                    ids[i] = fresh[p] if p in fresh else self.known[p]
+            heads = sorted({h for h in first if h not in self.heads})
             self.heads.update((h, x.tobytes()) for h, x in zip(heads, self._ids(heads)))
-            out += [self.heads[p[0]] + b"".join(ids) for p, ids in zip(cut, got)]
+            out += [self.heads[h] + b"".join(ids) for h, ids in zip(first, got)]
         return out
 
 
