@@ -6,6 +6,7 @@ pseudonyms in every document, different ones different pseudonyms, and checks (L
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -70,6 +71,10 @@ def luhn_digit(payload: str) -> int:
     return -total % 10
 
 
+def is_card(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
+
+
 def iban_check(country: str, rest: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
 
@@ -83,10 +88,19 @@ KINDS = [
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])"),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
+    ("card", r"(?<![\d.])(?<!\D-)\d(?:[ -]?\d){12,18}(?!\d|-(?!\d))"),
 ]
 _ANY = re.compile("|".join(f"(?P<{k}>{p.replace('(?P', '(').replace(chr(92) + '1', '(?P=sep)').replace('([./])', '(?P<sep>[./])')})" for k, p in KINDS))
 _MAYBE = re.compile(r"[0-9@]")
+_RUN = re.compile(r"\d(?:[ -]?\d)*")
+#: How cards are written, the likeliest first; one group is a card of 13 to 19 digits without separators.
+LAYOUTS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)]
+ISSUERS = re.compile(r"4|5|3[0-9]|6|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)")
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV,SD "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+).split()) for c in cs.split(",")}
 
 
 def _refill(shape: str, new: str, alphabet: str = _DIGITS) -> str:
@@ -118,7 +132,7 @@ class Pseudonyms:
 
     def card(self, value: str) -> str | None:
         d = re.sub(r"\D", "", value)
-        if luhn_digit(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+        if not is_card(d):
             return None
         new = self._number(d[:-1], "card")
         return _refill(value, new + str(luhn_digit(new)))
@@ -197,17 +211,79 @@ class Pseudonyms:
         return "".join(reversed(out)) + "@" + domain
 
 
+def cards(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
+    """(spans, end): the cards among the digit groups of the run of digits at start, which ends at end.
+
+    A span covers whole groups, so neighbours (an expiry, a check number, a year, a count) are left out. Where several overlap
+    the usual layouts win, then known issuers, longer spans and earlier ones. Groups of an unusual layout are taken if they
+    are the longest span at the start of the run, or begin as a known issuer's do and have three digits or more on average
+    (a list of small numbers has a valid span at nearly every place).
+    """
+    run = _RUN.match(text, start)
+    groups = [(m.start() + start, m.end() + start) for m in re.finditer(r"\d+", run.group())]
+    found = []
+    for a in range(len(groups)):
+        sizes: list[int] = []
+        for b in range(a, len(groups)):
+            sizes.append(groups[b][1] - groups[b][0])
+            if sum(sizes) > 19:
+                break
+            n, start, end = sum(sizes), groups[a][0], groups[b][1]
+            rank = 0 if len(sizes) == 1 else 1 + LAYOUTS.index(tuple(sizes)) if tuple(sizes) in LAYOUTS else 9
+            longest = a == 0 and (b + 1 == len(groups) or n + groups[b + 1][1] - groups[b + 1][0] > 19)
+            if n < 13 or rank == 9 and not longest and n < 3 * len(sizes):
+                continue
+            digits = re.sub(r"\D", "", text[start:end])
+            known = bool(ISSUERS.match(digits))
+            if (rank < 9 or known or longest) and is_card(digits):
+                found.append((rank, not known, -n, start, end))
+    taken: list[tuple[int, int]] = []
+    for *_, a, b in sorted(found):
+        k = bisect.bisect(taken, (a, b))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            taken.insert(k, (a, b))
+    return taken, run.end()
+
+
+def iban_span(text: str, start: int, end: int, names: Pseudonyms) -> int | None:
+    """The end of the IBAN at start, within a match that ends at end: at its country's length, else the longest that holds."""
+    ends = [m.end() + start for m in re.finditer(r"[A-Z0-9](?![A-Za-z0-9])", text[start : end + 1]) if m.end() + start <= end]
+    size = lambda e: e - start - text.count(" ", start, e)
+    own = IBAN_LENGTHS.get(text[start : start + 2])
+    return next((e for e in sorted(ends, key=lambda e: (size(e) != own, -e)) if names.iban(text[start:e]) is not None), None)
+
+
 def replace(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple[str, int, int, str]]]:
-    """(text with pseudonyms, found): found has (kind, start, length, pseudonym), in characters of the old text."""
+    """(text with pseudonyms, found): found has (kind, start, length, pseudonym), in characters of the old text.
+
+    The scan goes on inside a match that fails its check, as a valid value may begin there.
+    """
     if not text or not _MAYBE.search(text) and not re.search("(?i)token|secret|passw|key", text):
         return text, []
-    out, found, last = [], [], 0
-    for m in _ANY.finditer(text):
-        new = names.pseudonym(m.lastgroup if m.lastgroup != "sep" else "date", m.group())
-        if new is not None:
-            found.append((m.lastgroup if m.lastgroup != "sep" else "date", m.start(), len(m.group()), new))
-            out += [text[last : m.start()], new]
-            last = m.end()
+    out, found, last, at = [], [], 0, 0
+    due: list[tuple[int, int]] = []  # cards of the run of digits that ends at known
+    known = 0
+    while True:
+        m = _ANY.search(text, at)
+        if due and (m is None or m.start() >= due[0][0] or m.end() > due[0][0]):
+            kind, (start, end) = "card", due.pop(0)
+        elif m is None:
+            break
+        else:
+            kind, (start, end) = m.lastgroup if m.lastgroup != "sep" else "date", m.span()
+            if kind == "card":
+                if start >= known:
+                    due, known = cards(text, start)
+                at = start + 1
+                continue
+            end = iban_span(text, start, end, names) if kind == "iban" else end
+        new = None if end is None else names.pseudonym(kind, text[start:end])
+        if new is None:
+            at = start + 1
+            continue
+        found.append((kind, start, end - start, new))
+        out += [text[last:start], new]
+        last = at = end
     return "".join([*out, text[last:]]), found
 
 

@@ -444,6 +444,37 @@ def test_pii_leaves_what_fails_its_check():
         assert pii.replace(text, pii.Pseudonyms()) == (text, [])
 
 
+NEIGHBOURS = [
+    (k, v, before, after)
+    for k, v, pairs in (
+        ("card", "4111 1111 1111 1111", [("", " 12/27"), ("order 12 ", ""), ("", " 123"), ("", " 2027"), ("2027 ", " 12-27"), ("x 7 ", " 7"), ("12 3 ", " 4 5")]),
+        ("card", "4111-1111-1111-1111", [("", "-2027"), ("2027-", ""), ("", " 12/27")]),
+        ("card", "4111111111111111", [("", " 123"), ("", " 12/27"), ("999999-", ""), ("12 ", " 2027")]),
+        ("card", "3782 822463 10005", [("", " 1234"), ("17 ", " 12/27")]),
+        ("iban", "ES91 2100 0418 4502 0005 1332", [("", " BIC"), ("", " 2024"), ("AB12 ", " EUR")]),
+        ("iban", "BE68 5390 0754 7034", [("", " 2024"), ("", " BIC GKCC")]),
+        ("iban", "AT611904300234573201", [("", " BIC"), ("", " EUR 50"), ("", " 2024")]),
+    )
+    for before, after in pairs
+]
+
+
+@pytest.mark.parametrize("kind,value,before,after", NEIGHBOURS)
+def test_values_beside_other_numbers(kind, value, before, after):
+    names = pii.Pseudonyms()
+    new = names.pseudonym(kind, value)
+    assert pii.replace(f"{before}{value}{after}", names) == (f"{before}{new}{after}", [(kind, len(before), len(value), new)])
+
+
+def test_cards_in_one_run_of_digits():
+    names = pii.Pseudonyms()
+    for n in range(100):  # some of these longer numbers hold by chance, too
+        text, found = pii.replace(f"4111 1111 1111 1111 {n:02d}", names)
+        assert [f[:3] for f in found] == [("card", 0, 19)]
+    assert [f[:3] for f in pii.replace("4111111111111111 5500005555555559", names)[1]] == [("card", 0, 16), ("card", 17, 16)]
+    assert [f[0] for f in pii.replace("12 2027-01-31 4111 1111 1111 1111 2027-01-31", names)[1]] == ["date", "card", "date"]
+
+
 def test_op10(spark, odd, none, docs):
     out = queries.QUERIES["op10_pseudonyms"](spark, SF).collect()
     want = {d[0]: pii.replace(d[1], pii.Pseudonyms()) for d in docs}
