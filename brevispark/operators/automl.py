@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brevispark.functions.binning import bin_of, rice_bins
-from brevispark.operators.adapters import fit_ml, from_ml, tree_of
+from brevispark.functions.text import class_token, feature_token, sci_number
+from brevispark.operators.adapters import fit_ml, from_ml
 from brevispark.operators.combined import COMPONENTS, CombinedScore
 from brevispark.operators.inaccuracy import inaccuracy_of_candidates
-from brevispark.operators.models import MLP, DecisionTree, GaussianNB, LinearClassifier, LinearRegressor, LinearSVC, LinearSVR, Model, TreeNode, artifacts, gram, partial_sums, pruning_path, solve_ols
+from brevispark.operators.models import MLP, DecisionTree, GaussianNB, LinearClassifier, LinearRegressor, LinearSVC, LinearSVR, Model, TreeNode, artifacts, gram, partial_sums, pruning_steps, solve_ols
 
 RESULTS = "candidate string, family string, model_type string, hyperparameters map<string,string>, combined double, deficiency double, surplus double, inaccuracy double, surfeit double, native_estimator_score double, selected_features array<int>, n_selected_features int, description_length int"
 
@@ -28,7 +32,13 @@ class CandidateResult:
     combined: float = float("nan")
     native: float = float("nan")
     subset: list[int] = field(default_factory=list)
-    text: str = ""
+    tokens: list[int] = field(default_factory=list)
+    length: int = 0
+
+    @property
+    def text(self) -> str:
+        """The description; made when asked for, as those of all trees of a pruning path would fill the driver."""
+        return self.model.text(self.tokens)
 
 
 @dataclass
@@ -54,73 +64,213 @@ class SearchContext:
 
 def _finish(ctx: SearchContext, c: CandidateResult, inaccuracy: float, native: float) -> CandidateResult:
     a = artifacts(c.model, ctx.features)
-    c.subset, c.text, c.native = a.subset, a.model_string, native
-    m = ctx.score.metric.measures(sorted(c.subset))
-    c.components = dict(zip(COMPONENTS, (m["deficiency"], m["surplus"], inaccuracy, ctx.score.surfeit.surfeit_string(a.model_string))))
+    c.tokens = [ctx.features.index(f) for f in c.model.features]
+    return _scored(ctx, c, a.subset, len(a.model_string.encode()), ctx.score.surfeit.surfeit_string(a.model_string), inaccuracy, native)
+
+
+def _scored(ctx: SearchContext, c: CandidateResult, subset: list[int], length: int, surfeit: float, inaccuracy: float, native: float) -> CandidateResult:
+    c.subset, c.length, c.native = subset, length, native
+    m = ctx.score.metric.measures(sorted(subset))
+    c.components = dict(zip(COMPONENTS, (m["deficiency"], m["surplus"], inaccuracy, surfeit)))
     c.combined = ctx.score.total(c.components)
     return c
 
 
-def evaluate_nested(ctx: SearchContext, found: list[CandidateResult]) -> list[CandidateResult]:
-    """evaluate() for pruned versions of found[0]'s tree: one grouping of the rows by its leaves and the target's states serves all.
+class NestedTexts:
+    """The description of a full tree (that of DecisionTree.text), kept up to date line by line while nodes become leaves."""
+
+    def __init__(self, model: DecisionTree):
+        self.model, self.lines, self.used = model, [], {}
+        self.first, self.last, self.stop, self.depth, self.split = [], [], [], [], []
+        self._add(model.root, 1)
+
+    def _leaf(self, n: TreeNode, depth: int) -> str:
+        v = self.model._leaf(n)
+        return f"{' ' * depth}return {class_token(v) if self.model.classes is not None else sci_number(v)}"
+
+    def _add(self, n: TreeNode, depth: int) -> None:
+        k = len(self.first)
+        self.first.append(len(self.lines))
+        self.depth.append(depth)
+        self.last.append(0)
+        self.stop.append(k)
+        self.split.append(n.feature)
+        if n.feature is None:
+            self.lines.append(self._leaf(n, depth))
+        else:
+            self.used[n.feature] = self.used.get(n.feature, 0) + 1
+            self.lines.append(f"{' ' * depth}if {feature_token(n.feature)}<={sci_number(n.threshold)}:")
+            self._add(n.left, depth + 1)
+            self.lines.append(f"{' ' * depth}else:")
+            self._add(n.right, depth + 1)
+        self.last[k], self.stop[k] = len(self.lines), len(self.first)
 
-    The grouped table has leaves times states rows; a pruned tree only maps leaves to other values.
+    def prune(self, k: int, leaf: TreeNode) -> None:
+        """Makes the node of preorder number k a leaf."""
+        for x in range(k, self.stop[k]):
+            if self.split[x] is not None:
+                self.used[self.split[x]] -= 1
+                self.split[x] = None
+        a, b = self.first[k], self.last[k]
+        self.lines[a:b] = [self._leaf(leaf, self.depth[k]), *[None] * (b - a - 1)]
+
+    def subset(self) -> list[int]:
+        return sorted(f for f, n in self.used.items() if n)
+
+    def text(self) -> str:
+        return "\n".join([f"def predict({', '.join(map(feature_token, self.subset()))}):", *filter(None, self.lines)]) + "\n"
+
+
+def grown_tree(ctx: SearchContext, model) -> tuple[DecisionTree, "LeafCells"]:
+    """The tree of a fitted pyspark.ml model, with statistics of all nodes from one grouping of the rows by leaf and state.
+
+    The shape comes from the debug string, as a call for each node of a large tree would take longer than its fit.
     """
-    full: list[TreeNode] = found[0].model.root.leaves()
-    at = {id(n): k for k, n in enumerate(full)}
-    leaf = found[0].model._walk(lambda n: F.lit(at[id(n)]))
-    y, n = F.col(ctx.target), ctx.score.metric.n_samples
-    if ctx.classes is None:
-        y = y.cast("double")
-        lo, hi = ctx.df.agg(F.min(y), F.max(y)).first()
-        bins = rice_bins(ctx.score.n_bins, n)
-        state = bin_of(y, lo, hi, bins)
-    else:
-        lo = hi = None
-        state = F.array_position(F.array(*map(F.lit, ctx.classes)), y) - 1
-    sums = [F.sum(y - F.lit(lo)).alias("s"), F.sum((y - F.lit(lo)) * (y - F.lit(lo))).alias("q")] if ctx.classes is None else []
-    rows = ctx.df.groupBy(leaf.alias("leaf"), state.alias("state")).agg(F.count(F.lit(1)).alias("c"), *sums).collect()
-    states = max(r["state"] for r in rows) + 1
-    counts, s, q = np.zeros((len(full), states)), np.zeros(len(full)), np.zeros(len(full))
-    for r in rows:
-        counts[r["leaf"], r["state"]] = r["c"]
+    lines = iter([x.strip() for x in model.toDebugString.splitlines()[1:] if x.strip()])
+
+    def read() -> TreeNode:
+        line = next(lines)
+        if line.startswith("Predict"):
+            return TreeNode(0.0, 0.0, 0.0)
+        feature, threshold = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+        out = TreeNode(0.0, 0.0, 0.0, int(feature), float(threshold), read())
+        next(lines)
+        out.right = read()
+        return out
+
+    tree = DecisionTree(ctx.features, read(), ctx.classes)
+    cells = LeafCells(ctx, tree)
+    total, leaves = float(cells.size.sum()), iter(range(len(cells.size)))
+
+    def fill(n: TreeNode) -> np.ndarray:
+        if n.feature is None:
+            k = next(leaves)
+            s = cells.of_class(k) if ctx.classes is not None else np.array([cells.size[k], cells.s[k], cells.q[k]])
+        else:
+            s = fill(n.left) + fill(n.right)
+        if ctx.classes is not None:
+            n.value, n.weight = s.tolist(), float(s.sum())
+            n.risk = (n.weight - float((s * s).sum()) / n.weight) / total
+        else:
+            n.value, n.weight = float(cells.lo + s[1] / s[0]), float(s[0])
+            n.risk = max(0.0, float(s[2] - s[1] * s[1] / s[0])) / total
+        return s
+
+    fill(tree.root)
+    return tree, cells
+
+
+class LeafCells:
+    """Rows counted by leaf of a tree and state of the target: only cells with rows, in order of the leaves."""
+
+    def __init__(self, ctx: SearchContext, tree: DecisionTree):
+        y, n = F.col(ctx.target), ctx.score.metric.n_samples
+        self.lo, self.bins, sums = 0.0, 0, []
         if ctx.classes is None:
-            s[r["leaf"]] += r["s"]
-            q[r["leaf"]] += r["q"]
+            y = y.cast("double")
+            self.lo, hi = ctx.df.agg(F.min(y), F.max(y)).first()
+            self.bins = rice_bins(ctx.score.n_bins, n)
+            state, v = bin_of(y, self.lo, hi, self.bins), F.col("y") - F.lit(self.lo)
+            sums = [F.sum(v).alias("s"), F.sum(v * v).alias("q")]
+        else:
+            state = F.array_position(F.array(*map(F.lit, ctx.classes)), y) - 1
+        rows = ctx.df.select(tree.leaf_column().alias("leaf"), state.alias("state"), y.alias("y")).groupBy("leaf", "state").agg(F.count(F.lit(1)).alias("c"), *sums).toArrow()
+        leaf, state, c = (rows[x].to_numpy() for x in ("leaf", "state", "c"))
+        order = np.lexsort((state, leaf))
+        leaves = len(tree.root.leaves())
+        self.leaf, self.state, self.c = leaf[order].astype(int), state[order].astype(int), c[order].astype(float)
+        self.first = np.searchsorted(self.leaf, np.arange(leaves + 1))
+        self.states = int(self.state.max()) + 1 if ctx.classes is None else len(ctx.classes)
+        total = lambda x: np.bincount(self.leaf, x, leaves)
+        self.size = total(self.c)
+        if sums:
+            self.s, self.q = total(rows["s"].to_numpy()[order]), total(rows["q"].to_numpy()[order])
+
+    def of_class(self, leaf: int) -> np.ndarray:
+        a, b = self.first[leaf], self.first[leaf + 1]
+        return np.bincount(self.state[a:b], self.c[a:b], self.states)
+
+    def joint(self, p_state: np.ndarray, height: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Rows by predicted state (p_state has each leaf's) and state, over the leaves from a to b."""
+        x = slice(self.first[a], self.first[len(self.size) if b is None else b])
+        return np.bincount(p_state[self.leaf[x]] * self.states + self.state[x], self.c[x], height * self.states).reshape(height, self.states)
+
+
+def evaluate_nested(ctx: SearchContext, tree: DecisionTree, cells: LeafCells) -> list[CandidateResult]:
+    """All trees on the pruning path of tree, evaluated: what evaluate() gives, without a scan for each.
+
+    A step only changes the leaves below the nodes it prunes, so their cells move within the joint counts and their lines
+    within the text. Cells are at most leaves times states, and at most the rows.
+    """
+    n, height = ctx.score.metric.n_samples, max(cells.bins, cells.states)
+    texts, p = NestedTexts(tree), np.array([float(tree._leaf(x)) for x in tree.root.leaves()])
+    spans, at = [], 0  # the leaves below each node, by preorder number
+
+    def number(x: TreeNode) -> None:
+        nonlocal at
+        k, a = len(spans), at
+        spans.append((a, a))
+        if x.feature is None:
+            at += 1
+        else:
+            number(x.left)
+            number(x.right)
+        spans[k] = (a, at)
+
+    number(tree.root)
 
     def length(c: np.ndarray) -> float:
         c = c[c > 0]
         return float(-(c * np.log2(c / n)).sum())
 
-    def values(a: TreeNode, b: TreeNode, out: list) -> list:
-        """The prediction of pruned tree a for each leaf of b."""
-        if a.feature is None:
-            return out.extend((at[id(x)], a) for x in b.leaves()) or out
-        values(a.left, b.left, out)
-        return values(a.right, b.right, out)
-
-    k_y, used = length(counts.sum(0)), counts.sum(1) > 0
-    for c in found:
-        p = np.zeros(len(full))
-        for k, node in values(c.model.root, found[0].model.root, []):
-            p[k] = c.model._leaf(node)
-        if ctx.classes is None:
-            p0, p1 = p[used].min(), p[used].max()
-            edges = p0 + np.arange(1, bins) * ((p1 - p0) / bins)
-            p_state = np.searchsorted(edges, p, side="right") if p1 > p0 else np.zeros(len(p), int)
-            size, v = counts.sum(1), p - lo
-            e = (q - 2 * v * s + size * v * v).sum() / n
-            spread = q.sum() / n - (s.sum() / n) ** 2
-            native, equal = 1 - e / spread if spread else 0.0, abs(lo - p0) <= 1e-8 + 1e-5 * abs(p0)
-        else:
-            p_state = p.astype(int)
-            native, equal = counts[np.arange(len(p)), p_state].sum() / n, True
-        joint = np.zeros((p_state.max() + 1, states))
-        np.add.at(joint, p_state, counts)
-        k_p, k_yp = length(joint.sum(1)), length(joint)
-        top = max(k_y, k_p)
-        bad = min(1.0, max(0.0, (k_yp - min(k_y, k_p)) / top)) if top > 0 else 0.0 if equal else 1.0
-        _finish(ctx, c, bad, float(native))
+    def states(p: np.ndarray) -> np.ndarray:
+        if ctx.classes is not None:
+            return p.astype(int)
+        edges = p0 + np.arange(1, cells.bins) * ((p1 - p0) / cells.bins)
+        return np.searchsorted(edges, p, side="right") if p1 > p0 else np.zeros(len(p), int)
+
+    k_y = length(np.bincount(cells.state, cells.c))
+    spread = cells.q.sum() / n - (cells.s.sum() / n) ** 2 if ctx.classes is None else 0.0
+    p0, p1 = p.min(), p.max()
+    p_state = states(p)
+    joint = cells.joint(p_state, height)
+    found: list[CandidateResult] = []
+    waiting: list[tuple] = []
+
+    def flush() -> None:
+        for (c, subset, text, bad, native), surfeit in zip(waiting, pool.map(ctx.score.surfeit.surfeit_string, [w[2] for w in waiting])):
+            c.tokens = list(range(len(ctx.features)))
+            found.append(_scored(ctx, c, subset, len(text.encode()), surfeit, bad, native))
+        waiting.clear()
+
+    with ThreadPoolExecutor(4) as pool:
+        for k, (root, pruned) in enumerate(chain([(tree.root, [])], pruning_steps(tree.root))):
+            for number_, leaf in pruned:
+                texts.prune(number_, leaf)
+                a, b = spans[number_]
+                joint -= cells.joint(p_state, height, a, b)
+                p[a:b] = tree._leaf(leaf)
+                p_state[a:b] = states(p[a : a + 1])[0]
+                joint += cells.joint(p_state, height, a, b)
+            if ctx.classes is None:
+                if (p.min(), p.max()) != (p0, p1):
+                    p0, p1 = p.min(), p.max()
+                    p_state = states(p)
+                    joint = cells.joint(p_state, height)
+                v = p - cells.lo
+                e = (cells.q - 2 * v * cells.s + cells.size * v * v).sum() / n
+                native, equal = 1 - e / spread if spread else 0.0, abs(cells.lo - p0) <= 1e-8 + 1e-5 * abs(p0)
+            else:
+                native, equal = np.trace(joint) / n, True
+            k_p, k_yp = length(joint.sum(1)), length(joint)
+            top = max(k_y, k_p)
+            bad = min(1.0, max(0.0, (k_yp - min(k_y, k_p)) / top)) if top > 0 else 0.0 if equal else 1.0
+            leaves = str(sum(texts.used.values()) + 1)
+            c = CandidateResult(f"decision_tree_{k}_leaves_{leaves}", "decision_tree", DecisionTree(ctx.features, root, ctx.classes), {"n_leaves": leaves})
+            waiting.append((c, texts.subset(), texts.text(), bad, float(native)))
+            if len(waiting) == 16:
+                flush()
+        flush()
     return found
 
 
@@ -151,17 +301,14 @@ def _assembled(ctx: SearchContext, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"f{k}" for k in range(len(features))], outputCol="features").transform(rows).select("features", "label")
 
 
-def search_tree(ctx: SearchContext, max_depth: int = 5, max_bins: int = 64) -> SearchReport:
-    """A full tree to max_depth and its weakest-link pruning path; nested subtrees need no further fit."""
+def search_tree(ctx: SearchContext, max_depth: int = 30, max_bins: int = 1024) -> SearchReport:
+    """A full tree (to Spark's limit of depth) and its weakest-link pruning path; nested subtrees need no further fit."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.regression import DecisionTreeRegressor
 
     kind = DecisionTreeRegressor if ctx.classes is None else DecisionTreeClassifier
     model = kind(maxDepth=max_depth, maxBins=max_bins, seed=ctx.seed).fit(_assembled(ctx, ctx.features))
-    total = float(ctx.score.metric.n_samples)
-    trees = pruning_path(tree_of(model._java_obj.rootNode(), ctx.classes is not None, total))
-    found = [CandidateResult(f"decision_tree_{k}_leaves_{len(t.leaves())}", "decision_tree", DecisionTree(ctx.features, t, ctx.classes), {"n_leaves": str(len(t.leaves()))}) for k, t in enumerate(trees)]
-    return SearchReport("decision_tree", evaluate_nested(ctx, found))
+    return SearchReport("decision_tree", evaluate_nested(ctx, *grown_tree(ctx, model)))
 
 
 def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:
@@ -417,7 +564,7 @@ class _Auto:
         return self.score_.explain_components(b.components) | {"candidate_name": b.candidate, "model_type": type(b.model).__name__, "model_family": b.family, "hyperparameters": b.hyperparameters}
 
     def results_dataframe(self) -> DataFrame:
-        rows = [(c.candidate, c.family, type(c.model).__name__, c.hyperparameters, c.combined, *[c.components[k] for k in COMPONENTS], c.native, c.subset, len(c.subset), len(c.text.encode())) for c in self.candidates]
+        rows = [(c.candidate, c.family, type(c.model).__name__, c.hyperparameters, c.combined, *[c.components[k] for k in COMPONENTS], c.native, c.subset, len(c.subset), c.length) for c in self.candidates]
         return self.spark.createDataFrame(rows, RESULTS).orderBy("combined")
 
     def diagnostics_dataframe(self) -> DataFrame:

@@ -5,11 +5,13 @@ Predictions are Columns, so any number of candidates is evaluated in one scan an
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,6 +239,10 @@ class TreeNode:
         return () if self.feature is None else (self.feature, round(self.threshold, 12), self.left.shape(), self.right.shape())
 
 
+#: Leaves of the largest tree that becomes one expression of generated code.
+MAX_WALKED = 64
+
+
 @dataclass
 class DecisionTree(Model):
     root: TreeNode | None = None
@@ -274,39 +280,121 @@ class DecisionTree(Model):
 
         return go(self.root)
 
+    def leaf_column(self) -> Column:
+        """The number of a row's leaf, from left to right, by arrays: a tree of any size is one expression."""
+        feature, threshold, left, right, number = [], [], [], [], []
+
+        def lay(n: TreeNode) -> int:
+            k = len(feature)
+            feature.append(0 if n.feature is None else n.feature)
+            threshold.append(n.threshold)
+            left.append(k)
+            right.append(k)
+            number.append(-1)
+            if n.feature is None:
+                number[k] = lay.leaves
+                lay.leaves += 1
+            else:
+                left[k] = lay(n.left)
+                right[k] = lay(n.right)
+            return k
+
+        lay.leaves = 0
+        lay(self.root)
+        f, t, a, b, leaf = np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(number)
+
+        def run(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(float) for c in columns])
+            rows, at = np.arange(len(x)), np.zeros(len(x), int)
+            while (leaf[at] < 0).any():
+                at = np.where(x[rows, f[at]] <= t[at], a[at], b[at])
+            return pd.Series(leaf[at])
+
+        return F.pandas_udf(run, "int")(*[F.col(c).cast("double") for c in self.features])
+
+    def _of_leaf(self, leaf: Callable[[TreeNode], object]) -> Column:
+        """leaf(n) of a row's leaf n: in generated code for small trees, else looked up by the leaf's number."""
+        leaves = self.root.leaves()
+        if len(leaves) <= MAX_WALKED:
+            return self._walk(lambda n: F.lit(leaf(n)))
+        values = list(dict.fromkeys(leaf(n) for n in leaves))
+        if len(values) <= MAX_WALKED:
+            at = {v: k for k, v in enumerate(values)}
+            which, table = np.array([at[leaf(n)] for n in leaves]), F.array(*map(F.lit, values))
+            return F.element_at(table, F.pandas_udf(lambda s: pd.Series(which[s.to_numpy()] + 1), "int")(self.leaf_column()))
+        numbers = np.array([leaf(n) for n in leaves], float)
+        return F.pandas_udf(lambda s: pd.Series(numbers[s.to_numpy()]), "double")(self.leaf_column())
+
     def column(self) -> Column:
-        return self._walk(lambda n: F.lit(self.classes[self._leaf(n)] if self.classes is not None else float(n.value)))
+        return self._of_leaf(lambda n: self.classes[self._leaf(n)] if self.classes is not None else float(n.value))
 
     def probabilities(self) -> list[Column]:
         if self.classes is None:
             return super().probabilities()
-        return [self._walk(lambda n, k=k: F.lit(float(n.value[k] / sum(n.value)))) for k in range(len(self.classes))]
+        return [self._of_leaf(lambda n, k=k: float(n.value[k] / sum(n.value))) for k in range(len(self.classes))]
+
+
+def pruning_steps(root: TreeNode, tolerance: float = 1e-12) -> Iterator[tuple[TreeNode, list[tuple[int, TreeNode]]]]:
+    """Each step of weakest-link pruning: the tree after it, and the nodes (preorder number, new leaf) it made leaves.
+
+    Trees share what did not change; a step costs the paths from its nodes to the root.
+    """
+    now, parent, end = [], [], []
+
+    def number(n: TreeNode, up: int) -> None:
+        k = len(now)
+        now.append(n)
+        parent.append(up)
+        end.append(k)
+        if n.feature is not None:
+            number(n.left, k)
+            number(n.right, k)
+        end[k] = len(now)
+
+    number(root, -1)
+    inner = [n.feature is not None for n in now]
+    size, risk = [1] * len(now), [n.risk for n in now]
+    right = [end[k + 1] if inner[k] else -1 for k in range(len(now))]
+    for k in reversed(range(len(now))):
+        if inner[k]:
+            size[k], risk[k] = size[k + 1] + size[right[k]], risk[k + 1] + risk[right[k]]
+    own = lambda k: (now[k].risk - risk[k]) / (size[k] - 1)
+    value = {k: own(k) for k in range(len(now)) if inner[k]}
+    heap = [(v, k) for k, v in value.items()]
+    heapq.heapify(heap)
+    while inner[0]:
+        while value.get(heap[0][1]) != heap[0][0]:
+            heapq.heappop(heap)
+        limit, picked = max(0.0, heap[0][0]) * (1 + tolerance) + tolerance, set()
+        while heap and heap[0][0] <= limit:
+            v, k = heapq.heappop(heap)
+            if value.get(k) == v:
+                picked.add(k)
+        done, dirty = [], set()
+        for k in sorted(picked):
+            if not inner[k]:  # below one of this step
+                continue
+            for x in range(k, end[k]):
+                inner[x] = False
+                value.pop(x, None)
+            less, more, up = size[k] - 1, now[k].risk - risk[k], parent[k]
+            now[k] = TreeNode(now[k].value, now[k].weight, now[k].risk)
+            done.append((k, now[k]))
+            while up >= 0:
+                size[up], risk[up] = size[up] - less, risk[up] + more
+                dirty.add(up)
+                up = parent[up]
+        for k in sorted(dirty, reverse=True):
+            n = now[k]
+            now[k] = TreeNode(n.value, n.weight, n.risk, n.feature, n.threshold, now[k + 1], now[right[k]])
+            value[k] = own(k)
+            heapq.heappush(heap, (value[k], k))
+        yield now[0], done
 
 
 def pruning_path(root: TreeNode, tolerance: float = 1e-12) -> list[TreeNode]:
-    """The nested trees of weakest-link pruning, from the full tree to the root alone, each shape once."""
-
-    def weakest(n: TreeNode) -> float:
-        if n.feature is None:
-            return math.inf
-        own = (n.risk - sum(x.risk for x in n.leaves())) / (len(n.leaves()) - 1)
-        return min(own, weakest(n.left), weakest(n.right))
-
-    def prune(n: TreeNode, alpha: float) -> TreeNode:
-        if n.feature is None:
-            return n
-        if (n.risk - sum(x.risk for x in n.leaves())) / (len(n.leaves()) - 1) <= alpha:
-            return TreeNode(n.value, n.weight, n.risk)
-        return TreeNode(n.value, n.weight, n.risk, n.feature, n.threshold, prune(n.left, alpha), prune(n.right, alpha))
-
-    out, seen, tree = [root], {root.shape()}, root
-    while tree.feature is not None:
-        alpha = max(0.0, weakest(tree))
-        tree = prune(tree, alpha * (1 + tolerance) + tolerance)
-        if tree.shape() not in seen:
-            seen.add(tree.shape())
-            out.append(tree)
-    return out
+    """The nested trees of weakest-link pruning, from the full tree to the root alone."""
+    return [root, *(tree for tree, _ in pruning_steps(root, tolerance))]
 
 
 ACTIVATIONS: dict[str, tuple[str, Callable[[Column], Column]]] = {

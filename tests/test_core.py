@@ -208,6 +208,24 @@ def test_pruned_trees_at_once_equal_each_by_itself(labelled, target, kind):
     assert len(found) > 2
 
 
+@pytest.mark.parametrize("by_class", [True, False])
+def test_trees_grow_past_five_levels_and_many_bins(spark, by_class):
+    labels = np.random.default_rng(3).integers(0, 2, 300)
+    df = frame(spark, "a double, b double, k string, y double", [(float(i), float(i % 3), "np"[k], float(i * i)) for i, k in enumerate(labels)])
+    target, classes = ("k", ["n", "p"]) if by_class else ("y", None)
+    score = cs.CombinedScore("numeric", "categorical" if by_class else "numeric").fit(df, ["a", "b"], target)
+    ctx = automl.SearchContext(df, ["a", "b"], target, score, classes, 0)
+    found = automl.search_tree(ctx).candidates
+    full = found[0]
+    assert full.native == pytest.approx(1.0) and len(full.model.root.leaves()) > 64  # five levels have 32 leaves
+    assert len(found[-1].model.root.leaves()) == 1 and all(int(c.hyperparameters["n_leaves"]) == len(c.model.root.leaves()) for c in found)
+    for c in found:
+        assert c.length == len(c.text.encode()) and c.components["surfeit"] == score.surfeit.surfeit_string(c.text) and c.subset == c.model.subset()
+    got = [(dict(c.components), c.native) for c in (full, found[len(found) // 2])]
+    for (components, native), c in zip(got, automl.evaluate(ctx, [full, found[len(found) // 2]])):
+        assert components == pytest.approx(c.components) and native == pytest.approx(c.native, abs=1e-9)
+
+
 def test_regressor(labelled):
     auto = Regressor().fit(labelled, ["a", "b", "c"], "y", candidates={"mine": LinearRegressor(["a", "b"], [3.0, -2.0], 0.0)})
     table = {r["candidate"]: r for r in auto.results_dataframe().collect()}
