@@ -410,63 +410,120 @@ def search_svr(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0),
     return SearchReport("linear_svr", evaluate(ctx, found))
 
 
-def train_mlp(x: np.ndarray, y: np.ndarray, hidden: Sequence[int], outputs: int, kind: str, seed: int, max_iter: int = 100) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Full-batch Adam; kind is regression, binary or multiclass."""
-    rng, sizes = np.random.default_rng(seed), [x.shape[1], *hidden, outputs]
-    params = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])] + [np.zeros(b) for b in sizes[1:]]
-    m, v, layers = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params], len(sizes) - 1
+def mlp_gradients(params: Sequence[np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, kind: str) -> list[np.ndarray]:
+    """The sums over rows of weight w of the loss's gradients; params are the weights of all layers, then the biases."""
+    acts, layers = [x], len(params) // 2
+    for k in range(layers):
+        z = acts[-1] @ params[k] + params[layers + k]
+        acts.append(np.maximum(z, 0) if k < layers - 1 else z)
+    if kind == "multiclass":
+        e = np.exp(acts[-1] - acts[-1].max(1, keepdims=True))
+        d = e / e.sum(1, keepdims=True) - y
+    else:
+        d = (1 / (1 + np.exp(-acts[-1])) if kind == "binary" else acts[-1]) - y
+    d, grads = d * w[:, None], [np.empty(0)] * len(params)
+    for k in reversed(range(layers)):
+        grads[k], grads[layers + k] = acts[k].T @ d, d.sum(0)
+        d = (d @ params[k].T) * (acts[k] > 0)
+    return grads
+
+
+def train_mlps(shapes: Sequence[Sequence[int]], gradients, seed: int, max_iter: int = 100) -> list[list[np.ndarray]]:
+    """Full-batch Adam for several networks at once; gradients(all params) are the mean gradients of each."""
+    nets = []
+    for sizes in shapes:
+        rng = np.random.default_rng(seed)
+        nets.append([rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])] + [np.zeros(b) for b in sizes[1:]])
+    m, v = ([[np.zeros_like(q) for q in net] for net in nets] for _ in range(2))
     for t in range(1, max_iter + 1):
-        acts = [x]
-        for k in range(layers):
-            z = acts[-1] @ params[k] + params[layers + k]
-            acts.append(np.maximum(z, 0) if k < layers - 1 else z)
-        if kind == "multiclass":
-            e = np.exp(acts[-1] - acts[-1].max(1, keepdims=True))
-            d = e / e.sum(1, keepdims=True) - y
-        else:
-            d = (1 / (1 + np.exp(-acts[-1])) if kind == "binary" else acts[-1]) - y
-        d, grads = d / len(x), [None] * (2 * layers)
-        for k in reversed(range(layers)):
-            grads[k], grads[layers + k] = acts[k].T @ d, d.sum(0)
-            d = (d @ params[k].T) * (acts[k] > 0)
-        for q, (g, a, b) in enumerate(zip(grads, m, v)):
-            a += 0.1 * (g - a)
-            b += 0.001 * (g * g - b)
-            params[q] = params[q] - 0.05 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-    return params[:layers], params[layers:]
+        for net, grads, a, b in zip(nets, gradients(nets), m, v):
+            for q, g in enumerate(grads):
+                a[q] += 0.1 * (g - a[q])
+                b[q] += 0.001 * (g * g - b[q])
+                net[q] = net[q] - 0.05 * (a[q] / (1 - 0.9**t)) / (np.sqrt(b[q] / (1 - 0.999**t)) + 1e-8)
+    return nets
+
+
+#: Distinct rows of features up to which a regression network's sums are taken on the driver.
+LOCAL_GROUPS = 100_000
+
+
+def _sorted(table, names: Sequence[str]) -> list[np.ndarray]:
+    """The columns of an Arrow table as numbers, in an order that does not depend on the partitions."""
+    cols = [table[c].to_numpy().astype(float) for c in names]
+    at = np.lexsort(cols)
+    return [c[at] for c in cols]
 
 
 def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2, max_units: int = 6, min_gain: float = 1e-4, sample_rows: int = 20_000) -> SearchReport:
     """Greedy growth from two features and three units: add a feature, a layer or a unit while the score improves.
 
-    Networks are trained on a bounded sample (the sample_rows rows of lowest hash) and evaluated on all rows.
+    Regression networks are trained on all rows: on counts and means of the target for each distinct row of features, which
+    give the same gradients, or with gradients summed by the tasks where there are more than LOCAL_GROUPS. Classifiers are
+    trained on counted distinct rows (features, target), all of them or a sample of sample_rows: those with the largest
+    count divided by a hash in (0, 1], weighted so that sums over the sample are unbiased (priority sampling), so that a
+    row with many copies takes one place. All networks are evaluated on all rows.
     """
     order = ctx.order()
-    cols = [F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(order)]
-    data = ctx.df.select(*cols, F.col(ctx.target).alias("y")).orderBy(F.xxhash64(*[F.col(f"f{k}") for k in range(len(order))], F.col("y"))).limit(sample_rows).toPandas()
-    x, k = data[[f"f{i}" for i in range(len(order))]].to_numpy(float), len(ctx.classes or [])
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale == 0] = 1.0
-    x = (x - mean) / scale
+    names, k = [f"f{i}" for i in range(len(order))], len(ctx.classes or [])
+    target = F.col(ctx.target).cast("double") if ctx.classes is None else (F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1).cast("double")
+    data, mid, spread = ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(order, names)], target.alias("y")), 0.0, 1.0
+    x = None
     if ctx.classes is None:
-        kind, y = "regression", data["y"].to_numpy(float)[:, None]
+        r = data.agg(F.avg("y").alias("y"), F.stddev_pop("y").alias("s"), *[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        kind, mid, spread = "regression", r["y"], r["s"] or 1.0
+        mean, scale = (np.array([r[f"{g}{c}"] for c in names], float) for g in "ms")
+        groups = data.groupBy(*names).agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("c")).limit(LOCAL_GROUPS + 1).toArrow()
+        if groups.num_rows <= LOCAL_GROUPS:
+            *x, y, w = _sorted(groups, [*names, "y", "c"])
+            y = (y[:, None] - mid) / spread
     else:
-        at = data["y"].map({c: i for i, c in enumerate(ctx.classes)}).to_numpy(int)
-        kind, y = ("binary", at[:, None].astype(float)) if k == 2 else ("multiclass", np.eye(k)[at])
+        uniform = (F.pmod(F.xxhash64(F.lit(ctx.seed), *names, "y"), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+        rows = data.groupBy(*names, "y").agg(F.count(F.lit(1)).alias("c")).withColumn("p", F.col("c") / uniform).orderBy(F.desc("p"), *names, "y").limit(sample_rows + 1).toArrow()
+        least = rows["p"][sample_rows].as_py() if rows.num_rows > sample_rows else 0.0
+        *x, y, w = _sorted(rows.slice(0, sample_rows), [*names, "y", "c"])
+        w, at = np.maximum(w, least), y.astype(int)
+        kind, y = ("binary", y[:, None]) if k == 2 else ("multiclass", np.eye(k)[at])
+    if x is not None:
+        x, total = np.column_stack(x), w.sum()
+        if ctx.classes is not None:
+            mean = w @ x / total
+            scale = np.sqrt(w @ (x - mean) ** 2 / total)
+    scale[scale == 0] = 1.0
+    outputs = k if k > 2 else 1
+
+    def local(features: Sequence[int]):
+        z = [(x[:, :p] - mean[:p]) / scale[:p] for p in features]
+        return lambda nets: [[g / total for g in mlp_gradients(net, own, y, w, kind)] for net, own in zip(nets, z)]
+
+    def summed(features: Sequence[int]):
+        def gradients(nets: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+            def fold(block: np.ndarray) -> np.ndarray:
+                z, t, one = (block[:, :-1] - mean) / scale, (block[:, -1:] - mid) / spread, np.ones(len(block))
+                return np.concatenate([g.ravel() for p, net in zip(features, nets) for g in mlp_gradients(net, z[:, :p], t, one, kind)])
+
+            flat = partial_sums(data, [*names, "y"], fold, sum(q.size for net in nets for q in net)) / ctx.score.metric.n_samples
+            parts = iter(np.split(flat, np.cumsum([q.size for net in nets for q in net])[:-1]))
+            return [[next(parts).reshape(q.shape) for q in net] for net in nets]
+
+        return gradients
+
     tried: list[CandidateResult] = []
     notes: list[dict] = []
 
-    def fit(p: int, hidden: tuple[int, ...]) -> CandidateResult:
-        ys, shift = (y - y.mean(), y.std() or 1.0) if kind == "regression" else (y, 1.0)
-        W, B = train_mlp(x[:, :p], ys / shift if kind == "regression" else ys, hidden, y.shape[1], kind, ctx.seed)
-        if kind == "regression":
-            W[-1], B[-1] = W[-1] * shift, B[-1] * shift + y.mean()
-        m = MLP(order[:p], ctx.classes, W, B, mean[:p].tolist(), scale[:p].tolist())
-        return CandidateResult(f"mlp_{p}_{'x'.join(map(str, hidden))}", "mlp", m, {"n_features": str(p), "hidden": ",".join(map(str, hidden))})
+    def fit(states: Sequence[tuple[int, tuple[int, ...]]]) -> list[CandidateResult]:
+        out, features = [], [p for p, _ in states]
+        nets = train_mlps([(p, *hidden, outputs) for p, hidden in states], (summed if x is None else local)(features), ctx.seed)
+        for (p, hidden), net in zip(states, nets):
+            W, B = net[: len(hidden) + 1], net[len(hidden) + 1 :]
+            W[-1], B[-1] = W[-1] * spread, B[-1] * spread + mid
+            m = MLP(order[:p], ctx.classes, W, B, mean[:p].tolist(), scale[:p].tolist())
+            out.append(CandidateResult(f"mlp_{p}_{'x'.join(map(str, hidden))}", "mlp", m, {"n_features": str(p), "hidden": ",".join(map(str, hidden))}))
+        return out
 
     state = (min(2, len(order)), (3,))
     seen = {state}
-    best = evaluate(ctx, [fit(*state)])[0]
+    best = evaluate(ctx, fit([state]))[0]
     tried.append(best)
     while len(tried) < max_candidates:
         p, hidden = state
@@ -476,7 +533,7 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
             notes.append({"reason": "no_more_local_moves"})
             break
         seen |= set(moves)
-        found = evaluate(ctx, [fit(*m) for m in moves])
+        found = evaluate(ctx, fit(moves))
         tried += found
         k_best = min(range(len(found)), key=lambda i: found[i].combined)
         if best.combined - found[k_best].combined <= min_gain:

@@ -226,6 +226,33 @@ def test_trees_grow_past_five_levels_and_many_bins(spark, by_class):
         assert components == pytest.approx(c.components) and native == pytest.approx(c.native, abs=1e-9)
 
 
+def _networks(df, features, target, classes, **options):
+    score = cs.CombinedScore("numeric", "numeric" if classes is None else "categorical").fit(df, features, target)
+    return automl.search_mlp(automl.SearchContext(df, features, target, score, classes, 0), **options).candidates
+
+
+def test_copies_do_not_fill_the_sample_of_a_network(spark):
+    rows = [(float(i % 2), float(i % 2), "np"[i % 2], 5.0 * (i % 2)) for i in range(400)]
+    df = frame(spark, "a double, b double, k string, y double", rows)
+    assert max(c.native for c in _networks(df, ["a", "b"], "k", ["n", "p"], sample_rows=100)) == 1.0
+    assert max(c.native for c in _networks(df, ["a", "b"], "y", None, sample_rows=100)) > 0.95
+    one = frame(spark, "a double, b double, k string", [(0.0, 0.0, "n")] * 200 + [(i / 100, 1.0, "np"[i > 100]) for i in range(1, 201)])
+    assert max(c.native for c in _networks(one, ["a", "b"], "k", ["n", "p"], sample_rows=60)) > 0.9
+
+
+def test_regression_networks_use_all_rows_by_either_way(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2))
+    df = frame(spark, "a double, b double, y double", np.column_stack([x, x @ [3, -2]]).tolist()).repartition(3).persist()
+    here = _networks(df, ["a", "b"], "y", None, max_candidates=2)
+    monkeypatch.setattr(automl, "LOCAL_GROUPS", 10)
+    there = _networks(df, ["a", "b"], "y", None, max_candidates=2)
+    assert [c.candidate for c in here] == [c.candidate for c in there]
+    for p, q in zip(here, there):
+        for a, b in zip([*p.model.weights, *p.model.biases], [*q.model.weights, *q.model.biases]):
+            assert a == pytest.approx(b, abs=1e-6)
+
+
 def test_regressor(labelled):
     auto = Regressor().fit(labelled, ["a", "b", "c"], "y", candidates={"mine": LinearRegressor(["a", "b"], [3.0, -2.0], 0.0)})
     table = {r["candidate"]: r for r in auto.results_dataframe().collect()}
