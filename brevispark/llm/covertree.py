@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import connected_components, cut
+from brevispark.llm.common import connected_components, cut, join_spread, named
 
 BLOCK = 2048
 LEAF = 32
@@ -138,7 +138,9 @@ def _net(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _unit(rows: list) -> np.ndarray:
+    """Vectors of length one. Each is divided by its largest magnitude first, so that no square overflows or vanishes."""
     x = np.array(rows, dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -166,13 +168,13 @@ def _traverse(cosine: float):
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
-    Only rows of one non-null label and one length are compared. Vectors that are null, empty, zero or hold null or
+    Ids are integers (others are cast). Only rows of one non-null label and one length are compared. Vectors that are null, empty, zero or hold null or
     non-finite numbers link with nothing, as do rows with a null id. Equal vectors of a label are one class, so a group of
     copies of any size costs as much as one vector; rows that share an id are further rows of that id. Other columns are
     ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
+    rows = vectors.select(named(id_col).cast("long").alias("vec_id"), named(label_col).alias("label"), named(vec_col).alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
     good = rows.where(ok)
@@ -220,8 +222,9 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
 
     out = classes.select("label", "vec", "rep", "weight").join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("label", "vec", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    done = good.join(out, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    n_links = F.col("weight") - 1 + F.coalesce("links", F.lit(0))
+    out = cut(out.select("label", "vec", "weight", n_links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    done = join_spread(good, out, ["label", "vec"], "weight").select("vec_id", "n_links", "component_id")
     rest = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

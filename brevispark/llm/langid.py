@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from brevispark.llm.common import settle
+from brevispark.llm.common import fresh, map_rows, named, settle
 
 BITS = 15
 SIZE = 1 << BITS
@@ -127,11 +128,12 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2400) -> Model:
     """Learns from text and language of the rows that are not held out; null ids, texts and languages teach nothing.
 
-    Without training rows the model knows no language and answers und. Equal hashes are ordered by id.
+    Without training rows the model knows no language and answers und. Sampled rows are those of the lowest hashes of their
+    id, shared over the languages; ties are ordered by a hash of text and language, and equal rows among them teach once,
+    so the sample never exceeds 2 * train_rows rows. Other columns are ignored; long texts are read in pieces.
     """
-    spark = docs.sparkSession
-    all_rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    train = all_rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
+    train = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
     langs = sorted(per_lang)
     if not langs:
@@ -160,17 +162,26 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     bound = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 40) * min(1.0, share / per_lang[k])))]), F.col("lang"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out = [(h, i, lang, np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.int32)) for h, i, lang, text in zip(*(x.to_pylist() for x in part.columns)) if (c := ngram_counts(text)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["h", "id", "lang", "at", "c"])
-
-    sample = train.where(hashed < bound).select(hashed.alias("h"), F.col("id").cast("long").alias("id"), "lang", "text")
-    ids = sample.select("h", "id").orderBy("h", "id").limit(2 * train_rows).orderBy("h", "id")
-    last = ids.agg(F.max("h")).first()[0]
-    got = sorted(sample.where(F.col("h") <= F.lit(last)).mapInArrow(featurise, "h long, id long, lang string, at array<int>, c array<int>").collect(), key=lambda r: (r["h"], r["id"])) if last is not None else []
-    rows = [(*features_of(r["at"], r["c"], idf), langs.index(r["lang"])) for r in got[: 2 * train_rows]]
+                out = []
+                for h, t, lang, text in zip(*(x.to_pylist() for x in batch.slice(at, 64).columns)):
+                    if (c := ngram_counts(text)) is not None:
+                        out.append((h, t, lang, np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.int32)))
+                cols = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "t", "lang", "at", "c"])
+
+    most = 2 * train_rows
+    sample = train.where(hashed < bound).select(hashed.alias("h"), F.xxhash64("text", "lang").alias("t"), "lang", "text")
+    last = sample.select("h", "t").distinct().orderBy("h", "t").limit(most).agg(F.max(F.struct("h", "t")).alias("x")).first()["x"]
+    got = []
+    if last is not None:
+        upto = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("t") <= last["t"])
+        chosen = sample.where(upto).dropDuplicates(["h", "t"])
+        got = chosen.mapInArrow(featurise, "h long, t long, lang string, at array<int>, c array<int>").collect()  # at most `most` rows
+    got.sort(key=lambda r: (r["h"], r["t"]))
+    rows = [(*features_of(r["at"], r["c"], idf), langs.index(r["lang"])) for r in got]
     learn, check = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
     if not rows:
         return Model([], idf, np.zeros((SIZE, 0)), np.zeros(0))
@@ -186,21 +197,26 @@ def features_of(at: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.n
     return slots, x / (np.sqrt(x @ x) or 1.0)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score appended (replacing columns of those names). Texts that are null or hold no letter get und and 0."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature))
-    rest = docs.drop("lang_pred", "score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema)}, lang_pred string, score double"
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """docs with the columns lang_as and score_as appended (replacing columns of those names).
+
+    Texts that are null, empty or hold no letter get und and 0; long texts are read in pieces. Every row is judged by
+    itself, repeated ones too; an empty table gives no row. All other columns are kept as they are, whatever their names.
+    """
+    weights = (model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    rest = [c for c in docs.columns if c.lower() not in (lang_as.lower(), score_as.lower())]
+    place = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
-            out = [m.predict(x.as_py()) for x in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            out = [m.predict(x.as_py()) for x in batch.column(place)]
+            new = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, lang_as, score_as])
         settle()
 
-    return rest.mapInArrow(run, schema)
+    return map_rows(docs.select(*map(named, rest)), run, [StructField(lang_as, StringType()), StructField(score_as, DoubleType())])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
@@ -210,5 +226,12 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, *, least: float = 0.35) -> DataFrame:
-    """The rows of docs whose language is recognised with a calibrated score of at least `least`: low, so that short clean texts stay."""
-    return predict(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """The rows of docs whose language is recognised with a calibrated score of at least `least`: low, so that short clean
+    texts stay.
+
+    Null, empty and letterless texts go, as do all rows where nothing can be learned. All columns are kept as they are,
+    whatever their names; repeated rows stay; an empty table gives an empty table.
+    """
+    lang, score = fresh(docs, "lang_pred", "score")
+    judged = predict(docs, fit(docs), lang_as=lang, score_as=score)
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*map(named, docs.columns))

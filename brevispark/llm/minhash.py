@@ -8,6 +8,7 @@ slots of a document were reached by earlier steps, later steps cannot lower them
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import connected_components, cut, mix64, settle, word_hashes
+from brevispark.llm.common import connected_components, cut, fresh, join_spread, mix64, named, settle, word_hashes
 
 K = 5
-BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
+MISS, MOST_SLOTS = 1e-6, 128
 BLOCK = 1024
+#: Sets of pivots that are broadcast: of pivots with so many pairs, at most so many sets of at most so many bytes.
+HOT_PIVOT, MOST_PIVOTS, MOST_BYTES = 4096, 64, 1 << 18
 CHUNK_BYTES = 2 << 20
 
 
@@ -45,6 +47,21 @@ def shingle_sets(texts: list[bytes | None], k: int = K) -> list[np.ndarray]:
     return out
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows a band with which a pair at the threshold is missed with a probability below MISS."""
+    found = []
+    for rows in range(1, 9):
+        p = min(1.0, percent / 100) ** rows
+        bands = 1 if p >= 1 else math.ceil(math.log(MISS) / math.log1p(-p))
+        if rows == 1 or bands * rows <= MOST_SLOTS:
+            found.append((bands, rows))
+    return found[-1]
+
+
+BANDS, ROWS = banding(85)
+SLOTS = BANDS * ROWS
+
+
 def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """One row of slot values (step + fraction) for each non-empty set."""
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -104,16 +121,20 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes | None]]]:
         yield ids, texts
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, texts in _pieces(batch):
-            sets = shingle_sets(texts)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            keys = iter(band_keys(superminhash([sets[i] for i in full])).tolist()) if full else iter(())
-            bands = [next(keys) if len(s) else None for s in sets]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
-    settle()
+def _sign(n_bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in _pieces(batch):
+                sets = shingle_sets(texts)
+                full = [s for s in sets if len(s)]
+                keys = iter(band_keys(superminhash(full, n_bands * rows), n_bands, rows).tolist() if full else ())
+                bands = [next(keys) if len(s) else None for s in sets]
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "bands"])
+        settle()
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,60 +188,92 @@ def _within(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable over links) and kept (it is its own component).
 
-    A link: percent or more of the union of two shingle sets is common. Bands miss a pair at 85 % with a probability below
-    1e-6; every candidate is decided on its full set. Rows with equal sets are one class, represented by its smallest id.
-    In a bucket all members are first held against the smallest one. Only buckets that still hold several components are
-    looked at again, in blocks, where every pair of different components is decided, so no link between buckets' members
-    is lost and no task gets an unbounded group.
+    A link: percent or more of the union of two shingle sets is common. Bands miss a pair at that share with a probability
+    below MISS; every candidate is decided on its full set. Rows with equal sets are one class, represented by its smallest
+    id. In a bucket all members are first held against the smallest one. Only buckets that still hold several components
+    are looked at again, in blocks, where every pair of different components is decided, so no link between buckets'
+    members is lost and no task gets an unbounded group. Joins on a bucket or a class leave the rows of large ones where
+    they are (join_spread).
 
-    Null texts, texts without words and null ids link with nothing. Rows that share an id count as one document. Other
-    columns are ignored; an empty table gives no row.
+    Ids are integers (others are cast). Null texts, texts without words and null ids link with nothing. Rows that share an
+    id count as one document. Other columns are ignored; an empty table gives no row. Long texts are read in parts.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(base.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    base = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    signed = cut(base.mapInArrow(_sign(*banding(percent)), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_rows")))
     members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    pivots = members.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(members.join(pivots, ["band", "key"]))
+    pivots = cut(members.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = cut(join_spread(members, pivots, ["band", "key"], "n"))
     pairs = cut(buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = cut(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
-    sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    edges = cut(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long"))
+    edges = cut(_linked_pairs(pairs, sets, percent))
     comps = cut(connected_components(edges))
 
-    owned = buckets.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    # two members beside the pivot that differ from each other, at least one of them from the pivot
-    split = owned.where("rep <> pivot").groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
-    one = split.groupBy("members", "who", "lo", "hi").agg(F.min(F.struct("band", "key")).alias("x")).select("x.band", "x.key", "members")  # buckets of equal members once
-    again = owned.where("rep <> pivot").join(one, ["band", "key"])
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    again = again.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    again = again.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "comp")
-    more = again.join(sets, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_within(percent), "a long, b long")
-    more = cut(more)
+    more = cut(_second_look(buckets, comps, sets, percent))
     if more.limit(1).count():
         comps = cut(connected_components(edges.unionByName(more)))
 
-    placed = classes.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = usable.select("doc_id", "n_shingles", "digest").join(placed, "digest").select("doc_id", "n_shingles", "component_id")
+    placed = classes.select("digest", "rep", "n_rows").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = cut(placed.select("digest", "n_rows", F.coalesce("component", "rep").alias("component_id")))
+    out = join_spread(usable.select("doc_id", "n_shingles", "digest"), placed, ["digest"], "n_rows")
     alone = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked. A pivot of many pairs is joined without moving them."""
+    sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    of_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    hot = of_b.where(F.col("n") >= HOT_PIVOT).orderBy(F.desc("n"), "b").limit(MOST_PIVOTS)
+    hot = cut(sb.where(F.octet_length("sb") <= MOST_BYTES).join(F.broadcast(hot), "b").select("b", "sb"))
+    both = pairs.join(sa, "a")
+    if hot.limit(1).count():
+        there = F.broadcast(hot.select("b"))
+        cold = both.join(there, "b", "left_anti").join(sb, "b")
+        both = both.join(F.broadcast(hot), "b").unionByName(cold)
+    else:
+        both = both.join(sb, "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _second_look(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within buckets whose members beside the pivot are of several components, by blocks of about BLOCK members."""
+    owned = buckets.where("n > 2 AND rep <> pivot").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    owned = owned.select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
+    who = F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")
+    split = owned.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), who)
+    split = split.where("lo <> hi")
+    first = F.min(F.struct("band", "key")).alias("x")  # buckets of equal members are looked at once
+    one = cut(split.groupBy("members", "who", "lo", "hi").agg(first).select("x.band", "x.key", "members"))
+    again = join_spread(owned, one, ["band", "key"], "members")
+    again = again.withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
+    again = again.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    again = again.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "comp")
+    return again.join(sets, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_within(percent), "a long, b long")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of docs that stay: one document for each group, that with the smallest id."""
-    gone = near_groups(docs, id_col=id_col, text_col=text_col, percent=percent).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: one document for each group, that with the smallest id (all rows that share that id).
+
+    Null texts, texts without words and null ids stay. All columns are kept as they are, whatever their names; an empty
+    table gives an empty table.
+    """
+    (key,) = fresh(docs, "gone_id")
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, percent=percent)
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, named(id_col) == F.col(key), "left_anti").select(*map(named, docs.columns))
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
 
 SQL5 = """

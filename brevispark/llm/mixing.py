@@ -1,7 +1,14 @@
 """Mixing sources to target weights with DataFrame operations only.
 
-A document is taken floor(rate) times, and once more with a probability of the fraction: a Bernoulli draw seeded by a
-hash of its id. Of N_SEEDS such draws, each source uses the one whose total comes nearest to its target.
+A document is taken floor(rate) times, and once more by a hash-seeded Bernoulli draw whose probability is the fraction of
+its source's rate. Draws of one source are coupled, because independent ones miss the target of a source of 50 documents by
+up to 30 %: documents of a size and
+a hash of 4 bits form a cell; cells are gone through from the largest size to the smallest, and each takes
+its fraction of what is left of the target. The first fraction is the rate's and the next one has the last as its mean, so
+every document keeps the fraction as its probability (but where chosen documents exceed the target or cannot reach it any
+more: the fraction is then 0 or 1). A cell of c documents that is due k copies gives each of them the chance k / c, drawn by
+the hash of its id; k is rounded by the hash of the cell. What is missed at last is about the smallest document and the
+deviation within cells of several documents, sqrt(sum of c * size ** 2 * (k / c) * (1 - k / c)).
 """
 
 from __future__ import annotations
@@ -9,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import WORD, cut
+from brevispark.llm.common import WORD, cut, fresh, join_spread, named
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
-N_SEEDS = 32
+SEED = 17
+EXACT_BITS = 7
 _RANGE = 1 << 52
 
 
@@ -22,11 +30,24 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _draw(doc_id: Column, k: Column) -> Column:
-    """Uniform in [0, 1), from two 52-bit parts of the md5 of the id and the number of the seed."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
-    a, b = (F.conv(F.substring(digest, at, 13), 16, 10).cast("long") for at in (1, 14))
-    return ((a + k * b) % F.lit(_RANGE)) / F.lit(float(_RANGE))
+def _digest(key: Column, seed: int) -> Column:
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
+    return F.md5(text.cast("binary"))
+
+
+def _draw(key: Column, seed: int) -> Column:
+    """Uniform in [0, 1): 52 bits of the md5 of the seed and the key."""
+    return F.conv(F.substring(_digest(key, seed), 1, 13), 16, 10).cast("long") / F.lit(float(_RANGE))
+
+
+def part_of(doc_id: Column, seed: int) -> Column:
+    """One of 16 parts of a cell, by the next 4 bits of the md5 of the id."""
+    return F.substring(_digest(doc_id, seed), 14, 1)
+
+
+def _source_key(source: Column) -> Column:
+    """A string that tells a null source from all others."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -56,40 +77,76 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(rows, sources): rows (doc_id, source, size), and a row for each source with its target, rate and chosen seed."""
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
-    goal = cut(targets(rows))
-    drawn = rows.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    taken = drawn.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * copies(F.col("doc_id"), F.col("rate"), F.lit(k))).alias(f"t{k}") for k in range(N_SEEDS)])
-    off = F.array(*[F.abs(F.col(f"t{k}") - F.col("target")) for k in range(N_SEEDS)])
-    best = taken.select(F.col("source").alias("s"), (F.array_position(off, F.array_min(off)) - 1).cast("long").alias("seed"))
-    return rows, cut(goal.join(best, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+def size_class(size: Column) -> Column:
+    """The size with all but its first EXACT_BITS bits cleared: 64 classes for each power of two."""
+    return size - size % F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(size)) - EXACT_BITS)).cast("long")
+
+
+def cells(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """A row for each cell: key (source), class (of sizes), part, n (documents), whole (sure copies of each), chance (of one more).
+
+    Only counts by cell are gathered for a source, at most 16 for each class of sizes, however many documents it has.
+    """
+    rate = sources.select(_source_key(F.col("source")).alias("key"), "source_size", "target", "rate")
+    size = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.first("source").alias("source")]
+    n = rows.groupBy(_source_key(F.col("source")).alias("key"), size_class(F.col("size")).alias("class"), "part").agg(*size)
+    n = n.withColumn("shift", _draw(F.concat_ws(":", _source_key(F.col("source")), "class", "part"), seed))
+    lists = n.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("class", "part", "n", "words", "shift")), asc=False).alias("classes"))
+    t = lists.join(rate, "key").withColumn("whole", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("whole"))
+    none = F.array().cast("array<struct<class:bigint,part:string,n:bigint,chance:double>>")
+    start = F.struct((F.col("target") - F.col("whole") * F.col("source_size")).alias("left"), F.col("source_size").cast("double").alias("rest"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["left"] / acc["rest"]))
+        due = F.floor(x["n"] * F.when(acc["rest"] > 0, now).otherwise(F.col("fraction")) + x["shift"])
+        cell = F.struct(x["class"].alias("class"), x["part"].alias("part"), x["n"].alias("n"), (due / x["n"]).alias("chance"))
+        left = acc["left"] - due * (x["words"] / x["n"])
+        return F.struct(left.alias("left"), (acc["rest"] - x["words"]).alias("rest"), F.concat(acc["out"], F.array(cell)).alias("out"))
+
+    t = t.withColumn("cell", F.explode(F.aggregate("classes", start, step, lambda acc: acc["out"])))
+    return t.select("key", "cell.class", "cell.part", "cell.n", "source_size", "target", "whole", "cell.chance")
 
 
-def copies(doc_id: Column, rate: Column, seed: Column) -> Column:
-    whole = F.floor(rate)
-    return whole + F.when(_draw(doc_id, seed) < rate - whole, F.lit(1)).otherwise(F.lit(0))
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(rows, cells): rows (doc_id, source, size, part), and cells() of them."""
+    part = part_of(named(id_col), seed).alias("part")
+    rows = cut(docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), size_of(named(text_col)).alias("size"), part))
+    return rows, cut(cells(rows, targets(rows), seed))
 
 
-def mix_report(docs: DataFrame, **cols: str) -> DataFrame:
+def copies(doc_id: Column, whole: Column, chance: Column, seed: int = SEED) -> Column:
+    """The sure copies, and one more with the given chance."""
+    return whole + F.when(_draw(doc_id, seed) < chance, F.lit(1)).otherwise(F.lit(0))
+
+
+def mix_report(docs: DataFrame, *, seed: int = SEED, **cols: str) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, copies) for every row of docs.
 
-    Null texts have size 0, null sources are one source, rows that share an id share a draw, other columns are ignored and
-    an empty table gives no row. The draw depends on ids only, so reruns agree.
+    Null texts have size 0, null sources are one source, rows that share an id share a draw, other columns are
+    ignored and an empty table gives no row. Draws depend on ids, sources, sizes and the seed only, so reruns agree.
     """
-    rows, sources = plan(docs, **cols)
-    n = copies(F.col("doc_id"), F.col("rate"), F.col("seed"))
-    joined = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", n)
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
+    rows, own = plan(docs, seed=seed, **cols)
+    rows = rows.withColumn("key", _source_key(F.col("source"))).withColumn("class", size_class(F.col("size")))
+    joined = join_spread(rows, own, ["key", "class", "part"], "n")
+    joined = joined.withColumn("copies", copies(F.col("doc_id"), F.col("whole"), F.col("chance"), seed))
+    taken = (F.col("size") * F.col("copies")).cast("long")
+    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "copies")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **cols: str) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs."""
-    sources = plan(docs, id_col=id_col, source_col=source_col, **cols)[1].select(F.col("source").alias("_s"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    n = copies(F.col(id_col), F.col("_rate"), F.col("_seed")).cast("int")
-    taken = docs.join(sources, F.col(source_col).eqNullSafe(F.col("_s"))).withColumn("_n", n).where("_n > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names.
+
+    Nulls, empty tables and rows that share an id are treated as in mix_report(); a document of any length is one row.
+    """
+    wanted = ("key", "class", "part", "n", "whole", "chance", "times", "copy")
+    key, size, part, n, whole, chance, times, copy = names = fresh(docs, *wanted)
+    own = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)[1]
+    own = own.select(*[F.col(a).alias(b) for a, b in zip(wanted[:6], names)])
+    rows = docs.withColumn(key, _source_key(named(source_col))).withColumn(size, size_class(size_of(named(text_col))))
+    rows = rows.withColumn(part, part_of(named(id_col), seed))
+    taken = join_spread(rows, own, [key, size, part], n)
+    taken = taken.withColumn(times, copies(named(id_col), F.col(whole), F.col(chance), seed).cast("int")).where(F.col(times) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*map(named, docs.columns))
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -97,8 +154,8 @@ def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 SQL7 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+                          md5(concat('{SEED}:', coalesce(doc_id::VARCHAR, 'null'))) AS h, substr(h, 14, 1) AS part FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM d GROUP BY source),
 u AS (SELECT *, sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
              sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS still,
@@ -106,9 +163,20 @@ u AS (SELECT *, sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER (O
 o AS (SELECT rn, rest, still FROM u WHERE rest * weight <= 3 * source_size * still ORDER BY rn LIMIT 1),
 g AS (SELECT u.source, u.source_size, CASE WHEN u.rn >= o.rn THEN (o.rest * u.weight)::DOUBLE / o.still::DOUBLE ELSE (3 * u.source_size)::DOUBLE END AS target FROM u LEFT JOIN o ON true),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM g),
-x AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.rate, ('0x' || substr(h, 1, 13))::BIGINT AS a, ('0x' || substr(h, 14, 13))::BIGINT AS b FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT doc_id, source, size, source_size, target, seed, floor(rate)::BIGINT + CASE WHEN ((a + seed * b) % {_RANGE}) / {float(_RANGE)} < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM x, range({N_SEEDS}) s(seed)),
-b AS (SELECT source, arg_min(seed, (off, seed)) AS seed FROM (SELECT source, seed, abs(sum(size * copies) - any_value(target)) AS off FROM k GROUP BY source, seed) GROUP BY source)
-SELECT k.doc_id, k.size, k.source_size, k.target, (k.size * k.copies)::BIGINT AS taken, k.source, k.copies
-FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.seed = b.seed
+e AS (SELECT *, size - size % (2 ** greatest(0, length(bin(size)) - {EXACT_BITS}))::BIGINT AS class FROM d),
+c AS (SELECT source, class, part, count(*) AS n, sum(size)::BIGINT AS words FROM e GROUP BY 1, 2, 3),
+p AS (SELECT c.source, class, part, n, words, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS f,
+             ('0x' || substr(md5(concat('{SEED}:', coalesce('=' || c.source, 'null'), ':', class, ':', part)), 1, 13))::BIGINT / {float(_RANGE)} AS shift,
+             row_number() OVER (PARTITION BY c.source ORDER BY class DESC, part DESC) AS i
+      FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source),
+w AS (SELECT source, 0::BIGINT AS i, 0.0::DOUBLE AS chance, target - floor(rate) * source_size AS rest_target, source_size::DOUBLE AS rest FROM r
+      UNION ALL
+      SELECT source, i, due / n::DOUBLE, rest_target - due * (words / n::DOUBLE), rest - words
+      FROM (SELECT p.source, p.i, p.n, p.words, w.rest_target, w.rest,
+                   floor(p.n * CASE WHEN w.rest > 0 THEN least(1.0, greatest(0.0, w.rest_target / w.rest)) ELSE p.f END + p.shift) AS due
+            FROM w JOIN p ON w.source IS NOT DISTINCT FROM p.source AND p.i = w.i + 1)),
+x AS (SELECT e.doc_id, e.size, source_size, target, e.source, whole + CASE WHEN ('0x' || substr(h, 1, 13))::BIGINT / {float(_RANGE)} < chance THEN 1 ELSE 0 END AS copies
+      FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source AND e.class = p.class AND e.part = p.part
+      JOIN w ON p.source IS NOT DISTINCT FROM w.source AND p.i = w.i)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM x
 """

@@ -12,9 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from brevispark.llm.common import settle
+from brevispark.llm.common import named, settle
 from brevispark.llm.tokens import MOST_PIECES, byte_bpe_path, encoder
 
 LENGTH = 2048
@@ -91,7 +90,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id:
 
     Packs each input partition by itself and without a shuffle, in windows of WINDOW tokens, so memory is bounded by the
     window and the longest document; pieces that do not fill a sequence wait for the next window. Only a partition's last
-    tokens, under one sequence, make shorter sequences. Null texts count as empty, a null id is kept, rows that share an id
+    tokens, under one sequence, make shorter sequences. Ids are integers (others are cast). Null texts count as empty, a null id is kept, rows that share an id
     are packed each for itself, other columns are ignored and an empty table gives no row. Sequence ids are unique: the
     partition's number in the high bits.
     """
@@ -136,7 +135,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id:
             yield from flush(True)
         settle()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, OUT)
 
 
 def op6_pack(spark, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from brevispark.llm.common import map_rows, named
 
-KEY = b"brevispark demonstration key"
 ROUNDS = 10
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -26,10 +28,16 @@ class Feistel:
     """Keyed permutations of [0, n), alternating unbalanced Feistel rounds over two factors that cover n, with cycle walking."""
 
     def __init__(self, key: bytes):
-        self.key = key
+        if not key:
+            raise ValueError("a key is needed")
+        self.key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
 
-    def _round(self, tweak: bytes, i: int, x: int) -> int:
-        return int.from_bytes(hashlib.blake2b(tweak + b"|%d|%d" % (i, x), key=self.key[:64], digest_size=32).digest(), "big")
+    def _round(self, tweak: bytes, i: int, x: int, n: int) -> int:
+        """Pseudo-random, with 128 bits more than n needs, however large n is."""
+        text, size, out = tweak + b"|%d|%x" % (i, x), n.bit_length() + 128, b""
+        while 8 * len(out) < size:
+            out += hashlib.blake2b(b"%d|" % len(out) + text, key=self.key, digest_size=64).digest()
+        return int.from_bytes(out, "big") % n
 
     def permute(self, value: int, n: int, tweak: str) -> int:
         return self._walk(value, n, tweak, self._once)
@@ -51,15 +59,15 @@ class Feistel:
     def _once(self, x: int, a: int, b: int, tweak: bytes) -> int:
         left, right = x % a, x // a
         for i in range(0, ROUNDS, 2):
-            left = (left + self._round(tweak, i, right)) % a
-            right = (right + self._round(tweak, i + 1, left)) % b
+            left = (left + self._round(tweak, i, right, a)) % a
+            right = (right + self._round(tweak, i + 1, left, b)) % b
         return right * a + left
 
     def _back(self, x: int, a: int, b: int, tweak: bytes) -> int:
         left, right = x % a, x // a
         for i in reversed(range(0, ROUNDS, 2)):
-            right = (right - self._round(tweak, i + 1, left)) % b
-            left = (left - self._round(tweak, i, right)) % a
+            right = (right - self._round(tweak, i + 1, left, b)) % b
+            left = (left - self._round(tweak, i, right, a)) % a
         return right * a + left
 
 
@@ -81,16 +89,32 @@ def iban_check(country: str, rest: str) -> int:
 
 # The digits of each kind: (pattern, name). The first that matches at a place is taken.
 KINDS = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"),
+    ("email", r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,63}(?![\w-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("secret", r"(?i:(?:token|secret|password|passwd|api[_-]?key|key)\"?\s*[=:]\s*[\"'])[0-9A-Fa-f]{24,128}(?=[\"'])"),
+    ("secret", r"(?i:(?:token|secret|password|passwd|api[_-]?key|key)[\"']?\s*[=:]\s*[\"']?)(?P<hex>[0-9A-Fa-f]{24,})(?![0-9A-Za-z])"),
+    ("access", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("date", r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./-])\d{2}([./])\d{2}\1\d{4}(?![\d/])"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])"),
+    ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])"
+     r"|(?<![\w.+-])[2-9]\d{2}([ .-])[2-9]\d{2}\2\d{4}(?![\w-])|(?<![\w.+-])0\d{2,4}[ /-]\d{6,8}(?![\w-])"),
     ("card", r"(?<![\d.])(?<!\D-)\d(?:[ -]?\d){12,18}(?!\d|-(?!\d))"),
 ]
-_ANY = re.compile("|".join(f"(?P<{k}>{p.replace('(?P', '(').replace(chr(92) + '1', '(?P=sep)').replace('([./])', '(?P<sep>[./])')})" for k, p in KINDS))
+_MARKS = {r"([./])": r"(?P<sep>[./])", r"\1": r"(?P=sep)", r"([ .-])": r"(?P<gap>[ .-])", r"\2": r"(?P=gap)"}
+
+
+def _joined() -> re.Pattern:
+    """All kinds in one pattern, each in a group of its name; numbered groups within them get names."""
+    parts = []
+    for kind, pattern in KINDS:
+        for old, new in _MARKS.items():
+            pattern = pattern.replace(old, new)
+        parts.append(f"(?P<{kind}>{pattern})")
+    return re.compile("|".join(parts))
+
+
+_ANY = _joined()
+_NAMES = [k for k, _ in KINDS]
 _MAYBE = re.compile(r"[0-9@]")
 _RUN = re.compile(r"\d(?:[ -]?\d)*")
 #: How cards are written, the likeliest first; one group is a card of 13 to 19 digits without separators.
@@ -110,9 +134,13 @@ def _refill(shape: str, new: str, alphabet: str = _DIGITS) -> str:
 
 
 def _days(text: str) -> tuple[datetime.date, str]:
+    """The date and its format: year-month-day, else day-month-year, and month-day-year only where the other is no date."""
     if text[4] == "-":
         return datetime.date(int(text[:4]), int(text[5:7]), int(text[8:])), "%Y-%m-%d"
-    return datetime.date(int(text[6:]), int(text[3:5]), int(text[:2])), f"%d{text[2]}%m{text[2]}%Y"
+    a, b, year, mark = int(text[:2]), int(text[3:5]), int(text[6:]), text[2]
+    if b > 12:
+        return datetime.date(year, a, b), f"%m{mark}%d{mark}%Y"
+    return datetime.date(year, b, a), f"%d{mark}%m{mark}%Y"
 
 
 class Pseudonyms:
@@ -120,7 +148,7 @@ class Pseudonyms:
 
     FIRST, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
-    def __init__(self, key: bytes = KEY, invert: bool = False):
+    def __init__(self, key: bytes, invert: bool = False):
         f = Feistel(key)
         self.p = f.invert if invert else f.permute
 
@@ -160,7 +188,11 @@ class Pseudonyms:
         at = (day - self.FIRST).days
         if not 0 <= at < self.DAYS:
             return None
-        return (self.FIRST + datetime.timedelta(self.p(at, self.DAYS, "date"))).strftime(shape)
+        while True:  # month before day: walk on to a day that cannot be a month, so that it is read alike again
+            at = self.p(at, self.DAYS, "date")
+            new = self.FIRST + datetime.timedelta(at)
+            if shape[1] != "m" or new.day > 12:
+                return f"{new.year:04d}-{new.month:02d}-{new.day:02d}" if shape[1] == "Y" else new.strftime(shape)
 
     def ip(self, value: str) -> str | None:
         parts = [int(x) for x in value.split(".")]
@@ -180,18 +212,36 @@ class Pseudonyms:
         return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
 
     def phone(self, value: str) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=\D)|\+\d", value)
+        """A country's prefix or a leading 0 stays; a number of 3-3-4 digits keeps area and exchange from 2 to 9."""
+        head = re.match(r"\+\d{1,3}(?=\D)|\+\d|0", value)
         head = head.group() if head else ""
         d = re.sub(r"\D", "", value[len(head) :])
         if not 7 <= len(d) + len(head) - bool(head) <= 15:
             return None
-        return head + _refill(value[len(head) :], self._number(d, "phone"))
+        if head or value[0] == "(":
+            return head + _refill(value[len(head) :], self._number(d, "phone"))
+        x, n, new = 0, 1, []
+        low = [2 if i in (0, 3) else 0 for i in range(len(d))]
+        for c, least in zip(d, low):
+            x, n = x * (10 - least) + int(c) - least, n * (10 - least)
+        x = self.p(x, n, "exchange")
+        for least in reversed(low):
+            x, c = divmod(x, 10 - least)
+            new.append(str(c + least))
+        return _refill(value, "".join(reversed(new)))
 
     def secret(self, value: str) -> str | None:
-        m = re.search(r"[0-9A-Fa-f]+$", value)
-        body = m.group()
-        new = f"{self.p(int(body, 16), 16 ** len(body), f'hex{len(body)}'):0{len(body)}x}"
-        return value[: m.start()] + (new.upper() if body.isupper() else new)
+        """Hexadecimal digits of any number; upper case stays upper case."""
+        new = f"{self.p(int(value, 16), 16 ** len(value), f'hex{len(value)}'):0{len(value)}x}"
+        return new.upper() if value.isupper() else new
+
+    def access(self, value: str) -> str | None:
+        """The part of a cloud access key behind its four letters, in letters and digits."""
+        x, out = self.p(int(value[4:], 36), 36**16, "access" + value[:4]), []
+        for _ in range(16):
+            x, d = divmod(x, 36)
+            out.append("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[d])
+        return value[:4] + "".join(reversed(out))
 
     def email(self, value: str) -> str | None:
         """Letters and digits of the mailbox name are permuted together; case, marks and the domain stay."""
@@ -258,7 +308,7 @@ def replace(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple
 
     The scan goes on inside a match that fails its check, as a valid value may begin there.
     """
-    if not text or not _MAYBE.search(text) and not re.search("(?i)token|secret|passw|key", text):
+    if not text or not _MAYBE.search(text) and not re.search("(?i)token|secret|passw|key|akia|asia", text):
         return text, []
     out, found, last, at = [], [], 0, 0
     due: list[tuple[int, int]] = []  # cards of the run of digits that ends at known
@@ -270,7 +320,8 @@ def replace(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple
         elif m is None:
             break
         else:
-            kind, (start, end) = m.lastgroup if m.lastgroup != "sep" else "date", m.span()
+            kind = next(k for k in _NAMES if m.start(k) >= 0)
+            start, end = m.span("hex" if kind == "secret" else kind)
             if kind == "card":
                 if start >= known:
                     due, known = cards(text, start)
@@ -288,31 +339,40 @@ def replace(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple
 
 
 ITEM = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("pseudonym", pa.string())]))
+ITEMS = "items array<struct<kind:string,start:bigint,length:bigint,pseudonym:string>>"
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with the text replaced and the column items (kind, start, length, pseudonym) appended (replacing one of that name).
 
     Null texts stay null with no items. Values that fail their check (Luhn, mod 97, calendar from 1900 to 2099, octets,
-    issued numbers) are left alone. Each row is treated by itself; nothing is shuffled. The same key and value always give
-    the same pseudonym, and Pseudonyms(key, invert=True) gives the value back.
+    issued numbers) are left alone. Each row is treated by itself, repeated ones alike; texts of any length are scanned
+    whole; nothing is shuffled; an empty table gives no row. The same key and value always give the same pseudonym, and
+    Pseudonyms(key, invert=True) gives the value back, so the key is a secret of the caller. Equal values are linked where
+    they are written alike: 25.03.1985 and 1985-03-25 too, 03/25/1985 only among dates with the month first.
     """
-    rest = docs.drop("items")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", items array<struct<kind:string,start:bigint,length:bigint,pseudonym:string>>"
+    rest = [c for c in docs.columns if c.lower() != "items"]
+    place = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                new = [replace(t.as_py(), names) for t in part.column(text_col)]
-                items = pa.array([[dict(zip(("kind", "start", "length", "pseudonym"), f)) for f in found] for _, found in new], ITEM)
-                cols = [pa.array([t for t, _ in new], pa.string()) if n == text_col else c for n, c in zip(part.schema.names, part.columns)]
-                yield pa.RecordBatch.from_arrays([*cols, items], [*part.schema.names, "items"])
+                new = [replace(t.as_py(), names) for t in part.column(place)]
+                items = [[dict(zip(("kind", "start", "length", "pseudonym"), f)) for f in found] for _, found in new]
+                cols = list(part.columns)
+                cols[place] = pa.array([t for t, _ in new], pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(items, ITEM)], [*part.schema.names, "items"])
+
+    return map_rows(docs.select(*map(named, rest)), run, list(StructType.fromDDL(ITEMS)))
+
 
-    return rest.mapInArrow(run, schema)
+#: Only for this query over invented documents.
+DEMONSTRATION_KEY = b"brevispark demonstration key"
 
 
 def op10_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).where(F.size("items") > 0)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = pseudonymise(docs, key=DEMONSTRATION_KEY).where(F.size("items") > 0)
     return out.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import SPACES, cut, mix64, word_hashes, _power
+from brevispark.llm.common import SPACES, _power, cut, join_spread, mix64, named, word_hashes
 
-SENTENCES, WORDS, LONG, NEAR = 3, 20, 12, 3
+SENTENCES, WORDS, NEAR = 3, 20, 3
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _PAUSES = np.zeros(256, bool)
@@ -23,9 +23,9 @@ _BASE = 0xC2B2AE3D27D4EB4F
 def segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte of each word, hash of each word, first word of each sentence and at last the number of words).
 
-    A sentence ends after a word that ends with . ! or ?, or before a line break. One of more than LONG words is cut
-    further, after words that end with , ; or : and after words whose hash is the least within NEAR words on both sides, so
-    that a passage is cut alike wherever it stands, marks or not; one word over and over is cut everywhere.
+    A sentence ends after a word that ends with . ! or ?, before a line break, after a word that ends with , ; or : and
+    after a word whose hash is the least within NEAR words on both sides. The last rule cuts a passage alike wherever it
+    stands, marks or not, and one word over and over everywhere; all rules hold for text of any length.
     """
     starts, hashes = word_hashes(raw)
     n = len(starts)
@@ -35,18 +35,15 @@ def segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~SPACES[data]
     ends = np.flatnonzero(inside & ~np.append(inside[1:], False))
     lines = np.cumsum((data == 10) | (data == 13))
-    stop = _ENDS[data[ends]]
+    stop = _ENDS[data[ends]] | _PAUSES[data[ends]]
     stop[:-1] |= lines[starts[1:]] != lines[ends[:-1]]
     stop[-1] = True
+    least = hashes.copy()
+    for k in range(1, NEAR + 1):
+        least[k:] = np.minimum(least[k:], hashes[:-k])
+        least[:-k] = np.minimum(least[:-k], hashes[k:])
+    stop |= hashes == least
     first = np.concatenate([[0], np.flatnonzero(stop) + 1])
-    long = np.repeat(np.diff(first) > LONG, np.diff(first))
-    if long.any():
-        least = hashes.copy()
-        for k in range(1, NEAR + 1):
-            least[k:] = np.minimum(least[k:], hashes[:-k])
-            least[:-k] = np.minimum(least[:-k], hashes[k:])
-        stop |= long & (_PAUSES[data[ends]] | (hashes == least))
-        first = np.concatenate([[0], np.flatnonzero(stop) + 1])
     return starts, hashes, first
 
 
@@ -116,17 +113,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row for each document that loses something (see CLEAN): its spans in bytes, the documents that hold the first
     occurrences, and the text that is left.
 
-    The first occurrence of a run is that in the document of the smallest id, and there the foremost. Rows that share an id
+    Ids are integers (others are cast). The first occurrence of a run is that in the document of the smallest id, and there the foremost. Rows that share an id
     count as one document and take nothing from each other; null ids count as one document behind all others. Null and
     short texts hold no run; a text may become empty. Other columns are ignored; an empty table gives no row. Runs are
-    compared by 64-bit hashes of all their words.
+    compared by 64-bit hashes of all their words. The rows of a very common run are joined where they are (join_spread).
     """
     last = (1 << 63) - 1
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(last)).alias("doc_id"), named(text_col).alias("text"))
     hashed = cut(base.mapInArrow(_hash, "doc_id long, runs array<long>, inner boolean"))
     each = hashed.select("doc_id", F.explode("runs").alias("h"))
-    first = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
-    bad = each.join(first, "h").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias("bad"), F.collect_set("first").alias("first_docs"))
+    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")]
+    first = cut(each.groupBy("h").agg(*ends).where("first <> last").select("h", "first", "n"))
+    met = join_spread(each, first, ["h"], "n").where("doc_id <> first")
+    bad = met.groupBy("doc_id").agg(F.collect_set("h").alias("bad"), F.collect_set("first").alias("first_docs"))
     inner = hashed.where("inner").select("doc_id").distinct()
     todo = cut(bad.join(inner, "doc_id", "full_outer"))
     out = base.join(todo, "doc_id").select("doc_id", "text", "bad", "first_docs").mapInArrow(_clean, CLEAN)

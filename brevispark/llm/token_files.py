@@ -1,9 +1,10 @@
 """Token-ID files: a concatenated id array with Elias-Fano encoded document boundaries.
 
-A shard is: 8 bytes magic; eight little-endian uint64 (documents n, ids u, bytes per id, low bits l, bytes of null flags,
-bytes of low bits, bytes of the high bitmap, select samples); document ids (int64); their null flags (bit packed); the low
-bits of each boundary (l bits each, bit packed); the high bitmap (a one for boundary i at position (boundary >> l) + i);
-the position of every 64th one (uint64); the ids. About 2 + log2(u / n) bits a document instead of 64.
+A shard is: 8 bytes magic; little-endian uint64 numbers (documents n, ids u, bytes per id, first document id, and for each of
+the two sequences the low bits l and the bytes of low bits, high bitmap and samples, at last the bytes of null flags); the
+sequences of boundaries and of document ids less the first; null flags (bit packed); the ids. A sequence is: the low bits of
+its values (l bits each, bit packed), the high bitmap (a one for value i at position (value >> l) + i) and the positions of
+every 64th one (uint32; uint64 in a bitmap of 2 ** 32 bits or more). It takes about 2.5 + log2(top / n) bits a document.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import cut, settle, shared_dir
+from brevispark.llm.common import cut, named, settle, shared_dir
 from brevispark.llm.tokens import byte_bpe_path, encoder
 
-MAGIC, EVERY = b"BRVTOK01", 64
+MAGIC, EVERY = b"BRVTOK02", 64
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:
@@ -43,7 +44,26 @@ class EliasFano:
         ones = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
         bitmap = np.zeros((int(ones[-1]) + 1 if n else 0), bool)
         bitmap[ones] = True
-        return cls(n, l, _pack(values, l), np.packbits(bitmap, bitorder="little").tobytes(), ones[::EVERY].astype("<u8"))
+        high = np.packbits(bitmap, bitorder="little").tobytes()
+        return cls(n, l, _pack(values, l), high, ones[::EVERY].astype(cls._position(len(high))))
+
+    @staticmethod
+    def _position(n_high: int) -> np.dtype:
+        """Samples are positions in a bitmap of so many bytes."""
+        return np.dtype("<u4" if n_high < 1 << 29 else "<u8")
+
+    def sizes(self) -> list[int]:
+        return [self.l, len(self.low), len(self.high), self.samples.nbytes]
+
+    def to_bytes(self) -> bytes:
+        return self.low + self.high + self.samples.tobytes()
+
+    @classmethod
+    def read(cls, raw: bytes, at: int, n: int, l: int, n_low: int, n_high: int, n_samples: int) -> tuple["EliasFano", int]:
+        """(the sequence at this place of raw, the place behind it)."""
+        a, b = at + n_low, at + n_low + n_high
+        kind = cls._position(n_high)
+        return cls(n, l, raw[at:a], raw[a:b], np.frombuffer(raw, kind, n_samples // kind.itemsize, b)), b + n_samples
 
     def select(self, i: int) -> int:
         """The value at i, read from the bits around it."""
@@ -72,13 +92,19 @@ class EliasFano:
 
 
 def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
-    """One shard; ids: little-endian, width bytes each, of all documents one after another."""
+    """One shard; doc_ids ascend (nulls anywhere); ids: little-endian, width bytes each, of all documents one after another."""
     ends = np.cumsum(np.array(lengths, np.int64))
     n, top = len(doc_ids), int(ends[-1]) if len(ends) else 0
-    ef = EliasFano.of(ends, top)
-    nulls = np.packbits(np.array([x is None for x in doc_ids], bool), bitorder="little").tobytes()
-    head = np.array([n, top, width, ef.l, len(nulls), len(ef.low), len(ef.high), len(ef.samples)], "<u8").tobytes()
-    return b"".join([MAGIC, head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), nulls, ef.low, ef.high, ef.samples.tobytes(), ids])
+    known = [x for x in doc_ids if x is not None]
+    first = known[0] if known else 0
+    keys, last = [], 0
+    for x in doc_ids:  # a null repeats the key before it
+        last = last if x is None else x - first
+        keys.append(last)
+    bounds, names = EliasFano.of(ends, top), EliasFano.of(np.array(keys, np.uint64), last)
+    nulls = b"" if len(known) == n else np.packbits(np.array([x is None for x in doc_ids], bool), bitorder="little").tobytes()
+    head = np.array([n, top, width, first % (1 << 64), *bounds.sizes(), *names.sizes(), len(nulls)], "<u8").tobytes()
+    return b"".join([MAGIC, head, bounds.to_bytes(), names.to_bytes(), nulls, ids])
 
 
 class Shard:
@@ -87,17 +113,23 @@ class Shard:
     def __init__(self, raw: bytes):
         if raw[:8] != MAGIC:
             raise ValueError("not a token shard")
-        n, self.n_ids, self.width, l, n_null, n_low, n_high, n_sample = map(int, np.frombuffer(raw, "<u8", 8, 8))
-        at = 72
-        ids = np.frombuffer(raw, "<i8", n, at)
-        at += 8 * n
-        nulls = np.unpackbits(np.frombuffer(raw, np.uint8, n_null, at), bitorder="little")[:n]
-        self.doc_ids = [None if z else int(x) for x, z in zip(ids, nulls)]
-        at += n_null
-        low, high = raw[at : at + n_low], raw[at + n_low : at + n_low + n_high]
-        at += n_low + n_high
-        self.ends = EliasFano(n, l, low, high, np.frombuffer(raw, "<u8", n_sample, at))
-        self.ids = np.frombuffer(raw, f"<u{self.width}", self.n_ids, at + 8 * n_sample)
+        head = list(map(int, np.frombuffer(raw, "<u8", 13, 8)))
+        self.n, self.n_ids, self.width, first = head[:4]
+        self.ends, at = EliasFano.read(raw, 112, self.n, *head[4:8])
+        names, at = EliasFano.read(raw, at, self.n, *head[8:12])
+        keys = names.all().view(np.uint64).tolist()
+        nulls = np.unpackbits(np.frombuffer(raw, np.uint8, head[12], at), bitorder="little") if head[12] else np.zeros(self.n, bool)
+        first -= (first >> 63) << 64
+        self.doc_ids = [None if z else first + x for x, z in zip(keys, nulls)]
+        self.ids = np.frombuffer(raw, f"<u{self.width}", self.n_ids, at + head[12])
+
+    def bounds(self) -> Iterator[tuple[int, int]]:
+        """(start, end) of each document in the ids, by one select each."""
+        start = 0
+        for i in range(self.n):
+            end = self.ends.select(i)
+            yield start, end
+            start = end
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the document at i, found with two selects."""
@@ -108,14 +140,14 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
-MANIFEST = "first_id long, shard int, file string, n_docs long, n_ids long"
+MANIFEST = "task long, shard int, file string, n_docs long, n_ids long"
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 23, most_pieces: int = 1_200_000) -> DataFrame:
     """Writes token shards in ascending id order below folder; returns the manifest (see MANIFEST) with start long, the ids before each shard.
 
-    Null texts count as empty; a null id sorts first; rows that share an id all stay, next to each other; other columns are
-    ignored. An empty table gives an empty manifest. A task writes under a name of its own attempt, so a repeated task
+    Ids are integers (others are cast). Null texts count as empty; a null id sorts first; rows that share an id all stay,
+    next to each other, in an order of their texts; other columns are ignored. An empty table gives an empty manifest. A task writes under a name of its own attempt, so a repeated task
     never damages a file, and only files in the manifest count. Shards hold about shard_ids ids, and a worker remembers
     most_pieces pieces, which bounds memory.
     """
@@ -139,7 +171,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0,
                 f.write(shard_bytes(keys, lengths, b"".join(held), width))
             fs.move(f"{base}/{name}.tmp", f"{base}/{name}")
             cells = [[task.partitionId()], [shard], [name], [len(keys)], [sum(lengths)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["first_id", "shard", "file", "n_docs", "n_ids"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["task", "shard", "file", "n_docs", "n_ids"])
 
         fs.create_dir(base, recursive=True)
         for batch in batches:
@@ -157,19 +189,27 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0,
             yield flush()
         settle()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    found = sorted(cut(rows.mapInArrow(run, MANIFEST)).collect())  # a row for each shard
-    total, out = 0, []
-    for r in found:
-        out.append((r["first_id"], r["shard"], r["file"], r["n_docs"], r["n_ids"], total))
-        total += r["n_ids"]
-    n = max(1, min(len(out), 4 * spark.sparkContext.defaultParallelism, 100_000))
-    return spark.createDataFrame(out, MANIFEST + ", start long").repartition(n)
+    # rows that share an id are dealt by a hash of their text, so that they need not be one range
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    shards = cut(rows.select("doc_id", "text").mapInArrow(run, MANIFEST))
+    total, offsets = 0, []
+    for task, n in sorted(tuple(r) for r in shards.groupBy("task").agg(F.sum("n_ids")).collect()):  # a row for each task
+        offsets.append((task, total))
+        total += n
+    before = spark.createDataFrame(offsets, "task long, before long")
+    w = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("n_ids").over(w), F.lit(0))
+    out = shards.join(F.broadcast(before), "task").withColumn("start", start)
+    return cut(out.repartition(max(1, min(shards.count(), parts)), "file"))
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document of the shards: doc_id, start (ids before it), n_tokens and ids_crc32 (of its little-endian uint32 ids)."""
+    """Per document of the shards: doc_id, start (ids before it), n_tokens and ids_crc32 (of its little-endian uint32 ids).
+
+    Documents are found through the select structure of the boundaries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -177,10 +217,9 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
                 with fs.open_input_file(f"{base}/{name}") as f:
                     shard = Shard(f.read())
-                ends = shard.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + start), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = [(start + a, b - a, zlib.crc32(shard.ids[a:b].astype("<u4").tobytes())) for a, b in shard.bounds()]
+                cols = [pa.array(shard.doc_ids, pa.int64()), *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)]]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

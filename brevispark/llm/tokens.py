@@ -1,7 +1,8 @@
 """Byte-level BPE ids of whole texts through the tokenizers library, quickly.
 
 The vocabulary's pre-tokeniser always starts a piece at a space before a non-space, so a text is cut there and a piece's
-ids do not depend on what stands around it. Pieces are encoded once per worker and remembered in a bounded table.
+ids do not depend on what stands around it. Pieces are encoded once per worker and remembered in tables that are bounded in
+number and in bytes; long ones (texts without spaces, say) are encoded each time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 
 #: Pieces that a worker remembers: about 0.2 GB a million. More save CPU seconds.
 MOST_PIECES = 300_000
+#: Bytes that a remembered piece may take on average (the tables are emptied beyond that), and the longest remembered one.
+PIECE_BYTES, LONGEST = 400, 256
 _BREAKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _MARKS = ".,;:!?%$#&*"
 _CUT = re.compile(r" (?=\S)")
@@ -29,11 +32,27 @@ def _pieces(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+class Pieces(dict):
+    """Pieces and their ids, bounded in number and in bytes."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+
+    def add(self, pieces: list[tuple[str, bytes]]) -> None:
+        self.update(pieces)
+        self.held += sum(200 + 2 * len(p) + len(ids) for p, ids in pieces)
+
+    def shrink(self) -> None:
+        """Starts anew if it holds too much."""
+        if len(self) > self.most or self.held > PIECE_BYTES * self.most:
+            self.clear()
+            self.held = 0
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, without special tokens; their strings in a text are ordinary text."""
 
     def __init__(self, path: str, most_pieces: int = MOST_PIECES):
-        self.most = most_pieces
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,13 +64,12 @@ class Encoder:
             self.opens[i] = token[0] == "Ġ"
         self.line_ids = self._ids(["\n"])[0].tobytes()
         self.line = int.from_bytes(self.line_ids, "little")
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.known, self.heads = Pieces(most_pieces), Pieces(most_pieces // 8)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str], mark: str, edges, known: dict[str, bytes]) -> None:
+    def _joined(self, words: list[str], mark: str, edges, known: Pieces) -> None:
         """Remembers the ids of words without white space, encoded together with mark between them; edges(ids) finds where each begins and ends."""
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
@@ -59,9 +77,9 @@ class Encoder:
             starts, ends = edges(raw)
             if len(starts) == len(part):
                 ids = raw.tobytes()
-                known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
+                known.add([(w, ids[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist())])
             else:
-                known.update((w, x.tobytes()) for w, x in zip(part, self._ids([mark.strip("\n") + w for w in part])))
+                known.add([(w, x.tobytes()) for w, x in zip(part, self._ids([mark.strip("\n") + w for w in part]))])
 
     def _learn_heads(self, words: set[str]) -> None:
         """Words that no space precedes: between line breaks, each of which is one token."""
@@ -76,6 +94,9 @@ class Encoder:
         """The ids of ' ' + piece. Stems are remembered, and so are pieces of a stem known before (a new one will hardly come again). A piece is put together from its lines, and these from a stem and the marks behind it, as far as the pre-tokeniser always cuts there."""
         marked, made, other, spaced, heads = [], [], [], set(), set()
         for p in pieces:
+            if len(p) > LONGEST:
+                other.append(p)
+                continue
             if p.isalnum():
                 spaced.add(p)
                 continue
@@ -109,7 +130,7 @@ class Encoder:
         self._joined([w for w in spaced if w not in known], " ", edges, known)
         self._learn_heads(heads.union(m for *_, m in marked))
         out = {p: known[stem] + at_start[marks] for p, stem, marks in marked}
-        known.update([(p, out[p]) for p in again])
+        known.add([(p, out[p]) for p in again])
         for p, parts in made:
             out[p] = self.line_ids.join((at_start if k else known)[stem] + (at_start[marks] if marks else b"") for k, (stem, marks) in enumerate(parts))
         out.update((p, x.tobytes()) for p, x in zip(other, self._ids([" " + p for p in other])))
@@ -129,10 +150,8 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             cut = [_pieces(x) if x else [""] for x in texts[at : at + 256]]
-            if len(self.known) > self.most:
-                self.known.clear()
-            if len(self.heads) > self.most // 8:
-                self.heads.clear()
+            self.known.shrink()
+            self.heads.shrink()
             first = [pieces.pop(0) for pieces in cut]
             got = [list(map(self.known.get, pieces)) for pieces in cut]
             gaps = [(pieces, ids, [i for i, x in enumerate(ids) if not x]) for pieces, ids in zip(cut, got) if not all(ids)]
@@ -142,8 +161,9 @@ class Encoder:
                     p = pieces[i]
                     ids[i] = fresh[p] if p in fresh else self.known[p]
             heads = sorted({h for h in first if h not in self.heads})
-            self.heads.update((h, x.tobytes()) for h, x in zip(heads, self._ids(heads)))
-            out += [self.heads[h] + b"".join(ids) for h, ids in zip(first, got)]
+            own = dict(zip(heads, [x.tobytes() for x in self._ids(heads)]))
+            self.heads.add([(h, x) for h, x in own.items() if len(h) <= LONGEST])
+            out += [(own[h] if h in own else self.heads[h]) + b"".join(ids) for h, ids in zip(first, got)]
         return out
 
 
