@@ -15,17 +15,15 @@ from brevispark.llm.common import SPACES, _power, cut, join_spread, mix64, named
 SENTENCES, WORDS, NEAR = 3, 20, 3
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
-_PAUSES = np.zeros(256, bool)
-_PAUSES[[ord(c) for c in ",;:"]] = True
 _BASE = 0xC2B2AE3D27D4EB4F
 
 
 def segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte of each word, hash of each word, first word of each sentence and at last the number of words).
 
-    A sentence ends after a word that ends with . ! or ?, before a line break, after a word that ends with , ; or : and
-    after a word whose hash is the least within NEAR words on both sides. The last rule cuts a passage alike wherever it
-    stands, marks or not, and one word over and over everywhere; all rules hold for text of any length.
+    A sentence ends after a word that ends with . ! or ?, before a line break and after a word whose hash is the least
+    within NEAR words on both sides. The last rule cuts a passage alike wherever it stands, marks or not, and one word over
+    and over everywhere; all rules hold for sentences of any length.
     """
     starts, hashes = word_hashes(raw)
     n = len(starts)
@@ -35,7 +33,7 @@ def segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~SPACES[data]
     ends = np.flatnonzero(inside & ~np.append(inside[1:], False))
     lines = np.cumsum((data == 10) | (data == 13))
-    stop = _ENDS[data[ends]] | _PAUSES[data[ends]]
+    stop = _ENDS[data[ends]]
     stop[:-1] |= lines[starts[1:]] != lines[ends[:-1]]
     stop[-1] = True
     least = hashes.copy()
@@ -122,8 +120,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(last)).alias("doc_id"), named(text_col).alias("text"))
     hashed = cut(base.mapInArrow(_hash, "doc_id long, runs array<long>, inner boolean"))
     each = hashed.select("doc_id", F.explode("runs").alias("h"))
-    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")]
-    first = cut(each.groupBy("h").agg(*ends).where("first <> last").select("h", "first", "n"))
+    first = cut(each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = join_spread(each, first, ["h"], "n").where("doc_id <> first")
     bad = met.groupBy("doc_id").agg(F.collect_set("h").alias("bad"), F.collect_set("first").alias("first_docs"))
     inner = hashed.where("inner").select("doc_id").distinct()

@@ -257,14 +257,14 @@ def plain_hash(word):
 
 
 def plain_sentences(text):
-    """Lower-cased words by sentence: cut behind . ! ? , ; : and line breaks, and where a word's hash is least of seven."""
+    """Lower-cased words by sentence: cut behind . ! ? and line breaks, and where a word's hash is least of seven."""
     found = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
     words = [re.sub(rb"[A-Z]", lambda m: m.group().lower(), w) for _, w in found]
     raw, h, out = (text or "").encode(), [plain_hash(w) for w in words], [[]]
     for k, (at, w) in enumerate(found):
         out[-1].append(words[k])
         between = raw[at + len(w) : found[k + 1][0]] if k + 1 < len(found) else b"\n"
-        if w[-1:] in b".!?,;:" or b"\n" in between or b"\r" in between or h[k] == min(h[max(0, k - 3) : k + 4]):
+        if w[-1:] in b".!?" or b"\n" in between or b"\r" in between or h[k] == min(h[max(0, k - 3) : k + 4]):
             out.append([])
     return [x for x in out if x]
 
