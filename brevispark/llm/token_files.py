@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevispark.llm.common import cut, named, settle, shared_dir
-from brevispark.llm.tokens import byte_bpe_path, encoder
+from brevispark.llm.tokens import byte_bpe_path, encoder, forget
 
 MAGIC, EVERY = b"BRVTOK02", 64
 
@@ -212,6 +212,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the tables of a worker that has written before
         fs, base = _open(folder)
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from brevispark.llm.common import settle
+
 #: Pieces that a worker remembers: about 0.2 GB a million. More save CPU seconds.
 MOST_PIECES = 300_000
 #: Bytes that a remembered piece may take on average (the tables are emptied beyond that), and the longest remembered one.
@@ -175,6 +177,12 @@ def encoder(path: str, most_pieces: int = MOST_PIECES) -> Encoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    """Drops the encoders of this worker, where a job follows that needs none."""
+    _encoders.clear()
+    settle()
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
