@@ -79,7 +79,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def size_class(size: Column) -> Column:
     """The size with all but its first EXACT_BITS bits cleared: 64 classes for each power of two."""
-    return size - size % F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(size)) - EXACT_BITS)).cast("long")
+    step = F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(size)) - EXACT_BITS)).cast("long")
+    return F.coalesce(size - size % step, F.lit(0))  # never null, which spares joins a filter that counts words again
 
 
 def cells(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
@@ -138,12 +139,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     Nulls, empty tables and rows that share an id are treated as in mix_report(); a document of any length is one row.
     """
-    wanted = ("key", "class", "part", "n", "whole", "chance", "times", "copy")
-    key, size, part, n, whole, chance, times, copy = names = fresh(docs, *wanted)
+    wanted = ("key", "class", "part", "n", "whole", "chance", "times", "copy", "words")
+    key, size, part, n, whole, chance, times, copy, words = names = fresh(docs, *wanted)
     own = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)[1]
     own = own.select(*[F.col(a).alias(b) for a, b in zip(wanted[:6], names)])
-    rows = docs.withColumn(key, _source_key(named(source_col))).withColumn(size, size_class(size_of(named(text_col))))
-    rows = rows.withColumn(part, part_of(named(id_col), seed))
+    rows = docs.withColumn(key, _source_key(named(source_col))).withColumn(words, size_of(named(text_col)))
+    rows = rows.withColumn(size, size_class(F.col(words))).withColumn(part, part_of(named(id_col), seed))
     taken = join_spread(rows, own, [key, size, part], n)
     taken = taken.withColumn(times, copies(named(id_col), F.col(whole), F.col(chance), seed).cast("int")).where(F.col(times) > 0)
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*map(named, docs.columns))
