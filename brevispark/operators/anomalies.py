@@ -6,13 +6,15 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brevispark.functions.binning import bin_of, rice_bins
 from brevispark.operators.codelength import profile
 from brevispark.operators.miscoding import Miscoding
 from brevispark.operators.models import Model
+from brevispark.operators.order import prefix_sums, quantile
+from brevispark.sources.shared import cut
 from brevispark.sources.tables import as_number, resolve_numeric, resolve_target
 
 RULES = {"classification": ("misclassification", "probability_quantile"), "regression": ("residual_quantile", "standardized_residual", "bin_mismatch")}
@@ -23,27 +25,34 @@ GROUPS_2 = "attribute_1 int, attribute_1_name string, attribute_2 int, attribute
 
 def robust_scale(df: DataFrame, column: str) -> float:
     """1.4826 times the median absolute deviation; if that is 0, the population deviation; if that is 0, 1."""
-    middle = df.agg(F.median(column).alias("m"), F.stddev_pop(column).alias("s")).first()
-    mad = df.agg(F.median(F.abs(F.col(column) - F.lit(middle["m"])))).first()[0]
-    return 1.4826 * mad or middle["s"] or 1.0
+    r = df.agg(F.count(column).alias("n"), F.stddev_pop(column).alias("s")).first()
+    middle = quantile(df, column, 0.5, r["n"])
+    mad = quantile(df.select(F.abs(F.col(column) - F.lit(middle)).alias("d")), "d", 0.5, r["n"])
+    return 1.4826 * mad or r["s"] or 1.0
 
 
 def two_means_1d(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, cut, inertia, cluster_0_size, cluster_1_size): the best split of each group's values in order, exactly.
 
     Values are standardised within the group (population deviation; a constant stays 0). Sums over sorted prefixes give
-    the inertia of every split, so no iteration and no seed are needed. Equal values are never parted.
+    the inertia of every split, so no iteration and no seed are needed. Equal values are never parted. Values are counted
+    first and dealt by ranges, so no task holds a group.
     """
-    w = Window.partitionBy(group)
-    scale = F.stddev_pop(value).over(w)
-    z = df.withColumn("_z", (F.col(value) - F.avg(value).over(w)) / F.when(scale > 0, scale).otherwise(1.0)).groupBy(group, "_z").agg(F.count(F.lit(1)).alias("_c"), F.max(value).alias("_v"))
-    up = Window.partitionBy(group).orderBy("_z").rowsBetween(Window.unboundedPreceding, 0)
-    s = z.withColumn("n0", F.sum("_c").over(up)).withColumn("s0", F.sum(F.col("_c") * F.col("_z")).over(up)).withColumn("q0", F.sum(F.col("_c") * F.col("_z") * F.col("_z")).over(up))
-    for c, x in (("n", F.col("_c")), ("s", F.col("_c") * F.col("_z")), ("q", F.col("_c") * F.col("_z") * F.col("_z"))):
-        s = s.withColumn(c, F.sum(x).over(w))
-    n1, s1 = F.col("n") - F.col("n0"), F.col("s") - F.col("s0")
-    inertia = F.greatest(F.lit(0.0), F.col("q") - F.col("s0") * F.col("s0") / F.col("n0") - F.when(n1 > 0, s1 * s1 / n1).otherwise(0.0))
-    best = s.groupBy(group).agg(F.min(F.struct(F.when(n1 > 0, inertia).otherwise(float("inf")).alias("i"), inertia.alias("inertia"), F.col("_v").alias("cut"), F.col("n0"), n1.alias("n1"))).alias("b"))
+    scale = df.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_scale"))
+    counted = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    z = (F.col(value) - F.col("_mean")) / F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(1.0)
+    t = counted.join(F.broadcast(scale), group).select(group, F.col(value).alias("v"), z.alias("z"), "c")  # scale: a row a group
+    t = t.withColumn("s", F.col("c") * F.col("z")).withColumn("q", F.col("s") * F.col("z"))
+    t = cut(prefix_sums(t, group, "v", ["c", "s", "q"]))
+    whole = t.groupBy(group).agg(*[F.sum(c).alias(f"all_{c}") for c in "csq"])
+    t = t.join(F.broadcast(whole), group)
+    n0, n1 = F.col("up_c"), F.col("all_c") - F.col("up_c")
+    s0, s1 = F.col("up_s"), F.col("all_s") - F.col("up_s")
+    left = F.col("all_q") - s0 * s0 / n0 - F.when(n1 > 0, s1 * s1 / F.when(n1 > 0, n1)).otherwise(0.0)
+    inertia = F.greatest(F.lit(0.0), left)
+    rank = F.when(n1 > 0, inertia).otherwise(float("inf"))
+    key = F.struct(rank.alias("i"), inertia.alias("inertia"), F.col("v").alias("cut"), n0.alias("n0"), n1.alias("n1"))
+    best = t.groupBy(group).agg(F.min(key).alias("b"))
     return best.select(group, "b.cut", "b.inertia", F.col("b.n0").alias("cluster_0_size"), F.col("b.n1").alias("cluster_1_size"))
 
 
@@ -129,7 +138,7 @@ class AnomalyDetector:
         return self
 
     def _quantile(self, df: DataFrame) -> Column:
-        self.threshold = df.agg(F.percentile("anomaly_score", F.lit(self.quantile))).first()[0]
+        self.threshold = quantile(df, "anomaly_score", self.quantile)
         return F.col("anomaly_score") >= F.lit(self.threshold)
 
     def _of_kind(self, kind: str) -> Column:
@@ -153,8 +162,10 @@ class AnomalyDetector:
         if self.task_ == "classification":
             aggs.append(F.count_if(~F.col("correct")).alias("n_misclassified"))
         else:
-            aggs += [F.avg("absolute_residual").alias("mean_absolute_residual"), F.median("absolute_residual").alias("median_absolute_residual"), F.count_if(self._of_kind("under_predicted")).alias("n_under_predicted"), F.count_if(self._of_kind("over_predicted")).alias("n_over_predicted")]
+            aggs += [F.avg("absolute_residual").alias("mean_absolute_residual"), F.count_if(self._of_kind("under_predicted")).alias("n_under_predicted"), F.count_if(self._of_kind("over_predicted")).alias("n_over_predicted")]
         r = self.rows.agg(*aggs).first().asDict()
+        if self.task_ == "regression":
+            r["median_absolute_residual"] = quantile(self.rows, "absolute_residual", 0.5, r["n_samples"])
         out = {"task": self.task_, "anomaly_rule": self.rule_, "n_features": len(self.features), "anomaly_rate": r["n_anomalies"] / r["n_samples"] if r["n_samples"] else 0.0, "model_type": type(self.model).__name__ if self.model is not None else None, "threshold": self.threshold}
         return out | r | ({"model_combined": self.model_score} if self.model_score is not None else {})
 
@@ -211,7 +222,11 @@ class AnomalyDetector:
         return best.transform(rows).select("sample_index", F.col("prediction").alias("cluster")), best.summary.trainingCost, *map(int, sizes)
 
     def group_points(self, attribute_1, attribute_2=None, kind: str = "all") -> DataFrame:
-        at = [self.features.index(a) if isinstance(a, str) else int(a) for a in (attribute_1, attribute_2) if a is not None]
+        given = [a for a in (attribute_1, attribute_2) if a is not None]
+        for a in given:
+            if a not in (self.features if isinstance(a, str) else range(len(self.features))):
+                raise ValueError(f"no attribute {a}; there are {', '.join(self.features)}")
+        at = [self.features.index(a) if isinstance(a, str) else int(a) for a in given]
         if len(at) == 1:
             found = two_means_1d(self._views(kind).where(F.col("attribute") == at[0]), "attribute", "value").first()
             cut = found["cut"] if found else 0.0  # without an anomaly there is no point either

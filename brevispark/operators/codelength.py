@@ -34,7 +34,7 @@ def profile(df: DataFrame, columns: Sequence[str], numeric: Sequence[bool]) -> t
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
     for k, (c, num) in enumerate(zip(columns, numeric)):
         if num:
-            x = F.try_to_number(F.col(c), F.lit("999999999999D999999")).cast("double") if df.schema[c].dataType.typeName() == "string" else as_number(df, c)
+            x = as_number(df, c)
             aggs += [F.min(x).alias(f"lo{k}"), F.max(x).alias(f"hi{k}"), F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias(f"bad{k}")]
         else:
             aggs.append(F.count_if(F.col(c).isNull()).alias(f"bad{k}"))

@@ -124,7 +124,12 @@ class CombinedScore:
         if aggregation not in MODES:
             raise ValueError(f"a mode is one of {', '.join(MODES)}")
         resolve_weights(weights)
-        # threshold_fraction and surplus_penalty are taken and have no effect
+        if threshold_fraction < 0 or surplus_penalty < 0:
+            raise ValueError("threshold_fraction and surplus_penalty are not negative")
+        Surfeit(zlib_level=zlib_level, zlib_overhead=zlib_overhead)
+        if X_type not in ("auto", "numeric", "categorical") or y_type not in ("auto", "numeric", "categorical"):
+            raise ValueError("a type is auto, numeric or categorical")
+        # threshold_fraction and surplus_penalty are checked and have no further effect
         self.X_type, self.y_type, self.aggregation, self.weights, self.n_bins, self.zlib = X_type, y_type, aggregation, weights, n_bins, (zlib_level, zlib_overhead)
 
     def fit(self, df: DataFrame, features: Sequence[str], target: str) -> "CombinedScore":

@@ -21,32 +21,36 @@ def distance(joint: Column, y: Column, p: Column, equal: Column) -> Column:
 def inaccuracy_of_candidates(df: DataFrame, target: str, predictions: Sequence[str], *, y_type: str = "auto", n_bins: int | str = "auto") -> DataFrame:
     """(candidate, inaccuracy) for each prediction column, in two jobs however many there are.
 
-    Target and predictions are binned each within its own bounds. Predictions become rows; counts come from one grouping
-    over (candidate, target state, prediction state).
+    Bounds and validity of all columns are plain aggregates of one row. Target and predictions are binned each within its
+    own bounds; then states, not values, become a row for each candidate and are counted in one grouping.
     """
     numeric = resolve_target(df, target, y_type)
-    if numeric:
-        kind = "double"
-        cast = lambda c: as_number(df, c)
-    else:
-        kind = "string"
-        cast = lambda c: F.col(c).cast("string")
-    wide = df.select(cast(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(p).alias("candidate"), cast(p).cast(kind).alias("p")) for p in predictions])).alias("x")).select("y", "x.candidate", "x.p")
+    names = list(predictions)
+    cast = (lambda c: as_number(df, c)) if numeric else (lambda c: F.col(c).cast("string"))
+    wide = df.select(cast(target).alias("y"), *[cast(p).alias(f"p{k}") for k, p in enumerate(names)])
     bad = (lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) if numeric else (lambda c: c.isNull())
-    seen = wide.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad(F.col("y")) | bad(F.col("p"))).alias("bad"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("p").alias("p0"), F.max("p").alias("p1")).collect()
-    if not seen:
+    columns = wide.columns
+    aggs = [f(c).alias(f"{g}_{c}") for c in columns for f, g in ((F.min, "lo"), (F.max, "hi"))]
+    aggs += [F.count_if(bad(F.col(c))).alias(f"bad_{c}") for c in columns]
+    seen = wide.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+    n = seen["n"]
+    if not n:
         raise ValueError("the table is empty")
-    if any(r["bad"] for r in seen):
+    if any(seen[f"bad_{c}"] for c in columns):
         raise ValueError("missing or non-finite values")
-    n = seen[0]["n"]
-    equal = F.lit(False)
-    states = wide
-    if numeric:
-        bins = rice_bins(n_bins, n)
-        bounds = df.sparkSession.createDataFrame([(r["candidate"], r["y0"], r["y1"], r["p0"], r["p1"]) for r in seen], "candidate string, y0 double, y1 double, p0 double, p1 double")
-        states = wide.join(F.broadcast(bounds), "candidate").select("candidate", bin_of(F.col("y"), F.col("y0"), F.col("y1"), bins).alias("y"), bin_of(F.col("p"), F.col("p0"), F.col("p1"), bins).alias("p"))
-    same = {r["candidate"]: abs(r["y0"] - r["p0"]) <= 1e-8 + 1e-5 * abs(r["p0"]) if numeric else r["y0"] == r["p0"] for r in seen}
-    equal = F.col("candidate").isin([c for c, ok in same.items() if ok])
+
+    def state(c: str) -> Column:
+        return bin_of(F.col(c), seen[f"lo_{c}"], seen[f"hi_{c}"], rice_bins(n_bins, n)) if numeric else F.col(c)
+
+    cells = [F.struct(F.lit(p).alias("candidate"), state(f"p{k}").alias("p")) for k, p in enumerate(names)]
+    states = wide.select(state("y").alias("y"), F.explode(F.array(*cells)).alias("x")).select("y", "x.candidate", "x.p")
+
+    def equal_first(k: int) -> bool:
+        a, b = seen["lo_y"], seen[f"lo_p{k}"]
+        return abs(a - b) <= 1e-8 + 1e-5 * abs(b) if numeric else a == b
+
+    same = [p for k, p in enumerate(names) if equal_first(k)]
+    equal = F.col("candidate").isin(same) if same else F.lit(False)
     counts = states.groupBy("candidate", "y", "p").agg(F.count(F.lit(1)).alias("c"))
     joint = counts.groupBy("candidate").agg(length_of(F.col("c"), n).alias("joint"))
     one = lambda c: counts.groupBy("candidate", c).agg(F.sum("c").alias("c")).groupBy("candidate").agg(length_of(F.col("c"), n).alias(f"k_{c}"))

@@ -15,6 +15,7 @@ from brevispark.operators.codelength import length_of
 from brevispark.operators.combined import ADVICE, CombinedScore
 from brevispark.operators.inaccuracy import inaccuracy_of_candidates
 from brevispark.operators.models import gram, solve_ols
+from brevispark.sources.shared import cut
 
 MODELS = ("autoregressive", "moving_average", "exponential_smoothing")
 ALPHAS = (0.1, 0.2, 0.3, 0.5, 0.8)
@@ -34,7 +35,8 @@ def indexed(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     The order should have no ties; tied rows get positions in no particular order.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).persist()
+    own = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    own = cut(own)
     counts = {r["_p"]: r["count"] for r in own.groupBy("_p").count().collect()}  # a row for each partition
     at, offsets = 0, []
     for p in range(max(counts, default=-1) + 1):
@@ -148,10 +150,11 @@ class TimeSeries:
 
     def fit(self, df: DataFrame, y: str, order_by: Sequence[str], exogenous: Sequence[str] = ()) -> "TimeSeries":
         self.df, self.y, self.order_by, self.exogenous = df, y, list(order_by), list(exogenous)
-        bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+        x = lambda c: F.col(c).cast("double")
+        bad = lambda c: x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))
         r = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(bad(c)).alias(f"bad{k}") for k, c in enumerate([y, *exogenous])]).first()
         if r["n"] < 3 or any(r[f"bad{k}"] for k in range(1 + len(exogenous))):
-            raise ValueError("a series has three rows or more and no missing values")
+            raise ValueError("a series has three rows or more and no missing or non-finite values")
         self.n, self.w = r["n"], window_size(r["n"], self.window)
         names = lag_names(self.w, exogenous)
         self.lags = lag_matrix(df, y, self.w, order_by, exogenous=exogenous).select("_t", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in names]).persist()

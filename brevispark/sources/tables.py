@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,8 +18,17 @@ def is_numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (NumericType, BooleanType))
 
 
+#: Numbers in text: signs, fractions and exponents; anything else is null.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def as_number(df: DataFrame, column: str):
-    return F.col(column).cast("int").cast("double") if isinstance(df.schema[column].dataType, BooleanType) else F.col(column).cast("double")
+    kind = df.schema[column].dataType
+    if isinstance(kind, BooleanType):
+        return F.col(column).cast("int").cast("double")
+    if isinstance(kind, StringType):
+        return F.when(F.col(column).rlike(NUMBER), F.trim(column).try_cast("double"))
+    return F.col(column).cast("double")
 
 
 def check_columns(df: DataFrame, columns: Sequence[str], numeric: Sequence[bool]) -> None:
