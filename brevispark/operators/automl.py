@@ -274,20 +274,52 @@ def evaluate_nested(ctx: SearchContext, tree: DecisionTree, cells: LeafCells) ->
     return found
 
 
-def evaluate(ctx: SearchContext, found: list[CandidateResult]) -> list[CandidateResult]:
-    """Fills in components, combined and native scores; all candidates share one scan for predictions and one for native scores."""
+def evaluate(ctx: SearchContext, found: list[CandidateResult], notes: list[dict] | None = None) -> list[CandidateResult]:
+    """Candidates with components, combined and native scores; all share one scan for predictions and one for native scores.
+
+    If that fails, each is evaluated by itself: those that cannot be are left out, with a note, and a native score that
+    cannot be had is NaN.
+    """
     if not found:
         return found
+    try:
+        return _evaluate_together(ctx, found)
+    except Exception:  # one of them has, say, a prediction that is not finite
+        done = []
+        for c in found:
+            try:
+                done += _evaluate_together(ctx, [c])
+            except Exception as e:
+                (notes if notes is not None else []).append(failed(c.candidate, e))
+        return done
+
+
+def failed(candidate: str, error: Exception) -> dict:
+    return {"reason": "fit_failed", "candidate": candidate, "error": str(error).splitlines()[0][:200] if str(error) else type(error).__name__}
+
+
+def _native_scores(ctx: SearchContext, wide: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """R squared or accuracy of each prediction column; NaN where it cannot be computed."""
+    y = F.col("y")
+    if ctx.classes is None:
+        aggs = [F.var_pop(y.cast("double")).alias("v"), *[F.avg((y - F.col(n)) ** 2).alias(n) for n in names]]
+    else:
+        aggs = [F.avg((y.cast("string") == F.col(n).cast("string")).cast("double")).alias(n) for n in names]
+    try:
+        r = wide.agg(*aggs).first()
+    except Exception:
+        return dict.fromkeys(names, float("nan"))
+    if ctx.classes is None:
+        return {n: 1 - r[n] / r["v"] if r["v"] else 0.0 for n in names}
+    return r.asDict()
+
+
+def _evaluate_together(ctx: SearchContext, found: list[CandidateResult]) -> list[CandidateResult]:
     names = [f"p{k}" for k in range(len(found))]
     wide = ctx.df.select(F.col(ctx.target).alias("y"), *[c.model.column().alias(n) for n, c in zip(names, found)])
     kind = "numeric" if ctx.classes is None else "categorical"
-    bad = {r["candidate"]: r["inaccuracy"] for r in inaccuracy_of_candidates(wide, "y", names, y_type=kind, n_bins=ctx.score.n_bins).collect()}
-    if ctx.classes is None:
-        r = wide.agg(F.var_pop(F.col("y").cast("double")).alias("v"), *[F.avg((F.col("y") - F.col(n)) ** 2).alias(n) for n in names]).first()
-        native = {n: 1 - r[n] / r["v"] if r["v"] else 0.0 for n in names}
-    else:
-        r = wide.agg(*[F.avg((F.col("y").cast("string") == F.col(n).cast("string")).cast("double")).alias(n) for n in names]).first()
-        native = r.asDict()
+    rows = inaccuracy_of_candidates(wide, "y", names, y_type=kind, n_bins=ctx.score.n_bins).collect()
+    bad, native = {r["candidate"]: r["inaccuracy"] for r in rows}, _native_scores(ctx, wide, names)
     for n, c in zip(names, found):
         _finish(ctx, c, bad[n], native[n])
     return found
@@ -308,7 +340,15 @@ def search_tree(ctx: SearchContext, max_depth: int = 30, max_bins: int = 1024) -
 
     kind = DecisionTreeRegressor if ctx.classes is None else DecisionTreeClassifier
     model = kind(maxDepth=max_depth, maxBins=max_bins, seed=ctx.seed).fit(_assembled(ctx, ctx.features))
-    return SearchReport("decision_tree", evaluate_nested(ctx, *grown_tree(ctx, model)))
+    found, notes, seen = [], [], set()
+    for c in evaluate_nested(ctx, *grown_tree(ctx, model)):
+        shape = tuple(c.subset), c.length, c.components["surfeit"], c.components["inaccuracy"], c.hyperparameters["n_leaves"]
+        if shape in seen:
+            notes.append({"reason": "duplicate_tree_structure", "candidate": c.candidate})
+            continue
+        seen.add(shape)
+        found.append(c)
+    return SearchReport("decision_tree", found, notes)
 
 
 def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:
@@ -318,22 +358,25 @@ def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:
         return SearchReport("linear_regression", [], [{"reason": "empty_feature_order"}])
     g = gram(ctx.df, order, ctx.target)
     found = [CandidateResult(f"linear_regression_{p}", "linear_regression", LinearRegressor(order[:p], *solve_ols(g, p)), {"n_features": str(p)}) for p in range(1, len(order) + 1)]
-    evaluate(ctx, found)
+    notes: list[dict] = []
+    found = evaluate(ctx, found, notes)
     if patience is None:
-        return SearchReport("linear_regression", found)
+        return SearchReport("linear_regression", found, notes)
     best, kept = 0, []
     for k, c in enumerate(found):
         kept.append(c)
         best = k if c.combined < found[best].combined else best
         if k - best >= patience:
-            return SearchReport("linear_regression", kept, [{"reason": "early_stopping_patience", "n_features": k + 1}])
-    return SearchReport("linear_regression", kept)
+            return SearchReport("linear_regression", kept, [*notes, {"reason": "early_stopping_patience", "n_features": k + 1}])
+    return SearchReport("linear_regression", kept, notes)
 
 
-def search_logistic(ctx: SearchContext, max_iter: int = 100) -> SearchReport:
+def search_logistic(ctx: SearchContext, max_iter: int = 1000) -> SearchReport:
     from pyspark.ml.classification import LogisticRegression
 
     order, found, notes = ctx.order(), [], []
+    if not order:
+        notes.append({"reason": "empty_feature_order"})
     for p in range(1, len(order) + 1):
         try:
             m = LogisticRegression(regParam=0.0, maxIter=max_iter).fit(_assembled(ctx, order[:p]))
@@ -344,7 +387,7 @@ def search_logistic(ctx: SearchContext, max_iter: int = 100) -> SearchReport:
             notes.append({"reason": "logistic_convergence_warning", "n_features": p})
         rows, b = m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist()
         found.append(CandidateResult(f"logistic_regression_{p}", "logistic_regression", LinearClassifier(order[:p], ctx.classes, rows, b), {"n_features": str(p), "iterations": str(m.summary.totalIterations)}))
-    return SearchReport("logistic_regression", evaluate(ctx, found), notes)
+    return SearchReport("logistic_regression", evaluate(ctx, found, notes), notes)
 
 
 def gaussian_moments(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -353,34 +396,56 @@ def gaussian_moments(df: DataFrame, features: Sequence[str], target: str) -> Dat
 
 
 def search_naive_bayes(ctx: SearchContext, var_smoothing: float = 1e-9) -> SearchReport:
-    order = ctx.order()
+    """Every prefix of the feature order, from one table of moments."""
+    order, found, notes = ctx.order(), [], []
+    if not order:
+        return SearchReport("naive_bayes", [], [{"reason": "empty_feature_order"}])
     rows = gaussian_moments(ctx.df, order, ctx.target).collect()
     total = sum(r["n"] for r in rows)
-    found = []
+    classes, priors = [r["class"] for r in rows], [r["n"] / total for r in rows]
+
+    def spread(k: int) -> float:
+        square = sum(r["n"] * (r[f"var_{k}"] + r[f"mean_{k}"] ** 2) for r in rows) / total
+        return square - (sum(r["n"] * r[f"mean_{k}"] for r in rows) / total) ** 2
+
     for p in range(1, len(order) + 1):
-        spread = max(sum(r["n"] * (r[f"var_{k}"] + r[f"mean_{k}"] ** 2) for r in rows) / total - (sum(r["n"] * r[f"mean_{k}"] for r in rows) / total) ** 2 for k in range(p))
-        eps = max(var_smoothing * spread, 1e-300)
-        m = GaussianNB(order[:p], [r["class"] for r in rows], [r["n"] / total for r in rows], [[r[f"mean_{k}"] for k in range(p)] for r in rows], [[r[f"var_{k}"] + eps for k in range(p)] for r in rows])
-        found.append(CandidateResult(f"naive_bayes_{p}", "naive_bayes", m, {"n_features": str(p)}))
-    return SearchReport("naive_bayes", evaluate(ctx, found))
+        name = f"naive_bayes_{p}"
+        try:
+            eps = max(var_smoothing * max(map(spread, range(p))), 1e-300)
+            means = [[r[f"mean_{k}"] for k in range(p)] for r in rows]
+            m = GaussianNB(order[:p], classes, priors, means, [[r[f"var_{k}"] + eps for k in range(p)] for r in rows])
+        except Exception as e:
+            notes.append(failed(name, e))
+            continue
+        found.append(CandidateResult(name, "naive_bayes", m, {"n_features": str(p)}))
+    return SearchReport("naive_bayes", evaluate(ctx, found, notes), notes)
 
 
-def search_svc(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0), max_iter: int = 100) -> SearchReport:
+def search_svc(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0), max_iter: int = 5000) -> SearchReport:
+    """One machine a C (hinge loss; one against the rest for three classes or more). A C that cannot be fitted is noted."""
     from pyspark.ml.classification import LinearSVC as MLSVC
     from pyspark.ml.classification import OneVsRest
 
     rows, n, found, notes = _assembled(ctx, ctx.features).persist(), ctx.score.metric.n_samples, [], []
     try:
         for C in dict.fromkeys(C_values):
-            base = MLSVC(regParam=1 / (C * n), maxIter=max_iter)
-            fits = [base.fit(rows)] if len(ctx.classes) == 2 else OneVsRest(classifier=base).fit(rows).models
-            found.append(CandidateResult(f"linear_svc_C{C:g}", "linear_svc", LinearSVC(ctx.features, ctx.classes, [m.coefficients.toArray().tolist() for m in fits], [float(m.intercept) for m in fits]), {"C": f"{C:g}"}))
+            name = f"linear_svc_C{C:g}"
+            try:
+                base = MLSVC(regParam=1 / (C * n), maxIter=max_iter)
+                fits = [base.fit(rows)] if len(ctx.classes) == 2 else OneVsRest(classifier=base).fit(rows).models
+                if any(m.hasSummary and m.summary().totalIterations >= max_iter for m in fits):
+                    notes.append({"reason": "convergence_warning", "candidate": name, "max_iter": max_iter})
+                slopes, intercepts = [m.coefficients.toArray().tolist() for m in fits], [float(m.intercept) for m in fits]
+            except Exception as e:
+                notes.append(failed(name, e))
+                continue
+            found.append(CandidateResult(name, "linear_svc", LinearSVC(ctx.features, ctx.classes, slopes, intercepts), {"C": f"{C:g}"}))
     finally:
         rows.unpersist()
-    return SearchReport("linear_svc", evaluate(ctx, found), notes)
+    return SearchReport("linear_svc", evaluate(ctx, found, notes), notes)
 
 
-def search_svr(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0), epsilons: Sequence[float] = (0.0, 0.1), max_iter: int = 12) -> SearchReport:
+def search_svr(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0), epsilons: Sequence[float] = (0.0, 0.1), max_iter: int = 50) -> SearchReport:
     """Squared epsilon-insensitive regression by Newton steps; each pass over the data serves all (C, epsilon) at once."""
     p, grid = len(ctx.features) + 1, [(C, e) for C in dict.fromkeys(C_values) for e in dict.fromkeys(epsilons)]
     w, size = np.zeros((len(grid), p)), p * p + p
@@ -398,16 +463,33 @@ def search_svr(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0),
         return fold
 
     ridge, done = np.diag([1.0] * (p - 1) + [1e-9]), np.zeros(len(grid), bool)
+    names, notes, broken = [f"linear_svr_C{C:g}_e{e:g}" for C, e in grid], [], {}
     for _ in range(max_iter):
         sums = partial_sums(ctx.df, [*ctx.features, ctx.target], fold_at(w.copy()), size * len(grid)).reshape(len(grid), size)
         for k, (C, _) in enumerate(grid):
-            new = np.linalg.lstsq(2 * C * sums[k, : p * p].reshape(p, p) + ridge, 2 * C * sums[k, p * p :], rcond=None)[0]
+            if k in broken:
+                continue
+            try:
+                if C <= 0:
+                    raise ValueError("C is positive")
+                new = np.linalg.lstsq(2 * C * sums[k, : p * p].reshape(p, p) + ridge, 2 * C * sums[k, p * p :], rcond=None)[0]
+            except (ValueError, np.linalg.LinAlgError) as e:
+                broken[k], done[k] = failed(names[k], e), True
+                continue
             done[k] = np.abs(new - w[k]).max() <= 1e-6 * max(1.0, np.abs(new).max())
             w[k] = new
         if done.all():
             break
-    found = [CandidateResult(f"linear_svr_C{C:g}_e{e:g}", "linear_svr", LinearSVR(ctx.features, own[:-1].tolist(), float(own[-1])), {"C": f"{C:g}", "epsilon": f"{e:g}", "converged": str(bool(ok)).lower()}) for (C, e), own, ok in zip(grid, w, done)]
-    return SearchReport("linear_svr", evaluate(ctx, found))
+    found = []
+    for k, (C, e) in enumerate(grid):
+        if k in broken:
+            notes.append(broken[k])
+            continue
+        if not done[k]:
+            notes.append({"reason": "convergence_warning", "candidate": names[k], "max_iter": max_iter})
+        own = {"C": f"{C:g}", "epsilon": f"{e:g}", "converged": str(bool(done[k])).lower()}
+        found.append(CandidateResult(names[k], "linear_svr", LinearSVR(ctx.features, w[k, :-1].tolist(), float(w[k, -1])), own))
+    return SearchReport("linear_svr", evaluate(ctx, found, notes), notes)
 
 
 def mlp_gradients(params: Sequence[np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, kind: str) -> list[np.ndarray]:
@@ -523,7 +605,10 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
 
     state = (min(2, len(order)), (3,))
     seen = {state}
-    best = evaluate(ctx, fit([state]))[0]
+    first = evaluate(ctx, fit([state]), notes)
+    if not first:
+        return SearchReport("mlp", [], notes)
+    best = first[0]
     tried.append(best)
     while len(tried) < max_candidates:
         p, hidden = state
@@ -533,13 +618,14 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
             notes.append({"reason": "no_more_local_moves"})
             break
         seen |= set(moves)
-        found = evaluate(ctx, fit(moves))
+        made = fit(moves)
+        found = evaluate(ctx, made, notes)
         tried += found
-        k_best = min(range(len(found)), key=lambda i: found[i].combined)
-        if best.combined - found[k_best].combined <= min_gain:
+        next_best = min(found, key=lambda c: c.combined, default=None)
+        if next_best is None or best.combined - next_best.combined <= min_gain:
             notes.append({"reason": "no_score_improvement"})
             break
-        best, state = found[k_best], moves[k_best]
+        best, state = next_best, moves[made.index(next_best)]
     return SearchReport("mlp", tried, notes)
 
 
@@ -553,7 +639,9 @@ class _Auto:
     y_type = "auto"
 
     def __init__(self, models: Sequence[str] | str = "auto", *, X_type: str = "numeric", aggregation: str = "euclidean", weights=None, n_bins: int | str = "auto", random_state: int | None = None, options: Mapping[str, dict] | None = None):
-        names = self.families if models == "auto" else tuple(dict.fromkeys([models] if isinstance(models, str) else models))
+        if isinstance(models, str) and models != "auto":
+            raise ValueError("models is auto or a list of names")
+        names = self.families if models == "auto" else tuple(dict.fromkeys(models))
         if not names or any(not isinstance(m, str) or m not in self.families for m in names):
             raise ValueError(f"models are of {', '.join(self.families)}")
         self.models, self.options, self.seed = names, dict(options or {}), random_state or 0
@@ -571,7 +659,8 @@ class _Auto:
             explicit = [] if candidates is None else self._explicit(ctx, candidates)
             self.reports = [SEARCHERS[m](ctx, **self.options.get(m, {})) for m in self.models]
             if explicit:
-                self.reports.append(SearchReport("explicit", evaluate(ctx, explicit)))
+                notes: list[dict] = []
+                self.reports.append(SearchReport("explicit", evaluate(ctx, explicit, notes), notes))
         finally:
             rows.unpersist()
         self.candidates = sorted((c for r in self.reports for c in r.candidates), key=lambda c: c.combined)
