@@ -207,19 +207,22 @@ class AnomalyDetector:
         return spark.createDataFrame([(*names(f), dimensions, float(f[1]), f[2], f[3], float(f[4]), n) for f in kept[:max_groups]], schema)
 
     def _kmeans(self, pair: tuple[int, int], kind: str):
+        """(the anomalies with column cluster, inertia, both sizes) of the best of three two-means runs on standardised values."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import VectorAssembler
 
-        base = self.rows.where(self._of_kind(kind)).select("sample_index", *[as_number(self.rows, f"x_{k}").alias(f"v{k}") for k in pair])
-        m = base.agg(*[f(f"v{k}") for k in pair for f in (F.avg, F.stddev_pop)]).first()
-        z = base.select("sample_index", *[((F.col(f"v{k}") - F.lit(m[2 * i])) / F.lit(m[2 * i + 1] or 1.0)).alias(f"z{i}") for i, k in enumerate(pair)])
-        rows = VectorAssembler(inputCols=["z0", "z1"], outputCol="features").transform(z).persist()
+        base = self.rows.where(self._of_kind(kind))
+        x = [as_number(base, f"x_{k}") for k in pair]
+        m = base.agg(*[f(v) for v in x for f in (F.avg, F.stddev_pop)]).first()
+        z = base.withColumns({f"_z{i}": (v - F.lit(m[2 * i])) / F.lit(m[2 * i + 1] or 1.0) for i, v in enumerate(x)})
+        rows = VectorAssembler(inputCols=["_z0", "_z1"], outputCol="_z").transform(z).persist()
         try:
-            best = min((KMeans(k=2, seed=self.seed + s).fit(rows) for s in range(3)), key=lambda fit: fit.summary.trainingCost)
+            fits = [KMeans(k=2, seed=self.seed + s, featuresCol="_z", predictionCol="cluster").fit(rows) for s in range(3)]
+            best = min(fits, key=lambda fit: fit.summary.trainingCost)
         finally:
             rows.unpersist()
         sizes = [*best.summary.clusterSizes, 0][:2]
-        return best.transform(rows).select("sample_index", F.col("prediction").alias("cluster")), best.summary.trainingCost, *map(int, sizes)
+        return best.transform(rows), best.summary.trainingCost, *map(int, sizes)
 
     def group_points(self, attribute_1, attribute_2=None, kind: str = "all") -> DataFrame:
         given = [a for a in (attribute_1, attribute_2) if a is not None]
@@ -229,12 +232,13 @@ class AnomalyDetector:
         at = [self.features.index(a) if isinstance(a, str) else int(a) for a in given]
         if len(at) == 1:
             found = two_means_1d(self._views(kind).where(F.col("attribute") == at[0]), "attribute", "value").first()
-            cut = found["cut"] if found else 0.0  # without an anomaly there is no point either
-            labels = self.rows.where(self._of_kind(kind)).select("sample_index", (as_number(self.rows, f"x_{at[0]}") > F.lit(cut)).cast("int").alias("cluster"))
+            cut_at = found["cut"] if found else 0.0  # without an anomaly there is no point either
+            above = as_number(self.rows, f"x_{at[0]}") > F.lit(cut_at)
+            rows = self.rows.where(self._of_kind(kind)).withColumn("cluster", above.cast("int"))
         else:
-            labels = self._kmeans((at[0], at[1]), kind)[0]
+            rows = self._kmeans((at[0], at[1]), kind)[0]
         cols = ["cluster", "y_true", "y_pred", "anomaly_score", *[F.col(f"x_{k}").alias(self.features[k]) for k in at]]
-        return self.rows.join(labels, "sample_index").select("sample_index", *cols).orderBy("cluster", F.desc("anomaly_score"))
+        return rows.select("sample_index", *cols).orderBy("cluster", F.desc("anomaly_score"))
 
 
 def anomaly_table(df: DataFrame, features: Sequence[str], target: str, row_id: str, prediction: str, *, task: str = "auto", anomaly_rule: str = "auto", **options) -> DataFrame:

@@ -265,3 +265,16 @@ def rolling_segments(df: DataFrame, order_by: Sequence[str], size: int, step: in
     last = (n - size) // step
     low = F.greatest(F.lit(0), F.floor((F.col("_t") - size) / step) + 1)
     return base.withColumn("_hi", F.least(F.lit(last), F.floor(F.col("_t") / step))).withColumn("_lo", low).where("_lo <= _hi").withColumn("segment", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+
+
+def rolling_autoregression(df: DataFrame, y: str, order_by: Sequence[str], size: int, step: int) -> DataFrame:
+    """(segment, slope, intercept, r2, n): the first-order autoregression fitted again to each sliding segment.
+
+    A segment's lags come from its own rows. Segments are grouped by their number, so a task sees a few segments of `size`
+    rows, whatever the length of the series.
+    """
+    base = rolling_segments(df.select(*order_by, F.col(y).cast("double").alias("_y")), order_by, size, step)
+    w = Window.partitionBy("segment").orderBy("_t")
+    pairs = base.withColumn("_before", F.lag("_y").over(w)).where("_before IS NOT NULL")
+    fits = [F.regr_slope("_y", "_before").alias("slope"), F.regr_intercept("_y", "_before").alias("intercept"), F.regr_r2("_y", "_before").alias("r2")]
+    return pairs.groupBy("segment").agg(*fits, F.count(F.lit(1)).alias("n"))

@@ -135,7 +135,7 @@ def _smoothing(window: int, alpha: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-_fixed = {f"moving_average_w{w}": [1.0 / w] * w for w in (1, 2, 3)} | {f"exponential_smoothing_w{w}_a{a:g}": _smoothing(w, a) for w in (1, 2, 3) for a in (0.2, 0.5)}
+_fixed = {f"moving_average_w{w}": [1.0 / w] * w for w in (1, 2, 3)} | {f"exponential_smoothing_w{w}_a{a:g}": _smoothing(w, a) for w in (1, 2, 3) for a in (0.1, 0.2, 0.3, 0.5, 0.8)}
 
 
 def _fixed_scores() -> str:

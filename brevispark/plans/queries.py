@@ -136,11 +136,11 @@ def _series(spark: SparkSession, d: str, **options) -> ts.TimeSeries:
 
 
 def candidates_of_series(spark: SparkSession, d: str) -> DataFrame:
-    return ts.TimeSeries(window_size=3, smoothing_alphas=(0.2, 0.5)).fit(_events(spark, d), "y", ORDER, ["k"]).results_dataframe()
+    return ts.TimeSeries(window_size=3).fit(_events(spark, d), "y", ORDER, ["k"]).results_dataframe()
 
 
 def fixed_candidates_of_series(spark: SparkSession, d: str) -> DataFrame:
-    fit = ts.TimeSeries(window_size=3, models=["moving_average", "exponential_smoothing"], smoothing_alphas=(0.2, 0.5)).fit(_events(spark, d), "y", ORDER)
+    fit = ts.TimeSeries(window_size=3, models=["moving_average", "exponential_smoothing"]).fit(_events(spark, d), "y", ORDER)
     return r6(fit.results_dataframe().select(F.col("model_name").alias("candidate"), "inaccuracy", "estimator_score"))
 
 
@@ -230,7 +230,9 @@ def windowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_path(spark: SparkSession, d: str) -> DataFrame:
-    return _fit_line(spark, d).select_features(min_improvement=-1.0, return_details=True)[1]
+    path = _fit_line(spark, d).select_features(min_improvement=-1.0, return_details=True)[1]
+    names = ("selected_feature_indices", "selected_feature_names")
+    return r6(path.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in names}))
 
 
 QUERIES = {

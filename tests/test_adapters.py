@@ -68,11 +68,11 @@ def test_scores_of_whole_models(rows):
 
 def test_explicit_candidates_of_pyspark_ml(rows):
     fitted = DecisionTreeRegressor(maxDepth=2, labelCol="y").fit(rows)
-    auto = Regressor("linear_regression").fit(rows, NAMES, "y", candidates={"plain": LinearRegression(), "tree": fitted})
+    auto = Regressor(["linear_regression"]).fit(rows, NAMES, "y", candidates={"plain": LinearRegression(), "tree": fitted})
     table = {r["candidate"]: r for r in auto.results_dataframe().collect()}
     assert table["plain"]["native_estimator_score"] > 0.999 and table["tree"]["model_type"] == "DecisionTree"
     with pytest.raises(TypeError):
-        Regressor("linear_regression").fit(rows, NAMES, "y", candidates=[GBTRegressor(maxIter=1)])
+        Regressor(["linear_regression"]).fit(rows, NAMES, "y", candidates=[GBTRegressor(maxIter=1)])
     nb = Classifier("naive_bayes").fit(rows, NAMES, "three")
     assert len(nb.decision_function(rows).first()["decision"]) == 3
 

@@ -193,7 +193,7 @@ def test_classifier(labelled):
         auto.candidate_model_description("none")
     with pytest.raises(ValueError):
         Classifier(["random_forest"])
-    nb = Classifier("naive_bayes").fit(labelled, ["a", "b"], "k")
+    nb = Classifier(["naive_bayes"]).fit(labelled, ["a", "b"], "k")
     assert nb.predict_proba(labelled).first()["probability"].keys() == {"n", "p"} and nb.diagnostics_dataframe().count() == 0
 
 
@@ -313,7 +313,7 @@ def test_anomalies(spark):
         with pytest.raises(ValueError):
             bad()
     assert d.group_anomalies(dimensions=2, filter_redundant=False, filter_balanced=False).count() == 1
-    auto = AnomalyDetector("regression", y_type="numeric", auto_model_kwargs={"models": "linear_regression"}).fit(df, ["x", "w"], "y", "id")
+    auto = AnomalyDetector("regression", y_type="numeric", auto_model_kwargs={"models": ["linear_regression"]}).fit(df, ["x", "w"], "y", "id")
     assert auto.summary()["model_combined"] >= 0
 
 

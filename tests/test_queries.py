@@ -8,14 +8,14 @@ from collections import Counter
 import duckdb
 import pytest
 
-from brevispark.plans.oracle import SQL
-from brevispark.plans.queries import QUERIES
+from brevispark.plans import more, more_oracle, oracle, queries
 
+QUERIES, SQL = queries.QUERIES | more.QUERIES, oracle.SQL | more_oracle.SQL
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("automl")])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
