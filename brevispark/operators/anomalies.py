@@ -25,7 +25,8 @@ GROUPS_2 = "attribute_1 int, attribute_1_name string, attribute_2 int, attribute
 
 def robust_scale(df: DataFrame, column: str) -> float:
     """1.4826 times the median absolute deviation; if that is 0, the population deviation; if that is 0, 1."""
-    r = df.agg(F.count(column).alias("n"), F.stddev_pop(column).alias("s")).first()
+    spread = F.when(F.max(column) > F.min(column), F.stddev_pop(column)).otherwise(0.0)  # exactly 0 for a constant
+    r = df.agg(F.count(column).alias("n"), spread.alias("s")).first()
     middle = quantile(df, column, 0.5, r["n"])
     mad = quantile(df.select(F.abs(F.col(column) - F.lit(middle)).alias("d")), "d", 0.5, r["n"])
     return 1.4826 * mad or r["s"] or 1.0
@@ -38,7 +39,8 @@ def two_means_1d(df: DataFrame, group: str, value: str) -> DataFrame:
     the inertia of every split, so no iteration and no seed are needed. Equal values are never parted. Values are counted
     first and dealt by ranges, so no task holds a group.
     """
-    scale = df.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_scale"))
+    spread = F.when(F.max(value) > F.min(value), F.stddev_pop(value)).otherwise(0.0)  # exactly 0 for a constant
+    scale = df.groupBy(group).agg(F.avg(value).alias("_mean"), spread.alias("_scale"))
     counted = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
     z = (F.col(value) - F.col("_mean")) / F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(1.0)
     t = counted.join(F.broadcast(scale), group).select(group, F.col(value).alias("v"), z.alias("z"), "c")  # scale: a row a group

@@ -266,7 +266,7 @@ QUERIES = {
     "anomaly_by_kind": lambda s, d: _detector(s, d, "residual_quantile").anomalies("under_predicted"),
     "anomaly_two_means_1d": two_means,
     "anomaly_group_views": lambda s, d: r6(_detector(s, d, "residual_quantile").group_anomalies(filter_redundant=False), 4),
-    "anomaly_groups": lambda s, d: _detector(s, d, "residual_quantile").group_anomalies(),
+    "anomaly_groups": lambda s, d: r6(_detector(s, d, "residual_quantile").group_anomalies(), 4),
     "ols_single_feature": ols, "ols_gram_matrix": gram_matrix, "gnb_moments": gnb_moments, "gnb_scores_accuracy": gnb_accuracy,
     "automl_classifier_results": automl_classifier, "automl_regressor_results": automl_regressor, "windowed_code_length": windowed,
 }

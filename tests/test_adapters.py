@@ -73,7 +73,7 @@ def test_explicit_candidates_of_pyspark_ml(rows):
     assert table["plain"]["native_estimator_score"] > 0.999 and table["tree"]["model_type"] == "DecisionTree"
     with pytest.raises(TypeError):
         Regressor(["linear_regression"]).fit(rows, NAMES, "y", candidates=[GBTRegressor(maxIter=1)])
-    nb = Classifier("naive_bayes").fit(rows, NAMES, "three")
+    nb = Classifier(["naive_bayes"]).fit(rows, NAMES, "three")
     assert len(nb.decision_function(rows).first()["decision"]) == 3
 
 

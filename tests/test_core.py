@@ -260,7 +260,7 @@ def test_regressor(labelled):
     assert max(r["native_estimator_score"] for r in table.values() if r["family"] == "linear_svr") > 0.99 and max(r["native_estimator_score"] for r in table.values() if r["family"] == "mlp") > 0.5
     for bad in ("x", [], [object()]):
         with pytest.raises((TypeError, ValueError)):
-            Regressor("linear_regression").fit(labelled, ["a"], "y", candidates=bad)
+            Regressor(["linear_regression"]).fit(labelled, ["a"], "y", candidates=bad)
 
 
 @pytest.fixture(scope="module")
