@@ -22,7 +22,7 @@ from brevispark.llm.common import connected_components, cut, join_spread, named
 BLOCK = 2048
 LEAF = 32
 SAMPLE = 16384
-PER_CENTER, MOST_CENTERS = 4096, 128
+PER_CENTER, MOST_CENTERS = 2048, 1024
 SLACK = 1e-6  # bounds are relaxed by more than rounding can be; links are decided on the cosine alone
 
 
@@ -165,6 +165,39 @@ def _traverse(cosine: float):
     return run
 
 
+def _cell_pairs(nodes: DataFrame, nets: dict, label_type: str, eps: float) -> DataFrame:
+    """(label, dim, i, j, bi, bj): pairs of cells i <= j that their covering radii do not keep farther apart than eps.
+
+    A label without a net has one cell. Net points, and so the cells of labels with a net, are at most SAMPLE; these are
+    held by every task, and each cell finds its partners there.
+    """
+    spark, out = nodes.sparkSession, "label {}, dim int, i int, j int, bi int, bj int".format(label_type)
+    alone = nodes
+    if nets:
+        netted = F.broadcast(spark.createDataFrame(list(nets), f"label {label_type}, dim int"))
+        alone, mine = nodes.join(netted, ["label", "dim"], "left_anti"), nodes.join(netted, ["label", "dim"])
+        known: dict = {}
+        for r in mine.collect():  # at most SAMPLE rows
+            radius, blocks = known.setdefault((r["label"], r["dim"]), (np.full(len(nets[r["label"], r["dim"]]), -np.inf), np.zeros(len(nets[r["label"], r["dim"]]), np.int32)))
+            radius[r["cell"]], blocks[r["cell"]] = r["radius"], r["blocks"]
+        shared = spark.sparkContext.broadcast((nets, known))
+
+        def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nets, known = shared.value
+            for batch in batches:
+                for label, dim, i in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cell"))):
+                    net, (radius, blocks) = nets[label, dim], known[label, dim]
+                    gap = distances(net[i : i + 1], net)[0] - radius[i] - radius
+                    j = np.flatnonzero((blocks > 0) & (gap <= eps + SLACK) & (np.arange(len(net)) >= i)).astype(np.int32)
+                    same = [pa.array([v] * len(j), t) for v, t in ((label, batch.column("label").type), (dim, pa.int32()), (i, pa.int32()))]
+                    bi = pa.array(np.full(len(j), blocks[i], np.int32))
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(j), bi, pa.array(blocks[j])], ["label", "dim", "i", "j", "bi", "bj"])
+
+        found = mine.select("label", "dim", "cell").mapInArrow(partners, out)
+    own = alone.select("label", "dim", F.col("cell").alias("i"), F.col("cell").alias("j"), F.col("blocks").alias("bi"), F.col("blocks").alias("bj"))
+    return found.unionByName(own) if nets else own
+
+
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
@@ -202,15 +235,9 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
 
     label_type, vec_type = classes.schema["label"].dataType.simpleString(), classes.schema["vec"].dataType.simpleString()
     placed = cut(classes.select("label", "vec", "rep", "weight", "dim").mapInArrow(assign, f"label {label_type}, vec {vec_type}, rep long, weight long, dim int, cell int, far double"))
-    nodes = placed.groupBy("label", "dim", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    gaps = [(label, dim, i, j, float(d)) for (label, dim), net in nets.items() for i, row in enumerate(distances(net, net)) for j, d in enumerate(row)]  # bounded by SAMPLE
-    eps = float(np.sqrt(2.0 - 2.0 * cosine))
-    a, b = nodes.alias("a"), nodes.alias("b")
-    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.cell") <= F.col("b.cell"))
-    pairs = a.join(b, same).select(F.col("a.label").alias("label"), F.col("a.dim").alias("dim"), F.col("a.cell").alias("i"), F.col("b.cell").alias("j"), F.col("a.blocks").alias("bi"), F.col("b.blocks").alias("bj"), (F.col("a.radius") + F.col("b.radius")).alias("reach"))
-    if gaps:
-        gap = spark.createDataFrame(gaps, f"label {label_type}, dim int, i int, j int, gap double")
-        pairs = pairs.join(gap, ["label", "dim", "i", "j"], "left").where(F.coalesce(F.col("gap") - F.col("reach"), F.lit(0.0)) <= eps + SLACK)
+    cells = [F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")]
+    nodes = cut(placed.groupBy("label", "dim", "cell").agg(*cells))
+    pairs = _cell_pairs(nodes, nets, label_type, float(np.sqrt(2.0 - 2.0 * cosine)))
     pairs = pairs.select("label", "dim", "i", "j", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("p"), "bj").select("label", "dim", "i", "j", "p", F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("q")).where("i < j OR p <= q")
     pairs = cut(pairs)
     sides = pairs.select("label", "dim", F.col("i").alias("cell"), F.col("p").alias("block"), "i", "p", "j", "q")
