@@ -82,13 +82,25 @@ class EliasFano:
         low = int.from_bytes(self.low[first // 8 : (last + 7) // 8], "little") >> first % 8 & ((1 << self.l) - 1)
         return high << self.l | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.l)
+    def select_many(self, first: int, count: int) -> np.ndarray:
+        """The values at first and the count - 1 places behind it: the samples say which bits hold them."""
+        if not count:
+            return np.zeros(0, np.uint64)
+        last, block = first + count - 1, first // EVERY
+        at = int(self.samples[block])
+        stop = int(self.samples[last // EVERY + 1]) if last // EVERY + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, -(-stop // 8) - at // 8, at // 8), bitorder="little")
+        ones = np.flatnonzero(bits[at % 8 :])[first - block * EVERY :][:count] + at
+        high = (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.l)
         if not self.l:
-            return high.astype(np.int64)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.l].reshape(self.n, self.l)
-        return (high | (bits.astype(np.uint64) << np.arange(self.l, dtype=np.uint64)).sum(1, dtype=np.uint64)).astype(np.int64)
+            return high
+        a, b = first * self.l, (last + 1) * self.l
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8, -(-b // 8) - a // 8, a // 8), bitorder="little")
+        low = bits[a % 8 : a % 8 + b - a].reshape(count, self.l).astype(np.uint64)
+        return high | (low << np.arange(self.l, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+    def all(self) -> np.ndarray:
+        return self.select_many(0, self.n).astype(np.int64)
 
 
 def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
@@ -117,19 +129,19 @@ class Shard:
         self.n, self.n_ids, self.width, first = head[:4]
         self.ends, at = EliasFano.read(raw, 112, self.n, *head[4:8])
         names, at = EliasFano.read(raw, at, self.n, *head[8:12])
-        keys = names.all().view(np.uint64).tolist()
+        keys = names.select_many(0, self.n).tolist()
         nulls = np.unpackbits(np.frombuffer(raw, np.uint8, head[12], at), bitorder="little") if head[12] else np.zeros(self.n, bool)
         first -= (first >> 63) << 64
         self.doc_ids = [None if z else first + x for x, z in zip(keys, nulls)]
         self.ids = np.frombuffer(raw, f"<u{self.width}", self.n_ids, at + head[12])
 
     def bounds(self) -> Iterator[tuple[int, int]]:
-        """(start, end) of each document in the ids, by one select each."""
+        """(start, end) of each document in the ids, by selects of a few thousand at a time."""
         start = 0
-        for i in range(self.n):
-            end = self.ends.select(i)
-            yield start, end
-            start = end
+        for i in range(0, self.n, 4096):
+            for end in self.ends.select_many(i, min(4096, self.n - i)).tolist():
+                yield start, end
+                start = end
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the document at i, found with two selects."""
@@ -218,7 +230,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
                 with fs.open_input_file(f"{base}/{name}") as f:
                     shard = Shard(f.read())
-                found = [(start + a, b - a, zlib.crc32(shard.ids[a:b].astype("<u4").tobytes())) for a, b in shard.bounds()]
+                ids = memoryview(shard.ids.astype("<u4")).cast("B")
+                found = [(start + a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in shard.bounds()]
                 cols = [pa.array(shard.doc_ids, pa.int64()), *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)]]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -42,7 +42,7 @@ class Pieces(dict):
 
     def add(self, pieces: list[tuple[str, bytes]]) -> None:
         self.update(pieces)
-        self.held += sum(200 + 2 * len(p) + len(ids) for p, ids in pieces)
+        self.held += 200 * len(pieces) + sum(map(len, [x for pair in pieces for x in pair]))
 
     def shrink(self) -> None:
         """Starts anew if it holds too much."""

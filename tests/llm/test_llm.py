@@ -118,6 +118,10 @@ def test_pieces_give_the_ids_of_whole_texts(docs):
 def test_elias_fano(values, top):
     ef = token_files.EliasFano.of(np.array(values, np.int64), top)
     assert ef.all().tolist() == values and [ef.select(i) for i in range(len(values))] == values
+    for first in range(0, len(values), 1 + len(values) // 7):
+        for count in (0, 1, 63, 64, 1000):
+            count = min(count, len(values) - first)
+            assert ef.select_many(first, count).tolist() == values[first : first + count]
     with pytest.raises(IndexError):
         ef.select(len(values))
     if len(values) > 1000:
