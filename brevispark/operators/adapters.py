@@ -19,7 +19,11 @@ def tree_of(node, by_class: bool, total: float) -> TreeNode:
     """A node of a pyspark.ml tree and all below it; risks are shares of `total` training weight."""
     stats = list(node.impurityStats().stats())
     weight = sum(stats) if by_class else stats[0]
-    out = TreeNode([float(x) for x in stats] if by_class else float(node.prediction()), weight, float(node.impurity()) * weight / total)
+    out = TreeNode(
+        [float(x) for x in stats] if by_class else float(node.prediction()),
+        weight,
+        float(node.impurity()) * weight / total,
+    )
     if node.getClass().getSimpleName() == "InternalNode":
         if node.split().getClass().getSimpleName() != "ContinuousSplit":
             raise TypeError("no description for splits over categories")
@@ -41,7 +45,9 @@ def _linear(m, features: list[str], classes: None) -> Model:
 def _logistic(m, features: list[str], classes: list) -> Model:
     if m.isSet("thresholds") or len(classes) == 2 and m.getThreshold() != 0.5:
         raise TypeError("no description for thresholds of one's own")
-    return LinearClassifier(features, classes, m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist())
+    return LinearClassifier(
+        features, classes, m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist()
+    )
 
 
 def _svc(m, features: list[str], classes: list) -> Model:
@@ -62,7 +68,9 @@ def _one_vs_rest(m, features: list[str], classes: list) -> Model:
 def _naive_bayes(m, features: list[str], classes: list) -> Model:
     if m.getOrDefault("modelType") != "gaussian" or m.isSet("thresholds"):
         raise TypeError("only Gaussian naive Bayes has a description")
-    return GaussianNB(features, classes, [math.exp(x) for x in m.pi.toArray()], m.theta.toArray().tolist(), m.sigma.toArray().tolist())
+    return GaussianNB(
+        features, classes, [math.exp(x) for x in m.pi.toArray()], m.theta.toArray().tolist(), m.sigma.toArray().tolist()
+    )
 
 
 def _perceptron(m, features: list[str], classes: list) -> Model:
@@ -112,17 +120,30 @@ def from_ml(model, features: Sequence[str], classes: Sequence | None = None) ->
 def fit_ml(estimator, rows: DataFrame, features: Sequence[str], classes: Sequence | None = None) -> Model:
     """from_ml() of an unfitted pyspark.ml estimator, fitted on rows (features vector, label index)."""
     name = type(estimator).__name__
-    if f"{name}Model" not in REGRESSORS | CLASSIFIERS and name.replace("Classifier", "ClassificationModel").replace("Regressor", "RegressionModel") not in REGRESSORS | CLASSIFIERS:
+    if f"{name}Model" not in REGRESSORS | CLASSIFIERS and name.replace(
+        "Classifier", "ClassificationModel"
+    ).replace("Regressor", "RegressionModel") not in REGRESSORS | CLASSIFIERS:
         raise TypeError(f"no description for {name}")
-    return from_ml(estimator.fit(rows, {estimator.featuresCol: "features", estimator.labelCol: "label"}), features, classes)
-
-
-def components_model(metric, model, df: DataFrame | None = None, *, features: Sequence[str] | None = None, classes: Sequence | None = None) -> dict[str, float]:
+    return from_ml(
+        estimator.fit(rows, {estimator.featuresCol: "features", estimator.labelCol: "label"}), features, classes
+    )
+
+
+def components_model(
+    metric,
+    model,
+    df: DataFrame | None = None,
+    *,
+    features: Sequence[str] | None = None,
+    classes: Sequence | None = None,
+) -> dict[str, float]:
     """The four components of a model, for a fitted CombinedScore; features are the model's own, by default all of the metric's."""
     own = from_ml(model, features or metric.features, classes)
     a = artifacts(own, metric.features, "_prediction")
     rows = own.transform(metric.df if df is None else df, a.predictions)
-    return metric.from_inaccuracy(a.subset, metric.inaccuracy.inaccuracy_predictions(rows, a.predictions), a.model_string, as_mask=False)
+    return metric.from_inaccuracy(
+        a.subset, metric.inaccuracy.inaccuracy_predictions(rows, a.predictions), a.model_string, as_mask=False
+    )
 
 
 def combined_model(metric, model, df: DataFrame | None = None, **options) -> float:

@@ -17,7 +17,10 @@ from brevispark.operators.order import prefix_sums, quantile
 from brevispark.sources.shared import cut
 from brevispark.sources.tables import as_number, resolve_numeric, resolve_target
 
-RULES = {"classification": ("misclassification", "probability_quantile"), "regression": ("residual_quantile", "standardized_residual", "bin_mismatch")}
+RULES = {
+    "classification": ("misclassification", "probability_quantile"),
+    "regression": ("residual_quantile", "standardized_residual", "bin_mismatch"),
+}
 KINDS = ("all", "misclassified", "under_predicted", "over_predicted")
 GROUPS = "attribute_1 int, attribute_1_name string, dimensions int, inertia double, cluster_0_size long, cluster_1_size long, balance double, n_anomalies long"
 GROUPS_2 = "attribute_1 int, attribute_1_name string, attribute_2 int, attribute_2_name string, dimensions int, inertia double, cluster_0_size long, cluster_1_size long, balance double, n_anomalies long"
@@ -55,7 +58,9 @@ def two_means_1d(df: DataFrame, group: str, value: str) -> DataFrame:
     rank = F.when(n1 > 0, inertia).otherwise(float("inf"))
     key = F.struct(rank.alias("i"), inertia.alias("inertia"), F.col("v").alias("cut"), n0.alias("n0"), n1.alias("n1"))
     best = t.groupBy(group).agg(F.min(key).alias("b"))
-    return best.select(group, "b.cut", "b.inertia", F.col("b.n0").alias("cluster_0_size"), F.col("b.n1").alias("cluster_1_size"))
+    return best.select(
+        group, "b.cut", "b.inertia", F.col("b.n0").alias("cluster_0_size"), F.col("b.n1").alias("cluster_1_size")
+    )
 
 
 class AnomalyDetector:
@@ -64,7 +69,21 @@ class AnomalyDetector:
     Without that column the probability comes from the model, which must know every observed class.
     """
 
-    def __init__(self, task: str = "auto", X_type: str = "auto", y_type: str = "auto", anomaly_rule: str = "auto", anomaly_quantile: float = 0.95, z_score_threshold: float = 3.0, n_bins: int | str = "auto", fit_model: bool = False, auto_model_kwargs: dict | None = None, min_cluster_fraction: float = 0.1, redundancy_threshold: float = 0.85, random_state: int | None = None):
+    def __init__(
+        self,
+        task: str = "auto",
+        X_type: str = "auto",
+        y_type: str = "auto",
+        anomaly_rule: str = "auto",
+        anomaly_quantile: float = 0.95,
+        z_score_threshold: float = 3.0,
+        n_bins: int | str = "auto",
+        fit_model: bool = False,
+        auto_model_kwargs: dict | None = None,
+        min_cluster_fraction: float = 0.1,
+        redundancy_threshold: float = 0.85,
+        random_state: int | None = None,
+    ):
         if task not in ("auto", *RULES) or anomaly_rule not in ("auto", *RULES["classification"], *RULES["regression"]):
             raise ValueError("unknown task or rule")
         if task in RULES and anomaly_rule != "auto" and anomaly_rule not in RULES[task]:
@@ -74,7 +93,17 @@ class AnomalyDetector:
         self.task, self.X_type, self.y_type, self.rule, self.quantile, self.z, self.n_bins = task, X_type, y_type, anomaly_rule, anomaly_quantile, z_score_threshold, n_bins
         self.fit_model, self.kwargs, self.min_fraction, self.max_redundancy, self.seed = fit_model, auto_model_kwargs or {}, min_cluster_fraction, redundancy_threshold, random_state or 0
 
-    def fit(self, df: DataFrame, features: Sequence[str], target: str, row_id: str, *, prediction: str | None = None, model=None, probability: str | None = None) -> "AnomalyDetector":
+    def fit(
+        self,
+        df: DataFrame,
+        features: Sequence[str],
+        target: str,
+        row_id: str,
+        *,
+        prediction: str | None = None,
+        model=None,
+        probability: str | None = None,
+    ) -> "AnomalyDetector":
         if prediction is not None and model is not None:
             raise ValueError("give predictions or a model, not both")
         self.features, self.target, self.model, self.model_score = list(features), target, model, None
@@ -94,7 +123,9 @@ class AnomalyDetector:
             own = self.model.get_model() if hasattr(self.model, "get_model") else self.model
             if probability is None and self.rule == "probability_quantile" and isinstance(own, Model):
                 probability = "_true_class_probability"
-                by_class = F.create_map(*[x for c, p in zip(own.classes or [], own.probabilities()) for x in (F.lit(c), p)])
+                by_class = F.create_map(
+                    *[x for c, p in zip(own.classes or [], own.probabilities()) for x in (F.lit(c), p)]
+                )
                 df = df.withColumn(probability, F.try_element_at(by_class, F.col(target)))
         self.task_, rule = task, self.rule
         if rule == "auto":
@@ -102,7 +133,13 @@ class AnomalyDetector:
         if rule not in RULES[task]:
             raise ValueError("the rule does not fit the task")
         self.rule_, self.df, self.id = rule, df, row_id
-        base = df.select(F.col(row_id).alias("sample_index"), F.col(target).alias("y_true"), F.col(prediction).alias("y_pred"), *[F.col(f).alias(f"x_{k}") for k, f in enumerate(self.features)], *([F.col(probability).alias("true_class_probability")] if probability else []))
+        base = df.select(
+            F.col(row_id).alias("sample_index"),
+            F.col(target).alias("y_true"),
+            F.col(prediction).alias("y_pred"),
+            *[F.col(f).alias(f"x_{k}") for k, f in enumerate(self.features)],
+            *([F.col(probability).alias("true_class_probability")] if probability else []),
+        )
         self.threshold = None
         if task == "classification":
             wrong = F.col("y_true").cast("string") != F.col("y_pred").cast("string")
@@ -123,7 +160,9 @@ class AnomalyDetector:
             base = base.withColumn("residual", r).withColumn("absolute_residual", F.abs(r))
             scale = robust_scale(base, "residual")
             base = base.withColumn("standardized_residual", F.col("residual") / F.lit(scale))
-            direction = F.when(F.col("residual") > 0, "under_predicted").when(F.col("residual") < 0, "over_predicted").otherwise("exact")
+            direction = F.when(
+                F.col("residual") > 0, "under_predicted"
+            ).when(F.col("residual") < 0, "over_predicted").otherwise("exact")
             base = base.withColumn("direction", direction)
             if rule == "residual_quantile":
                 base = base.withColumn("anomaly_score", F.col("absolute_residual"))
@@ -133,7 +172,13 @@ class AnomalyDetector:
                 self.threshold, mask = self.z, F.col("anomaly_score") >= self.z
             else:
                 bins = rice_bins(self.n_bins, n)
-                base = base.withColumn("anomaly_score", F.abs(bin_of(as_number(base, "y_true"), *bounds["y_true"], bins) - bin_of(as_number(base, "y_pred"), *bounds["y_pred"], bins)).cast("double"))
+                base = base.withColumn(
+                    "anomaly_score",
+                    F.abs(
+                        bin_of(as_number(base, "y_true"), *bounds["y_true"], bins)
+                        - bin_of(as_number(base, "y_pred"), *bounds["y_pred"], bins)
+                    ).cast("double"),
+                )
                 mask = F.col("anomaly_score") > 0
             kind = F.when(~mask, "regular").otherwise(F.col("direction"))
         self.rows = base.withColumn("is_anomaly", mask).withColumn("anomaly_kind", kind)
@@ -144,9 +189,16 @@ class AnomalyDetector:
         return F.col("anomaly_score") >= F.lit(self.threshold)
 
     def _of_kind(self, kind: str) -> Column:
-        if kind not in KINDS or (kind == "misclassified") > (self.task_ == "classification") or (kind in KINDS[2:]) > (self.task_ == "regression"):
+        if kind not in KINDS or (kind == "misclassified") > (
+            self.task_ == "classification"
+        ) or (kind in KINDS[2:]) > (self.task_ == "regression"):
             raise ValueError("the kind does not fit the task")
-        more = {"all": F.lit(True), "misclassified": ~F.col("correct") if self.task_ == "classification" else None, "under_predicted": F.col("residual") > 0 if self.task_ == "regression" else None, "over_predicted": F.col("residual") < 0 if self.task_ == "regression" else None}
+        more = {
+            "all": F.lit(True),
+            "misclassified": ~F.col("correct") if self.task_ == "classification" else None,
+            "under_predicted": F.col("residual") > 0 if self.task_ == "regression" else None,
+            "over_predicted": F.col("residual") < 0 if self.task_ == "regression" else None,
+        }
         return F.col("is_anomaly") & more[kind]
 
     def anomaly_scores(self) -> DataFrame:
@@ -164,11 +216,22 @@ class AnomalyDetector:
         if self.task_ == "classification":
             aggs.append(F.count_if(~F.col("correct")).alias("n_misclassified"))
         else:
-            aggs += [F.avg("absolute_residual").alias("mean_absolute_residual"), F.count_if(self._of_kind("under_predicted")).alias("n_under_predicted"), F.count_if(self._of_kind("over_predicted")).alias("n_over_predicted")]
+            aggs += [
+                F.avg("absolute_residual").alias("mean_absolute_residual"),
+                F.count_if(self._of_kind("under_predicted")).alias("n_under_predicted"),
+                F.count_if(self._of_kind("over_predicted")).alias("n_over_predicted"),
+            ]
         r = self.rows.agg(*aggs).first().asDict()
         if self.task_ == "regression":
             r["median_absolute_residual"] = quantile(self.rows, "absolute_residual", 0.5, r["n_samples"])
-        out = {"task": self.task_, "anomaly_rule": self.rule_, "n_features": len(self.features), "anomaly_rate": r["n_anomalies"] / r["n_samples"] if r["n_samples"] else 0.0, "model_type": type(self.model).__name__ if self.model is not None else None, "threshold": self.threshold}
+        out = {
+            "task": self.task_,
+            "anomaly_rule": self.rule_,
+            "n_features": len(self.features),
+            "anomaly_rate": r["n_anomalies"] / r["n_samples"] if r["n_samples"] else 0.0,
+            "model_type": type(self.model).__name__ if self.model is not None else None,
+            "threshold": self.threshold,
+        }
         return out | r | ({"model_combined": self.model_score} if self.model_score is not None else {})
 
     def explain(self) -> dict:
@@ -177,10 +240,25 @@ class AnomalyDetector:
 
     def _views(self, kind: str) -> DataFrame:
         """(sample_index, attribute, value) of the anomalies."""
-        parts = [F.struct(F.lit(k).alias("attribute"), as_number(self.rows, f"x_{k}").alias("value")) for k in range(len(self.features))]
-        return self.rows.where(self._of_kind(kind)).select("sample_index", F.explode(F.array(*parts)).alias("v")).select("sample_index", "v.attribute", "v.value")
+        parts = [
+            F.struct(F.lit(k).alias("attribute"), as_number(self.rows, f"x_{k}").alias("value"))
+            for k in range(len(self.features))
+        ]
+        return self.rows.where(self._of_kind(kind)).select(
+            "sample_index", F.explode(F.array(*parts)).alias("v")
+        ).select("sample_index", "v.attribute", "v.value")
 
-    def group_anomalies(self, dimensions: int = 1, kind: str = "all", max_groups: int | None = None, filter_balanced: bool = True, filter_redundant: bool = True, filter_repeated_attributes: bool = True, min_cluster_fraction: float | None = None, redundancy_threshold: float | None = None) -> DataFrame:
+    def group_anomalies(
+        self,
+        dimensions: int = 1,
+        kind: str = "all",
+        max_groups: int | None = None,
+        filter_balanced: bool = True,
+        filter_redundant: bool = True,
+        filter_repeated_attributes: bool = True,
+        min_cluster_fraction: float | None = None,
+        redundancy_threshold: float | None = None,
+    ) -> DataFrame:
         """Views of one or two attributes that part the anomalies in two, best first. One job covers all single attributes."""
         if dimensions not in (1, 2) or max_groups is not None and max_groups < 1:
             raise ValueError("dimensions is 1 or 2 and max_groups at least one")
@@ -189,7 +267,10 @@ class AnomalyDetector:
         if n < 2:
             return spark.createDataFrame([], schema)
         if dimensions == 1:
-            found = [((r["attribute"],), r["inertia"], r["cluster_0_size"], r["cluster_1_size"]) for r in two_means_1d(self._views(kind), "attribute", "value").collect()]
+            found = [
+                ((r["attribute"],), r["inertia"], r["cluster_0_size"], r["cluster_1_size"])
+                for r in two_means_1d(self._views(kind), "attribute", "value").collect()
+            ]
         else:
             found = [(pair, *self._kmeans(pair, kind)[1:]) for pair in combinations(range(len(self.features)), 2)]
         fraction = self.min_fraction if min_cluster_fraction is None else min_cluster_fraction
@@ -197,16 +278,22 @@ class AnomalyDetector:
         if filter_balanced:
             rows = [f for f in rows if min(f[2], f[3]) / n >= fraction]
         limit = self.max_redundancy if redundancy_threshold is None else redundancy_threshold
-        red = Miscoding(self.X_type, self.y_type, self.n_bins).fit(self.df, self.features, self.target).redundancy if filter_redundant else None
+        red = Miscoding(
+            self.X_type, self.y_type, self.n_bins
+        ).fit(self.df, self.features, self.target).redundancy if filter_redundant else None
         taken: set[int] = set()
         kept = []
         for f in rows:
-            if filter_repeated_attributes and taken & set(f[0]) or red and any(red[a][b] >= limit for a in f[0] for b in taken):
+            if filter_repeated_attributes and taken & set(f[0]) or red and any(
+                red[a][b] >= limit for a in f[0] for b in taken
+            ):
                 continue
             taken |= set(f[0])
             kept.append(f)
         names = lambda f: [x for a in f[0] for x in (a, self.features[a])]
-        return spark.createDataFrame([(*names(f), dimensions, float(f[1]), f[2], f[3], float(f[4]), n) for f in kept[:max_groups]], schema)
+        return spark.createDataFrame(
+            [(*names(f), dimensions, float(f[1]), f[2], f[3], float(f[4]), n) for f in kept[:max_groups]], schema
+        )
 
     def _kmeans(self, pair: tuple[int, int], kind: str):
         """(the anomalies with column cluster, inertia, both sizes) of the best of three two-means runs on standardised values."""
@@ -219,7 +306,9 @@ class AnomalyDetector:
         z = base.withColumns({f"_z{i}": (v - F.lit(m[2 * i])) / F.lit(m[2 * i + 1] or 1.0) for i, v in enumerate(x)})
         rows = VectorAssembler(inputCols=["_z0", "_z1"], outputCol="_z").transform(z).persist()
         try:
-            fits = [KMeans(k=2, seed=self.seed + s, featuresCol="_z", predictionCol="cluster").fit(rows) for s in range(3)]
+            fits = [
+                KMeans(k=2, seed=self.seed + s, featuresCol="_z", predictionCol="cluster").fit(rows) for s in range(3)
+            ]
             best = min(fits, key=lambda fit: fit.summary.trainingCost)
         finally:
             rows.unpersist()
@@ -243,5 +332,17 @@ class AnomalyDetector:
         return rows.select("sample_index", *cols).orderBy("cluster", F.desc("anomaly_score"))
 
 
-def anomaly_table(df: DataFrame, features: Sequence[str], target: str, row_id: str, prediction: str, *, task: str = "auto", anomaly_rule: str = "auto", **options) -> DataFrame:
-    return AnomalyDetector(task=task, anomaly_rule=anomaly_rule, **options).fit(df, features, target, row_id, prediction=prediction).anomaly_table()
+def anomaly_table(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    row_id: str,
+    prediction: str,
+    *,
+    task: str = "auto",
+    anomaly_rule: str = "auto",
+    **options,
+) -> DataFrame:
+    return AnomalyDetector(task=task, anomaly_rule=anomaly_rule, **options).fit(
+        df, features, target, row_id, prediction=prediction
+    ).anomaly_table()

@@ -65,10 +65,26 @@ class SearchContext:
 def _finish(ctx: SearchContext, c: CandidateResult, inaccuracy: float, native: float) -> CandidateResult:
     a = artifacts(c.model, ctx.features)
     c.tokens = [ctx.features.index(f) for f in c.model.features]
-    return _scored(ctx, c, a.subset, len(a.model_string.encode()), ctx.score.surfeit.surfeit_string(a.model_string), inaccuracy, native)
-
-
-def _scored(ctx: SearchContext, c: CandidateResult, subset: list[int], length: int, surfeit: float, inaccuracy: float, native: float) -> CandidateResult:
+    return _scored(
+        ctx,
+        c,
+        a.subset,
+        len(a.model_string.encode()),
+        ctx.score.surfeit.surfeit_string(a.model_string),
+        inaccuracy,
+        native,
+    )
+
+
+def _scored(
+    ctx: SearchContext,
+    c: CandidateResult,
+    subset: list[int],
+    length: int,
+    surfeit: float,
+    inaccuracy: float,
+    native: float,
+) -> CandidateResult:
     c.subset, c.length, c.native = subset, length, native
     m = ctx.score.metric.measures(sorted(subset))
     c.components = dict(zip(COMPONENTS, (m["deficiency"], m["surplus"], inaccuracy, surfeit)))
@@ -118,7 +134,9 @@ class NestedTexts:
         return sorted(f for f, n in self.used.items() if n)
 
     def text(self) -> str:
-        return "\n".join([f"def predict({', '.join(map(feature_token, self.subset()))}):", *filter(None, self.lines)]) + "\n"
+        return "\n".join(
+            [f"def predict({', '.join(map(feature_token, self.subset()))}):", *filter(None, self.lines)]
+        ) + "\n"
 
 
 def grown_tree(ctx: SearchContext, model) -> tuple[DecisionTree, "LeafCells"]:
@@ -174,7 +192,9 @@ class LeafCells:
             sums = [F.sum(v).alias("s"), F.sum(v * v).alias("q")]
         else:
             state = F.array_position(F.array(*map(F.lit, ctx.classes)), y) - 1
-        rows = ctx.df.select(tree.leaf_column().alias("leaf"), state.alias("state"), y.alias("y")).groupBy("leaf", "state").agg(F.count(F.lit(1)).alias("c"), *sums).toArrow()
+        rows = ctx.df.select(
+            tree.leaf_column().alias("leaf"), state.alias("state"), y.alias("y")
+        ).groupBy("leaf", "state").agg(F.count(F.lit(1)).alias("c"), *sums).toArrow()
         leaf, state, c = (rows[x].to_numpy() for x in ("leaf", "state", "c"))
         order = np.lexsort((state, leaf))
         leaves = len(tree.root.leaves())
@@ -193,7 +213,9 @@ class LeafCells:
     def joint(self, p_state: np.ndarray, height: int, a: int = 0, b: int | None = None) -> np.ndarray:
         """Rows by predicted state (p_state has each leaf's) and state, over the leaves from a to b."""
         x = slice(self.first[a], self.first[len(self.size) if b is None else b])
-        return np.bincount(p_state[self.leaf[x]] * self.states + self.state[x], self.c[x], height * self.states).reshape(height, self.states)
+        return np.bincount(
+            p_state[self.leaf[x]] * self.states + self.state[x], self.c[x], height * self.states
+        ).reshape(height, self.states)
 
 
 def evaluate_nested(ctx: SearchContext, tree: DecisionTree, cells: LeafCells) -> list[CandidateResult]:
@@ -266,7 +288,12 @@ def evaluate_nested(ctx: SearchContext, tree: DecisionTree, cells: LeafCells) ->
             top = max(k_y, k_p)
             bad = min(1.0, max(0.0, (k_yp - min(k_y, k_p)) / top)) if top > 0 else 0.0 if equal else 1.0
             leaves = str(sum(texts.used.values()) + 1)
-            c = CandidateResult(f"decision_tree_{k}_leaves_{leaves}", "decision_tree", DecisionTree(ctx.features, root, ctx.classes), {"n_leaves": leaves})
+            c = CandidateResult(
+                f"decision_tree_{k}_leaves_{leaves}",
+                "decision_tree",
+                DecisionTree(ctx.features, root, ctx.classes),
+                {"n_leaves": leaves},
+            )
             waiting.append((c, texts.subset(), texts.text(), bad, float(native)))
             if len(waiting) == 16:
                 flush()
@@ -274,7 +301,9 @@ def evaluate_nested(ctx: SearchContext, tree: DecisionTree, cells: LeafCells) ->
     return found
 
 
-def evaluate(ctx: SearchContext, found: list[CandidateResult], notes: list[dict] | None = None) -> list[CandidateResult]:
+def evaluate(
+    ctx: SearchContext, found: list[CandidateResult], notes: list[dict] | None = None
+) -> list[CandidateResult]:
     """Candidates with components, combined and native scores; all share one scan for predictions and one for native scores.
 
     If that fails, each is evaluated by itself: those that cannot be are left out, with a note, and a native score that
@@ -295,7 +324,11 @@ def evaluate(ctx: SearchContext, found: list[CandidateResult], notes: list[dict]
 
 
 def failed(candidate: str, error: Exception) -> dict:
-    return {"reason": "fit_failed", "candidate": candidate, "error": str(error).splitlines()[0][:200] if str(error) else type(error).__name__}
+    return {
+        "reason": "fit_failed",
+        "candidate": candidate,
+        "error": str(error).splitlines()[0][:200] if str(error) else type(error).__name__,
+    }
 
 
 def _native_scores(ctx: SearchContext, wide: DataFrame, names: Sequence[str]) -> dict[str, float]:
@@ -328,9 +361,15 @@ def _evaluate_together(ctx: SearchContext, found: list[CandidateResult]) -> list
 def _assembled(ctx: SearchContext, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    label = F.col(ctx.target).cast("double") if ctx.classes is None else (F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1).cast("double")
-    rows = ctx.df.select(*[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], label.alias("label"))
-    return VectorAssembler(inputCols=[f"f{k}" for k in range(len(features))], outputCol="features").transform(rows).select("features", "label")
+    label = F.col(ctx.target).cast("double") if ctx.classes is None else (
+        F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1
+    ).cast("double")
+    rows = ctx.df.select(
+        *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], label.alias("label")
+    )
+    return VectorAssembler(
+        inputCols=[f"f{k}" for k in range(len(features))], outputCol="features"
+    ).transform(rows).select("features", "label")
 
 
 def search_tree(ctx: SearchContext, max_depth: int = 30, max_bins: int = 1024) -> SearchReport:
@@ -357,7 +396,15 @@ def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:
     if not order:
         return SearchReport("linear_regression", [], [{"reason": "empty_feature_order"}])
     g = gram(ctx.df, order, ctx.target)
-    found = [CandidateResult(f"linear_regression_{p}", "linear_regression", LinearRegressor(order[:p], *solve_ols(g, p)), {"n_features": str(p)}) for p in range(1, len(order) + 1)]
+    found = [
+        CandidateResult(
+            f"linear_regression_{p}",
+            "linear_regression",
+            LinearRegressor(order[:p], *solve_ols(g, p)),
+            {"n_features": str(p)},
+        )
+        for p in range(1, len(order) + 1)
+    ]
     notes: list[dict] = []
     found = evaluate(ctx, found, notes)
     if patience is None:
@@ -367,7 +414,9 @@ def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:
         kept.append(c)
         best = k if c.combined < found[best].combined else best
         if k - best >= patience:
-            return SearchReport("linear_regression", kept, [*notes, {"reason": "early_stopping_patience", "n_features": k + 1}])
+            return SearchReport(
+                "linear_regression", kept, [*notes, {"reason": "early_stopping_patience", "n_features": k + 1}]
+            )
     return SearchReport("linear_regression", kept, notes)
 
 
@@ -386,13 +435,27 @@ def search_logistic(ctx: SearchContext, max_iter: int = 1000) -> SearchReport:
         if m.summary.totalIterations >= max_iter:
             notes.append({"reason": "logistic_convergence_warning", "n_features": p})
         rows, b = m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist()
-        found.append(CandidateResult(f"logistic_regression_{p}", "logistic_regression", LinearClassifier(order[:p], ctx.classes, rows, b), {"n_features": str(p), "iterations": str(m.summary.totalIterations)}))
+        found.append(
+            CandidateResult(
+                f"logistic_regression_{p}",
+                "logistic_regression",
+                LinearClassifier(order[:p], ctx.classes, rows, b),
+                {"n_features": str(p), "iterations": str(m.summary.totalIterations)},
+            )
+        )
     return SearchReport("logistic_regression", evaluate(ctx, found, notes), notes)
 
 
 def gaussian_moments(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """A row for each class: its count, means and population variances, in one pass."""
-    return df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c).cast("double")).alias(f"{name}_{k}") for k, c in enumerate(features) for name, f in (("mean", F.avg), ("var", F.var_pop))]).orderBy("class")
+    return df.groupBy(F.col(target).alias("class")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[
+            f(F.col(c).cast("double")).alias(f"{name}_{k}")
+            for k, c in enumerate(features)
+            for name, f in (("mean", F.avg), ("var", F.var_pop))
+        ],
+    ).orderBy("class")
 
 
 def search_naive_bayes(ctx: SearchContext, var_smoothing: float = 1e-9) -> SearchReport:
@@ -439,13 +502,22 @@ def search_svc(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0),
             except Exception as e:
                 notes.append(failed(name, e))
                 continue
-            found.append(CandidateResult(name, "linear_svc", LinearSVC(ctx.features, ctx.classes, slopes, intercepts), {"C": f"{C:g}"}))
+            found.append(
+                CandidateResult(
+                    name, "linear_svc", LinearSVC(ctx.features, ctx.classes, slopes, intercepts), {"C": f"{C:g}"}
+                )
+            )
     finally:
         rows.unpersist()
     return SearchReport("linear_svc", evaluate(ctx, found, notes), notes)
 
 
-def search_svr(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0), epsilons: Sequence[float] = (0.0, 0.1), max_iter: int = 50) -> SearchReport:
+def search_svr(
+    ctx: SearchContext,
+    C_values: Sequence[float] = (0.1, 1.0, 10.0),
+    epsilons: Sequence[float] = (0.0, 0.1),
+    max_iter: int = 50,
+) -> SearchReport:
     """Squared epsilon-insensitive regression by Newton steps; each pass over the data serves all (C, epsilon) at once."""
     p, grid = len(ctx.features) + 1, [(C, e) for C in dict.fromkeys(C_values) for e in dict.fromkeys(epsilons)]
     w, size = np.zeros((len(grid), p)), p * p + p
@@ -465,14 +537,18 @@ def search_svr(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0),
     ridge, done = np.diag([1.0] * (p - 1) + [1e-9]), np.zeros(len(grid), bool)
     names, notes, broken = [f"linear_svr_C{C:g}_e{e:g}" for C, e in grid], [], {}
     for _ in range(max_iter):
-        sums = partial_sums(ctx.df, [*ctx.features, ctx.target], fold_at(w.copy()), size * len(grid)).reshape(len(grid), size)
+        sums = partial_sums(
+            ctx.df, [*ctx.features, ctx.target], fold_at(w.copy()), size * len(grid)
+        ).reshape(len(grid), size)
         for k, (C, _) in enumerate(grid):
             if k in broken:
                 continue
             try:
                 if C <= 0:
                     raise ValueError("C is positive")
-                new = np.linalg.lstsq(2 * C * sums[k, : p * p].reshape(p, p) + ridge, 2 * C * sums[k, p * p :], rcond=None)[0]
+                new = np.linalg.lstsq(
+                    2 * C * sums[k, : p * p].reshape(p, p) + ridge, 2 * C * sums[k, p * p :], rcond=None
+                )[0]
             except (ValueError, np.linalg.LinAlgError) as e:
                 broken[k], done[k] = failed(names[k], e), True
                 continue
@@ -488,11 +564,15 @@ def search_svr(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0),
         if not done[k]:
             notes.append({"reason": "convergence_warning", "candidate": names[k], "max_iter": max_iter})
         own = {"C": f"{C:g}", "epsilon": f"{e:g}", "converged": str(bool(done[k])).lower()}
-        found.append(CandidateResult(names[k], "linear_svr", LinearSVR(ctx.features, w[k, :-1].tolist(), float(w[k, -1])), own))
+        found.append(
+            CandidateResult(names[k], "linear_svr", LinearSVR(ctx.features, w[k, :-1].tolist(), float(w[k, -1])), own)
+        )
     return SearchReport("linear_svr", evaluate(ctx, found, notes), notes)
 
 
-def mlp_gradients(params: Sequence[np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, kind: str) -> list[np.ndarray]:
+def mlp_gradients(
+    params: Sequence[np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, kind: str
+) -> list[np.ndarray]:
     """The sums over rows of weight w of the loss's gradients; params are the weights of all layers, then the biases."""
     acts, layers = [x], len(params) // 2
     for k in range(layers):
@@ -515,7 +595,9 @@ def train_mlps(shapes: Sequence[Sequence[int]], gradients, seed: int, max_iter:
     nets = []
     for sizes in shapes:
         rng = np.random.default_rng(seed)
-        nets.append([rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])] + [np.zeros(b) for b in sizes[1:]])
+        nets.append(
+            [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])] + [np.zeros(b) for b in sizes[1:]]
+        )
     m, v = ([[np.zeros_like(q) for q in net] for net in nets] for _ in range(2))
     for t in range(1, max_iter + 1):
         for net, grads, a, b in zip(nets, gradients(nets), m, v):
@@ -537,7 +619,14 @@ def _sorted(table, names: Sequence[str]) -> list[np.ndarray]:
     return [c[at] for c in cols]
 
 
-def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2, max_units: int = 6, min_gain: float = 1e-4, sample_rows: int = 20_000) -> SearchReport:
+def search_mlp(
+    ctx: SearchContext,
+    max_candidates: int = 5,
+    max_layers: int = 2,
+    max_units: int = 6,
+    min_gain: float = 1e-4,
+    sample_rows: int = 20_000,
+) -> SearchReport:
     """Greedy growth from two features and three units: add a feature, a layer or a unit while the score improves.
 
     Regression networks are trained on all rows: on counts and means of the target for each distinct row of features, which
@@ -548,20 +637,30 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
     """
     order = ctx.order()
     names, k = [f"f{i}" for i in range(len(order))], len(ctx.classes or [])
-    target = F.col(ctx.target).cast("double") if ctx.classes is None else (F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1).cast("double")
+    target = F.col(ctx.target).cast("double") if ctx.classes is None else (
+        F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1
+    ).cast("double")
     data, mid, spread = ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(order, names)], target.alias("y")), 0.0, 1.0
     x = None
     if ctx.classes is None:
-        r = data.agg(F.avg("y").alias("y"), F.stddev_pop("y").alias("s"), *[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        r = data.agg(
+            F.avg("y").alias("y"),
+            F.stddev_pop("y").alias("s"),
+            *[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))],
+        ).first()
         kind, mid, spread = "regression", r["y"], r["s"] or 1.0
         mean, scale = (np.array([r[f"{g}{c}"] for c in names], float) for g in "ms")
-        groups = data.groupBy(*names).agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("c")).limit(LOCAL_GROUPS + 1).toArrow()
+        groups = data.groupBy(*names).agg(
+            F.avg("y").alias("y"), F.count(F.lit(1)).alias("c")
+        ).limit(LOCAL_GROUPS + 1).toArrow()
         if groups.num_rows <= LOCAL_GROUPS:
             *x, y, w = _sorted(groups, [*names, "y", "c"])
             y = (y[:, None] - mid) / spread
     else:
         uniform = (F.pmod(F.xxhash64(F.lit(ctx.seed), *names, "y"), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
-        rows = data.groupBy(*names, "y").agg(F.count(F.lit(1)).alias("c")).withColumn("p", F.col("c") / uniform).orderBy(F.desc("p"), *names, "y").limit(sample_rows + 1).toArrow()
+        rows = data.groupBy(*names, "y").agg(
+            F.count(F.lit(1)).alias("c")
+        ).withColumn("p", F.col("c") / uniform).orderBy(F.desc("p"), *names, "y").limit(sample_rows + 1).toArrow()
         least = rows["p"][sample_rows].as_py() if rows.num_rows > sample_rows else 0.0
         *x, y, w = _sorted(rows.slice(0, sample_rows), [*names, "y", "c"])
         w, at = np.maximum(w, least), y.astype(int)
@@ -582,9 +681,13 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
         def gradients(nets: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
             def fold(block: np.ndarray) -> np.ndarray:
                 z, t, one = (block[:, :-1] - mean) / scale, (block[:, -1:] - mid) / spread, np.ones(len(block))
-                return np.concatenate([g.ravel() for p, net in zip(features, nets) for g in mlp_gradients(net, z[:, :p], t, one, kind)])
+                return np.concatenate(
+                    [g.ravel() for p, net in zip(features, nets) for g in mlp_gradients(net, z[:, :p], t, one, kind)]
+                )
 
-            flat = partial_sums(data, [*names, "y"], fold, sum(q.size for net in nets for q in net)) / ctx.score.metric.n_samples
+            flat = partial_sums(
+                data, [*names, "y"], fold, sum(q.size for net in nets for q in net)
+            ) / ctx.score.metric.n_samples
             parts = iter(np.split(flat, np.cumsum([q.size for net in nets for q in net])[:-1]))
             return [[next(parts).reshape(q.shape) for q in net] for net in nets]
 
@@ -595,12 +698,21 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
 
     def fit(states: Sequence[tuple[int, tuple[int, ...]]]) -> list[CandidateResult]:
         out, features = [], [p for p, _ in states]
-        nets = train_mlps([(p, *hidden, outputs) for p, hidden in states], (summed if x is None else local)(features), ctx.seed)
+        nets = train_mlps(
+            [(p, *hidden, outputs) for p, hidden in states], (summed if x is None else local)(features), ctx.seed
+        )
         for (p, hidden), net in zip(states, nets):
             W, B = net[: len(hidden) + 1], net[len(hidden) + 1 :]
             W[-1], B[-1] = W[-1] * spread, B[-1] * spread + mid
             m = MLP(order[:p], ctx.classes, W, B, mean[:p].tolist(), scale[:p].tolist())
-            out.append(CandidateResult(f"mlp_{p}_{'x'.join(map(str, hidden))}", "mlp", m, {"n_features": str(p), "hidden": ",".join(map(str, hidden))}))
+            out.append(
+                CandidateResult(
+                    f"mlp_{p}_{'x'.join(map(str, hidden))}",
+                    "mlp",
+                    m,
+                    {"n_features": str(p), "hidden": ",".join(map(str, hidden))},
+                )
+            )
         return out
 
     state = (min(2, len(order)), (3,))
@@ -612,7 +724,11 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
     tried.append(best)
     while len(tried) < max_candidates:
         p, hidden = state
-        moves = ([(p + 1, hidden)] if p < len(order) else []) + ([(p, (*hidden, 3))] if len(hidden) < max_layers else []) + ([(p, (*hidden[:-1], hidden[-1] + 1))] if hidden[-1] < max_units else [])
+        moves = ([(p + 1, hidden)] if p < len(order) else []) + (
+            [(p, (*hidden, 3))] if len(hidden) < max_layers else []
+        ) + (
+            [(p, (*hidden[:-1], hidden[-1] + 1))] if hidden[-1] < max_units else []
+        )
         moves = [m for m in moves if m not in seen][: max_candidates - len(tried)]
         if not moves:
             notes.append({"reason": "no_more_local_moves"})
@@ -629,7 +745,15 @@ def search_mlp(ctx: SearchContext, max_candidates: int = 5, max_layers: int = 2,
     return SearchReport("mlp", tried, notes)
 
 
-SEARCHERS = {"decision_tree": search_tree, "logistic_regression": search_logistic, "linear_svc": search_svc, "naive_bayes": search_naive_bayes, "mlp": search_mlp, "linear_regression": search_ols, "linear_svr": search_svr}
+SEARCHERS = {
+    "decision_tree": search_tree,
+    "logistic_regression": search_logistic,
+    "linear_svc": search_svc,
+    "naive_bayes": search_naive_bayes,
+    "mlp": search_mlp,
+    "linear_regression": search_ols,
+    "linear_svr": search_svr,
+}
 CLASSIFIERS = ("decision_tree", "logistic_regression", "linear_svc", "naive_bayes", "mlp")
 REGRESSORS = ("linear_regression", "decision_tree", "linear_svr", "mlp")
 
@@ -638,7 +762,17 @@ class _Auto:
     families: tuple[str, ...] = ()
     y_type = "auto"
 
-    def __init__(self, models: Sequence[str] | str = "auto", *, X_type: str = "numeric", aggregation: str = "euclidean", weights=None, n_bins: int | str = "auto", random_state: int | None = None, options: Mapping[str, dict] | None = None):
+    def __init__(
+        self,
+        models: Sequence[str] | str = "auto",
+        *,
+        X_type: str = "numeric",
+        aggregation: str = "euclidean",
+        weights=None,
+        n_bins: int | str = "auto",
+        random_state: int | None = None,
+        options: Mapping[str, dict] | None = None,
+    ):
         if isinstance(models, str) and models != "auto":
             raise ValueError("models is auto or a list of names")
         names = self.families if models == "auto" else tuple(dict.fromkeys(models))
@@ -647,13 +781,24 @@ class _Auto:
         self.models, self.options, self.seed = names, dict(options or {}), random_state or 0
         self._score = (X_type, self.y_type, aggregation, weights, n_bins)
 
-    def fit(self, df: DataFrame, features: Sequence[str], target: str, candidates: Mapping[str, Model] | Sequence | None = None) -> "_Auto":
+    def fit(
+        self,
+        df: DataFrame,
+        features: Sequence[str],
+        target: str,
+        candidates: Mapping[str, Model] | Sequence | None = None,
+    ) -> "_Auto":
         self.features, self.target = list(features), target
         self.score_ = CombinedScore(*self._score).fit(df, features, target)
-        classes = [r[0] for r in df.select(target).distinct().orderBy(target).collect()] if self.y_type == "categorical" else None
+        classes = [
+            r[0] for r in df.select(target).distinct().orderBy(target).collect()
+        ] if self.y_type == "categorical" else None
         if classes is not None and len(classes) < 2:
             raise ValueError("a classifier needs two classes or more")
-        rows = df.select(*[F.col(f).cast("double").alias(f) if f != target else F.col(f) for f in self.features], *([] if target in features else [F.col(target)])).persist()
+        rows = df.select(
+            *[F.col(f).cast("double").alias(f) if f != target else F.col(f) for f in self.features],
+            *([] if target in features else [F.col(target)]),
+        ).persist()
         self.classes_, ctx = classes, SearchContext(rows, self.features, target, self.score_, classes, self.seed)
         try:
             explicit = [] if candidates is None else self._explicit(ctx, candidates)
@@ -676,8 +821,18 @@ class _Auto:
 
         if isinstance(candidates, str) or not len(candidates):
             raise ValueError("candidates are models, a mapping, or (name, model) pairs")
-        pairs = candidates.items() if isinstance(candidates, Mapping) else [c if isinstance(c, tuple) else (f"{type(c).__name__}_{i}", c) for i, c in enumerate(candidates)]
-        own = [(name, fit_ml(m, _assembled(ctx, ctx.features), ctx.features, ctx.classes) if isinstance(m, Estimator) else from_ml(m, ctx.features, ctx.classes)) for name, m in pairs]
+        pairs = candidates.items() if isinstance(candidates, Mapping) else [
+            c if isinstance(c, tuple) else (f"{type(c).__name__}_{i}", c) for i, c in enumerate(candidates)
+        ]
+        own = [
+            (
+                name,
+                fit_ml(m, _assembled(ctx, ctx.features), ctx.features, ctx.classes)
+                if isinstance(m, Estimator)
+                else from_ml(m, ctx.features, ctx.classes),
+            )
+            for name, m in pairs
+        ]
         return [CandidateResult(name, "explicit", m, {}) for name, m in own]
 
     def get_model(self) -> Model:
@@ -707,22 +862,55 @@ class _Auto:
 
     def explain(self) -> dict:
         b = self.best_result
-        return self.score_.explain_components(b.components) | {"candidate_name": b.candidate, "model_type": type(b.model).__name__, "model_family": b.family, "hyperparameters": b.hyperparameters}
+        return self.score_.explain_components(b.components) | {
+            "candidate_name": b.candidate,
+            "model_type": type(b.model).__name__,
+            "model_family": b.family,
+            "hyperparameters": b.hyperparameters,
+        }
 
     def results_dataframe(self) -> DataFrame:
-        rows = [(c.candidate, c.family, type(c.model).__name__, c.hyperparameters, c.combined, *[c.components[k] for k in COMPONENTS], c.native, c.subset, len(c.subset), c.length) for c in self.candidates]
+        rows = [
+            (
+                c.candidate,
+                c.family,
+                type(c.model).__name__,
+                c.hyperparameters,
+                c.combined,
+                *[c.components[k] for k in COMPONENTS],
+                c.native,
+                c.subset,
+                len(c.subset),
+                c.length,
+            )
+            for c in self.candidates
+        ]
         return self.spark.createDataFrame(rows, RESULTS).orderBy("combined")
 
     def diagnostics_dataframe(self) -> DataFrame:
-        rows = [(r.family, d["reason"], {k: str(v) for k, v in d.items() if k != "reason"}) for r in self.reports for d in r.diagnostics]
+        rows = [
+            (r.family, d["reason"], {k: str(v) for k, v in d.items() if k != "reason"})
+            for r in self.reports
+            for d in r.diagnostics
+        ]
         return self.spark.createDataFrame(rows, "family string, reason string, details map<string,string>")
 
     def candidate_model_description(self, candidate: str | None = None) -> dict:
-        found = self.best_result if candidate is None else next((c for c in self.candidates if c.candidate == candidate), None)
+        found = self.best_result if candidate is None else next(
+            (c for c in self.candidates if c.candidate == candidate), None
+        )
         if found is None:
             raise KeyError(f"no candidate {candidate}; there are {', '.join(c.candidate for c in self.candidates[:8])}")
         length, compressed = self.score_.surfeit.description_lengths(found.text)
-        return {"candidate": found.candidate, "family": found.family, "model_type": type(found.model).__name__, "model_string": found.text, "model_length": length, "model_compressed_length": compressed, "surfeit": found.components["surfeit"]}
+        return {
+            "candidate": found.candidate,
+            "family": found.family,
+            "model_type": type(found.model).__name__,
+            "model_string": found.text,
+            "model_length": length,
+            "model_compressed_length": compressed,
+            "surfeit": found.components["surfeit"],
+        }
 
 
 class Classifier(_Auto):
@@ -730,7 +918,12 @@ class Classifier(_Auto):
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """df with the map probability: class to probability, where the best model has them."""
-        return df.withColumn("probability", F.create_map(*[x for c, p in zip(self.classes_, self.best_result.model.probabilities()) for x in (F.lit(c), p)]))
+        return df.withColumn(
+            "probability",
+            F.create_map(
+                *[x for c, p in zip(self.classes_, self.best_result.model.probabilities()) for x in (F.lit(c), p)]
+            ),
+        )
 
     def decision_function(self, df: DataFrame) -> DataFrame:
         """df with the array decision: one margin for two classes, or a score for each class, where the best model has them."""

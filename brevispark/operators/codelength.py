@@ -28,14 +28,20 @@ class Encoded:
         self.frame.unpersist()
 
 
-def profile(df: DataFrame, columns: Sequence[str], numeric: Sequence[bool]) -> tuple[int, dict[str, tuple[float, float]]]:
+def profile(
+    df: DataFrame, columns: Sequence[str], numeric: Sequence[bool]
+) -> tuple[int, dict[str, tuple[float, float]]]:
     """Row count and bounds of numeric columns in one pass; missing or non-finite values are an error."""
     check_columns(df, columns, numeric)
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
     for k, (c, num) in enumerate(zip(columns, numeric)):
         if num:
             x = as_number(df, c)
-            aggs += [F.min(x).alias(f"lo{k}"), F.max(x).alias(f"hi{k}"), F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias(f"bad{k}")]
+            aggs += [
+                F.min(x).alias(f"lo{k}"),
+                F.max(x).alias(f"hi{k}"),
+                F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias(f"bad{k}"),
+            ]
         else:
             aggs.append(F.count_if(F.col(c).isNull()).alias(f"bad{k}"))
     r = df.agg(*aggs).first()
@@ -47,7 +53,15 @@ def profile(df: DataFrame, columns: Sequence[str], numeric: Sequence[bool]) -> t
     return r["n"], {c: (r[f"lo{k}"], r[f"hi{k}"]) for k, (c, num) in enumerate(zip(columns, numeric)) if num}
 
 
-def encode(df: DataFrame, columns: Sequence[str], numeric: Sequence[bool], n_bins: int | str = "auto", *, keep: Sequence[str] = (), cache: bool = True) -> Encoded:
+def encode(
+    df: DataFrame,
+    columns: Sequence[str],
+    numeric: Sequence[bool],
+    n_bins: int | str = "auto",
+    *,
+    keep: Sequence[str] = (),
+    cache: bool = True,
+) -> Encoded:
     """The states of columns, with the columns in keep beside them."""
     n, found = profile(df, columns, numeric)
     bins = rice_bins(n_bins, n)
@@ -71,8 +85,12 @@ def code_lengths(e: Encoded, sets: Iterable[Sequence[str]]) -> dict[frozenset[st
         part = wanted[at : at + SETS_A_JOB]
         cols = [c for c in e.columns if any(c in s for s in part)]
         flags = [F.grouping(c).cast("string") for c in cols]
-        counted = e.frame.groupingSets([[F.col(c) for c in cols if c in s] for s in part], *[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_c"), F.concat(*flags).alias("_set"))
-        for r in counted.groupBy("_set").agg(length_of(F.col("_c"), e.n).alias("length"), F.count(F.lit(1)).alias("states")).collect():
+        counted = e.frame.groupingSets(
+            [[F.col(c) for c in cols if c in s] for s in part], *[F.col(c) for c in cols]
+        ).agg(F.count(F.lit(1)).alias("_c"), F.concat(*flags).alias("_set"))
+        for r in counted.groupBy("_set").agg(
+            length_of(F.col("_c"), e.n).alias("length"), F.count(F.lit(1)).alias("states")
+        ).collect():
             out[frozenset(c for c, flag in zip(cols, r["_set"]) if flag == "0")] = (r["length"] + 0.0, r["states"])
     return out
 
@@ -86,10 +104,14 @@ class EmpiricalSummary:
     n_states: int
 
 
-def empirical_distribution(df: DataFrame, columns: Sequence[str], numeric: Sequence[bool], n_bins: int | str = "auto") -> EmpiricalSummary:
+def empirical_distribution(
+    df: DataFrame, columns: Sequence[str], numeric: Sequence[bool], n_bins: int | str = "auto"
+) -> EmpiricalSummary:
     """Joint states with count and probability, and their entropy and code length."""
     e = encode(df, columns, numeric, n_bins, cache=False)
-    states = e.frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("count")).withColumn("probability", F.col("count") / F.lit(float(e.n)))
+    states = e.frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("count")).withColumn(
+        "probability", F.col("count") / F.lit(float(e.n))
+    )
     r = states.agg(length_of(F.col("count"), e.n).alias("length"), F.count(F.lit(1)).alias("k")).first()
     return EmpiricalSummary(states.orderBy(*columns), r["length"] / e.n + 0.0, r["length"] + 0.0, e.n, r["k"])
 
@@ -101,7 +123,9 @@ def entropy_from_counts(counts: Sequence[float]) -> float:
 def code_length_from_counts(counts: Sequence[float]) -> float:
     import math
 
-    if not len(counts) or any(isinstance(c, (list, tuple)) or not math.isfinite(c) or c < 0 for c in counts) or not sum(counts):
+    if not len(counts) or any(
+        isinstance(c, (list, tuple)) or not math.isfinite(c) or c < 0 for c in counts
+    ) or not sum(counts):
         raise ValueError("counts are finite, not negative and not all zero")
     n = float(sum(counts))
     return math.fsum(-c * math.log2(c / n) for c in counts if c) + 0.0

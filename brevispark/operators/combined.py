@@ -37,7 +37,9 @@ def resolve_weights(weights: Mapping[str, float] | Sequence[float] | None) -> li
     return w
 
 
-def aggregate(values: Sequence[Column], mode: str, weights: Mapping[str, float] | Sequence[float] | None = None) -> Column:
+def aggregate(
+    values: Sequence[Column], mode: str, weights: Mapping[str, float] | Sequence[float] | None = None
+) -> Column:
     """The score of a whole table of candidates as one expression."""
     pairs = [(v, w) for v, w in zip(values, resolve_weights(weights)) if w > 0]
     total = sum(w for _, w in pairs)
@@ -113,14 +115,27 @@ def pareto(candidates: DataFrame, key: str, columns: Sequence[str] = COMPONENTS,
         return candidates.join(F.broadcast(other), no_worse & better, "left_anti")
     dealt = other.withColumn("_block", F.pmod(F.xxhash64(*other.columns), F.lit(blocks)))
     each = points.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    beaten = each.join(dealt, (F.col("_at") == F.col("_block")) & no_worse & better, "left_semi").select(*columns).distinct()
+    beaten = each.join(
+        dealt, (F.col("_at") == F.col("_block")) & no_worse & better, "left_semi"
+    ).select(*columns).distinct()
     return candidates.join(beaten, list(columns), "left_anti").select(*candidates.columns)
 
 
 class CombinedScore:
     """Fits the feature metrics, inaccuracy and surfeit on one table and scores (subset, predictions, description) triples."""
 
-    def __init__(self, X_type: str = "auto", y_type: str = "auto", aggregation: str = "euclidean", weights=None, n_bins: int | str = "auto", threshold_fraction: float = 0.0, surplus_penalty: float = 0.0, zlib_level: int = 9, zlib_overhead: int = 6):
+    def __init__(
+        self,
+        X_type: str = "auto",
+        y_type: str = "auto",
+        aggregation: str = "euclidean",
+        weights=None,
+        n_bins: int | str = "auto",
+        threshold_fraction: float = 0.0,
+        surplus_penalty: float = 0.0,
+        zlib_level: int = 9,
+        zlib_overhead: int = 6,
+    ):
         if aggregation not in MODES:
             raise ValueError(f"a mode is one of {', '.join(MODES)}")
         resolve_weights(weights)
@@ -130,7 +145,9 @@ class CombinedScore:
         if X_type not in ("auto", "numeric", "categorical") or y_type not in ("auto", "numeric", "categorical"):
             raise ValueError("a type is auto, numeric or categorical")
         # threshold_fraction and surplus_penalty are checked and have no further effect
-        self.X_type, self.y_type, self.aggregation, self.weights, self.n_bins, self.zlib = X_type, y_type, aggregation, weights, n_bins, (zlib_level, zlib_overhead)
+        self.X_type, self.y_type, self.aggregation, self.weights, self.n_bins, self.zlib = X_type, y_type, aggregation, weights, n_bins, (
+            zlib_level, zlib_overhead
+        )
 
     def fit(self, df: DataFrame, features: Sequence[str], target: str) -> "CombinedScore":
         self.df, self.features, self.target = df, list(features), target
@@ -142,11 +159,17 @@ class CombinedScore:
         self.surfeit.y_length = self.metric.y_length
         return self
 
-    def from_inaccuracy(self, subset: Sequence, inaccuracy: float, description: str, as_mask: bool | None = None) -> dict[str, float]:
+    def from_inaccuracy(
+        self, subset: Sequence, inaccuracy: float, description: str, as_mask: bool | None = None
+    ) -> dict[str, float]:
         m = self.metric.subset_analysis(subset, as_mask)
-        return dict(zip(COMPONENTS, (m["deficiency"], m["surplus"], inaccuracy, self.surfeit.surfeit_string(description))))
+        return dict(
+            zip(COMPONENTS, (m["deficiency"], m["surplus"], inaccuracy, self.surfeit.surfeit_string(description)))
+        )
 
-    def components(self, subset: Sequence, prediction: str, description: str, df: DataFrame | None = None) -> dict[str, float]:
+    def components(
+        self, subset: Sequence, prediction: str, description: str, df: DataFrame | None = None
+    ) -> dict[str, float]:
         return self.from_inaccuracy(subset, self.inaccuracy.inaccuracy_predictions(df, prediction), description)
 
     def total(self, components: Mapping[str, float]) -> float:
@@ -159,18 +182,32 @@ class CombinedScore:
         return 1 - self.combined(subset, prediction, description, df)
 
     def explain_components(self, c: Mapping[str, float]) -> dict:
-        row = self.df.sparkSession.createDataFrame([tuple(c[k] for k in COMPONENTS)], ", ".join(f"{k} double" for k in COMPONENTS))
+        row = self.df.sparkSession.createDataFrame(
+            [tuple(c[k] for k in COMPONENTS)], ", ".join(f"{k} double" for k in COMPONENTS)
+        )
         cols = [F.col(k) for k in COMPONENTS]
         r = row.select(profile(*cols).alias("profile"), dominant(*cols).alias("dominant")).first()
-        return {"combined": self.total(c), "aggregation": self.aggregation, "weights": dict(zip(COMPONENTS, resolve_weights(self.weights))), "components": dict(c), "dominant_component": r["dominant"], "profile": r["profile"], "recommendation": ADVICE[r["dominant"]]}
+        return {
+            "combined": self.total(c),
+            "aggregation": self.aggregation,
+            "weights": dict(zip(COMPONENTS, resolve_weights(self.weights))),
+            "components": dict(c),
+            "dominant_component": r["dominant"],
+            "profile": r["profile"],
+            "recommendation": ADVICE[r["dominant"]],
+        }
 
     def explain(self, subset: Sequence, prediction: str, description: str, df: DataFrame | None = None) -> dict:
         return self.explain_components(self.components(subset, prediction, description, df))
 
 
-def components(df: DataFrame, features: Sequence[str], target: str, subset: Sequence, prediction: str, description: str, **options) -> dict[str, float]:
+def components(
+    df: DataFrame, features: Sequence[str], target: str, subset: Sequence, prediction: str, description: str, **options
+) -> dict[str, float]:
     return CombinedScore(**options).fit(df, features, target).components(subset, prediction, description)
 
 
-def combined_score(df: DataFrame, features: Sequence[str], target: str, subset: Sequence, prediction: str, description: str, **options) -> float:
+def combined_score(
+    df: DataFrame, features: Sequence[str], target: str, subset: Sequence, prediction: str, description: str, **options
+) -> float:
     return CombinedScore(**options).fit(df, features, target).combined(subset, prediction, description)

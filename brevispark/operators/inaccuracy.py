@@ -18,7 +18,9 @@ def distance(joint: Column, y: Column, p: Column, equal: Column) -> Column:
     return F.when(top > 0, clip01((joint - F.least(y, p)) / top)).otherwise(F.when(equal, 0.0).otherwise(1.0))
 
 
-def inaccuracy_of_candidates(df: DataFrame, target: str, predictions: Sequence[str], *, y_type: str = "auto", n_bins: int | str = "auto") -> DataFrame:
+def inaccuracy_of_candidates(
+    df: DataFrame, target: str, predictions: Sequence[str], *, y_type: str = "auto", n_bins: int | str = "auto"
+) -> DataFrame:
     """(candidate, inaccuracy) for each prediction column, in two jobs however many there are.
 
     Bounds and validity of all columns are plain aggregates of one row. Target and predictions are binned each within its
@@ -74,7 +76,9 @@ class Inaccuracy:
     def inaccuracy_predictions(self, df: DataFrame | None, prediction: str) -> float:
         """Of a column of predictions beside the target."""
         kind = "numeric" if self.y_numeric else "categorical"
-        return inaccuracy_of_candidates(self.df if df is None else df, self.target, [prediction], y_type=kind, n_bins=self.n_bins).first()["inaccuracy"]
+        return inaccuracy_of_candidates(
+            self.df if df is None else df, self.target, [prediction], y_type=kind, n_bins=self.n_bins
+        ).first()["inaccuracy"]
 
     def inaccuracy_model(self, model, df: DataFrame | None = None, prediction: str = "prediction") -> float:
         return self.inaccuracy_predictions(model.transform(self.df if df is None else df), prediction)

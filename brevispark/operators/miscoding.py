@@ -24,7 +24,9 @@ def _ratio(a: float, b: float, default: float) -> float:
 
 
 class Miscoding:
-    def __init__(self, X_type: str = "auto", y_type: str = "auto", n_bins: int | str = "auto", min_improvement: float = 0.0):
+    def __init__(
+        self, X_type: str = "auto", y_type: str = "auto", n_bins: int | str = "auto", min_improvement: float = 0.0
+    ):
         if not math.isfinite(min_improvement) or min_improvement < 0:
             raise ValueError("min_improvement is finite and not negative")
         self.X_type, self.y_type, self.n_bins, self.min_improvement = X_type, y_type, n_bins, min_improvement
@@ -36,7 +38,12 @@ class Miscoding:
         self.numeric = resolve_numeric(df, self.features, self.X_type)
         self.y_numeric = resolve_target(df, target, self.y_type)
         y = "\x00y"  # the target may be a feature as well
-        e = encode(df.select(*self.features, F.col(target).alias(y)), [*self.features, y], [*self.numeric, self.y_numeric], self.n_bins)
+        e = encode(
+            df.select(*self.features, F.col(target).alias(y)),
+            [*self.features, y],
+            [*self.numeric, self.y_numeric],
+            self.n_bins,
+        )
         pairs = list(combinations(self.features, 2))
         got = code_lengths(e, [[y], *[[f] for f in self.features], *[[f, y] for f in self.features], *pairs])
         e.close()
@@ -57,7 +64,10 @@ class Miscoding:
         return self
 
     def _per_feature(self, values: list[float], name: str) -> DataFrame:
-        return self.spark.createDataFrame(list(zip(range(len(values)), self.features, values)), f"feature_index int, feature_name string, {name} double")
+        return self.spark.createDataFrame(
+            list(zip(range(len(values)), self.features, values)),
+            f"feature_index int, feature_name string, {name} double",
+        )
 
     def feature_deficiency(self) -> DataFrame:
         return self._per_feature(self.deficiency, "deficiency")
@@ -69,7 +79,17 @@ class Miscoding:
         return self._per_feature(self.miscoding, "miscoding")
 
     def feature_analysis(self) -> DataFrame:
-        rows = list(zip(range(len(self.features)), self.features, self.numeric, self.lengths, self.deficiency, self.surplus, self.miscoding))
+        rows = list(
+            zip(
+                range(len(self.features)),
+                self.features,
+                self.numeric,
+                self.lengths,
+                self.deficiency,
+                self.surplus,
+                self.miscoding,
+            )
+        )
         return self.spark.createDataFrame(rows, ANALYSIS).orderBy("miscoding", "deficiency", "surplus")
 
     def feature_redundancy(self) -> DataFrame:
@@ -78,7 +98,9 @@ class Miscoding:
         return self.spark.createDataFrame(rows, "feature_i string, feature_j string, redundancy double")
 
     def redundancy_matrix(self) -> DataFrame:
-        return self.feature_redundancy().groupBy("feature_i").pivot("feature_j", self.features).agg(F.first("redundancy"))
+        return self.feature_redundancy().groupBy("feature_i").pivot(
+            "feature_j", self.features
+        ).agg(F.first("redundancy"))
 
     def indices(self, subset: Sequence, as_mask: bool | None = None) -> list[int]:
         """A subset as indices: names or indices, or a mask of zeros and ones as long as the features (as_mask decides where both would do)."""
@@ -102,7 +124,9 @@ class Miscoding:
         else:
             d = math.prod(self.deficiency[j] ** a for j, a in zip(chosen, alpha))
             weight = sum(a * self.lengths[j] for j, a in zip(chosen, alpha))
-            s = sum(a * self.lengths[j] * self.surplus[j] for j, a in zip(chosen, alpha)) / weight if weight > 0 else 0.0
+            s = sum(
+                a * self.lengths[j] * self.surplus[j] for j, a in zip(chosen, alpha)
+            ) / weight if weight > 0 else 0.0
         total = sum(alpha)
         return {
             "deficiency": d, "surplus": s, "miscoding": max(d, s), "features_in_use": [int(i in chosen) for i in range(len(self.features))], "n_selected_features": len(chosen),
@@ -125,24 +149,48 @@ class Miscoding:
         chosen: list[int] = []
         now, path = self.measures([])["miscoding"], []
         while len(chosen) < min(len(self.features), max_features or len(self.features)):
-            options = [(m["miscoding"], m["deficiency"], m["surplus"], j) for j in range(len(self.features)) if j not in chosen for m in [self.measures([*chosen, j])]]
+            options = [
+                (m["miscoding"], m["deficiency"], m["surplus"], j)
+                for j in range(len(self.features))
+                if j not in chosen
+                for m in [self.measures([*chosen, j])]
+            ]
             m, d, s, j = min(options)
             if now - m <= least:
                 break
             chosen.append(j)
-            path.append({"step": len(chosen), "feature_index": j, "feature_name": self.features[j], "deficiency": d, "surplus": s, "miscoding": m, "improvement": now - m, "selected_feature_indices": list(chosen), "selected_feature_names": [self.features[i] for i in chosen]})
+            path.append(
+                {
+                    "step": len(chosen),
+                    "feature_index": j,
+                    "feature_name": self.features[j],
+                    "deficiency": d,
+                    "surplus": s,
+                    "miscoding": m,
+                    "improvement": now - m,
+                    "selected_feature_indices": list(chosen),
+                    "selected_feature_names": [self.features[i] for i in chosen],
+                }
+            )
             now = m
         return path
 
-    def select_features(self, max_features: int | None = None, min_improvement: float | None = None, return_details: bool = False):
+    def select_features(
+        self, max_features: int | None = None, min_improvement: float | None = None, return_details: bool = False
+    ):
         path = self.selection_path(max_features, min_improvement)
         chosen = path[-1]["selected_feature_indices"] if path else []
-        return (chosen, self.spark.createDataFrame([tuple(r.values()) for r in path], PATH)) if return_details else chosen
+        return (
+            chosen, self.spark.createDataFrame([tuple(r.values()) for r in path], PATH)
+        ) if return_details else chosen
 
     def feature_order(self) -> list[int]:
         """Greedy selection, then what is left in the order of feature_analysis()."""
         chosen = self.select_features()
-        rest = sorted((i for i in range(len(self.features)) if i not in chosen), key=lambda i: (self.miscoding[i], self.deficiency[i], self.surplus[i]))
+        rest = sorted(
+            (i for i in range(len(self.features)) if i not in chosen),
+            key=lambda i: (self.miscoding[i], self.deficiency[i], self.surplus[i]),
+        )
         return [*chosen, *rest]
 
 
@@ -162,7 +210,9 @@ def feature_redundancy(df: DataFrame, features: Sequence[str], target: str, **op
     return Miscoding(**options).fit(df, features, target).feature_redundancy()
 
 
-def miscoding_subset(df: DataFrame, features: Sequence[str], target: str, subset: Sequence, mode: str = "miscoding", **options) -> float:
+def miscoding_subset(
+    df: DataFrame, features: Sequence[str], target: str, subset: Sequence, mode: str = "miscoding", **options
+) -> float:
     return Miscoding(**options).fit(df, features, target).miscoding_subset(subset, mode)
 
 

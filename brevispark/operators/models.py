@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from brevispark.functions.text import class_token, feature_token, sci_number
 
 
-def partial_sums(df: DataFrame, columns: Sequence[str], fold: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+def partial_sums(
+    df: DataFrame, columns: Sequence[str], fold: Callable[[np.ndarray], np.ndarray], size: int
+) -> np.ndarray:
     """The sum over all rows of fold(block of rows), a vector of `size`; each task sends one vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +32,9 @@ def partial_sums(df: DataFrame, columns: Sequence[str], fold: Callable[[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
 
     out = np.zeros(size)
-    for r in df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in df.select(
+        *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]
+    ).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
@@ -38,7 +42,9 @@ def partial_sums(df: DataFrame, columns: Sequence[str], fold: Callable[[np.ndarr
 def gram(df: DataFrame, features: Sequence[str], target: str) -> np.ndarray:
     """X'X of the rows (1, features, target), in one pass; every OLS prefix is solved from it."""
     p = len(features) + 2
-    sums = partial_sums(df, [*features, target], lambda x: (lambda a: (a.T @ a).ravel())(np.column_stack([np.ones(len(x)), x])), p * p)
+    sums = partial_sums(
+        df, [*features, target], lambda x: (lambda a: (a.T @ a).ravel())(np.column_stack([np.ones(len(x)), x])), p * p
+    )
     return sums.reshape(p, p)
 
 
@@ -139,8 +145,14 @@ class LinearRegressor(Model):
     def text(self, tokens: Sequence[int] | None = None) -> str:
         at = list(tokens or range(len(self.features)))
         lines = [f" y = {sci_number(self.intercept)}"]
-        lines += [f" y {'+' if w > 0 else '-'}= {sci_number(abs(w))}*{feature_token(at[i])}" for i, w in enumerate(self.coefficients) if w]
-        return "\n".join([f"def predict({', '.join(feature_token(at[i]) for i in self.subset())}):", *lines, " return y"]) + "\n"
+        lines += [
+            f" y {'+' if w > 0 else '-'}= {sci_number(abs(w))}*{feature_token(at[i])}"
+            for i, w in enumerate(self.coefficients)
+            if w
+        ]
+        return "\n".join(
+            [f"def predict({', '.join(feature_token(at[i]) for i in self.subset())}):", *lines, " return y"]
+        ) + "\n"
 
     def column(self) -> Column:
         return linear_column(self.features, self.coefficients, self.intercept)
@@ -173,7 +185,9 @@ class LinearClassifier(Model):
 
     def column(self) -> Column:
         s = self.scores()
-        return F.when(s[0] > 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])) if len(s) == 1 else argmax_column(s, self.classes)
+        return F.when(
+            s[0] > 0, F.lit(self.classes[1])
+        ).otherwise(F.lit(self.classes[0])) if len(s) == 1 else argmax_column(s, self.classes)
 
     def probabilities(self) -> list[Column]:
         s = self.scores()
@@ -194,7 +208,11 @@ class GaussianNB(Model):
     variances: list[list[float]] = field(default_factory=list)
 
     def subset(self) -> list[int]:
-        return [i for i in range(len(self.features)) if len({m[i] for m in self.means}) > 1 or len({v[i] for v in self.variances}) > 1]
+        return [
+            i
+            for i in range(len(self.features))
+            if len({m[i] for m in self.means}) > 1 or len({v[i] for v in self.variances}) > 1
+        ]
 
     def text(self, tokens: Sequence[int] | None = None) -> str:
         out = []
@@ -211,7 +229,9 @@ class GaussianNB(Model):
         for prior, m, v in zip(self.priors, self.means, self.variances):
             s = F.lit(math.log(prior))
             for f, mean, var in zip(self.features, m, v):
-                s = s + F.lit(-0.5 * math.log(2 * math.pi * var)) - (F.col(f) - F.lit(mean)) * (F.col(f) - F.lit(mean)) / F.lit(2 * var)
+                s = s + F.lit(
+                    -0.5 * math.log(2 * math.pi * var)
+                ) - (F.col(f) - F.lit(mean)) * (F.col(f) - F.lit(mean)) / F.lit(2 * var)
             out.append(s)
         return out
 
@@ -236,7 +256,9 @@ class TreeNode:
         return [self] if self.feature is None else [*self.left.leaves(), *self.right.leaves()]
 
     def shape(self) -> tuple:
-        return () if self.feature is None else (self.feature, round(self.threshold, 12), self.left.shape(), self.right.shape())
+        return () if self.feature is None else (
+            self.feature, round(self.threshold, 12), self.left.shape(), self.right.shape()
+        )
 
 
 #: Leaves of the largest tree that becomes one expression of generated code.
@@ -269,14 +291,25 @@ class DecisionTree(Model):
         def lines(n: TreeNode, depth: int) -> list[str]:
             pad = " " * depth
             if n.feature is None:
-                return [f"{pad}return {class_token(self._leaf(n)) if self.classes is not None else sci_number(n.value)}"]
-            return [f"{pad}if {feature_token(at[n.feature])}<={sci_number(n.threshold)}:", *lines(n.left, depth + 1), f"{pad}else:", *lines(n.right, depth + 1)]
-
-        return "\n".join([f"def predict({', '.join(feature_token(at[i]) for i in self.subset())}):", *lines(self.root, 1)]) + "\n"
+                return [
+                    f"{pad}return {class_token(self._leaf(n)) if self.classes is not None else sci_number(n.value)}"
+                ]
+            return [
+                f"{pad}if {feature_token(at[n.feature])}<={sci_number(n.threshold)}:",
+                *lines(n.left, depth + 1),
+                f"{pad}else:",
+                *lines(n.right, depth + 1),
+            ]
+
+        return "\n".join(
+            [f"def predict({', '.join(feature_token(at[i]) for i in self.subset())}):", *lines(self.root, 1)]
+        ) + "\n"
 
     def _walk(self, leaf: Callable[[TreeNode], Column]) -> Column:
         def go(n: TreeNode) -> Column:
-            return leaf(n) if n.feature is None else F.when(F.col(self.features[n.feature]) <= F.lit(n.threshold), go(n.left)).otherwise(go(n.right))
+            return leaf(n) if n.feature is None else F.when(
+                F.col(self.features[n.feature]) <= F.lit(n.threshold), go(n.left)
+            ).otherwise(go(n.right))
 
         return go(self.root)
 
@@ -321,7 +354,9 @@ class DecisionTree(Model):
         if len(values) <= MAX_WALKED:
             at = {v: k for k, v in enumerate(values)}
             which, table = np.array([at[leaf(n)] for n in leaves]), F.array(*map(F.lit, values))
-            return F.element_at(table, F.pandas_udf(lambda s: pd.Series(which[s.to_numpy()] + 1), "int")(self.leaf_column()))
+            return F.element_at(
+                table, F.pandas_udf(lambda s: pd.Series(which[s.to_numpy()] + 1), "int")(self.leaf_column())
+            )
         numbers = np.array([leaf(n) for n in leaves], float)
         return F.pandas_udf(lambda s: pd.Series(numbers[s.to_numpy()]), "double")(self.leaf_column())
 
@@ -424,9 +459,33 @@ class MLP(Model):
     def text(self, tokens: Sequence[int] | None = None) -> str:
         at = list(tokens or range(len(self.features)))
         nest = lambda a: "[" + ",".join(nest(x) if getattr(x, "ndim", 0) else sci_number(x) for x in a) + "]"
-        prefix = ["P StandardScaler", *[f" {feature_token(i)} = ({feature_token(i)}-{sci_number(m)})/{sci_number(s)}" for i, m, s in zip(at, self.mean, self.scale)]] if self.mean else []
+        prefix = [
+            "P StandardScaler",
+            *[
+                f" {feature_token(i)} = ({feature_token(i)}-{sci_number(m)})/{sci_number(s)}"
+                for i, m, s in zip(at, self.mean, self.scale)
+            ],
+        ] if self.mean else []
         between = ACTIVATIONS[self.activation][0]
-        body = ["def predict(x):", *([f" E={math.e}"] if "E" in between else []), " W=[" + ",".join(map(nest, self.weights)) + "]", " B=[" + ",".join(map(nest, self.biases)) + "]", " a=[" + ",".join(f"x[{i}]" for i in range(len(self.features))) + "]", " for l in range(len(W)):", "  z=[]", "  for j in range(len(B[l])):", "   s=B[l][j]", "   for i in range(len(a)):", "    s+=a[i]*W[l][i][j]", "   z.append(s)", *(["  if l<len(W)-1:", f"   a=[{between} for v in z]", "  else:", "   a=z"] if self.activation != "identity" else ["  a=z"])]
+        body = [
+            "def predict(x):",
+            *([f" E={math.e}"] if "E" in between else []),
+            " W=[" + ",".join(map(nest, self.weights)) + "]",
+            " B=[" + ",".join(map(nest, self.biases)) + "]",
+            " a=[" + ",".join(f"x[{i}]" for i in range(len(self.features))) + "]",
+            " for l in range(len(W)):",
+            "  z=[]",
+            "  for j in range(len(B[l])):",
+            "   s=B[l][j]",
+            "   for i in range(len(a)):",
+            "    s+=a[i]*W[l][i][j]",
+            "   z.append(s)",
+            *(
+                ["  if l<len(W)-1:", f"   a=[{between} for v in z]", "  else:", "   a=z"]
+                if self.activation != "identity"
+                else ["  a=z"]
+            ),
+        ]
         if self.classes is None:
             body.append(" return a[0]")
         elif len(self.biases[-1]) == 1:
@@ -436,7 +495,9 @@ class MLP(Model):
         return "\n".join([*prefix, *body]) + "\n"
 
     def outputs(self) -> list[Column]:
-        a = [(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.mean, self.scale)] if self.mean else [F.col(f).cast("double") for f in self.features]
+        a = [
+            (F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.mean, self.scale)
+        ] if self.mean else [F.col(f).cast("double") for f in self.features]
         for layer, (w, b) in enumerate(zip(self.weights, self.biases)):
             z = []
             for j in range(len(b)):
@@ -454,7 +515,9 @@ class MLP(Model):
         a = self.outputs()
         if self.classes is None:
             return a[0]
-        return F.when(a[0] > 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])) if len(a) == 1 else argmax_column(a, self.classes)
+        return F.when(
+            a[0] > 0, F.lit(self.classes[1])
+        ).otherwise(F.lit(self.classes[0])) if len(a) == 1 else argmax_column(a, self.classes)
 
     def probabilities(self) -> list[Column]:
         if self.classes is None:

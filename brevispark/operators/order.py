@@ -80,7 +80,9 @@ def prefix_sums(df: DataFrame, group: str, order: str, sums: Sequence[str]) -> D
     dealt = cut(df.repartitionByRange(parts, group, order).withColumn("_part", F.spark_partition_id()))
     totals = dealt.groupBy(group, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(group, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    totals = totals.select(
+        group, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums]
+    )
     up = Window.partitionBy(group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.select("*", *[F.sum(c).over(up).alias(f"up_{c}") for c in sums]).join(totals, [group, "_part"])
     return out.select(*df.columns, *[(F.col(f"_{c}") + F.col(f"up_{c}")).alias(f"up_{c}") for c in sums])

@@ -35,7 +35,11 @@ def indexed(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     The order should have no ties; tied rows get positions in no particular order.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    own = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).withColumn(
+        "_p", F.spark_partition_id()
+    ).withColumn(
+        "_m", F.monotonically_increasing_id()
+    )
     own = cut(own)
     counts = {r["_p"]: r["count"] for r in own.groupBy("_p").count().collect()}  # a row for each partition
     at, offsets = 0, []
@@ -46,7 +50,16 @@ def indexed(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return own.withColumn("_t", (start + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_p", "_m")
 
 
-def lag_matrix(df: DataFrame, y: str, window: int, order_by: Sequence[str], *, exogenous: Sequence[str] = (), key: str | None = None, complete: bool = True) -> DataFrame:
+def lag_matrix(
+    df: DataFrame,
+    y: str,
+    window: int,
+    order_by: Sequence[str],
+    *,
+    exogenous: Sequence[str] = (),
+    key: str | None = None,
+    complete: bool = True,
+) -> DataFrame:
     """df with columns y_lag_k and <exogenous>_lag_k (lag 1 is the row before), for rows that have all of them (complete) or all rows.
 
     A keyed series uses a window for each key. One long series is cut to chunks of positions that overlap by the window, so
@@ -62,7 +75,9 @@ def lag_matrix(df: DataFrame, y: str, window: int, order_by: Sequence[str], *, e
         base, chunk, tail = indexed(df, order_by), F.floor(F.col("_t") / size), F.col("_t") % size >= size - window
         out = base.withColumn("_chunk", F.explode(F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
         w, own = Window.partitionBy("_chunk").orderBy("_t"), F.col("_chunk") == chunk
-    out = out.select("*", *[F.lag(c, k).over(w).alias(f"{name}_lag_{k}") for name, c in cols for k in range(1, window + 1)]).where(own).drop("_chunk")
+    out = out.select(
+        "*", *[F.lag(c, k).over(w).alias(f"{name}_lag_{k}") for name, c in cols for k in range(1, window + 1)]
+    ).where(own).drop("_chunk")
     return out.where(F.col("_t") >= window) if complete else out
 
 
@@ -72,7 +87,11 @@ def lag_names(window: int, exogenous: Sequence[str] = ()) -> list[str]:
 
 def lag_metadata(window: int, exogenous: Sequence[str] = ()) -> list[dict]:
     own = [{"source": "target", "attribute": "y", "lag": k} for k in range(1, window + 1)]
-    return own + [{"source": "exogenous", "attribute": x, "attribute_index": i, "lag": k} for i, x in enumerate(exogenous) for k in range(1, window + 1)]
+    return own + [
+        {"source": "exogenous", "attribute": x, "attribute_index": i, "lag": k}
+        for i, x in enumerate(exogenous)
+        for k in range(1, window + 1)
+    ]
 
 
 def moving_average_weights(window: int) -> list[float]:
@@ -95,9 +114,34 @@ def weighted(columns: Sequence[str], weights: Sequence[float], intercept: float
     return out
 
 
-def description(kind: str, name: str, inputs: Sequence[str], weights: Sequence[float], intercept: float, learned: bool, precision: int = 6) -> str:
-    lines = ["SCHEMA time-series/1", f"MODEL {kind}", "TASK forecasting", f"NAME {name}", f"INPUTS {', '.join(inputs) or '<none>'}", "PARAMETERS", f"    n_features = {len(inputs)}", f"    learned_coefficients = {str(learned).lower()}", "RULE", f"    y_hat = {fixed_number(intercept, precision)}"]
-    return "\n".join([*lines, *[f"    y_hat += {fixed_number(w, precision)} * {c}" for w, c in zip(weights, inputs)], "    return y_hat"]) + "\n"
+def description(
+    kind: str,
+    name: str,
+    inputs: Sequence[str],
+    weights: Sequence[float],
+    intercept: float,
+    learned: bool,
+    precision: int = 6,
+) -> str:
+    lines = [
+        "SCHEMA time-series/1",
+        f"MODEL {kind}",
+        "TASK forecasting",
+        f"NAME {name}",
+        f"INPUTS {', '.join(inputs) or '<none>'}",
+        "PARAMETERS",
+        f"    n_features = {len(inputs)}",
+        f"    learned_coefficients = {str(learned).lower()}",
+        "RULE",
+        f"    y_hat = {fixed_number(intercept, precision)}",
+    ]
+    return "\n".join(
+        [
+            *lines,
+            *[f"    y_hat += {fixed_number(w, precision)} * {c}" for w, c in zip(weights, inputs)],
+            "    return y_hat",
+        ]
+    ) + "\n"
 
 
 @dataclass
@@ -118,28 +162,68 @@ class Forecaster:
         return description(self.family, self.name, self.inputs, self.weights, self.intercept, self.learned)
 
 
-def lag_analysis_of(lags: DataFrame, n: int, names: Sequence[tuple[str, str, int]], y: str, n_bins: int | str) -> DataFrame:
+def lag_analysis_of(
+    lags: DataFrame, n: int, names: Sequence[tuple[str, str, int]], y: str, n_bins: int | str
+) -> DataFrame:
     """(attribute, lag, feature_name, deficiency, surplus, miscoding) of (column, attribute, lag), all in one grouping.
 
     Each lag uses the rows that have it, with bins from its own rows.
     """
-    parts = [F.struct(F.lit(c).alias("feature_name"), F.lit(a).alias("attribute"), F.lit(k).alias("lag"), F.col(c).cast("double").alias("x")) for c, a, k in names]
-    long = lags.select(F.col("_t"), F.col(y).cast("double").alias("y"), F.explode(F.array(*parts)).alias("v")).select("_t", "y", "v.*").where("_t >= lag")
-    bounds = long.groupBy("feature_name").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    bins = F.element_at(F.create_map(*[F.lit(v) for k in sorted({k for *_, k in names}) for v in (k, rice_bins(n_bins, n - k))]), F.col("lag"))
+    parts = [
+        F.struct(
+            F.lit(c).alias("feature_name"),
+            F.lit(a).alias("attribute"),
+            F.lit(k).alias("lag"),
+            F.col(c).cast("double").alias("x"),
+        )
+        for c, a, k in names
+    ]
+    long = lags.select(
+        F.col("_t"), F.col(y).cast("double").alias("y"), F.explode(F.array(*parts)).alias("v")
+    ).select("_t", "y", "v.*").where("_t >= lag")
+    bounds = long.groupBy("feature_name").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    )
+    bins = F.element_at(
+        F.create_map(*[F.lit(v) for k in sorted({k for *_, k in names}) for v in (k, rice_bins(n_bins, n - k))]),
+        F.col("lag"),
+    )
     long = long.join(F.broadcast(bounds), "feature_name").withColumn("b", bins)  # a row for each lag
-    states = long.select("attribute", "lag", "feature_name", bin_of(F.col("x"), F.col("x0"), F.col("x1"), F.col("b")).alias("xb"), bin_of(F.col("y"), F.col("y0"), F.col("y1"), F.col("b")).alias("yb"))
+    states = long.select(
+        "attribute",
+        "lag",
+        "feature_name",
+        bin_of(F.col("x"), F.col("x0"), F.col("x1"), F.col("b")).alias("xb"),
+        bin_of(F.col("y"), F.col("y0"), F.col("y1"), F.col("b")).alias("yb"),
+    )
     keys, m = ["attribute", "lag", "feature_name"], F.lit(n) - F.col("lag")
     counts = states.groupBy(*keys, "xb", "yb").agg(F.count(F.lit(1)).alias("c"))
     joint = counts.groupBy(*keys).agg(F.sum(-F.col("c") * F.log2(F.col("c") / m)).alias("xy"))
     one = lambda c: counts.groupBy(*keys, c).agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum(-F.col("c") * F.log2(F.col("c") / m)).alias(f"k_{c}"))
     out = joint.join(one("xb"), keys).join(one("yb"), keys)
     d, s = clip01(safe_divide(F.col("xy") - F.col("k_xb"), F.col("k_yb"), 0.0)), clip01(safe_divide(F.col("xy") - F.col("k_yb"), F.col("k_xb"), 0.0))
-    return out.select("lag", "feature_name", d.alias("deficiency"), s.alias("surplus"), F.greatest(d, s).alias("miscoding"), "attribute")
+    return out.select(
+        "lag",
+        "feature_name",
+        d.alias("deficiency"),
+        s.alias("surplus"),
+        F.greatest(d, s).alias("miscoding"),
+        "attribute",
+    )
 
 
 class TimeSeries:
-    def __init__(self, window_size: int | str = "auto", models: Sequence[str] | str = "auto", n_bins: int | str = "auto", aggregation: str = "euclidean", weights=None, moving_average_windows: Sequence[int] | None = None, smoothing_alphas: Sequence[float] = ALPHAS, min_improvement: float = 0.0):
+    def __init__(
+        self,
+        window_size: int | str = "auto",
+        models: Sequence[str] | str = "auto",
+        n_bins: int | str = "auto",
+        aggregation: str = "euclidean",
+        weights=None,
+        moving_average_windows: Sequence[int] | None = None,
+        smoothing_alphas: Sequence[float] = ALPHAS,
+        min_improvement: float = 0.0,
+    ):
         self.models = MODELS if models == "auto" else tuple(dict.fromkeys(models))
         if set(self.models) - set(MODELS) or not self.models:
             raise ValueError(f"models are of {', '.join(MODELS)}")
@@ -152,16 +236,24 @@ class TimeSeries:
         self.df, self.y, self.order_by, self.exogenous = df, y, list(order_by), list(exogenous)
         x = lambda c: F.col(c).cast("double")
         bad = lambda c: x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))
-        r = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(bad(c)).alias(f"bad{k}") for k, c in enumerate([y, *exogenous])]).first()
+        r = df.agg(
+            F.count(F.lit(1)).alias("n"), *[F.count_if(bad(c)).alias(f"bad{k}") for k, c in enumerate([y, *exogenous])]
+        ).first()
         if r["n"] < 3 or any(r[f"bad{k}"] for k in range(1 + len(exogenous))):
             raise ValueError("a series has three rows or more and no missing or non-finite values")
         self.n, self.w = r["n"], window_size(r["n"], self.window)
         names = lag_names(self.w, exogenous)
-        self.lags = lag_matrix(df, y, self.w, order_by, exogenous=exogenous).select("_t", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in names]).persist()
-        self.score_ = CombinedScore("numeric", "numeric", self.aggregation, self.weights, self.n_bins).fit(self.lags, names, "y")
+        self.lags = lag_matrix(df, y, self.w, order_by, exogenous=exogenous).select(
+            "_t", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in names]
+        ).persist()
+        self.score_ = CombinedScore(
+            "numeric", "numeric", self.aggregation, self.weights, self.n_bins
+        ).fit(self.lags, names, "y")
         metric, specs = self.score_.metric, []
         if "autoregressive" in self.models:
-            chosen = sorted(metric.select_features(min_improvement=self.min_improvement)) or [min(range(len(names)), key=metric.miscoding.__getitem__)]
+            chosen = sorted(
+                metric.select_features(min_improvement=self.min_improvement)
+            ) or [min(range(len(names)), key=metric.miscoding.__getitem__)]
             inputs = [names[j] for j in chosen]
             coef, intercept = solve_ols(gram(self.lags, inputs, "y"), len(inputs))
             specs.append(Forecaster("autoregressive", "autoregressive", self.w, inputs, coef, intercept, True))
@@ -169,24 +261,75 @@ class TimeSeries:
         if any(not 1 <= w <= self.w for w in windows):
             raise ValueError("a moving-average window is within the lag window")
         if "moving_average" in self.models:
-            specs += [Forecaster(f"moving_average_w{w}", "moving_average", w, names[:w], moving_average_weights(w)) for w in windows]
+            specs += [
+                Forecaster(f"moving_average_w{w}", "moving_average", w, names[:w], moving_average_weights(w))
+                for w in windows
+            ]
         if "exponential_smoothing" in self.models:
-            specs += [Forecaster(f"exponential_smoothing_w{w}_a{a:g}", "exponential_smoothing", w, names[:w], exponential_smoothing_weights(w, a)) for w in windows for a in self.alphas]
+            specs += [
+                Forecaster(
+                    f"exponential_smoothing_w{w}_a{a:g}",
+                    "exponential_smoothing",
+                    w,
+                    names[:w],
+                    exponential_smoothing_weights(w, a),
+                )
+                for w in windows
+                for a in self.alphas
+            ]
         wide = self.lags.select("y", *[s.column().alias(f"p{k}") for k, s in enumerate(specs)])
-        found = {r["candidate"]: r["inaccuracy"] for r in inaccuracy_of_candidates(wide, "y", [f"p{k}" for k in range(len(specs))], y_type="numeric", n_bins=self.n_bins).collect()}
-        fits = wide.agg(F.var_pop("y").alias("v"), *[F.avg((F.col("y") - F.col(f"p{k}")) ** 2).alias(f"e{k}") for k in range(len(specs))]).first()
+        found = {
+            r["candidate"]: r["inaccuracy"]
+            for r in inaccuracy_of_candidates(
+                wide, "y", [f"p{k}" for k in range(len(specs))], y_type="numeric", n_bins=self.n_bins
+            ).collect()
+        }
+        fits = wide.agg(
+            F.var_pop("y").alias("v"),
+            *[F.avg((F.col("y") - F.col(f"p{k}")) ** 2).alias(f"e{k}") for k in range(len(specs))],
+        ).first()
         for k, s in enumerate(specs):
             own = [names.index(c) for c in s.inputs]
             c = self.score_.metric.measures(own)
-            parts = {"deficiency": c["deficiency"], "surplus": c["surplus"], "inaccuracy": found[f"p{k}"], "surfeit": self.score_.surfeit.surfeit_string(s.text())}
-            s.results = {"combined": self.score_.total(parts), "estimator_score": 1 - fits[f"e{k}"] / fits["v"] if fits["v"] else 0.0, "selected": own, "miscoding": c["miscoding"], **parts}
+            parts = {
+                "deficiency": c["deficiency"],
+                "surplus": c["surplus"],
+                "inaccuracy": found[f"p{k}"],
+                "surfeit": self.score_.surfeit.surfeit_string(s.text()),
+            }
+            s.results = {
+                "combined": self.score_.total(parts),
+                "estimator_score": 1 - fits[f"e{k}"] / fits["v"] if fits["v"] else 0.0,
+                "selected": own,
+                "miscoding": c["miscoding"],
+                **parts,
+            }
         self.candidates = sorted(specs, key=lambda s: s.results["combined"])
         self.best = self.candidates[0]
         return self
 
     def results_dataframe(self) -> DataFrame:
         schema = "model_name string, model_family string, window_size int, combined double, estimator_score double, n_selected_features int, description_length int, selected_feature_indices array<int>, selected_feature_names array<string>, miscoding double, deficiency double, surplus double, inaccuracy double, surfeit double"
-        rows = [(s.name, s.family, s.window, r["combined"], r["estimator_score"], len(s.inputs), len(s.text().encode()), r["selected"], s.inputs, r["miscoding"], r["deficiency"], r["surplus"], r["inaccuracy"], r["surfeit"]) for s in self.candidates for r in [s.results]]
+        rows = [
+            (
+                s.name,
+                s.family,
+                s.window,
+                r["combined"],
+                r["estimator_score"],
+                len(s.inputs),
+                len(s.text().encode()),
+                r["selected"],
+                s.inputs,
+                r["miscoding"],
+                r["deficiency"],
+                r["surplus"],
+                r["inaccuracy"],
+                r["surfeit"],
+            )
+            for s in self.candidates
+            for r in [s.results]
+        ]
         return self.df.sparkSession.createDataFrame(rows, schema).orderBy("combined")
 
     def predict(self, lags: DataFrame | None = None) -> DataFrame:
@@ -194,7 +337,9 @@ class TimeSeries:
 
     def score(self, df: DataFrame) -> float:
         """R squared on another series."""
-        lags = lag_matrix(df, self.y, self.w, self.order_by, exogenous=self.exogenous).withColumn("_y", F.col(self.y).cast("double"))
+        lags = lag_matrix(
+            df, self.y, self.w, self.order_by, exogenous=self.exogenous
+        ).withColumn("_y", F.col(self.y).cast("double"))
         r = lags.agg(F.var_pop("_y").alias("v"), F.avg((F.col("_y") - self.best.column()) ** 2).alias("e")).first()
         return 1 - r["e"] / r["v"] if r["v"] else 0.0
 
@@ -203,7 +348,9 @@ class TimeSeries:
         if steps < 1 or future is not None and (not self.exogenous or len(future) != steps):
             raise ValueError("at least one step, and a row of exogenous values for each")
         cols = [self.y, *self.exogenous]
-        last = self.df.orderBy(*[F.desc(c) for c in self.order_by]).limit(self.w).select(*cols, *self.order_by).collect()[::-1]
+        last = self.df.orderBy(
+            *[F.desc(c) for c in self.order_by]
+        ).limit(self.w).select(*cols, *self.order_by).collect()[::-1]
         held = {name: [float(r[c]) for r in last] for name, c in zip(("y", *self.exogenous), cols)}
         out = []
         for step in range(steps):
@@ -222,7 +369,9 @@ class TimeSeries:
         if not 1 <= min_lag <= top:
             raise ValueError("lags begin at one and end within the series")
         lags = lag_matrix(self.df, self.y, top, self.order_by, exogenous=columns, complete=False)
-        names = [(f"{c}_lag_{k}", c, k) for c in [*(["y"] if with_y else []), *columns] for k in range(min_lag, top + 1)]
+        names = [
+            (f"{c}_lag_{k}", c, k) for c in [*(["y"] if with_y else []), *columns] for k in range(min_lag, top + 1)
+        ]
         return lag_analysis_of(lags, self.n, names, self.y, self.n_bins)
 
     def auto_lag_analysis(self, min_lag: int = 1, max_lag: int | None = None) -> DataFrame:
@@ -239,7 +388,10 @@ class TimeSeries:
 
     def selected_lags(self) -> list[dict]:
         meta = lag_metadata(self.w, self.exogenous)
-        return [meta[j] | {"feature_index": j, "feature_name": self.best.inputs[k]} for k, j in enumerate(self.best.results["selected"])]
+        return [
+            meta[j] | {"feature_index": j, "feature_name": self.best.inputs[k]}
+            for k, j in enumerate(self.best.results["selected"])
+        ]
 
     def get_model(self) -> Forecaster:
         return self.best
@@ -255,7 +407,12 @@ class TimeSeries:
 
     def explain(self) -> dict:
         out = self.score_.explain_components(self.components())
-        return out | {"profile": f"{out['dominant_component']}_dominated", "model_name": self.best.name, "model_family": self.best.family, "selected_lags": self.selected_lags()}
+        return out | {
+            "profile": f"{out['dominant_component']}_dominated",
+            "model_name": self.best.name,
+            "model_family": self.best.family,
+            "selected_lags": self.selected_lags(),
+        }
 
 
 def rolling_segments(df: DataFrame, order_by: Sequence[str], size: int, step: int) -> DataFrame:
@@ -264,7 +421,11 @@ def rolling_segments(df: DataFrame, order_by: Sequence[str], size: int, step: in
     n = base.count()
     last = (n - size) // step
     low = F.greatest(F.lit(0), F.floor((F.col("_t") - size) / step) + 1)
-    return base.withColumn("_hi", F.least(F.lit(last), F.floor(F.col("_t") / step))).withColumn("_lo", low).where("_lo <= _hi").withColumn("segment", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    return base.withColumn(
+        "_hi", F.least(F.lit(last), F.floor(F.col("_t") / step))
+    ).withColumn("_lo", low).where("_lo <= _hi").withColumn(
+        "segment", F.explode(F.sequence("_lo", "_hi"))
+    ).drop("_lo", "_hi")
 
 
 def rolling_autoregression(df: DataFrame, y: str, order_by: Sequence[str], size: int, step: int) -> DataFrame:
@@ -276,5 +437,9 @@ def rolling_autoregression(df: DataFrame, y: str, order_by: Sequence[str], size:
     base = rolling_segments(df.select(*order_by, F.col(y).cast("double").alias("_y")), order_by, size, step)
     w = Window.partitionBy("segment").orderBy("_t")
     pairs = base.withColumn("_before", F.lag("_y").over(w)).where("_before IS NOT NULL")
-    fits = [F.regr_slope("_y", "_before").alias("slope"), F.regr_intercept("_y", "_before").alias("intercept"), F.regr_r2("_y", "_before").alias("r2")]
+    fits = [
+        F.regr_slope("_y", "_before").alias("slope"),
+        F.regr_intercept("_y", "_before").alias("intercept"),
+        F.regr_r2("_y", "_before").alias("r2"),
+    ]
     return pairs.groupBy("segment").agg(*fits, F.count(F.lit(1)).alias("n"))

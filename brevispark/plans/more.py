@@ -35,8 +35,12 @@ def _refused(f: Callable[[], object]) -> bool:
 def refusals(spark: SparkSession, d: str) -> DataFrame:
     """Which inputs are refused; missing values are those of the tables."""
     nation, docs = table(spark, d, "nation"), table(spark, d, "documents")
-    odd = nation.withColumn("x", F.when(F.col("n_nationkey") == 3, float("inf")).otherwise(F.col("n_nationkey").cast("double")))
-    odd = odd.withColumn("list", F.array("n_nationkey")).withColumn("text", F.concat(F.lit("v"), F.col("n_nationkey").cast("string")))
+    odd = nation.withColumn(
+        "x", F.when(F.col("n_nationkey") == 3, float("inf")).otherwise(F.col("n_nationkey").cast("double"))
+    )
+    odd = odd.withColumn("list", F.array("n_nationkey")).withColumn(
+        "text", F.concat(F.lit("v"), F.col("n_nationkey").cast("string"))
+    )
     fit = lambda df, cols, y="n_regionkey", kind="auto": Miscoding(kind, "categorical").fit(df, cols, y)
     good = fit(nation, ["n_nationkey", "n_regionkey"])
     series = lambda df: ts.TimeSeries(window_size=2, models=["moving_average"]).fit(df, "x", ["n_nationkey"])
@@ -101,9 +105,26 @@ def numeric_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def formats(spark: SparkSession, d: str) -> DataFrame:
-    rows = q._line(spark, d).groupBy(LINE_Y, "l_linestatus").agg(F.avg("l_extendedprice").alias("a"), F.avg("l_discount").alias("b"), F.count("*").alias("n")).collect()
-    out = [(r[0], r[1], sci_number(r["a"]), sci_number(-r["b"]), fixed_number(r["b"], 4), fixed_number(r["n"]), sci_number(0.0), f"{feature_token(r['n'])} {class_token(0)}") for r in rows]
-    return spark.createDataFrame(out, f"{LINE_Y} string, l_linestatus string, sci_price string, sci_discount string, fixed_discount string, fixed_n string, sci_zero string, tokens string")
+    rows = q._line(spark, d).groupBy(LINE_Y, "l_linestatus").agg(
+        F.avg("l_extendedprice").alias("a"), F.avg("l_discount").alias("b"), F.count("*").alias("n")
+    ).collect()
+    out = [
+        (
+            r[0],
+            r[1],
+            sci_number(r["a"]),
+            sci_number(-r["b"]),
+            fixed_number(r["b"], 4),
+            fixed_number(r["n"]),
+            sci_number(0.0),
+            f"{feature_token(r['n'])} {class_token(0)}",
+        )
+        for r in rows
+    ]
+    return spark.createDataFrame(
+        out,
+        f"{LINE_Y} string, l_linestatus string, sci_price string, sci_discount string, fixed_discount string, fixed_n string, sci_zero string, tokens string",
+    )
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +133,13 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     w, b = solve_ols(gram(line, ["l_quantity"], "l_extendedprice"), 1)
     rows = gaussian_moments(line, ["l_quantity"], LINE_Y).collect()
     n = sum(r["n"] for r in rows)
-    bayes = GaussianNB(["l_quantity"], [r["class"] for r in rows], [r["n"] / n for r in rows], [[r["mean_0"]] for r in rows], [[r["var_0"]] for r in rows])
+    bayes = GaussianNB(
+        ["l_quantity"],
+        [r["class"] for r in rows],
+        [r["n"] / n for r in rows],
+        [[r["mean_0"]] for r in rows],
+        [[r["var_0"]] for r in rows],
+    )
     leaf = lambda v: TreeNode(v, 1.0, 0.0)
     tree = TreeNode(2.0, 2.0, 0.0, 0, 25.5, leaf(1.0), TreeNode(3.0, 1.0, 0.0, 1, 0.04, leaf(2.5), leaf(-30.0)))
     models = {
@@ -124,7 +151,14 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
         "logistic_three": LinearClassifier(x, ["A", "B", "C"], [[1.0, 0.0], [0.0, 2.0], [0.0, 0.0]], [0.0, 1.0, -1.0]),
         "svc": LinearSVC(x, ["A", "B"], [[0.0, 4.0]], [0.0]),
         "tree": DecisionTree(x, tree, None),
-        "mlp": MLP(x, None, [np.array([[1.0, 2.0], [0.5, 0.0]]), np.array([[1.0], [-1.0]])], [np.array([0.0, 1.0]), np.array([2.0])], [1.0, 2.0], [4.0, 1.0]),
+        "mlp": MLP(
+            x,
+            None,
+            [np.array([[1.0, 2.0], [0.5, 0.0]]), np.array([[1.0], [-1.0]])],
+            [np.array([0.0, 1.0]), np.array([2.0])],
+            [1.0, 2.0],
+            [4.0, 1.0],
+        ),
     }
     out = []
     for name, m in models.items():
@@ -140,8 +174,22 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for k in (0, 1):
         e = score.explain([k], "p", DESCRIPTION)
-        out.append((k, *[e["components"][c] for c in ("deficiency", "surplus", "inaccuracy", "surfeit")], e["combined"], score.score([k], "p", DESCRIPTION), e["dominant_component"], e["profile"]))
-    return q.r6(spark.createDataFrame(out, "feature int, deficiency double, surplus double, inaccuracy double, surfeit double, combined double, score double, dominant string, profile string"))
+        out.append(
+            (
+                k,
+                *[e["components"][c] for c in ("deficiency", "surplus", "inaccuracy", "surfeit")],
+                e["combined"],
+                score.score([k], "p", DESCRIPTION),
+                e["dominant_component"],
+                e["profile"],
+            )
+        )
+    return q.r6(
+        spark.createDataFrame(
+            out,
+            "feature int, deficiency double, surplus double, inaccuracy double, surfeit double, combined double, score double, dominant string, profile string",
+        )
+    )
 
 
 def description_lengths(spark: SparkSession, d: str) -> DataFrame:
@@ -155,13 +203,20 @@ def description_lengths(spark: SparkSession, d: str) -> DataFrame:
 def model_inaccuracy(spark: SparkSession, d: str) -> DataFrame:
     m = LinearRegressor(["l_quantity"], [1000.0], 50.0)
     fit = Inaccuracy("numeric").fit_y(q._line(spark, d), "l_extendedprice")
-    return q.r6(spark.createDataFrame([(fit.inaccuracy_model(m), fit.score(m), fit.y_length)], "inaccuracy double, score double, y_length double"))
+    return q.r6(
+        spark.createDataFrame(
+            [(fit.inaccuracy_model(m), fit.score(m), fit.y_length)], "inaccuracy double, score double, y_length double"
+        )
+    )
 
 
 def feature_order(spark: SparkSession, d: str) -> DataFrame:
     fit = q._fit_line(spark, d)
     mask = feature_mask(fit.select_features(), len(LINE))
-    return spark.createDataFrame([(k, j, LINE[j], mask[j]) for k, j in enumerate(fit.feature_order())], "place int, feature_index int, feature_name string, selected int")
+    return spark.createDataFrame(
+        [(k, j, LINE[j], mask[j]) for k, j in enumerate(fit.feature_order())],
+        "place int, feature_index int, feature_name string, selected int",
+    )
 
 
 def series_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +226,16 @@ def series_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_rows(spark: SparkSession, fit) -> DataFrame:
-    cols = ["candidate", "family", "model_type", "native_estimator_score", "inaccuracy", "deficiency", "surplus", "n_selected_features"]
+    cols = [
+        "candidate",
+        "family",
+        "model_type",
+        "native_estimator_score",
+        "inaccuracy",
+        "deficiency",
+        "surplus",
+        "n_selected_features",
+    ]
     return q.r6(fit.results_dataframe().select(*cols))
 
 
@@ -180,18 +244,24 @@ def bayes_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linear_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search_rows(spark, Regressor(["linear_regression"]).fit(q._line(spark, d), ["l_quantity"], "l_extendedprice"))
+    return _search_rows(
+        spark, Regressor(["linear_regression"]).fit(q._line(spark, d), ["l_quantity"], "l_extendedprice")
+    )
 
 
 def stump_search(spark: SparkSession, d: str) -> DataFrame:
-    fit = Regressor(["decision_tree"], options={"decision_tree": {"max_depth": 1}}).fit(q._line(spark, d), ["l_quantity"], "l_extendedprice")
+    fit = Regressor(
+        ["decision_tree"], options={"decision_tree": {"max_depth": 1}}
+    ).fit(q._line(spark, d), ["l_quantity"], "l_extendedprice")
     return _search_rows(spark, fit)
 
 
 def search_notes(spark: SparkSession, d: str) -> DataFrame:
     """A search goes on without the candidates that cannot be fitted, and says which."""
     options = {"linear_svr": {"C_values": (0.0, 1.0), "epsilons": (0.1,)}}
-    fit = Regressor(["linear_svr", "linear_regression"], options=options).fit(q._line(spark, d), ["l_quantity"], "l_extendedprice")
+    fit = Regressor(
+        ["linear_svr", "linear_regression"], options=options
+    ).fit(q._line(spark, d), ["l_quantity"], "l_extendedprice")
     notes = fit.diagnostics_dataframe().select("family", "reason", F.col("details")["candidate"].alias("candidate"))
     left = fit.results_dataframe().select("family", F.lit("evaluated").alias("reason"), "candidate")
     return notes.unionByName(left)
@@ -218,7 +288,19 @@ def no_groups(spark: SparkSession, d: str) -> DataFrame:
 def autoregression(spark: SparkSession, d: str) -> DataFrame:
     fit = ts.TimeSeries(window_size=1, models=["autoregressive"]).fit(q._events(spark, d), "y", q.ORDER)
     m, r, e = fit.get_model(), fit.get_model().results, fit.explain()
-    row = (m.name, m.weights[0], m.intercept, r["estimator_score"], fit.score(fit.df), r["deficiency"], r["surplus"], r["inaccuracy"], fit.model_string(), e["selected_lags"][0]["feature_name"], e["selected_lags"][0]["lag"])
+    row = (
+        m.name,
+        m.weights[0],
+        m.intercept,
+        r["estimator_score"],
+        fit.score(fit.df),
+        r["deficiency"],
+        r["surplus"],
+        r["inaccuracy"],
+        fit.model_string(),
+        e["selected_lags"][0]["feature_name"],
+        e["selected_lags"][0]["lag"],
+    )
     schema = "model string, weight double, intercept double, estimator_score double, score double, deficiency double, surplus double, inaccuracy double, text string, lag_name string, lag int"
     return q.r6(spark.createDataFrame([row], schema))
 
@@ -249,7 +331,12 @@ QUERIES = {
     "anomaly_by_model": by_model,
     "anomaly_group_points": points,
     "anomaly_no_groups": no_groups,
-    "anomaly_group_views_2d": lambda s, d: q.r6(q._detector(s, d, "residual_quantile").group_anomalies(dimensions=2, filter_redundant=False, filter_balanced=False, filter_repeated_attributes=False), 3),
+    "anomaly_group_views_2d": lambda s, d: q.r6(
+        q._detector(s, d, "residual_quantile").group_anomalies(
+            dimensions=2, filter_redundant=False, filter_balanced=False, filter_repeated_attributes=False
+        ),
+        3,
+    ),
     "ts_autoregressive_lag_1": autoregression,
     "rolling_autoregression": refits,
     "empirical_states_orders": state_summary,

@@ -23,18 +23,64 @@ from brevispark.plans.oracle import (
 DESCRIPTION = " Quick zephyrs blow, vexing daft Jim; 7 jumbled boxes (4, 19 and 836) pack my wizard's quartz: 0.27 x 51 = 13.77! Why do sphinxes judge 92 black vows? Yes."
 
 REFUSED = (
-    *("infinite_feature", "letters_as_numbers", "nested_feature", "unknown_feature", "no_feature_column", "flags_of_other_length", "empty_table", "repeated_feature", "unknown_type"),
-    *("subset_index_out_of_range", "subset_index_repeats", "negative_min_improvement", "max_features_of_zero", "unknown_mode", "mask_out_of_range", "negative_counts", "counts_of_zero"),
-    *("bins_of_zero", "predictions_with_gaps", "weights_of_zero", "weights_of_unknown_component", "unknown_aggregation", "negative_threshold_fraction", "negative_surplus_penalty"),
-    *("zlib_level_of_ten", "empty_description", "family_as_string", "unknown_family", "one_class", "series_with_infinity", "series_of_two_rows", "window_as_long_as_the_series", "alpha_of_one"),
-    *("unknown_anomaly_rule", "rule_of_other_task", "quantile_of_one", "kind_of_other_task", "unknown_attribute", "attribute_out_of_range"),
+    *(
+        "infinite_feature",
+        "letters_as_numbers",
+        "nested_feature",
+        "unknown_feature",
+        "no_feature_column",
+        "flags_of_other_length",
+        "empty_table",
+        "repeated_feature",
+        "unknown_type",
+    ),
+    *(
+        "subset_index_out_of_range",
+        "subset_index_repeats",
+        "negative_min_improvement",
+        "max_features_of_zero",
+        "unknown_mode",
+        "mask_out_of_range",
+        "negative_counts",
+        "counts_of_zero",
+    ),
+    *(
+        "bins_of_zero",
+        "predictions_with_gaps",
+        "weights_of_zero",
+        "weights_of_unknown_component",
+        "unknown_aggregation",
+        "negative_threshold_fraction",
+        "negative_surplus_penalty",
+    ),
+    *(
+        "zlib_level_of_ten",
+        "empty_description",
+        "family_as_string",
+        "unknown_family",
+        "one_class",
+        "series_with_infinity",
+        "series_of_two_rows",
+        "window_as_long_as_the_series",
+        "alpha_of_one",
+    ),
+    *(
+        "unknown_anomaly_rule",
+        "rule_of_other_task",
+        "quantile_of_one",
+        "kind_of_other_task",
+        "unknown_attribute",
+        "attribute_out_of_range",
+    ),
 )
 TAKEN = ("plain_table", "subset_of_names", "subset_as_mask", "counts", "weights_of_one_component", "series")
 
 
 def refusals() -> str:
     fixed = ", ".join([f"('{x}', true)" for x in REFUSED] + [f"('{x}', false)" for x in TAKEN])
-    own = " UNION ALL ".join(f"SELECT 'documents_{c}_as_feature', count({c}) < count(*) FROM documents" for c in ("lang", "n_chars"))
+    own = " UNION ALL ".join(
+        f"SELECT 'documents_{c}_as_feature', count({c}) < count(*) FROM documents" for c in ("lang", "n_chars")
+    )
     return f"SELECT input, refused FROM (SELECT * FROM (VALUES {fixed}) v(input, refused) UNION ALL {own})"
 
 
@@ -65,8 +111,30 @@ def texts() -> str:
         " for l in range(len(W)):", "  z=[]", "  for j in range(len(B[l])):", "   s=B[l][j]", "   for i in range(len(a)):", "    s+=a[i]*W[l][i][j]",
         "   z.append(s)", "  if l<len(W)-1:", "   a=[max(0,v) for v in z]", "  else:", "   a=z", " return a[0]",
     ]
-    tree = ["def predict(X0, X1):", " if X0<=2.55e+01:", "  return 1.00e+00", " else:", "  if X1<=4.00e-02:", "   return 2.50e+00", "  else:", "   return -3.00e+01"]
-    three = ["def predict(x):", " s0=1.00e+00*x[0]", *best, " s1=1.00e+00+2.00e+00*x[1]", " if s1>best_s:", "  best=1", "  best_s=s1", " s2=-1.00e+00", " if s2>best_s:", "  best=2", "  best_s=s2", " return best"]
+    tree = [
+        "def predict(X0, X1):",
+        " if X0<=2.55e+01:",
+        "  return 1.00e+00",
+        " else:",
+        "  if X1<=4.00e-02:",
+        "   return 2.50e+00",
+        "  else:",
+        "   return -3.00e+01",
+    ]
+    three = [
+        "def predict(x):",
+        " s0=1.00e+00*x[0]",
+        *best,
+        " s1=1.00e+00+2.00e+00*x[1]",
+        " if s1>best_s:",
+        "  best=1",
+        "  best_s=s1",
+        " s2=-1.00e+00",
+        " if s2>best_s:",
+        "  best=2",
+        "  best_s=s2",
+        " return best",
+    ]
     two = lambda z: ["def predict(x):", f" z={z}", " if z>0:", "  return 1", " return 0"]
     given = {
         "linear": (["def predict(X0):", " y = 1.20e+01", " y -= 5.00e-01*X0", " return y"], "0", "LinearRegressor"),
@@ -77,27 +145,46 @@ def texts() -> str:
         "tree": (tree, "0,1", "DecisionTree"),
         "mlp": (net, "0,1", "MLP"),
     }
-    rows = [f"SELECT '{name}' AS model, {quoted(chr(10).join(lines) + chr(10))} AS text, '{subset}' AS subset, '{kind}' AS model_type" for name, (lines, subset, kind) in given.items()]
+    rows = [
+        f"SELECT '{name}' AS model, {quoted(chr(10).join(lines) + chr(10))} AS text, '{subset}' AS subset, '{kind}' AS model_type"
+        for name, (lines, subset, kind) in given.items()
+    ]
     n = "chr(10)"
     ols = f"'def predict(X0):' || {n} || ' y = ' || {sci('b')} || {n} || ' y ' || CASE WHEN w > 0 THEN '+' ELSE '-' END || '= ' || {sci('abs(w)')} || '*X0' || {n} || ' return y' || {n}"
-    rows.append(f"SELECT 'ols', {ols}, '0', 'LinearRegressor' FROM (SELECT regr_slope(l_extendedprice, l_quantity) AS w, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem)")
+    rows.append(
+        f"SELECT 'ols', {ols}, '0', 'LinearRegressor' FROM (SELECT regr_slope(l_extendedprice, l_quantity) AS w, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem)"
+    )
     term = f"{sci('lp')} || {signed('c')} || '-((x[0]-' || {sci('m')} || ')**2)/' || {sci('2 * v')}"
     line = f"CASE WHEN k = 0 THEN ' s0=' || e || {n} || ' best=0' || {n} || ' best_s=s0' ELSE ' s' || k || '=' || e || {n} || ' if s' || k || '>best_s:' || {n} || '  best=' || k || {n} || '  best_s=s' || k END"
     stats = f"SELECT row_number() OVER (ORDER BY {LINE_Y}) - 1 AS k, ln(count(*) / (SELECT count(*) FROM lineitem)::DOUBLE) AS lp, avg(l_quantity) AS m, var_pop(l_quantity) AS v, -0.5 * ln(2 * pi() * var_pop(l_quantity)) AS c FROM lineitem GROUP BY {LINE_Y}"
-    rows.append(f"SELECT 'naive_bayes', 'def predict(x):' || {n} || string_agg({line}, {n} ORDER BY k) || {n} || ' return best' || {n}, '0', 'GaussianNB' FROM (SELECT k, {term} AS e FROM ({stats}))")
+    rows.append(
+        f"SELECT 'naive_bayes', 'def predict(x):' || {n} || string_agg({line}, {n} ORDER BY k) || {n} || ' return best' || {n}, '0', 'GaussianNB' FROM (SELECT k, {term} AS e FROM ({stats}))"
+    )
     return "\n UNION ALL ".join(rows)
 
 
 def greedy(tail: str) -> str:
     """CTEs c0, c1, ... of greedy selection over all features, then tail. c<t> holds the features chosen in t steps."""
-    inner = analysis("lineitem", LINE_NUM, LINE_CAT, LINE, LINE_Y, False).removeprefix("WITH ").rsplit("SELECT feature_index::INTEGER", 1)[0]
-    out = [inner, _redundancy(), "c0 AS (SELECT 0 AS step, []::INTEGER[] AS chosen, 1.0::DOUBLE AS now, -1 AS j, 0.0::DOUBLE AS d, 0.0::DOUBLE AS s, 0.0::DOUBLE AS gain)"]
+    inner = analysis(
+        "lineitem", LINE_NUM, LINE_CAT, LINE, LINE_Y, False
+    ).removeprefix("WITH ").rsplit("SELECT feature_index::INTEGER", 1)[0]
+    out = [
+        inner,
+        _redundancy(),
+        "c0 AS (SELECT 0 AS step, []::INTEGER[] AS chosen, 1.0::DOUBLE AS now, -1 AS j, 0.0::DOUBLE AS d, 0.0::DOUBLE AS s, 0.0::DOUBLE AS gain)",
+    ]
     for t in range(1, len(LINE) + 1):
-        out.append(f"q{t} AS (SELECT m.feature_index::INTEGER AS j, unnest(list_append(chosen, m.feature_index::INTEGER)) AS i FROM c{t - 1}, m WHERE NOT list_contains(chosen, m.feature_index::INTEGER))")
+        out.append(
+            f"q{t} AS (SELECT m.feature_index::INTEGER AS j, unnest(list_append(chosen, m.feature_index::INTEGER)) AS i FROM c{t - 1}, m WHERE NOT list_contains(chosen, m.feature_index::INTEGER))"
+        )
         out.append(f"""a{t} AS (SELECT x.j, x.i, 1 / (1 + coalesce(sum(rr.v), 0)) AS alpha FROM q{t} x LEFT JOIN q{t} z ON x.j = z.j AND x.i <> z.i
   LEFT JOIN m mi ON mi.feature_index = x.i LEFT JOIN m mk ON mk.feature_index = z.i LEFT JOIN rr ON rr.fi = mi.feature_name AND rr.fj = mk.feature_name GROUP BY x.j, x.i)""")
-        out.append(f"g{t} AS (SELECT a.j, product(pow(m.d, alpha)) AS d, sum(alpha * m.k * m.s) / sum(alpha * m.k) AS s FROM a{t} a JOIN m ON m.feature_index = a.i GROUP BY a.j)")
-        out.append(f"c{t} AS (SELECT {t} AS step, list_append(p.chosen, g.j) AS chosen, greatest(g.d, g.s) AS now, g.j, g.d, g.s, p.now - greatest(g.d, g.s) AS gain FROM g{t} g, c{t - 1} p ORDER BY greatest(g.d, g.s), g.d, g.s, g.j LIMIT 1)")
+        out.append(
+            f"g{t} AS (SELECT a.j, product(pow(m.d, alpha)) AS d, sum(alpha * m.k * m.s) / sum(alpha * m.k) AS s FROM a{t} a JOIN m ON m.feature_index = a.i GROUP BY a.j)"
+        )
+        out.append(
+            f"c{t} AS (SELECT {t} AS step, list_append(p.chosen, g.j) AS chosen, greatest(g.d, g.s) AS now, g.j, g.d, g.s, p.now - greatest(g.d, g.s) AS gain FROM g{t} g, c{t - 1} p ORDER BY greatest(g.d, g.s), g.d, g.s, g.j LIMIT 1)"
+        )
     out.append("path AS (" + " UNION ALL ".join(f"SELECT * FROM c{t}" for t in range(1, len(LINE) + 1)) + ")")
     names = "[" + ", ".join(f"'{f}'" for f in LINE) + "]"
     return f"WITH {', '.join(out)} " + tail.replace("NAMES", names)
@@ -126,7 +213,9 @@ def searched(candidate: str, family: str, kind: str, source: str, native: str, n
     """A result row: source has y and p; the measures are those of l_quantity, or of no feature."""
     cols = (["y", "p"], []) if numeric else ([], ["y", "p"])
     y = "l_extendedprice" if numeric else LINE_Y
-    measures = analysis("lineitem", ["l_quantity"], [], ["l_quantity"], y, numeric) if selected else "SELECT 1.0::DOUBLE AS deficiency, 0.0::DOUBLE AS surplus"
+    measures = analysis(
+        "lineitem", ["l_quantity"], [], ["l_quantity"], y, numeric
+    ) if selected else "SELECT 1.0::DOUBLE AS deficiency, 0.0::DOUBLE AS surplus"
     return f"""SELECT '{candidate}' AS candidate, '{family}' AS family, '{kind}' AS model_type, native AS native_estimator_score, inaccuracy, deficiency, surplus, {selected} AS n_selected_features
 FROM (WITH {encoded(source, *cols)}, l AS (SELECT {length(['y'])} AS ky, {length(['p'])} AS kp, {length(['y', 'p'])} AS kyp, (SELECT min(y) = min(p) FROM t) AS eq)
       SELECT round({inaccuracy_expr()}, 6) AS inaccuracy, (SELECT round({native}, 6) FROM t) AS native FROM l), ({measures})"""
@@ -156,7 +245,16 @@ _refits = f"""WITH v AS (SELECT * FROM {EVENTS}), s AS (SELECT i AS segment FROM
 p AS (SELECT segment, y, lag(y) OVER (PARTITION BY segment ORDER BY t) AS x FROM v, s WHERE t >= segment * 500 AND t < segment * 500 + 1000)
 SELECT segment::BIGINT AS segment, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_r2(y, x), 5) AS r2, count(*)::BIGINT AS n FROM p WHERE x IS NOT NULL GROUP BY segment"""
 _anomalies = f"(SELECT *, abs(y - p) AS s FROM {PREDICTED} WHERE abs(y - p) >= (SELECT quantile_cont(abs(y - p), 0.95) FROM {PREDICTED}))"
-_schema = {"attribute_1": "INTEGER", "attribute_1_name": "VARCHAR", "dimensions": "INTEGER", "inertia": "DOUBLE", "cluster_0_size": "BIGINT", "cluster_1_size": "BIGINT", "balance": "DOUBLE", "n_anomalies": "BIGINT"}
+_schema = {
+    "attribute_1": "INTEGER",
+    "attribute_1_name": "VARCHAR",
+    "dimensions": "INTEGER",
+    "inertia": "DOUBLE",
+    "cluster_0_size": "BIGINT",
+    "cluster_1_size": "BIGINT",
+    "balance": "DOUBLE",
+    "n_anomalies": "BIGINT",
+}
 
 
 def groups() -> str:

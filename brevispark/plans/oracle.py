@@ -13,8 +13,13 @@ COMPONENTS = "(SELECT i AS id, (i % 5) / 4.0 AS deficiency, (i // 5 % 5) / 4.0 A
 def encoded(source: str, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] = ()) -> str:
     """CTEs b (row count n, bins, edges) and e (states)."""
     edges = ", ".join(f"min({c})::DOUBLE AS lo_{c}, max({c})::DOUBLE AS hi_{c}" for c in numeric)
-    inner = ", ".join(f"list_transform(range(1, nb), lambda i: lo_{c} + i * ((hi_{c} - lo_{c}) / nb)) AS ed_{c}" for c in numeric)
-    states = [f"CASE WHEN lo_{c} = hi_{c} THEN 0 ELSE len(list_filter(ed_{c}, lambda v: v <= t.{c})) END AS {c}" for c in numeric] + [f"t.{c} AS {c}" for c in categorical] + [f"t.{c} AS raw_{c}" for c in keep]
+    inner = ", ".join(
+        f"list_transform(range(1, nb), lambda i: lo_{c} + i * ((hi_{c} - lo_{c}) / nb)) AS ed_{c}" for c in numeric
+    )
+    states = [
+        f"CASE WHEN lo_{c} = hi_{c} THEN 0 ELSE len(list_filter(ed_{c}, lambda v: v <= t.{c})) END AS {c}"
+        for c in numeric
+    ] + [f"t.{c} AS {c}" for c in categorical] + [f"t.{c} AS raw_{c}" for c in keep]
     return f"""t AS (SELECT * FROM {source}),
 b0 AS (SELECT count(*) AS n, CAST(least(ceil(2 * pow(count(*), 1.0 / 3)), count(*)) AS INTEGER) AS nb{', ' + edges if numeric else ''} FROM t),
 b AS (SELECT *{', ' + inner if numeric else ''} FROM b0),
@@ -29,10 +34,15 @@ def clip(x: str) -> str:
     return f"greatest(0.0, least(1.0, {x}))"
 
 
-def analysis(source: str, numeric: Sequence[str], categorical: Sequence[str], features: Sequence[str], y: str, y_numeric: bool) -> str:
+def analysis(
+    source: str, numeric: Sequence[str], categorical: Sequence[str], features: Sequence[str], y: str, y_numeric: bool
+) -> str:
     num = [*numeric, *([y] if y_numeric else [])]
     cat = [*categorical, *([] if y_numeric else [y])]
-    rows = "\n UNION ALL ".join(f"SELECT {i} AS feature_index, '{f}' AS feature_name, {str(f in numeric).lower()} AS is_numeric, {length([f])} AS k, {length([f, y])} AS ky" for i, f in enumerate(features))
+    rows = "\n UNION ALL ".join(
+        f"SELECT {i} AS feature_index, '{f}' AS feature_name, {str(f in numeric).lower()} AS is_numeric, {length([f])} AS k, {length([f, y])} AS ky"
+        for i, f in enumerate(features)
+    )
     return f"""WITH {encoded(source, num, cat)}, y AS (SELECT {length([y])} AS y), f AS ({rows}),
 m AS (SELECT feature_index, feature_name, is_numeric, k, {clip('(ky - k) / y.y')} AS d, CASE WHEN k > 0 THEN {clip('(ky - y.y) / k')} ELSE 0.0 END AS s FROM f, y)
 SELECT feature_index::INTEGER AS feature_index, feature_name, is_numeric, round(k, 6) AS code_length, round(d, 6) AS deficiency, round(s, 6) AS surplus, round(greatest(d, s), 6) AS miscoding FROM m"""
@@ -44,7 +54,10 @@ _line = encoded("lineitem", LINE_NUM, [*LINE_CAT, LINE_Y])
 
 
 def _redundancy() -> str:
-    pairs = "\n UNION ALL ".join(f"SELECT '{a}' AS fi, '{b}' AS fj, {length([a])} AS ka, {length([b])} AS kb, {length([a, b])} AS kab" for a, b in combinations(LINE, 2))
+    pairs = "\n UNION ALL ".join(
+        f"SELECT '{a}' AS fi, '{b}' AS fj, {length([a])} AS ka, {length([b])} AS kb, {length([a, b])} AS kab"
+        for a, b in combinations(LINE, 2)
+    )
     both = f"p AS ({pairs}), r AS (SELECT fi, fj, CASE WHEN greatest(ka, kb) > 0 THEN {clip('1 - (kab - least(ka, kb)) / greatest(ka, kb)')} ELSE 1.0 END AS v FROM p)"
     diagonal = " UNION ALL ".join(f"SELECT '{f}' AS fi, '{f}' AS fj, 1.0::DOUBLE AS v" for f in LINE)
     return f"{both}, rr AS (SELECT fi, fj, v FROM r UNION ALL SELECT fj, fi, v FROM r UNION ALL {diagonal})"
@@ -52,7 +65,9 @@ def _redundancy() -> str:
 
 def _subsets(subsets: Sequence[Sequence[int]]) -> str:
     values = ", ".join(f"('{','.join(map(str, s))}', {j}, '{LINE[j]}')" for s in subsets for j in s)
-    inner = analysis("lineitem", LINE_NUM, LINE_CAT, LINE, LINE_Y, False).removeprefix("WITH ").rsplit("SELECT feature_index::INTEGER", 1)[0]
+    inner = analysis(
+        "lineitem", LINE_NUM, LINE_CAT, LINE, LINE_Y, False
+    ).removeprefix("WITH ").rsplit("SELECT feature_index::INTEGER", 1)[0]
     return f"""WITH {inner}, {_redundancy()}, s(subset, j, f) AS (VALUES {values}),
 a AS (SELECT x.subset, x.j, x.f, 1 / (1 + coalesce(sum(rr.v), 0)) AS alpha FROM s x LEFT JOIN s z ON x.subset = z.subset AND x.j <> z.j LEFT JOIN rr ON rr.fi = x.f AND rr.fj = z.f GROUP BY ALL),
 g AS (SELECT a.subset, product(pow(m.d, alpha)) AS d, sum(alpha * m.k * m.s) / sum(alpha * m.k) AS o FROM a JOIN m ON m.feature_name = a.f GROUP BY a.subset)
@@ -68,7 +83,13 @@ def inaccuracy(source: str, name: str) -> str:
 SELECT '{name}' AS candidate, round({inaccuracy_expr()}, 6) AS inaccuracy FROM l"""
 
 
-CANDIDATES = {"quantity": "l_quantity", "linear": "1000.0 * l_quantity", "square": "l_quantity * l_quantity", "discounted": "l_quantity * (1.0 - l_discount)", "constant": "CAST(1.0 AS DOUBLE)"}
+CANDIDATES = {
+    "quantity": "l_quantity",
+    "linear": "1000.0 * l_quantity",
+    "square": "l_quantity * l_quantity",
+    "discounted": "l_quantity * (1.0 - l_discount)",
+    "constant": "CAST(1.0 AS DOUBLE)",
+}
 
 
 def lag_rows(window: int, exog: bool = False) -> str:
@@ -82,7 +103,9 @@ def lag_analysis(columns: Sequence[str], top: int, attribute: bool) -> str:
     for c in columns:
         for k in range(1, top + 1):
             src = f"(SELECT lag({c}, {k}) OVER (ORDER BY t) AS x, y, t FROM {EVENTS} QUALIFY t >= {k})"
-            one.append(f"(WITH {encoded(src, ['x', 'y'], [])}, l AS (SELECT {length(['x'])} AS kx, {length(['y'])} AS ky, {length(['x', 'y'])} AS kxy), m AS (SELECT {clip('(kxy - kx) / ky')} AS d, {clip('(kxy - ky) / kx')} AS s FROM l) SELECT {k} AS lag, '{c}_lag_{k}' AS feature_name, round(d, 6) AS deficiency, round(s, 6) AS surplus, round(greatest(d, s), 6) AS miscoding{f", '{c}' AS attribute" if attribute else ''} FROM m)")
+            one.append(
+                f"(WITH {encoded(src, ['x', 'y'], [])}, l AS (SELECT {length(['x'])} AS kx, {length(['y'])} AS ky, {length(['x', 'y'])} AS kxy), m AS (SELECT {clip('(kxy - kx) / ky')} AS d, {clip('(kxy - ky) / kx')} AS s FROM l) SELECT {k} AS lag, '{c}_lag_{k}' AS feature_name, round(d, 6) AS deficiency, round(s, 6) AS surplus, round(greatest(d, s), 6) AS miscoding{f", '{c}' AS attribute" if attribute else ''} FROM m)"
+            )
     return "\n UNION ALL ".join(one)
 
 
@@ -135,7 +158,9 @@ def _smoothing(window: int, alpha: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-_fixed = {f"moving_average_w{w}": [1.0 / w] * w for w in (1, 2, 3)} | {f"exponential_smoothing_w{w}_a{a:g}": _smoothing(w, a) for w in (1, 2, 3) for a in (0.1, 0.2, 0.3, 0.5, 0.8)}
+_fixed = {f"moving_average_w{w}": [1.0 / w] * w for w in (1, 2, 3)} | {
+    f"exponential_smoothing_w{w}_a{a:g}": _smoothing(w, a) for w in (1, 2, 3) for a in (0.1, 0.2, 0.3, 0.5, 0.8)
+}
 
 
 def _fixed_scores() -> str:
@@ -143,19 +168,42 @@ def _fixed_scores() -> str:
     for name, weights in _fixed.items():
         p = " + ".join(["0e0", *[f"{w:.17e} * y_lag_{k}" for k, w in enumerate(weights, 1)]])
         source = f"(SELECT y, {p} AS p FROM {lag_rows(3)} WHERE t >= 3)"
-        one.append(f"(SELECT i.candidate, i.inaccuracy, f.estimator_score FROM ({inaccuracy(source, name)}) i, (SELECT round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS estimator_score FROM {source}) f)")
+        one.append(
+            f"(SELECT i.candidate, i.inaccuracy, f.estimator_score FROM ({inaccuracy(source, name)}) i, (SELECT round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS estimator_score FROM {source}) f)"
+        )
     return "\n UNION ALL ".join(one)
 
 
 _gram_names = ["one", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
-_gram = "SELECT " + " UNION ALL SELECT ".join(f"{i} AS i, {j} AS j, round(sum({a} * {b}) / count(*), 2) AS v FROM (SELECT 1.0::DOUBLE AS one, * FROM lineitem)" for i, a in enumerate(_gram_names) for j, b in enumerate(_gram_names))
-_nb_stats = "SELECT l_returnflag AS c, count(*) AS n, " + ", ".join(f"avg({x}) AS m{k}, var_pop({x}) AS v{k}" for k, x in enumerate(("l_quantity", "l_extendedprice"))) + " FROM lineitem GROUP BY 1"
+_gram = "SELECT " + " UNION ALL SELECT ".join(
+    f"{i} AS i, {j} AS j, round(sum({a} * {b}) / count(*), 2) AS v FROM (SELECT 1.0::DOUBLE AS one, * FROM lineitem)"
+    for i, a in enumerate(_gram_names)
+    for j, b in enumerate(_gram_names)
+)
+_nb_stats = "SELECT l_returnflag AS c, count(*) AS n, " + ", ".join(
+    f"avg({x}) AS m{k}, var_pop({x}) AS v{k}" for k, x in enumerate(("l_quantity", "l_extendedprice"))
+) + " FROM lineitem GROUP BY 1"
 _rolling = f"""WITH RECURSIVE x AS (SELECT list(y ORDER BY t)[-4:] AS h FROM {EVENTS}), r(step, h, v) AS (SELECT 0, h, NULL::DOUBLE FROM x UNION ALL SELECT step + 1, list_append(h[2:], list_avg(h)), list_avg(h) FROM r WHERE step < 5)
 SELECT step::INTEGER AS step, round(v, 6) AS forecast FROM r WHERE step > 0"""
 _segments = f"""WITH v AS (SELECT * FROM {EVENTS}), b AS (SELECT min(y) AS lo, max(y) AS hi, count(*) AS n FROM v), s AS (SELECT i AS segment, (SELECT n FROM b) AS n FROM range(100) r(i)),
 q AS (SELECT segment, least(7, greatest(0, len(list_filter(list_transform(range(1, 8), lambda i: lo + i * ((hi - lo) / 8)), lambda e: e <= y)))) AS st, count(*) AS c FROM v, b, s WHERE t >= segment * 500 AND t < segment * 500 + 1000 AND segment * 500 + 1000 <= b.n GROUP BY ALL)
 SELECT segment::BIGINT AS segment, round(sum(-c * log2(c / 1000.0::DOUBLE)), 6) AS code_length FROM q GROUP BY segment"""
-_tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_tables = (
+    "region",
+    "nation",
+    "customer",
+    "supplier",
+    "part",
+    "orders",
+    "lineitem",
+    "events",
+    "documents",
+    "embeddings",
+    "pages",
+    "benchmark",
+    "labels",
+    "conversations",
+)
 
 SQL: dict[str, str] = {
     "feature_analysis_lineitem": analysis("lineitem", LINE_NUM, LINE_CAT, LINE, LINE_Y, False),

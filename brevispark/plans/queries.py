@@ -51,33 +51,61 @@ def discretize(spark: SparkSession, d: str) -> DataFrame:
 
 def entropies(spark: SparkSession, d: str) -> DataFrame:
     n, got = _lengths(spark, d, [[c] for c in [*LINE, LINE_Y]])
-    return r6(spark.createDataFrame([(c, got[frozenset([c])][0] / n, *got[frozenset([c])]) for c in [*LINE, LINE_Y]], "feature_name string, entropy double, code_length double, n_states long"))
+    return r6(
+        spark.createDataFrame(
+            [(c, got[frozenset([c])][0] / n, *got[frozenset([c])]) for c in [*LINE, LINE_Y]],
+            "feature_name string, entropy double, code_length double, n_states long",
+        )
+    )
 
 
 def joint(spark: SparkSession, d: str) -> DataFrame:
     s = empirical_distribution(_line(spark, d), ["l_extendedprice", LINE_Y], [True, False])
-    return r6(spark.createDataFrame([(s.code_length, s.entropy, s.n_samples, s.n_states)], "code_length double, entropy double, n_samples long, n_states long"))
+    return r6(
+        spark.createDataFrame(
+            [(s.code_length, s.entropy, s.n_samples, s.n_states)],
+            "code_length double, entropy double, n_samples long, n_states long",
+        )
+    )
 
 
 def conditional(spark: SparkSession, d: str) -> DataFrame:
     _, got = _lengths(spark, d, [[LINE_Y], *[[f] for f in LINE], *[[f, LINE_Y] for f in LINE]])
     k = lambda *c: got[frozenset(c)][0]
-    return r6(spark.createDataFrame([(f, max(0.0, k(f, LINE_Y) - k(f)), max(0.0, k(f, LINE_Y) - k(LINE_Y))) for f in LINE], "feature_name string, target_given_feature double, feature_given_target double"))
+    return r6(
+        spark.createDataFrame(
+            [(f, max(0.0, k(f, LINE_Y) - k(f)), max(0.0, k(f, LINE_Y) - k(LINE_Y))) for f in LINE],
+            "feature_name string, target_given_feature double, feature_given_target double",
+        )
+    )
 
 
 def subsets(spark: SparkSession, d: str) -> DataFrame:
     m = _fit_line(spark, d)
-    rows = [(",".join(map(str, s)), x["deficiency"], x["surplus"], x["miscoding"]) for s in ([0], [0, 1], [0, 1, 2, 3], [1, 4]) for x in [m.measures(s)]]
+    rows = [
+        (",".join(map(str, s)), x["deficiency"], x["surplus"], x["miscoding"])
+        for s in ([0], [0, 1], [0, 1, 2, 3], [1, 4])
+        for x in [m.measures(s)]
+    ]
     return r6(spark.createDataFrame(rows, "subset string, deficiency double, surplus double, miscoding double"))
 
 
 def documents_analysis(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source").join(
+        table(spark, d, "labels").select("doc_id", "quality"), "doc_id"
+    )
     return r6(Miscoding(y_type="categorical").fit(docs, ["n_chars", "lang", "source"], "quality").feature_analysis())
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    return _line(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("y"), (1000.0 * F.col("l_quantity") + 50.0 * F.col("l_discount")).alias("p"))
+    return _line(spark, d).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        "l_quantity",
+        "l_discount",
+        "l_tax",
+        F.col("l_extendedprice").alias("y"),
+        (1000.0 * F.col("l_quantity") + 50.0 * F.col("l_discount")).alias("p"),
+    )
 
 
 def inaccuracies(spark: SparkSession, d: str, which: dict[str, str]) -> DataFrame:
@@ -87,24 +115,38 @@ def inaccuracies(spark: SparkSession, d: str, which: dict[str, str]) -> DataFram
 
 def surfeit_lengths(spark: SparkSession, d: str) -> DataFrame:
     _, got = _lengths(spark, d, [[LINE_Y]])
-    v = spark.range(10, 400_000, 9973).select(F.col("id").alias("length"), (F.floor(F.col("id") / 2) + 20).alias("compressed"))
-    return r6(v.withColumn("surfeit", surfeit_from_lengths(F.col("length"), F.col("compressed"), F.lit(got[frozenset([LINE_Y])][0]))))
+    v = spark.range(10, 400_000, 9973).select(
+        F.col("id").alias("length"), (F.floor(F.col("id") / 2) + 20).alias("compressed")
+    )
+    return r6(
+        v.withColumn(
+            "surfeit", surfeit_from_lengths(F.col("length"), F.col("compressed"), F.lit(got[frozenset([LINE_Y])][0]))
+        )
+    )
 
 
 def surfeit_documents(spark: SparkSession, d: str) -> DataFrame:
     """Surfeit of every document text, against the code length of the quality labels."""
     k = empirical_distribution(table(spark, d, "labels"), ["quality"], [False]).code_length
-    docs = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("length"), zlib_length("text").alias("compressed"))
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.octet_length("text").alias("length"), zlib_length("text").alias("compressed")
+    )
     return docs.withColumn("surfeit", surfeit_from_lengths(F.col("length"), F.col("compressed"), F.lit(k)))
 
 
 def _grid(spark: SparkSession) -> DataFrame:
     i = F.col("id")
-    return spark.range(625).select("id", *[((F.floor(i / x) % 5) / 4.0).alias(c) for c, x in zip(COMPONENTS, (1, 5, 25, 125))])
+    return spark.range(625).select(
+        "id", *[((F.floor(i / x) % 5) / 4.0).alias(c) for c, x in zip(COMPONENTS, (1, 5, 25, 125))]
+    )
 
 
 def modes(spark: SparkSession, d: str) -> DataFrame:
-    return r6(_grid(spark).select("id", *[aggregate([F.col(c) for c in COMPONENTS], m, (1.0, 2.0, 1.0, 0.5)).alias(m) for m in MODES]))
+    return r6(
+        _grid(spark).select(
+            "id", *[aggregate([F.col(c) for c in COMPONENTS], m, (1.0, 2.0, 1.0, 0.5)).alias(m) for m in MODES]
+        )
+    )
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -113,14 +155,23 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("ts", "event_id", F.col("value").alias("y"), F.regexp_extract("props", r'"k": *(-?[0-9.]+)', 1).cast("double").alias("k"))
+    return table(spark, d, "events").select(
+        "ts",
+        "event_id",
+        F.col("value").alias("y"),
+        F.regexp_extract("props", r'"k": *(-?[0-9.]+)', 1).cast("double").alias("k"),
+    )
 
 
 ORDER = ["ts", "event_id"]
 
 
 def lag_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return r6(ts.lag_matrix(_events(spark, d), "y", 4, ORDER, exogenous=["k"]).select("event_id", "y", *ts.lag_names(4, ["k"])))
+    return r6(
+        ts.lag_matrix(
+            _events(spark, d), "y", 4, ORDER, exogenous=["k"]
+        ).select("event_id", "y", *ts.lag_names(4, ["k"]))
+    )
 
 
 def forecast_of(spark: SparkSession, d: str, weights: list[float]) -> DataFrame:
@@ -140,12 +191,16 @@ def candidates_of_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fixed_candidates_of_series(spark: SparkSession, d: str) -> DataFrame:
-    fit = ts.TimeSeries(window_size=3, models=["moving_average", "exponential_smoothing"]).fit(_events(spark, d), "y", ORDER)
+    fit = ts.TimeSeries(
+        window_size=3, models=["moving_average", "exponential_smoothing"]
+    ).fit(_events(spark, d), "y", ORDER)
     return r6(fit.results_dataframe().select(F.col("model_name").alias("candidate"), "inaccuracy", "estimator_score"))
 
 
 def recursive_forecast(spark: SparkSession, d: str) -> DataFrame:
-    s = ts.TimeSeries(window_size=4, models=["moving_average"], moving_average_windows=[4]).fit(_events(spark, d), "y", ORDER)
+    s = ts.TimeSeries(
+        window_size=4, models=["moving_average"], moving_average_windows=[4]
+    ).fit(_events(spark, d), "y", ORDER)
     return r6(spark.createDataFrame(list(enumerate(s.forecast(5), 1)), "step int, forecast double"))
 
 
@@ -158,7 +213,9 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _detector(spark: SparkSession, d: str, rule: str, **options) -> AnomalyDetector:
-    return AnomalyDetector("regression", y_type="numeric", anomaly_rule=rule, **options).fit(_predicted(spark, d), ["l_quantity", "l_discount", "l_tax"], "y", "row_id", prediction="p")
+    return AnomalyDetector("regression", y_type="numeric", anomaly_rule=rule, **options).fit(
+        _predicted(spark, d), ["l_quantity", "l_discount", "l_tax"], "y", "row_id", prediction="p"
+    )
 
 
 def residual_rule(spark: SparkSession, d: str, rule: str, **options) -> DataFrame:
@@ -166,29 +223,62 @@ def residual_rule(spark: SparkSession, d: str, rule: str, **options) -> DataFram
 
 
 def misclassification(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("y"), F.when(F.col("o_totalprice") > 250000, "O").otherwise("F").alias("p"), "o_totalprice")
-    return AnomalyDetector("classification").fit(df, ["o_totalprice"], "y", "row_id", prediction="p").anomaly_table().select("sample_index", "y_true", "y_pred")
+    df = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("o_orderstatus").alias("y"),
+        F.when(F.col("o_totalprice") > 250000, "O").otherwise("F").alias("p"),
+        "o_totalprice",
+    )
+    return AnomalyDetector("classification").fit(
+        df, ["o_totalprice"], "y", "row_id", prediction="p"
+    ).anomaly_table().select("sample_index", "y_true", "y_pred")
 
 
 def probability_quantile(spark: SparkSession, d: str) -> DataFrame:
     """Probability of the observed class from shares within each priority."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("y"), F.col("o_orderpriority").alias("g"))
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("y"), F.col("o_orderpriority").alias("g")
+    )
     cells = o.groupBy("g", "y").agg(F.count(F.lit(1)).alias("c"))
-    share = cells.join(cells.groupBy("g").agg(F.sum("c").alias("s")), "g").select("g", "y", (F.col("c") / F.col("s")).alias("q"))
+    share = cells.join(
+        cells.groupBy("g").agg(F.sum("c").alias("s")), "g"
+    ).select("g", "y", (F.col("c") / F.col("s")).alias("q"))
     df = o.join(share, ["g", "y"]).withColumn("p", F.lit("F"))
-    found = AnomalyDetector("classification", anomaly_rule="probability_quantile", anomaly_quantile=0.9).fit(df, ["g"], "y", "row_id", prediction="p", probability="q")
+    found = AnomalyDetector(
+        "classification", anomaly_rule="probability_quantile", anomaly_quantile=0.9
+    ).fit(df, ["g"], "y", "row_id", prediction="p", probability="q")
     return r6(found.anomaly_table().select("sample_index", "anomaly_score"))
 
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
     s = _detector(spark, d, "residual_quantile").summary()
-    names = ["n_samples", "n_anomalies", "mean_absolute_residual", "median_absolute_residual", "n_under_predicted", "n_over_predicted", "threshold"]
-    return r6(spark.createDataFrame([tuple(s[c] for c in names)], "n_samples long, n_anomalies long, mean_absolute_residual double, median_absolute_residual double, n_under_predicted long, n_over_predicted long, threshold double"), 4)
+    names = [
+        "n_samples",
+        "n_anomalies",
+        "mean_absolute_residual",
+        "median_absolute_residual",
+        "n_under_predicted",
+        "n_over_predicted",
+        "threshold",
+    ]
+    return r6(
+        spark.createDataFrame(
+            [tuple(s[c] for c in names)],
+            "n_samples long, n_anomalies long, mean_absolute_residual double, median_absolute_residual double, n_under_predicted long, n_over_predicted long, threshold double",
+        ),
+        4,
+    )
 
 
 def two_means(spark: SparkSession, d: str) -> DataFrame:
     out = two_means_1d(_detector(spark, d, "residual_quantile")._views("all"), "attribute", "value")
-    return out.select("attribute", F.round("cut", 6).alias("cut"), F.round("inertia", 4).alias("inertia"), "cluster_0_size", "cluster_1_size")
+    return out.select(
+        "attribute",
+        F.round("cut", 6).alias("cut"),
+        F.round("inertia", 4).alias("inertia"),
+        "cluster_0_size",
+        "cluster_1_size",
+    )
 
 
 def ols(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +288,12 @@ def ols(spark: SparkSession, d: str) -> DataFrame:
 
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
     g = gram(_line(spark, d), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    return r6(spark.createDataFrame([(i, j, float(v / g[0, 0])) for i, row in enumerate(g) for j, v in enumerate(row)], "i int, j int, v double"), 2)
+    return r6(
+        spark.createDataFrame(
+            [(i, j, float(v / g[0, 0])) for i, row in enumerate(g) for j, v in enumerate(row)], "i int, j int, v double"
+        ),
+        2,
+    )
 
 
 NB = ["l_quantity", "l_extendedprice"]
@@ -206,22 +301,38 @@ NB = ["l_quantity", "l_extendedprice"]
 
 def gnb_moments(spark: SparkSession, d: str) -> DataFrame:
     m = gaussian_moments(_line(spark, d), NB, LINE_Y)
-    return m.select("class", "n", *[F.round(c, k).alias(c) for c, k in (("mean_0", 4), ("var_0", 4), ("mean_1", 4), ("var_1", 1))])
+    return m.select(
+        "class", "n", *[F.round(c, k).alias(c) for c, k in (("mean_0", 4), ("var_0", 4), ("mean_1", 4), ("var_1", 1))]
+    )
 
 
 def gnb_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows = gaussian_moments(_line(spark, d), NB, LINE_Y).collect()
     n = sum(r["n"] for r in rows)
-    m = GaussianNB(NB, [r["class"] for r in rows], [r["n"] / n for r in rows], [[r["mean_0"], r["mean_1"]] for r in rows], [[r["var_0"], r["var_1"]] for r in rows])
-    return r6(m.transform(_line(spark, d)).agg(F.avg((F.col("prediction") == F.col(LINE_Y)).cast("double")).alias("accuracy")))
+    m = GaussianNB(
+        NB,
+        [r["class"] for r in rows],
+        [r["n"] / n for r in rows],
+        [[r["mean_0"], r["mean_1"]] for r in rows],
+        [[r["var_0"], r["var_1"]] for r in rows],
+    )
+    return r6(
+        m.transform(_line(spark, d)).agg(F.avg((F.col("prediction") == F.col(LINE_Y)).cast("double")).alias("accuracy"))
+    )
 
 
 def automl_classifier(spark: SparkSession, d: str) -> DataFrame:
-    return Classifier().fit(table(spark, d, "orders").withColumn("month", F.month("o_orderdate").cast("double")), ["o_totalprice", "month"], "o_orderstatus").results_dataframe()
+    return Classifier().fit(
+        table(spark, d, "orders").withColumn("month", F.month("o_orderdate").cast("double")),
+        ["o_totalprice", "month"],
+        "o_orderstatus",
+    ).results_dataframe()
 
 
 def automl_regressor(spark: SparkSession, d: str) -> DataFrame:
-    return Regressor().fit(_line(spark, d), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").results_dataframe()
+    return Regressor().fit(
+        _line(spark, d), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
+    ).results_dataframe()
 
 
 def windowed(spark: SparkSession, d: str) -> DataFrame:

@@ -20,7 +20,10 @@ NAMES = ["a", "b"]
 def rows(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 2))
-    data = [(i, *map(float, r), float(r[0] > 0) + float(r[1] > 0.5), float(r[0] > 0), float(2 * r[0] - r[1])) for i, r in enumerate(x)]
+    data = [
+        (i, *map(float, r), float(r[0] > 0) + float(r[1] > 0.5), float(r[0] > 0), float(2 * r[0] - r[1]))
+        for i, r in enumerate(x)
+    ]
     df = spark.createDataFrame(data, "id int, a double, b double, three double, two double, y double").repartition(3)
     return VectorAssembler(inputCols=NAMES, outputCol="features").transform(df).persist()
 
@@ -49,7 +52,12 @@ def test_adapted_models_predict_alike(rows, kind):
 
 def test_refused_models(rows):
     bits = VectorAssembler(inputCols=["two", "two"], outputCol="features").transform(rows.drop("features"))
-    for label, e, data in (("two", RandomForestClassifier(numTrees=2), rows), ("y", GBTRegressor(maxIter=1), rows), ("two", NaiveBayes(modelType="bernoulli"), bits), ("two", LogisticRegression(threshold=0.7), rows)):
+    for label, e, data in (
+        ("two", RandomForestClassifier(numTrees=2), rows),
+        ("y", GBTRegressor(maxIter=1), rows),
+        ("two", NaiveBayes(modelType="bernoulli"), bits),
+        ("two", LogisticRegression(threshold=0.7), rows),
+    ):
         with pytest.raises(TypeError):
             fit_ml(e, data.withColumn("label", F.col(label)), NAMES)
     with pytest.raises(ValueError):
@@ -62,13 +70,19 @@ def test_scores_of_whole_models(rows):
     metric = CombinedScore("numeric", "numeric").fit(rows, NAMES, "y")
     fitted = LinearRegression(labelCol="y").fit(rows)
     c = components_model(metric, fitted)
-    assert set(c) == set(COMPONENTS) and c["inaccuracy"] < 0.05 and c["deficiency"] == metric.metric.measures([0, 1])["deficiency"]
-    assert combined_model(metric, fitted) == pytest.approx(1 - score_model(metric, fitted)) and explain_model(metric, fitted)["components"] == pytest.approx(c)
+    assert set(c) == set(COMPONENTS) and c[
+        "inaccuracy"
+    ] < 0.05 and c["deficiency"] == metric.metric.measures([0, 1])["deficiency"]
+    assert combined_model(metric, fitted) == pytest.approx(
+        1 - score_model(metric, fitted)
+    ) and explain_model(metric, fitted)["components"] == pytest.approx(c)
 
 
 def test_explicit_candidates_of_pyspark_ml(rows):
     fitted = DecisionTreeRegressor(maxDepth=2, labelCol="y").fit(rows)
-    auto = Regressor(["linear_regression"]).fit(rows, NAMES, "y", candidates={"plain": LinearRegression(), "tree": fitted})
+    auto = Regressor(["linear_regression"]).fit(
+        rows, NAMES, "y", candidates={"plain": LinearRegression(), "tree": fitted}
+    )
     table = {r["candidate"]: r for r in auto.results_dataframe().collect()}
     assert table["plain"]["native_estimator_score"] > 0.999 and table["tree"]["model_type"] == "DecisionTree"
     with pytest.raises(TypeError):
@@ -79,7 +93,9 @@ def test_explicit_candidates_of_pyspark_ml(rows):
 
 def test_probabilities_of_a_model_find_anomalies(rows):
     m = LinearClassifier(["a"], [0.0, 1.0], [[4.0]], [0.0])
-    d = AnomalyDetector("classification", anomaly_rule="probability_quantile", anomaly_quantile=0.9).fit(rows, NAMES, "two", "id", model=m)
+    d = AnomalyDetector(
+        "classification", anomaly_rule="probability_quantile", anomaly_quantile=0.9
+    ).fit(rows, NAMES, "two", "id", model=m)
     table = d.anomaly_table(only_anomalies=False).collect()
     assert 10 <= sum(r["is_anomaly"] for r in table) <= 20 and all(0 <= r["anomaly_score"] <= 0.5 for r in table)
     with pytest.raises(ValueError):
@@ -88,7 +104,15 @@ def test_probabilities_of_a_model_find_anomalies(rows):
     assert none.group_points("a").count() == 0
 
 
-@pytest.mark.parametrize("kind,f", [("identity", lambda v: v), ("relu", lambda v: np.maximum(v, 0)), ("logistic", lambda v: 1 / (1 + np.exp(-v))), ("tanh", np.tanh)])
+@pytest.mark.parametrize(
+    "kind,f",
+    [
+        ("identity", lambda v: v),
+        ("relu", lambda v: np.maximum(v, 0)),
+        ("logistic", lambda v: 1 / (1 + np.exp(-v))),
+        ("tanh", np.tanh),
+    ],
+)
 def test_activations(rows, kind, f):
     w, v = np.array([[1.0, -0.5], [0.3, 2.0]]), np.array([[1.5], [-1.0]])
     net = MLP(NAMES, None, [w, v], [np.array([0.1, -0.2]), np.array([0.4])], activation=kind)

@@ -46,7 +46,10 @@ def test_bins_equal_edges_counted_one_by_one(spark):
     for lo, hi, b in ((0.0, 1.0, 10), (-3.3, 7.7, 37), (1e-9, 3e9, 79), (5.0, 5.0, 4), (0.0, 1.0, 1)):
         edges = [lo + i * ((hi - lo) / b) for i in range(1, b)]
         x = [lo, hi, *edges, *np.nextafter(edges, -np.inf), *rng.uniform(lo, hi, 200)]
-        got = [r[0] for r in frame(spark, "x double", [(float(v),) for v in x]).select(bin_of(F.col("x"), lo, hi, b)).collect()]
+        got = [
+            r[0]
+            for r in frame(spark, "x double", [(float(v),) for v in x]).select(bin_of(F.col("x"), lo, hi, b)).collect()
+        ]
         assert got == [0 if lo == hi else sum(e <= v for e in edges) for v in x]
     assert rice_bins("auto", 8) == 4 and rice_bins("auto", 60_000) == 79 and rice_bins(5, 3) == 5
     with pytest.raises(ValueError):
@@ -54,7 +57,12 @@ def test_bins_equal_edges_counted_one_by_one(spark):
 
 
 def test_rejected_values(spark):
-    for schema, rows, numeric in (("x double", [(math.nan,)], True), ("x double", [(math.inf,)], True), ("x string", [(None,)], False), ("x double", [], True)):
+    for schema, rows, numeric in (
+        ("x double", [(math.nan,)], True),
+        ("x double", [(math.inf,)], True),
+        ("x string", [(None,)], False),
+        ("x double", [], True),
+    ):
         with pytest.raises(ValueError):
             empirical_distribution(frame(spark, schema, rows), ["x"], [numeric])
     with pytest.raises(TypeError):
@@ -71,15 +79,25 @@ def test_miscoding(spark):
     assert (m.deficiency[0], m.surplus[0], m.miscoding[0]) == (0, 0, 0) and m.redundancy[0][2] == 1.0
     assert m.subset_analysis([0, 2, 1])["redundancy_weights"][0] < 0.51 and m.measures([])["miscoding"] == 1.0
     assert m.select_features() == [0] and m.feature_order()[0] == 0 and sorted(m.feature_order()) == [0, 1, 2]
-    assert m.miscoding_subset([1, 0, 0]) == m.miscoding_subset(["x0"]) == 0.0 and m.indices([0, 1, 0]) == [1] and m.indices([0, 1], as_mask=False) == [0, 1]
+    assert m.miscoding_subset(
+        [1, 0, 0]
+    ) == m.miscoding_subset(["x0"]) == 0.0 and m.indices([0, 1, 0]) == [1] and m.indices(
+        [0, 1], as_mask=False
+    ) == [0, 1]
     table = m.feature_analysis().collect()
     assert [r["miscoding"] for r in table] == sorted(r["miscoding"] for r in table)
     assert m.redundancy_matrix().count() == 3 and m.feature_redundancy().count() == 9
     for bad in ([0, 0, 1, 1], [5], [[1]]):
         with pytest.raises(ValueError):
             m.indices(bad)
-    both = Miscoding("categorical").fit(frame(spark, "a int, b int, y int", [(r[1], r[1], r[3]) for r in TOY]), ["a", "b"], "y")
-    assert both.measures([0, 1])["redundancy_weights"] == [0.5, 0.5] and both.measures([0, 1])["miscoding"] == pytest.approx(both.measures([0])["miscoding"])
+    both = Miscoding("categorical").fit(
+        frame(spark, "a int, b int, y int", [(r[1], r[1], r[3]) for r in TOY]), ["a", "b"], "y"
+    )
+    assert both.measures([0, 1])[
+        "redundancy_weights"
+    ] == [0.5, 0.5] and both.measures([0, 1])["miscoding"] == pytest.approx(
+        both.measures([0])["miscoding"]
+    )
     constant = Miscoding("categorical").fit(frame(spark, "a int, y int", [(1, 3), (2, 3)]), ["a"], "y")
     assert constant.deficiency == [0.0] and constant.measures([])["deficiency"] == 0.0
 
@@ -91,7 +109,11 @@ def test_properties_do_not_depend_on_order_or_labels(spark):
     one = Miscoding().fit(df, ["a", "b"], "y")
     two = Miscoding().fit(df.repartition(7).orderBy(F.rand(3)), ["a", "b"], "y")
     names = Miscoding(X_type="auto").fit(df.withColumn("y", F.concat(F.lit("c"), "y")), ["a", "b"], "y")
-    assert two.deficiency == pytest.approx(one.deficiency) and names.deficiency == pytest.approx(one.deficiency) and one.redundancy[0][1] == pytest.approx(two.redundancy[0][1])
+    assert two.deficiency == pytest.approx(
+        one.deficiency
+    ) and names.deficiency == pytest.approx(one.deficiency) and one.redundancy[0][1] == pytest.approx(
+        two.redundancy[0][1]
+    )
 
 
 def test_inaccuracy(spark):
@@ -101,7 +123,9 @@ def test_inaccuracy(spark):
     for y, p, want in ((1, 1, 0.0), (1, 0, 1.0)):
         assert inaccuracy_score(frame(spark, "y int, p int", [(y, p)] * 5), "y", "p") == want
     num = frame(spark, "y double, p double", [(x * 1.5, 3 - x * 20.0) for x in range(30)])
-    assert inaccuracy_score(num.withColumn("p", F.col("y") * 9 + 2), "y", "p", y_type="numeric") == pytest.approx(0.0, abs=1e-12)
+    assert inaccuracy_score(
+        num.withColumn("p", F.col("y") * 9 + 2), "y", "p", y_type="numeric"
+    ) == pytest.approx(0.0, abs=1e-12)
     with pytest.raises(ValueError):
         inaccuracy_score(frame(spark, "y int, p int", [(1, None)]), "y", "p")
     m = LinearRegressor(["y"], [2.0], 1.0)
@@ -112,7 +136,11 @@ def test_surfeit(spark):
     s = Surfeit().fit(frame(spark, "y int", [(v,) for v in (0, 0, 1, 1, 0, 1)]), "y")
     text = "def predict(x):\n return x\n" * 20
     length, compressed = s.description_lengths(text)
-    assert (length, compressed) == (len(text), len(zlib.compress(text.encode(), 9))) and s.surfeit_string(text) == pytest.approx(1 - min(s.y_length, max(0, compressed - 6)) / length)
+    assert (length, compressed) == (
+        len(text), len(zlib.compress(text.encode(), 9))
+    ) and s.surfeit_string(text) == pytest.approx(
+        1 - min(s.y_length, max(0, compressed - 6)) / length
+    )
     assert [s.effective_length(*x) for x in ((100, 20), (100, 3), (100, 200))] == [14, 0, 100]
     assert Surfeit().fit(frame(spark, "y int", [(1,)] * 4), "y").surfeit_string("abc") == 1.0
     for bad in ("", None):
@@ -127,13 +155,23 @@ def test_combined(spark):
         for mode in cs.MODES:
             got = df.select(cs.aggregate([F.col(c) for c in "abcd"], mode, w)).first()[0]
             assert got == pytest.approx(cs.aggregate_values(v, mode, w))
-    assert cs.aggregate_values(v, "arithmetic") == pytest.approx(0.35) and cs.aggregate_values(v, "maximum") == 0.5 and cs.aggregate_values(v, "euclidean", [1, 0, 0, 0]) == pytest.approx(0.2)
+    assert cs.aggregate_values(
+        v, "arithmetic"
+    ) == pytest.approx(0.35) and cs.aggregate_values(v, "maximum") == 0.5 and cs.aggregate_values(
+        v, "euclidean", [1, 0, 0, 0]
+    ) == pytest.approx(0.2)
     for bad in ([1, 1, 1], [0, 0, 0, 0], [-1, 1, 1, 1], {"x": 1}):
         with pytest.raises(ValueError):
             cs.resolve_weights(bad)
-    s = cs.CombinedScore("categorical").fit(frame(spark, "x0 int, x1 int, y int", [(r[0], r[1], r[3]) for r in TOY]), ["x0", "x1"], "y")
+    s = cs.CombinedScore("categorical").fit(
+        frame(spark, "x0 int, x1 int, y int", [(r[0], r[1], r[3]) for r in TOY]), ["x0", "x1"], "y"
+    )
     e = s.explain([1, 0], "y", "def predict(X0):\n return X0\n", s.df)
-    assert e["components"]["deficiency"] == e["components"]["surplus"] == e["components"]["inaccuracy"] == 0 and e["dominant_component"] in cs.COMPONENTS and e["combined"] == pytest.approx(e["components"]["surfeit"] / 2)
+    assert e["components"]["deficiency"] == e["components"]["surplus"] == e["components"]["inaccuracy"] == 0 and e[
+        "dominant_component"
+    ] in cs.COMPONENTS and e["combined"] == pytest.approx(
+        e["components"]["surfeit"] / 2
+    )
 
 
 def test_numbers():
@@ -145,18 +183,30 @@ def test_numbers():
 
 def test_model_texts_and_columns(spark):
     m = LinearRegressor(["a", "b", "c"], [1.5, 0.0, -2.0], 0.5)
-    assert " y = 5.00e-01\n y += 1.50e+00*X0\n y -= 2.00e+00*X2\n return y\n" in m.text() and artifacts(m, ["z", "a", "b", "c"]).subset == [1, 3]
+    assert " y = 5.00e-01\n y += 1.50e+00*X0\n y -= 2.00e+00*X2\n return y\n" in m.text() and artifacts(
+        m, ["z", "a", "b", "c"]
+    ).subset == [1, 3]
     two = LinearClassifier(["a"], ["n", "p"], [[2.0]], [-1.0])
     assert two.text() == "def predict(x):\n z=-1.00e+00+2.00e+00*x[0]\n if z>0:\n  return 1\n return 0\n"
     df = frame(spark, "a double, b double, c double", [(0.0, 1.0, 1.0), (1.0, 1.0, 0.0)])
-    assert [r[0] for r in df.select(two.column()).collect()] == ["n", "p"] and [r[0] for r in df.select(m.column()).collect()] == [-1.5, 2.0]
+    assert [
+        r[0] for r in df.select(two.column()).collect()
+    ] == ["n", "p"] and [r[0] for r in df.select(m.column()).collect()] == [-1.5, 2.0]
     nb = GaussianNB(["a"], [0, 1], [0.5, 0.5], [[0.0], [1.0]], [[1.0], [1.0]])
     assert [r["prediction"] for r in nb.transform(df).collect()] == [0, 1] and "s1=" in nb.text() and nb.subset() == [0]
     assert sum(df.select(*nb.probabilities()).first()) == pytest.approx(1.0)
-    t = Tree(["a"], TreeNode([1.0, 3.0], 4, 0.5, 0, 0.5, TreeNode([1.0, 0.0], 1, 0.0), TreeNode([0.0, 3.0], 3, 0.0)), ["u", "v"])
-    assert t.text() == "def predict(X0):\n if X0<=5.00e-01:\n  return C0\n else:\n  return C1\n" and [r[0] for r in df.select(t.column()).collect()] == ["u", "v"]
+    t = Tree(
+        ["a"],
+        TreeNode([1.0, 3.0], 4, 0.5, 0, 0.5, TreeNode([1.0, 0.0], 1, 0.0), TreeNode([0.0, 3.0], 3, 0.0)),
+        ["u", "v"],
+    )
+    assert t.text() == "def predict(X0):\n if X0<=5.00e-01:\n  return C0\n else:\n  return C1\n" and [
+        r[0] for r in df.select(t.column()).collect()
+    ] == ["u", "v"]
     assert [len(x.leaves()) for x in pruning_path(t.root)] == [2, 1]
-    net = MLP(["a"], None, [np.array([[1.0, -1.0]]), np.array([[2.0], [3.0]])], [np.zeros(2), np.array([0.5])], [0.0], [1.0])
+    net = MLP(
+        ["a"], None, [np.array([[1.0, -1.0]]), np.array([[2.0], [3.0]])], [np.zeros(2), np.array([0.5])], [0.0], [1.0]
+    )
     assert [r[0] for r in df.select(net.column()).collect()] == [0.5, 2.5] and "P StandardScaler" in net.text()
     with pytest.raises(TypeError):
         artifacts(object())
@@ -178,23 +228,34 @@ def test_ols_prefixes(spark):
 def labelled(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(160, 3))
-    rows = [(*map(float, r), "p" if r[0] + r[1] > 0 else "n", float(3 * r[0] - 2 * r[1] + 0.1 * e)) for r, e in zip(x, rng.normal(size=160))]
+    rows = [
+        (*map(float, r), "p" if r[0] + r[1] > 0 else "n", float(3 * r[0] - 2 * r[1] + 0.1 * e))
+        for r, e in zip(x, rng.normal(size=160))
+    ]
     return frame(spark, "a double, b double, c double, k string, y double", rows).repartition(4).persist()
 
 
 def test_classifier(labelled):
     auto = Classifier(options={"linear_svc": {"C_values": (1.0,)}}).fit(labelled, ["a", "b", "c"], "k")
     table = auto.results_dataframe().collect()
-    assert {r["family"] for r in table} == {"decision_tree", "logistic_regression", "linear_svc", "naive_bayes", "mlp"} and len(table[0]) == 13
-    assert [r["combined"] for r in table] == sorted(r["combined"] for r in table) and auto.best_result.combined == table[0]["combined"]
+    assert {r["family"] for r in table} == {
+        "decision_tree", "logistic_regression", "linear_svc", "naive_bayes", "mlp"
+    } and len(table[0]) == 13
+    assert [
+        r["combined"] for r in table
+    ] == sorted(r["combined"] for r in table) and auto.best_result.combined == table[0]["combined"]
     assert max(r["native_estimator_score"] for r in table) > 0.95 and 0.5 <= auto.score(labelled) <= 1
-    assert auto.candidate_model_description()["model_string"] == auto.model_string() and set(auto.explain()) >= {"profile", "candidate_name"}
+    assert auto.candidate_model_description()["model_string"] == auto.model_string() and set(auto.explain()) >= {
+        "profile", "candidate_name"
+    }
     with pytest.raises(KeyError):
         auto.candidate_model_description("none")
     with pytest.raises(ValueError):
         Classifier(["random_forest"])
     nb = Classifier(["naive_bayes"]).fit(labelled, ["a", "b"], "k")
-    assert nb.predict_proba(labelled).first()["probability"].keys() == {"n", "p"} and nb.diagnostics_dataframe().count() == 0
+    assert nb.predict_proba(labelled).first()[
+        "probability"
+    ].keys() == {"n", "p"} and nb.diagnostics_dataframe().count() == 0
 
 
 @pytest.mark.parametrize("target,kind", [("k", "categorical"), ("y", "numeric")])
@@ -211,16 +272,24 @@ def test_pruned_trees_at_once_equal_each_by_itself(labelled, target, kind):
 @pytest.mark.parametrize("by_class", [True, False])
 def test_trees_grow_past_five_levels_and_many_bins(spark, by_class):
     labels = np.random.default_rng(3).integers(0, 2, 300)
-    df = frame(spark, "a double, b double, k string, y double", [(float(i), float(i % 3), "np"[k], float(i * i)) for i, k in enumerate(labels)])
+    df = frame(
+        spark,
+        "a double, b double, k string, y double",
+        [(float(i), float(i % 3), "np"[k], float(i * i)) for i, k in enumerate(labels)],
+    )
     target, classes = ("k", ["n", "p"]) if by_class else ("y", None)
     score = cs.CombinedScore("numeric", "categorical" if by_class else "numeric").fit(df, ["a", "b"], target)
     ctx = automl.SearchContext(df, ["a", "b"], target, score, classes, 0)
     found = automl.search_tree(ctx).candidates
     full = found[0]
     assert full.native == pytest.approx(1.0) and len(full.model.root.leaves()) > 64  # five levels have 32 leaves
-    assert len(found[-1].model.root.leaves()) == 1 and all(int(c.hyperparameters["n_leaves"]) == len(c.model.root.leaves()) for c in found)
+    assert len(found[-1].model.root.leaves()) == 1 and all(
+        int(c.hyperparameters["n_leaves"]) == len(c.model.root.leaves()) for c in found
+    )
     for c in found:
-        assert c.length == len(c.text.encode()) and c.components["surfeit"] == score.surfeit.surfeit_string(c.text) and c.subset == c.model.subset()
+        assert c.length == len(
+            c.text.encode()
+        ) and c.components["surfeit"] == score.surfeit.surfeit_string(c.text) and c.subset == c.model.subset()
     got = [(dict(c.components), c.native) for c in (full, found[len(found) // 2])]
     for (components, native), c in zip(got, automl.evaluate(ctx, [full, found[len(found) // 2]])):
         assert components == pytest.approx(c.components) and native == pytest.approx(c.native, abs=1e-9)
@@ -236,14 +305,20 @@ def test_copies_do_not_fill_the_sample_of_a_network(spark):
     df = frame(spark, "a double, b double, k string, y double", rows)
     assert max(c.native for c in _networks(df, ["a", "b"], "k", ["n", "p"], sample_rows=100)) == 1.0
     assert max(c.native for c in _networks(df, ["a", "b"], "y", None, sample_rows=100)) > 0.95
-    one = frame(spark, "a double, b double, k string", [(0.0, 0.0, "n")] * 200 + [(i / 100, 1.0, "np"[i > 100]) for i in range(1, 201)])
+    one = frame(
+        spark,
+        "a double, b double, k string",
+        [(0.0, 0.0, "n")] * 200 + [(i / 100, 1.0, "np"[i > 100]) for i in range(1, 201)],
+    )
     assert max(c.native for c in _networks(one, ["a", "b"], "k", ["n", "p"], sample_rows=60)) > 0.9
 
 
 def test_regression_networks_use_all_rows_by_either_way(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 2))
-    df = frame(spark, "a double, b double, y double", np.column_stack([x, x @ [3, -2]]).tolist()).repartition(3).persist()
+    df = frame(
+        spark, "a double, b double, y double", np.column_stack([x, x @ [3, -2]]).tolist()
+    ).repartition(3).persist()
     here = _networks(df, ["a", "b"], "y", None, max_candidates=2)
     monkeypatch.setattr(automl, "LOCAL_GROUPS", 10)
     there = _networks(df, ["a", "b"], "y", None, max_candidates=2)
@@ -254,10 +329,16 @@ def test_regression_networks_use_all_rows_by_either_way(spark, monkeypatch):
 
 
 def test_regressor(labelled):
-    auto = Regressor().fit(labelled, ["a", "b", "c"], "y", candidates={"mine": LinearRegressor(["a", "b"], [3.0, -2.0], 0.0)})
+    auto = Regressor().fit(
+        labelled, ["a", "b", "c"], "y", candidates={"mine": LinearRegressor(["a", "b"], [3.0, -2.0], 0.0)}
+    )
     table = {r["candidate"]: r for r in auto.results_dataframe().collect()}
-    assert table["mine"]["native_estimator_score"] > 0.99 and {r["family"] for r in table.values()} == {"linear_regression", "decision_tree", "linear_svr", "mlp", "explicit"}
-    assert max(r["native_estimator_score"] for r in table.values() if r["family"] == "linear_svr") > 0.99 and max(r["native_estimator_score"] for r in table.values() if r["family"] == "mlp") > 0.5
+    assert table["mine"]["native_estimator_score"] > 0.99 and {r["family"] for r in table.values()} == {
+        "linear_regression", "decision_tree", "linear_svr", "mlp", "explicit"
+    }
+    assert max(
+        r["native_estimator_score"] for r in table.values() if r["family"] == "linear_svr"
+    ) > 0.99 and max(r["native_estimator_score"] for r in table.values() if r["family"] == "mlp") > 0.5
     for bad in ("x", [], [object()]):
         with pytest.raises((TypeError, ValueError)):
             Regressor(["linear_regression"]).fit(labelled, ["a"], "y", candidates=bad)
@@ -286,34 +367,67 @@ def test_time_series(series):
     df, y = series
     s = ts.TimeSeries(window_size=4, smoothing_alphas=(0.3,)).fit(df, "y", ["t"], ["z"])
     table = s.results_dataframe().collect()
-    assert len(table) == 9 and [r["combined"] for r in table] == sorted(r["combined"] for r in table) and len(s.forecast(3, [[0.0]] * 3)) == 3
-    assert s.lag_analysis(2).count() == 4 and s.auto_lag_analysis(2, 3).count() == 2 and set(s.explain()) >= {"profile", "selected_lags"}
+    assert len(table) == 9 and [
+        r["combined"] for r in table
+    ] == sorted(r["combined"] for r in table) and len(s.forecast(3, [[0.0]] * 3)) == 3
+    assert s.lag_analysis(2).count() == 4 and s.auto_lag_analysis(2, 3).count() == 2 and set(s.explain()) >= {
+        "profile", "selected_lags"
+    }
     ma = ts.TimeSeries(window_size=2, models=["moving_average"], moving_average_windows=[2]).fit(df, "y", ["t"])
     a = (y[-1] + y[-2]) / 2
-    assert ma.forecast(2) == pytest.approx([a, (a + y[-1]) / 2]) and "NAME moving_average_w2" in ma.model_string() and math.isfinite(ma.score(df))
+    assert ma.forecast(2) == pytest.approx(
+        [a, (a + y[-1]) / 2]
+    ) and "NAME moving_average_w2" in ma.model_string() and math.isfinite(ma.score(df))
     assert sum(ts.exponential_smoothing_weights(5, 0.3)) == pytest.approx(1) and ts.window_size(80) == 8
-    for bad in (lambda: ts.TimeSeries(models=["x"]), lambda: ts.exponential_smoothing_weights(3, 1.0), lambda: ts.window_size(3, 3), lambda: s.cross_lag_analysis("q")):
+    for bad in (
+        lambda: ts.TimeSeries(models=["x"]),
+        lambda: ts.exponential_smoothing_weights(3, 1.0),
+        lambda: ts.window_size(3, 3),
+        lambda: s.cross_lag_analysis("q"),
+    ):
         with pytest.raises(ValueError):
             bad()
     assert ts.rolling_segments(df, ["t"], 80, 10).groupBy("segment").count().where("count = 80").count() == 5
 
 
 def test_anomalies(spark):
-    rows = [(i, float(i), float(i * 7 % 11), float(i), float(i) + (100 if i == 14 else -100 if i == 3 else 0.01 * (i % 3))) for i in range(40)]
+    rows = [
+        (i, float(i), float(i * 7 % 11), float(i), float(i) + (100 if i == 14 else -100 if i == 3 else 0.01 * (i % 3)))
+        for i in range(40)
+    ]
     df = frame(spark, "id int, x double, w double, y double, p double", rows)
     d = AnomalyDetector("regression", y_type="numeric").fit(df, ["x", "w"], "y", "id", prediction="p")
-    assert {r[0] for r in d.anomalies("under_predicted").collect()} == {3} and {r[0] for r in d.anomalies("over_predicted").collect()} == {14}
-    assert d.summary()["n_samples"] == 40 and d.group_anomalies(filter_redundant=False).columns[0] == "attribute_1" and d.group_points("x").count() == 2 and "explanation" in d.explain()
+    assert {
+        r[0] for r in d.anomalies("under_predicted").collect()
+    } == {3} and {r[0] for r in d.anomalies("over_predicted").collect()} == {14}
+    assert d.summary()["n_samples"] == 40 and d.group_anomalies(
+        filter_redundant=False
+    ).columns[0] == "attribute_1" and d.group_points("x").count() == 2 and "explanation" in d.explain()
     assert {r[0] for r in AnomalyDetector("regression", anomaly_rule="standardized_residual", z_score_threshold=50.0).fit(df, ["x"], "y", "id", prediction="p").anomalies().collect()} == {3, 14}
     same = AnomalyDetector("regression", y_type="numeric").fit(df, ["x"], "y", "id", prediction="y")
     assert same.anomalies().count() == 40  # every residual reaches a threshold of 0
-    c = AnomalyDetector().fit(frame(spark, "id int, x int, y string, p string", [(1, 1, "a", "a"), (2, 2, "a", "b"), (3, 1, "b", "b")]), ["x"], "y", "id", prediction="p")
-    assert [r["sample_index"] for r in c.anomaly_table().collect()] == [2] and c.summary()["n_misclassified"] == 1 and c.group_anomalies().count() == 0
-    for bad in (lambda: AnomalyDetector("x"), lambda: AnomalyDetector("regression", anomaly_rule="misclassification"), lambda: AnomalyDetector(anomaly_quantile=1.5), lambda: c.anomalies("under_predicted")):
+    c = AnomalyDetector().fit(
+        frame(spark, "id int, x int, y string, p string", [(1, 1, "a", "a"), (2, 2, "a", "b"), (3, 1, "b", "b")]),
+        ["x"],
+        "y",
+        "id",
+        prediction="p",
+    )
+    assert [
+        r["sample_index"] for r in c.anomaly_table().collect()
+    ] == [2] and c.summary()["n_misclassified"] == 1 and c.group_anomalies().count() == 0
+    for bad in (
+        lambda: AnomalyDetector("x"),
+        lambda: AnomalyDetector("regression", anomaly_rule="misclassification"),
+        lambda: AnomalyDetector(anomaly_quantile=1.5),
+        lambda: c.anomalies("under_predicted"),
+    ):
         with pytest.raises(ValueError):
             bad()
     assert d.group_anomalies(dimensions=2, filter_redundant=False, filter_balanced=False).count() == 1
-    auto = AnomalyDetector("regression", y_type="numeric", auto_model_kwargs={"models": ["linear_regression"]}).fit(df, ["x", "w"], "y", "id")
+    auto = AnomalyDetector(
+        "regression", y_type="numeric", auto_model_kwargs={"models": ["linear_regression"]}
+    ).fit(df, ["x", "w"], "y", "id")
     assert auto.summary()["model_combined"] >= 0
 
 
@@ -331,11 +445,17 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     src.repartition(3).write.parquet(str(tmp_path / "in"))
     bounds = {"value": (0.0, 50.0, 4)}
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = joint_counts(stream, ["event_type", "value"], bounds).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = joint_counts(
+        stream, ["event_type", "value"], bounds
+    ).writeStream.format("memory").queryName("counts").outputMode("complete").option(
+        "checkpointLocation", str(tmp_path / "ck")
+    ).start()
     q.processAllAvailable()
     q.stop()
     batch = joint_counts(src, ["event_type", "value"], bounds)
-    assert code_length(spark.table("counts")).first()["code_length"] == pytest.approx(code_length(batch).first()["code_length"])
+    assert code_length(spark.table("counts")).first()["code_length"] == pytest.approx(
+        code_length(batch).first()["code_length"]
+    )
 
 
 def test_pareto_in_blocks_agrees_with_brute_force(spark):

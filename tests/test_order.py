@@ -65,12 +65,20 @@ def test_no_task_holds_a_group(spark):
 
 def test_two_means_by_brute_force(spark):
     rng = np.random.default_rng(7)
-    values = {"a": np.concatenate([rng.normal(0, 1, 60), rng.normal(9, 2, 30)]), "b": rng.integers(0, 3, 50).astype(float), "c": np.full(8, 4.0)}
+    values = {
+        "a": np.concatenate([rng.normal(0, 1, 60), rng.normal(9, 2, 30)]),
+        "b": rng.integers(0, 3, 50).astype(float),
+        "c": np.full(8, 4.0),
+    }
     df = spark.createDataFrame([(g, float(v)) for g, x in values.items() for v in x], "g string, v double")
     got = {r["g"]: r for r in two_means_1d(df, "g", "v").collect()}
     for g, x in values.items():
         z = np.sort((x - x.mean()) / (x.std() or 1.0))
-        best = min((((z[:k] - z[:k].mean()) ** 2).sum() + ((z[k:] - z[k:].mean()) ** 2).sum(), k) for k in range(1, len(z)) if z[k] > z[k - 1]) if z[0] < z[-1] else (0.0, len(z))
+        best = min(
+            (((z[:k] - z[:k].mean()) ** 2).sum() + ((z[k:] - z[k:].mean()) ** 2).sum(), k)
+            for k in range(1, len(z))
+            if z[k] > z[k - 1]
+        ) if z[0] < z[-1] else (0.0, len(z))
         assert got[g]["inertia"] == pytest.approx(best[0], abs=1e-9)
         assert (got[g]["cluster_0_size"], got[g]["cluster_1_size"]) == (best[1], len(z) - best[1])
 
@@ -83,13 +91,21 @@ def test_searches_go_on_without_what_fails(spark):
     notes = fit.diagnostics_dataframe().collect()
     assert {r["reason"] for r in notes} == {"fit_failed"} and len(notes) == 2 and len(fit.candidates) == 2
     fit = Regressor(["linear_svr"], options={"linear_svr": {"max_iter": 1}}).fit(df, ["a", "b"], "y")
-    assert {r["reason"] for r in fit.diagnostics_dataframe().collect()} == {"convergence_warning"} and len(fit.candidates) == 6
+    assert {
+        r["reason"] for r in fit.diagnostics_dataframe().collect()
+    } == {"convergence_warning"} and len(fit.candidates) == 6
     broken = {"sound": LinearRegressor(["a"], [2.0], 0.0), "broken": LinearRegressor(["a"], [float("inf")], 0.0)}
     fit = Regressor(["linear_regression"]).fit(df, ["a", "b"], "y", candidates=broken)
-    assert {c.candidate for c in fit.candidates} >= {"sound", "linear_regression_1"} and "broken" not in {c.candidate for c in fit.candidates}
+    assert {
+        c.candidate for c in fit.candidates
+    } >= {"sound", "linear_regression_1"} and "broken" not in {c.candidate for c in fit.candidates}
     assert [r["details"]["candidate"] for r in fit.diagnostics_dataframe().collect()] == ["broken"]
-    fit = Classifier(["linear_svc"], options={"linear_svc": {"C_values": (-1.0, 1.0), "max_iter": 3}}).fit(df, ["a", "b"], "k")
-    assert {(r["reason"], r["details"]["candidate"]) for r in fit.diagnostics_dataframe().collect()} >= {("fit_failed", "linear_svc_C-1")}
+    fit = Classifier(
+        ["linear_svc"], options={"linear_svc": {"C_values": (-1.0, 1.0), "max_iter": 3}}
+    ).fit(df, ["a", "b"], "k")
+    assert {
+        (r["reason"], r["details"]["candidate"]) for r in fit.diagnostics_dataframe().collect()
+    } >= {("fit_failed", "linear_svc_C-1")}
     assert [c.candidate for c in fit.candidates] == ["linear_svc_C1"]
     with pytest.raises(ValueError):
         Classifier("linear_svc")

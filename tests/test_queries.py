@@ -36,5 +36,11 @@ def test_entry_without_the_llm_subpackage(tmp_path):
     for name in ("brevispark", "__spark_entry__.py"):
         os.symlink(f"{ROOT}/{name}", tmp_path / name)
     code = "import sys; sys.modules['brevispark.llm'] = None; import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; print(len(e.queries()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    out = subprocess.run(
+        [sys.executable, "-c", code],
+        cwd=tmp_path,
+        capture_output=True,
+        text=True,
+        env=os.environ | {"PYTHONPATH": str(tmp_path)},
+    )
     assert out.returncode == 0, out.stderr
