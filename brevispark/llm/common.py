@@ -72,13 +72,17 @@ def map_rows(df: DataFrame, run, added: list[StructField]) -> DataFrame:
 HOT_ROWS, MOST_HOT = 4096, 4096
 
 
-def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], n: str, *, hot_rows: int | None = None) -> DataFrame:
+def join_spread(
+    rows: DataFrame, table: DataFrame, keys: list[str], n: str, *, hot_rows: int | None = None
+) -> DataFrame:
     """rows joined with table, which has one row for each key and the number n of rows with it.
 
     Large keys are broadcast (at most MOST_HOT rows of table), so that no task gets all rows of a key; the others meet in
     a shuffle. Both inputs are used more than once and should be cheap to read. n stays among the columns.
     """
-    hot = table.where(F.col(n) >= (HOT_ROWS if hot_rows is None else hot_rows)).orderBy(F.desc(n), *keys).limit(MOST_HOT)
+    hot = table.where(
+        F.col(n) >= (HOT_ROWS if hot_rows is None else hot_rows)
+    ).orderBy(F.desc(n), *keys).limit(MOST_HOT)
     hot = cut(hot)
     if not hot.limit(1).count():
         return rows.join(table, keys)

@@ -82,7 +82,9 @@ def _stars(mask: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[i
     return [(int(at[i]), int(at[r])) for i, r in enumerate(np.concatenate([left, right])) if at[i] != at[r]]
 
 
-def dual(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray, wb: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def dual(
+    xa: np.ndarray, wa: np.ndarray, xb: np.ndarray, wb: np.ndarray, cosine: float, same: bool
+) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Weights linked to each row of xa and of xb, and edges that connect what is linked (rows of b count from len(xa)).
 
     same: b is a, and a row is not linked with itself; links are then counted for a alone.
@@ -160,7 +162,13 @@ def _traverse(cosine: float):
         n = ca if own else np.concatenate([ca, cb])
         e = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
         at = np.flatnonzero(n)
-        return pd.DataFrame({"rep": np.concatenate([ids[at], ids[e[:, 0]]]), "links": np.concatenate([n[at], np.zeros(len(e), np.int64)]), "other": np.concatenate([ids[at], ids[e[:, 1]]])})
+        return pd.DataFrame(
+            {
+                "rep": np.concatenate([ids[at], ids[e[:, 0]]]),
+                "links": np.concatenate([n[at], np.zeros(len(e), np.int64)]),
+                "other": np.concatenate([ids[at], ids[e[:, 1]]]),
+            }
+        )
 
     return run
 
@@ -178,7 +186,13 @@ def _cell_pairs(nodes: DataFrame, nets: dict, label_type: str, eps: float) -> Da
         alone, mine = nodes.join(netted, ["label", "dim"], "left_anti"), nodes.join(netted, ["label", "dim"])
         known: dict = {}
         for r in mine.collect():  # at most SAMPLE rows
-            radius, blocks = known.setdefault((r["label"], r["dim"]), (np.full(len(nets[r["label"], r["dim"]]), -np.inf), np.zeros(len(nets[r["label"], r["dim"]]), np.int32)))
+            radius, blocks = known.setdefault(
+                (r["label"], r["dim"]),
+                (
+                    np.full(len(nets[r["label"], r["dim"]]), -np.inf),
+                    np.zeros(len(nets[r["label"], r["dim"]]), np.int32),
+                ),
+            )
             radius[r["cell"]], blocks[r["cell"]] = r["radius"], r["blocks"]
         shared = spark.sparkContext.broadcast((nets, known))
 
@@ -188,17 +202,38 @@ def _cell_pairs(nodes: DataFrame, nets: dict, label_type: str, eps: float) -> Da
                 for label, dim, i in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cell"))):
                     net, (radius, blocks) = nets[label, dim], known[label, dim]
                     gap = distances(net[i : i + 1], net)[0] - radius[i] - radius
-                    j = np.flatnonzero((blocks > 0) & (gap <= eps + SLACK) & (np.arange(len(net)) >= i)).astype(np.int32)
-                    same = [pa.array([v] * len(j), t) for v, t in ((label, batch.column("label").type), (dim, pa.int32()), (i, pa.int32()))]
+                    j = np.flatnonzero(
+                        (blocks > 0) & (gap <= eps + SLACK) & (np.arange(len(net)) >= i)
+                    ).astype(np.int32)
+                    same = [
+                        pa.array([v] * len(j), t)
+                        for v, t in ((label, batch.column("label").type), (dim, pa.int32()), (i, pa.int32()))
+                    ]
                     bi = pa.array(np.full(len(j), blocks[i], np.int32))
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(j), bi, pa.array(blocks[j])], ["label", "dim", "i", "j", "bi", "bj"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*same, pa.array(j), bi, pa.array(blocks[j])], ["label", "dim", "i", "j", "bi", "bj"]
+                    )
 
         found = mine.select("label", "dim", "cell").mapInArrow(partners, out)
-    own = alone.select("label", "dim", F.col("cell").alias("i"), F.col("cell").alias("j"), F.col("blocks").alias("bi"), F.col("blocks").alias("bj"))
+    own = alone.select(
+        "label",
+        "dim",
+        F.col("cell").alias("i"),
+        F.col("cell").alias("j"),
+        F.col("blocks").alias("bi"),
+        F.col("blocks").alias("bj"),
+    )
     return found.unionByName(own) if nets else own
 
 
-def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame,
+    *,
+    cosine: float = 0.98,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    label_col: str = "label",
+) -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
     Ids are integers (others are cast). Only rows of one non-null label and one length are compared. Vectors that are null, empty, zero or hold null or
@@ -207,16 +242,31 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
     ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(named(id_col).cast("long").alias("vec_id"), named(label_col).alias("label"), named(vec_col).alias("vec"))
-    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
+    rows = vectors.select(
+        named(id_col).cast("long").alias("vec_id"), named(label_col).alias("label"), named(vec_col).alias("vec")
+    )
+    fine = F.forall(
+        "vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    ) & F.exists("vec", lambda x: x != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
     good = rows.where(ok)
-    classes = cut(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("vec")))
+    classes = cut(
+        good.groupBy("label", "vec").agg(
+            F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")
+        ).withColumn("dim", F.size("vec"))
+    )
 
     # the top of the trees: nets of a bounded sample, for labels with more than one block
     counts = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    sample = classes.join(counts.where(F.col("n") > BLOCK), ["label", "dim"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("label", "dim", "n", "vec").toPandas()
-    nets = {(label.item() if hasattr(label, "item") else label, int(dim)): _net(_unit(g["vec"].tolist()), int(min(MOST_CENTERS, -(-g["n"].iloc[0] // PER_CENTER)))) for (label, dim), g in sample.groupby(["label", "dim"])} if len(sample) else {}
+    sample = classes.join(
+        counts.where(F.col("n") > BLOCK), ["label", "dim"]
+    ).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("label", "dim", "n", "vec").toPandas()
+    nets = {
+        (label.item() if hasattr(label, "item") else label, int(dim)): _net(
+            _unit(g["vec"].tolist()), int(min(MOST_CENTERS, -(-g["n"].iloc[0] // PER_CENTER)))
+        )
+        for (label, dim), g in sample.groupby(["label", "dim"])
+    } if len(sample) else {}
     shared = spark.sparkContext.broadcast(nets)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,28 +281,58 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
                 if k in shared.value:
                     d = distances(_unit(vecs.take(pa.array(at)).to_pylist()), shared.value[k])
                     cell[at], far[at] = d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"]
+            )
 
     label_type, vec_type = classes.schema["label"].dataType.simpleString(), classes.schema["vec"].dataType.simpleString()
-    placed = cut(classes.select("label", "vec", "rep", "weight", "dim").mapInArrow(assign, f"label {label_type}, vec {vec_type}, rep long, weight long, dim int, cell int, far double"))
+    placed = cut(
+        classes.select("label", "vec", "rep", "weight", "dim").mapInArrow(
+            assign, f"label {label_type}, vec {vec_type}, rep long, weight long, dim int, cell int, far double"
+        )
+    )
     cells = [F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")]
     nodes = cut(placed.groupBy("label", "dim", "cell").agg(*cells))
     pairs = _cell_pairs(nodes, nets, label_type, float(np.sqrt(2.0 - 2.0 * cosine)))
-    pairs = pairs.select("label", "dim", "i", "j", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("p"), "bj").select("label", "dim", "i", "j", "p", F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("q")).where("i < j OR p <= q")
+    pairs = pairs.select(
+        "label", "dim", "i", "j", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("p"), "bj"
+    ).select(
+        "label", "dim", "i", "j", "p", F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("q")
+    ).where("i < j OR p <= q")
     pairs = cut(pairs)
     sides = pairs.select("label", "dim", F.col("i").alias("cell"), F.col("p").alias("block"), "i", "p", "j", "q")
-    sides = sides.unionByName(pairs.where("i <> j OR p <> q").select("label", "dim", F.col("j").alias("cell"), F.col("q").alias("block"), "i", "p", "j", "q"))
-    blocked = placed.join(nodes.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = blocked.select("label", "dim", "cell", "block", "rep", "weight", "vec").join(sides, ["label", "dim", "cell", "block"])
-    found = cut(dealt.groupBy("label", "dim", "i", "p", "j", "q").applyInPandas(_traverse(cosine), "rep long, links long, other long"))
+    sides = sides.unionByName(
+        pairs.where("i <> j OR p <> q").select(
+            "label", "dim", F.col("j").alias("cell"), F.col("q").alias("block"), "i", "p", "j", "q"
+        )
+    )
+    blocked = placed.join(
+        nodes.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"]
+    ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = blocked.select(
+        "label", "dim", "cell", "block", "rep", "weight", "vec"
+    ).join(sides, ["label", "dim", "cell", "block"])
+    found = cut(
+        dealt.groupBy("label", "dim", "i", "p", "j", "q").applyInPandas(
+            _traverse(cosine), "rep long, links long, other long"
+        )
+    )
     comps = connected_components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
 
-    out = classes.select("label", "vec", "rep", "weight").join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    out = classes.select("label", "vec", "rep", "weight").join(links, "rep", "left").join(
+        comps.withColumnRenamed("node", "rep"), "rep", "left"
+    )
     n_links = F.col("weight") - 1 + F.coalesce("links", F.lit(0))
-    out = cut(out.select("label", "vec", "weight", n_links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    out = cut(
+        out.select(
+            "label", "vec", "weight", n_links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        )
+    )
     done = join_spread(good, out, ["label", "vec"], "weight").select("vec_id", "n_links", "component_id")
-    rest = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rows.where(~ok).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
     return done.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

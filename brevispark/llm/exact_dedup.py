@@ -26,7 +26,9 @@ def _base(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     return base.withColumn("digest", digest(F.col("text")))
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest=_sha256, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, Column]:
+def groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest=_sha256, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame, Column]:
     """(rows, found, hot): rows (doc_id, digest), one of (digest, keep_id, group_size) per distinct text, and the test for
     digests of many rows.
 
@@ -42,12 +44,16 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", d
     cold = base.where(~hot).groupBy("digest", "text").agg(*ids)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     salted = base.where(hot).withColumn("salt", salt).groupBy("digest", "salt", "text").agg(*ids)
-    winners = salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    winners = salted.groupBy("digest", "text").agg(
+        F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+    )
     found = cut(cold.unionByName(winners).select("digest", "keep_id", "group_size"))
     return rows, found, hot
 
 
-def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest=_sha256, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest=_sha256, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (the digest).
 
     Null texts count as empty texts. Of equal texts the row with the largest id stays; rows that share that id all carry
@@ -64,7 +70,9 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dig
     marked = marked.unionByName(rows.where(hot).join(F.broadcast(one.where(hot)), "digest").select(*out))
     if collided:  # a digest that stands for several texts: its rows find their group by the whole text
         base = _base(docs, id_col, text_col, digest).join(many, "digest", "left_semi")
-        own = base.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        own = base.groupBy("digest", "text").agg(
+            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        )
         marked = marked.unionByName(base.join(own, ["digest", "text"]).select(*out))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))

@@ -39,14 +39,18 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
         points = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
         letter = _is_letter(points)
         found |= bool(letter.any())
-        c = np.concatenate([tail, np.where(letter, points, np.uint32(32)), np.full(1 if at + PIECE >= len(text) else 0, 32, np.uint32)])
+        c = np.concatenate(
+            [tail, np.where(letter, points, np.uint32(32)), np.full(1 if at + PIECE >= len(text) else 0, 32, np.uint32)]
+        )
         c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
         old, tail = len(tail), c[-2:]
         c = c * np.uint32(0x9E3779B1)
         two = (c[:-1] ^ (c[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[1:]
         three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + c[2:]
         skip = old - 1
-        slots = np.concatenate([c[old:], two[skip:] * np.uint32(0x27D4EB2F), three[max(0, skip - 1) :] * np.uint32(0x165667B1)]) >> np.uint32(32 - BITS)
+        slots = np.concatenate(
+            [c[old:], two[skip:] * np.uint32(0x27D4EB2F), three[max(0, skip - 1) :] * np.uint32(0x165667B1)]
+        ) >> np.uint32(32 - BITS)
         n = np.bincount(slots, minlength=SIZE)
         total = n if total is None else total + n
     return total if found else None
@@ -80,7 +84,16 @@ class Model:
         return self.langs[k], float(p[k] / p.sum())
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def train_ftrl(
+    rows: list[tuple[np.ndarray, np.ndarray, int]],
+    n_classes: int,
+    *,
+    alpha: float = 1.0,
+    beta: float = 1.0,
+    l1: float = 0.02,
+    l2: float = 0.02,
+    epochs: int = 2,
+) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over (slots, values, class): per-coordinate rates, weights at zero until l1 is overcome, shrunk by l2."""
     z, n = np.zeros((SIZE + 1, n_classes)), np.zeros((SIZE + 1, n_classes))
 
@@ -125,7 +138,9 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2400) -> Model:
+def fit(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2400
+) -> Model:
     """Learns from text and language of the rows that are not held out; null ids, texts and languages teach nothing.
 
     Without training rows the model knows no language and answers und. Sampled rows are those of the lowest hashes of their
@@ -133,7 +148,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     so the sample never exceeds 2 * train_rows rows. Other columns are ignored; long texts are read in pieces.
     """
     rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
-    train = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    train = rows.where(
+        F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"))
+    )
     per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
     langs = sorted(per_lang)
     if not langs:
@@ -159,7 +176,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     share = max(1, train_rows // len(langs))
     hashed = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 40))
-    bound = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 40) * min(1.0, share / per_lang[k])))]), F.col("lang"))
+    bound = F.element_at(
+        F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 40) * min(1.0, share / per_lang[k])))]),
+        F.col("lang"),
+    )
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
@@ -173,8 +193,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 yield pa.RecordBatch.from_arrays(cols, ["h", "t", "lang", "at", "c"])
 
     most = 2 * train_rows
-    sample = train.where(hashed < bound).select(hashed.alias("h"), F.xxhash64("text", "lang").alias("t"), "lang", "text")
-    last = sample.select("h", "t").distinct().orderBy("h", "t").limit(most).agg(F.max(F.struct("h", "t")).alias("x")).first()["x"]
+    sample = train.where(hashed < bound).select(
+        hashed.alias("h"), F.xxhash64("text", "lang").alias("t"), "lang", "text"
+    )
+    last = sample.select("h", "t").distinct().orderBy("h", "t").limit(most).agg(
+        F.max(F.struct("h", "t")).alias("x")
+    ).first()["x"]
     got = []
     if last is not None:
         upto = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("t") <= last["t"])
@@ -187,7 +211,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return Model([], idf, np.zeros((SIZE, 0)), np.zeros(0))
     w, b = train_ftrl(learn or rows, len(langs))
     model = Model(langs, idf, w, b)
-    model.temperature = fit_temperature(np.array([model.logits(at, x) for at, x, _ in check]).reshape(-1, len(langs)), np.array([y for *_, y in check], int))
+    model.temperature = fit_temperature(
+        np.array([model.logits(at, x) for at, x, _ in check]).reshape(-1, len(langs)),
+        np.array([y for *_, y in check], int),
+    )
     return model
 
 
@@ -197,13 +224,17 @@ def features_of(at: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.n
     return slots, x / (np.sqrt(x @ x) or 1.0)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+def predict(
+    docs: DataFrame, model: Model, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score"
+) -> DataFrame:
     """docs with the columns lang_as and score_as appended (replacing columns of those names).
 
     Texts that are null, empty or hold no letter get und and 0; long texts are read in pieces. Every row is judged by
     itself, repeated ones too; an empty table gives no row. All other columns are kept as they are, whatever their names.
     """
-    weights = (model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature)
+    weights = (
+        model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature
+    )
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rest = [c for c in docs.columns if c.lower() not in (lang_as.lower(), score_as.lower())]
     place = rest.index(text_col)
@@ -216,7 +247,9 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as: s
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, lang_as, score_as])
         settle()
 
-    return map_rows(docs.select(*map(named, rest)), run, [StructField(lang_as, StringType()), StructField(score_as, DoubleType())])
+    return map_rows(
+        docs.select(*map(named, rest)), run, [StructField(lang_as, StringType()), StructField(score_as, DoubleType())]
+    )
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

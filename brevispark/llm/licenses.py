@@ -34,8 +34,7 @@ TEMPLATES = {
     "apache": [
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
-        "without warranties or conditions of any kind either express or implied",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis " "without warranties or conditions of any kind either express or implied",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
@@ -45,17 +44,26 @@ TEMPLATES = {
     "agpl": ["under the terms of the gnu affero general public license"],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
-        "this software without specific prior written permission",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from " "this software without specific prior written permission",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"
+    ],
+    "bsl": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"
     ],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
-    "bsl": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license"],
+    "epl": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license"
+    ],
     "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
-    "cc0": ["to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "cc0": [
+        "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"
+    ],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
@@ -69,7 +77,9 @@ def _places(words: Column, phrase: str) -> Column:
     """Indexes, from 0, of the places where the phrase's words stand consecutively."""
     parts = phrase.split()
     here = lambda i: [F.get(words, i + k) == F.lit(p) for k, p in enumerate(parts)]
-    at = F.when(F.size(words) >= len(parts), F.sequence(F.lit(0), F.size(words) - len(parts))).otherwise(F.array().cast("array<int>"))
+    at = F.when(
+        F.size(words) >= len(parts), F.sequence(F.lit(0), F.size(words) - len(parts))
+    ).otherwise(F.array().cast("array<int>"))
 
     def all_of(i: Column) -> Column:
         tests = here(i)
@@ -100,7 +110,16 @@ def template_table(templates: dict[str, list[str]], order: dict[str, int], thres
             tokens = sorted(set(text.split()), key=order.__getitem__)
             need = math.ceil(threshold * len(tokens) - 1e-9)
             prefix = tokens[: len(tokens) - need + 1]
-            out.append({"label": label, "words": len(text.split()), "need": need, "tokens": tokens, "prefix": prefix, "ranks": [order[t] for t in prefix]})
+            out.append(
+                {
+                    "label": label,
+                    "words": len(text.split()),
+                    "need": need,
+                    "tokens": tokens,
+                    "prefix": prefix,
+                    "ranks": [order[t] for t in prefix],
+                }
+            )
     return out
 
 
@@ -135,7 +154,14 @@ def _matches(words: Column, hits: Column, places: Column, templates: Column, voc
     return F.filter(F.transform(candidates, best), lambda m: m["share"] > 0)
 
 
-def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame,
+    *,
+    templates: dict[str, list[str]] = TEMPLATES,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts count as empty; labels are then empty strings and word places null. Rows that share an id are judged each
@@ -145,7 +171,10 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, thresh
     """
     order = token_order(docs, templates, text_col)
     rows = template_table(templates, order, threshold)
-    table = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in ROW.split(', '))}>>")
+    table = F.from_json(
+        F.lit(json.dumps(rows)),
+        f"array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in ROW.split(', '))}>>",
+    )
     vocabulary = F.array(*map(F.lit, sorted(order, key=order.__getitem__)))
     prefixes = F.array(*map(F.lit, sorted({t for r in rows for t in r["prefix"]})))
     lasts = F.array(*map(F.lit, sorted({p.split()[-1] for p in PHRASES})))
@@ -160,10 +189,14 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, thresh
     out = out.withColumn("places", F.when(F.size("hits") > 0, places).otherwise(no_place))
     out = out.withColumn("found", _matches(F.col("w"), F.col("hits"), F.col("places"), table, vocabulary))
     for k, phrase in enumerate(PHRASES):
-        at = F.when(F.array_contains("w", phrase.split()[-1]), _places(F.col("w"), phrase)).otherwise(F.array().cast("array<int>"))
+        at = F.when(
+            F.array_contains("w", phrase.split()[-1]), _places(F.col("w"), phrase)
+        ).otherwise(F.array().cast("array<int>"))
         out = out.withColumn(f"p{k}", at)
     at = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
-    own = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
+    own = F.array_compact(
+        F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())])
+    )
     more = F.transform("found", lambda m: m["label"])
     share = F.coalesce(F.array_max(F.transform("found", lambda m: m["share"])), F.lit(0.0))
     return out.select(
@@ -186,7 +219,9 @@ def _sql9() -> str:
     """Brute force in DuckDB: every block against every template."""
     values = ", ".join(f"('{label}', '{t}')" for label, texts in TEMPLATES.items() for t in texts)
     phrase = "\n UNION ALL ".join(
-        f"SELECT rid, i, '{label}' AS label FROM d, range(len(w)) r(i) WHERE " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items()
+        f"SELECT rid, i, '{label}' AS label FROM d, range(len(w)) r(i) WHERE "
+        + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))
+        for p, label in PHRASES.items()
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),

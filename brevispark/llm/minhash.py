@@ -130,7 +130,12 @@ def _sign(n_bands: int, rows: int):
                 keys = iter(band_keys(superminhash(full, n_bands * rows), n_bands, rows).tolist() if full else ())
                 bands = [next(keys) if len(s) else None for s in sets]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                cols = [
+                    pa.array(ids, pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(bands, pa.list_(pa.int64())),
+                ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "bands"])
         settle()
 
@@ -140,7 +145,10 @@ def _sign(n_bands: int, rows: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, texts in _pieces(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())],
+                ["doc_id", "shingles"],
+            )
     settle()
 
 
@@ -158,7 +166,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent) for a, b in zip(batch.column("sa"), batch.column("sb"))]
+            ok = [
+                linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent)
+                for a, b in zip(batch.column("sa"), batch.column("sb"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
         settle()
 
@@ -202,11 +213,19 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id count as one document. Other columns are ignored; an empty table gives no row. Long texts are read in parts.
     """
     base = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    signed = cut(base.mapInArrow(_sign(*banding(percent)), "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    signed = cut(
+        base.mapInArrow(_sign(*banding(percent)), "doc_id long, n_shingles long, digest binary, bands array<long>")
+    )
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_rows")))
+    classes = cut(
+        usable.groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_rows")
+        )
+    )
     members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    pivots = cut(members.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    pivots = cut(
+        members.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    )
     buckets = cut(join_spread(members, pivots, ["band", "key"], "n"))
     pairs = cut(buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -221,7 +240,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     placed = classes.select("digest", "rep", "n_rows").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     placed = cut(placed.select("digest", "n_rows", F.coalesce("component", "rep").alias("component_id")))
     out = join_spread(usable.select("doc_id", "n_shingles", "digest"), placed, ["digest"], "n_rows")
-    alone = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = signed.where("doc_id IS NULL OR n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+    )
     out = out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -248,7 +269,9 @@ def _second_look(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     owned = buckets.where("n > 2 AND rep <> pivot").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     owned = owned.select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
     who = F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")
-    split = owned.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), who)
+    split = owned.groupBy("band", "key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), who
+    )
     split = split.where("lo <> hi")
     first = F.min(F.struct("band", "key")).alias("x")  # buckets of equal members are looked at once
     one = cut(split.groupBy("members", "who", "lo", "hi").agg(first).select("x.band", "x.key", "members"))
@@ -256,7 +279,15 @@ def _second_look(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     again = again.withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
     again = again.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    again = again.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "comp")
+    again = again.select(
+        "band",
+        "key",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block",
+        F.col("rep").alias("doc_id"),
+        "comp",
+    )
     return again.join(sets, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_within(percent), "a long, b long")
 
 

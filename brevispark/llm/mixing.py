@@ -64,15 +64,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     w = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
     before, onward, everyone = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
     t = totals.withColumn("weight", weight)
-    t = t.withColumn("total", F.sum("source_size").over(everyone)).withColumn("left", F.col("total") - F.coalesce(MOST_TIMES * F.sum("source_size").over(before), F.lit(0)))
+    t = t.withColumn("total", F.sum("source_size").over(everyone)).withColumn(
+        "left", F.col("total") - F.coalesce(MOST_TIMES * F.sum("source_size").over(before), F.lit(0))
+    )
     t = t.withColumn("still", F.sum("weight").over(onward))
     # this one and all after it stay below their caps
     t = t.withColumn("open", F.col("left") * F.col("weight") <= MOST_TIMES * F.col("source_size") * F.col("still"))
-    first = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("level", F.min(F.when(F.col("open"), F.struct((-F.col("left")).alias("minus"), F.col("still").alias("still")))).over(everyone))
+    first = Window.orderBy(
+        (F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last()
+    ).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn(
+        "level",
+        F.min(
+            F.when(F.col("open"), F.struct((-F.col("left")).alias("minus"), F.col("still").alias("still")))
+        ).over(everyone),
+    )
     t = t.withColumn("any_open", F.max("open").over(first))
     share = (-F.col("level.minus") * F.col("weight")).cast("double") / F.col("level.still").cast("double")
-    t = t.withColumn("target", F.when(F.col("any_open"), share).otherwise((MOST_TIMES * F.col("source_size")).cast("double")))
+    t = t.withColumn(
+        "target", F.when(F.col("any_open"), share).otherwise((MOST_TIMES * F.col("source_size")).cast("double"))
+    )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return t.select("source", "source_size", "target", rate.alias("rate"))
 
@@ -90,28 +101,53 @@ def cells(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """
     rate = sources.select(_source_key(F.col("source")).alias("key"), "source_size", "target", "rate")
     size = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.first("source").alias("source")]
-    n = rows.groupBy(_source_key(F.col("source")).alias("key"), size_class(F.col("size")).alias("class"), "part").agg(*size)
+    n = rows.groupBy(
+        _source_key(F.col("source")).alias("key"), size_class(F.col("size")).alias("class"), "part"
+    ).agg(*size)
     n = n.withColumn("shift", _draw(F.concat_ws(":", _source_key(F.col("source")), "class", "part"), seed))
-    lists = n.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("class", "part", "n", "words", "shift")), asc=False).alias("classes"))
-    t = lists.join(rate, "key").withColumn("whole", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("whole"))
+    lists = n.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("class", "part", "n", "words", "shift")), asc=False).alias("classes")
+    )
+    t = lists.join(rate, "key").withColumn("whole", F.floor("rate")).withColumn(
+        "fraction", F.col("rate") - F.col("whole")
+    )
     none = F.array().cast("array<struct<class:bigint,part:string,n:bigint,chance:double>>")
-    start = F.struct((F.col("target") - F.col("whole") * F.col("source_size")).alias("left"), F.col("source_size").cast("double").alias("rest"), none.alias("out"))
+    start = F.struct(
+        (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"),
+        F.col("source_size").cast("double").alias("rest"),
+        none.alias("out"),
+    )
 
     def step(acc: Column, x: Column) -> Column:
         now = F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["left"] / acc["rest"]))
         due = F.floor(x["n"] * F.when(acc["rest"] > 0, now).otherwise(F.col("fraction")) + x["shift"])
-        cell = F.struct(x["class"].alias("class"), x["part"].alias("part"), x["n"].alias("n"), (due / x["n"]).alias("chance"))
+        cell = F.struct(
+            x["class"].alias("class"), x["part"].alias("part"), x["n"].alias("n"), (due / x["n"]).alias("chance")
+        )
         left = acc["left"] - due * (x["words"] / x["n"])
-        return F.struct(left.alias("left"), (acc["rest"] - x["words"]).alias("rest"), F.concat(acc["out"], F.array(cell)).alias("out"))
+        return F.struct(
+            left.alias("left"),
+            (acc["rest"] - x["words"]).alias("rest"),
+            F.concat(acc["out"], F.array(cell)).alias("out"),
+        )
 
     t = t.withColumn("cell", F.explode(F.aggregate("classes", start, step, lambda acc: acc["out"])))
     return t.select("key", "cell.class", "cell.part", "cell.n", "source_size", "target", "whole", "cell.chance")
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def plan(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED
+) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): rows (doc_id, source, size, part), and cells() of them."""
     part = part_of(named(id_col), seed).alias("part")
-    rows = cut(docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), size_of(named(text_col)).alias("size"), part))
+    rows = cut(
+        docs.select(
+            named(id_col).alias("doc_id"),
+            named(source_col).alias("source"),
+            size_of(named(text_col)).alias("size"),
+            part,
+        )
+    )
     return rows, cut(cells(rows, targets(rows), seed))
 
 
@@ -134,7 +170,9 @@ def mix_report(docs: DataFrame, *, seed: int = SEED, **cols: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "copies")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED
+) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names.
 
     Nulls, empty tables and rows that share an id are treated as in mix_report(); a document of any length is one row.
@@ -146,7 +184,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = docs.withColumn(key, _source_key(named(source_col))).withColumn(words, size_of(named(text_col)))
     rows = rows.withColumn(size, size_class(F.col(words))).withColumn(part, part_of(named(id_col), seed))
     taken = join_spread(rows, own, [key, size, part], n)
-    taken = taken.withColumn(times, copies(named(id_col), F.col(whole), F.col(chance), seed).cast("int")).where(F.col(times) > 0)
+    taken = taken.withColumn(
+        times, copies(named(id_col), F.col(whole), F.col(chance), seed).cast("int")
+    ).where(F.col(times) > 0)
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*map(named, docs.columns))
 
 

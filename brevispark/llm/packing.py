@@ -26,7 +26,9 @@ def cost(n: int | np.ndarray) -> float | np.ndarray:
     return LINEAR * n + QUADRATIC * n * n
 
 
-def pack_window(sizes: list[int], length: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+def pack_window(sizes: list[int], length: int, last: bool) -> tuple[
+    list[list[tuple[int, int, int]]], list[tuple[int, int, int]]
+]:
     """(sequences, rest): sequences of (document, start, size) pieces, and the pieces that did not fill a sequence.
 
     Every sequence is full. What exceeds full sequences of its own goes, descending, to the sequence of lowest cost with
@@ -85,7 +87,16 @@ def pack_window(sizes: list[int], length: int, last: bool) -> tuple[list[list[tu
     return done, rest
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = MOST_PIECES) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer_path: str,
+    *,
+    length: int = LENGTH,
+    end_id: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_pieces: int = MOST_PIECES,
+) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Packs each input partition by itself and without a shuffle, in windows of WINDOW tokens, so memory is bounded by the
@@ -115,7 +126,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH, end_id:
                         c.append(v)
                     at += n
                 sequence += 1
-            held = [(held[d][0], held[d][1] + start, held[d][2][4 * start : 4 * (start + n)], held[d][3]) for d, start, n in rest]
+            held = [
+                (held[d][0], held[d][1] + start, held[d][2][4 * start : 4 * (start + n)], held[d][3])
+                for d, start, n in rest
+            ]
             names = [x.split()[0] for x in OUT.split(", ")]
             for at in range(0, len(cols[0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], pa.int64()) for c in cols], names)

@@ -297,10 +297,16 @@ def cards(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
 
 def iban_span(text: str, start: int, end: int, names: Pseudonyms) -> int | None:
     """The end of the IBAN at start, within a match that ends at end: at its country's length, else the longest that holds."""
-    ends = [m.end() + start for m in re.finditer(r"[A-Z0-9](?![A-Za-z0-9])", text[start : end + 1]) if m.end() + start <= end]
+    ends = [
+        m.end() + start
+        for m in re.finditer(r"[A-Z0-9](?![A-Za-z0-9])", text[start : end + 1])
+        if m.end() + start <= end
+    ]
     size = lambda e: e - start - text.count(" ", start, e)
     own = IBAN_LENGTHS.get(text[start : start + 2])
-    return next((e for e in sorted(ends, key=lambda e: (size(e) != own, -e)) if names.iban(text[start:e]) is not None), None)
+    return next(
+        (e for e in sorted(ends, key=lambda e: (size(e) != own, -e)) if names.iban(text[start:e]) is not None), None
+    )
 
 
 def replace(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple[str, int, int, str]]]:
@@ -338,7 +344,9 @@ def replace(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple
     return "".join([*out, text[last:]]), found
 
 
-ITEM = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("pseudonym", pa.string())]))
+ITEM = pa.list_(
+    pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("pseudonym", pa.string())])
+)
 ITEMS = "items array<struct<kind:string,start:bigint,length:bigint,pseudonym:string>>"
 
 
@@ -375,4 +383,9 @@ DEMONSTRATION_KEY = b"brevispark demonstration key"
 def op10_pseudonyms(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = pseudonymise(docs, key=DEMONSTRATION_KEY).where(F.size("items") > 0)
-    return out.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return out.select(
+        "doc_id",
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )

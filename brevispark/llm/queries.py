@@ -13,5 +13,25 @@ from brevispark.llm.pii import op10_pseudonyms
 from brevispark.llm.spans import op3_repeated_spans
 from brevispark.llm.token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_repeated_spans, op4_near_vectors, op5_near_duplicates, op6_pack, op7_mix_sources, op8_exact_dedup, op9_license_scan, op10_pseudonyms)}
-SQL = {"op4_near_vectors": SQL4, "op5_near_duplicates": SQL5, "op7_mix_sources": SQL7, "op8_exact_dedup": SQL8, "op9_license_scan": SQL9}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_language_id,
+        op3_repeated_spans,
+        op4_near_vectors,
+        op5_near_duplicates,
+        op6_pack,
+        op7_mix_sources,
+        op8_exact_dedup,
+        op9_license_scan,
+        op10_pseudonyms,
+    )
+}
+SQL = {
+    "op4_near_vectors": SQL4,
+    "op5_near_duplicates": SQL5,
+    "op7_mix_sources": SQL7,
+    "op8_exact_dedup": SQL8,
+    "op9_license_scan": SQL9,
+}

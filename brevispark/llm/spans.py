@@ -45,7 +45,9 @@ def segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, hashes, first
 
 
-def runs(hashes: np.ndarray, first: np.ndarray, sentences: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def runs(
+    hashes: np.ndarray, first: np.ndarray, sentences: int = SENTENCES, words: int = WORDS
+) -> tuple[np.ndarray, np.ndarray]:
     """(hash, end sentence) of the run that starts at each sentence: the shortest with enough sentences and words. Later starts have none."""
     n = len(first) - 1
     end = np.maximum(np.arange(n) + sentences, np.searchsorted(first, first[:-1] + words))
@@ -68,7 +70,10 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(u.view(np.int64))
         sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
         flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(inner, pa.bool_())], ["doc_id", "runs", "inner"])
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(inner, pa.bool_())],
+            ["doc_id", "runs", "inner"],
+        )
 
 
 CLEAN = "doc_id long, n_sentences long, n_removed long, n_words long, words_removed long, spans array<struct<start:long,end:long>>, first_docs array<long>, text string"
@@ -101,10 +106,24 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last = b
                 kept.append(raw[last:])
                 n = np.diff(first)
-                rows.append((key, len(gone), int(gone.sum()), len(words), int(n[gone].sum()), [{"start": a, "end": b} for a, b in spans], sorted(firsts or []), b"".join(kept).decode()))
+                rows.append(
+                    (
+                        key,
+                        len(gone),
+                        int(gone.sum()),
+                        len(words),
+                        int(n[gone].sum()),
+                        [{"start": a, "end": b} for a, b in spans],
+                        sorted(firsts or []),
+                        b"".join(kept).decode(),
+                    )
+                )
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             types = [pa.int64()] * 5 + [span, pa.list_(pa.int64()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "n_sentences", "n_removed", "n_words", "words_removed", "spans", "first_docs", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)],
+                ["doc_id", "n_sentences", "n_removed", "n_words", "words_removed", "spans", "first_docs", "text"],
+            )
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +136,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     compared by 64-bit hashes of all their words. The rows of a very common run are joined where they are (join_spread).
     """
     last = (1 << 63) - 1
-    base = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(last)).alias("doc_id"), named(text_col).alias("text"))
+    base = docs.select(
+        F.coalesce(named(id_col).cast("long"), F.lit(last)).alias("doc_id"), named(text_col).alias("text")
+    )
     hashed = cut(base.mapInArrow(_hash, "doc_id long, runs array<long>, inner boolean"))
     each = hashed.select("doc_id", F.explode("runs").alias("h"))
     first = cut(each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -131,4 +152,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def op3_repeated_spans(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "first_docs", "n_sentences", "n_removed", "n_words", "words_removed", "spans", F.octet_length("text").cast("long").alias("bytes_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return out.select(
+        "doc_id",
+        "first_docs",
+        "n_sentences",
+        "n_removed",
+        "n_words",
+        "words_removed",
+        "spans",
+        F.octet_length("text").cast("long").alias("bytes_left"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )

@@ -28,7 +28,9 @@ MAGIC, EVERY = b"BRVTOK02", 64
 def _pack(values: np.ndarray, bits: int) -> bytes:
     if not bits:
         return b""
-    return np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1) != 0, bitorder="little").tobytes()
+    return np.packbits(
+        (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1) != 0, bitorder="little"
+    ).tobytes()
 
 
 class EliasFano:
@@ -59,7 +61,9 @@ class EliasFano:
         return self.low + self.high + self.samples.tobytes()
 
     @classmethod
-    def read(cls, raw: bytes, at: int, n: int, l: int, n_low: int, n_high: int, n_samples: int) -> tuple["EliasFano", int]:
+    def read(
+        cls, raw: bytes, at: int, n: int, l: int, n_low: int, n_high: int, n_samples: int
+    ) -> tuple["EliasFano", int]:
         """(the sequence at this place of raw, the place behind it)."""
         a, b = at + n_low, at + n_low + n_high
         kind = cls._position(n_high)
@@ -114,7 +118,9 @@ def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: bytes, width
         last = last if x is None else x - first
         keys.append(last)
     bounds, names = EliasFano.of(ends, top), EliasFano.of(np.array(keys, np.uint64), last)
-    nulls = b"" if len(known) == n else np.packbits(np.array([x is None for x in doc_ids], bool), bitorder="little").tobytes()
+    nulls = b"" if len(known) == n else np.packbits(
+        np.array([x is None for x in doc_ids], bool), bitorder="little"
+    ).tobytes()
     head = np.array([n, top, width, first % (1 << 64), *bounds.sizes(), *names.sizes(), len(nulls)], "<u8").tobytes()
     return b"".join([MAGIC, head, bounds.to_bytes(), names.to_bytes(), nulls, ids])
 
@@ -130,7 +136,9 @@ class Shard:
         self.ends, at = EliasFano.read(raw, 112, self.n, *head[4:8])
         names, at = EliasFano.read(raw, at, self.n, *head[8:12])
         keys = names.select_many(0, self.n).tolist()
-        nulls = np.unpackbits(np.frombuffer(raw, np.uint8, head[12], at), bitorder="little") if head[12] else np.zeros(self.n, bool)
+        nulls = np.unpackbits(
+            np.frombuffer(raw, np.uint8, head[12], at), bitorder="little"
+        ) if head[12] else np.zeros(self.n, bool)
         first -= (first >> 63) << 64
         self.doc_ids = [None if z else first + x for x, z in zip(keys, nulls)]
         self.ids = np.frombuffer(raw, f"<u{self.width}", self.n_ids, at + head[12])
@@ -149,13 +157,25 @@ class Shard:
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (
+        pafs.LocalFileSystem(), folder
+    )
 
 
 MANIFEST = "task long, shard int, file string, n_docs long, n_ids long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 23, most_pieces: int = 1_200_000) -> DataFrame:
+def write(
+    docs: DataFrame,
+    folder: str,
+    tokenizer_path: str,
+    *,
+    end_id: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shard_ids: int = 1 << 23,
+    most_pieces: int = 1_200_000,
+) -> DataFrame:
     """Writes token shards in ascending id order below folder; returns the manifest (see MANIFEST) with start long, the ids before each shard.
 
     Ids are integers (others are cast). Null texts count as empty; a null id sorts first; rows that share an id all stay,
@@ -183,7 +203,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 0,
                 f.write(shard_bytes(keys, lengths, b"".join(held), width))
             fs.move(f"{base}/{name}.tmp", f"{base}/{name}")
             cells = [[task.partitionId()], [shard], [name], [len(keys)], [sum(lengths)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["task", "shard", "file", "n_docs", "n_ids"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))],
+                ["task", "shard", "file", "n_docs", "n_ids"],
+            )
 
         fs.create_dir(base, recursive=True)
         for batch in batches:
@@ -232,7 +255,10 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     shard = Shard(f.read())
                 ids = memoryview(shard.ids.astype("<u4")).cast("B")
                 found = [(start + a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in shard.bounds()]
-                cols = [pa.array(shard.doc_ids, pa.int64()), *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)]]
+                cols = [
+                    pa.array(shard.doc_ids, pa.int64()),
+                    *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)],
+                ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -134,7 +134,10 @@ class Encoder:
         out = {p: known[stem] + at_start[marks] for p, stem, marks in marked}
         known.add([(p, out[p]) for p in again])
         for p, parts in made:
-            out[p] = self.line_ids.join((at_start if k else known)[stem] + (at_start[marks] if marks else b"") for k, (stem, marks) in enumerate(parts))
+            out[p] = self.line_ids.join(
+                (at_start if k else known)[stem] + (at_start[marks] if marks else b"")
+                for k, (stem, marks) in enumerate(parts)
+            )
         out.update((p, x.tobytes()) for p, x in zip(other, self._ids([" " + p for p in other])))
         return out
 
@@ -156,7 +159,9 @@ class Encoder:
             self.heads.shrink()
             first = [pieces.pop(0) for pieces in cut]
             got = [list(map(self.known.get, pieces)) for pieces in cut]
-            gaps = [(pieces, ids, [i for i, x in enumerate(ids) if not x]) for pieces, ids in zip(cut, got) if not all(ids)]
+            gaps = [
+                (pieces, ids, [i for i, x in enumerate(ids) if not x]) for pieces, ids in zip(cut, got) if not all(ids)
+            ]
             fresh = self._learn({pieces[i] for pieces, _, where in gaps for i in where}) if gaps else {}
             for pieces, ids, where in gaps:
                 for i in where:

@@ -86,8 +86,12 @@ def comps(nodes, links):
 
 def test_components(spark):
     rng = np.random.default_rng(1)
-    e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
+    e = [
+        (int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))
+    ] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    got = {
+        r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()
+    }
     real = [x for x in e if x[0] != x[1]]
     assert got == comps({n for x in real for n in x}, real)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -110,11 +114,27 @@ def reference_ids(texts, end):
 
 
 def test_pieces_give_the_ids_of_whole_texts(docs):
-    texts = [d[1] for d in docs] + [r[1] for r in ROWS] + ["a  b", " a", "a ", "it's  \n b", "x 　y", "<|endoftext|> a", "a  b", "x \x1cy", "tab\t z", "é  é'll 12 3", "a end.\nThe x,\n\nNew !!\n! y_! _. z's.\n's q.\r\nr", "w.\n", "\nq w..\n..e"]
+    texts = [d[1] for d in docs] + [r[1] for r in ROWS] + [
+        "a  b",
+        " a",
+        "a ",
+        "it's  \n b",
+        "x 　y",
+        "<|endoftext|> a",
+        "a  b",
+        "x \x1cy",
+        "tab\t z",
+        "é  é'll 12 3",
+        "a end.\nThe x,\n\nNew !!\n! y_! _. z's.\n's q.\r\nr",
+        "w.\n",
+        "\nq w..\n..e",
+    ]
     assert tokens.Encoder(tokens.byte_bpe_path()).encode(texts) == [x[:-1].tobytes() for x in reference_ids(texts, 0)]
 
 
-@pytest.mark.parametrize("values,top", [([], 0), ([0], 0), ([1, 1, 1, 5], 5), (list(range(0, 100_000, 7)), 100_000), ([3] * 500, 3)])
+@pytest.mark.parametrize(
+    "values,top", [([], 0), ([0], 0), ([1, 1, 1, 5], 5), (list(range(0, 100_000, 7)), 100_000), ([3] * 500, 3)]
+)
 def test_elias_fano(values, top):
     ef = token_files.EliasFano.of(np.array(values, np.int64), top)
     assert ef.all().tolist() == values and [ef.select(i) for i in range(len(values))] == values
@@ -129,31 +149,53 @@ def test_elias_fano(values, top):
 
 
 def test_op1(spark, docs, odd, none, tmp_path):
-    got = sorted(map(tuple, queries.QUERIES["op1_token_files"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    got = sorted(
+        map(
+            tuple,
+            queries.QUERIES["op1_token_files"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect(),
+        )
+    )
     want, at = [], 0
     for (i, *_), ids in zip(docs, reference_ids([d[1] for d in docs], 0)):
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
-    out = token_files.read(token_files.write(clash(odd), f"file://{tmp_path}/x", tokens.byte_bpe_path(), shard_ids=100), f"file://{tmp_path}/x").orderBy("start").collect()
+    out = token_files.read(
+        token_files.write(clash(odd), f"file://{tmp_path}/x", tokens.byte_bpe_path(), shard_ids=100),
+        f"file://{tmp_path}/x",
+    ).orderBy("start").collect()
     assert len(out) == len(ROWS) and [r["doc_id"] for r in out][:4] == [None, None, 1, 1]
     assert sum(r["n_tokens"] for r in out) == sum(map(len, reference_ids([r[1] for r in ROWS], 0)))
-    assert token_files.read(token_files.write(none, f"file://{tmp_path}/y", tokens.byte_bpe_path()), f"file://{tmp_path}/y").count() == 0
+    assert token_files.read(
+        token_files.write(none, f"file://{tmp_path}/y", tokens.byte_bpe_path()), f"file://{tmp_path}/y"
+    ).count() == 0
     shard = token_files.Shard(token_files.shard_bytes([5, None, 7], [2, 0, 1], np.array([9, 8, 7], "<u2").tobytes(), 2))
     assert shard.doc_ids == [5, None, 7] and [shard.document(i).tolist() for i in range(3)] == [[9, 8], [], [7]]
 
 
 def test_op2_held_out_accuracy(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
-    assert (out["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in out["doc_id"]]).all() and out["score"].between(0, 1).all()
+    out = queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").join(
+        docs.select("doc_id", "lang"), "doc_id"
+    ).toPandas()
+    assert (
+        out["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in out["doc_id"]]
+    ).all() and out["score"].between(0, 1).all()
     held = out[out["held_out"] & out["lang"].notna()]
     assert (held["lang_pred"] == held["lang"]).mean() > 0.97
     model = langid.fit(docs)
-    got = {(r["doc_id"], r["n_chars"]): (r["lang_pred"], r["score"]) for r in langid.predict(clash(odd), model).collect()}
-    assert got[(3, 0)] == got[(4, 0)] == got[(5, 3)] == got[(7, 8)] == got[(None, None)] == ("und", 0.0) and got[(6, len(LONG))][0] == "en"
-    assert langid.predict(odd, langid.fit(none)).where("lang_pred <> 'und'").count() == 0 and langid.predict(none, model).count() == 0
-    learnable = [r for r in ROWS if r[0] is not None and r[1] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    got = {
+        (r["doc_id"], r["n_chars"]): (r["lang_pred"], r["score"]) for r in langid.predict(clash(odd), model).collect()
+    }
+    assert got[(3, 0)] == got[(4, 0)] == got[(5, 3)] == got[(7, 8)] == got[(None, None)] == ("und", 0.0) and got[
+        (6, len(LONG))
+    ][0] == "en"
+    assert langid.predict(
+        odd, langid.fit(none)
+    ).where("lang_pred <> 'und'").count() == 0 and langid.predict(none, model).count() == 0
+    learnable = [
+        r for r in ROWS if r[0] is not None and r[1] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1
+    ]
     assert langid.fit(odd).langs == sorted({r[2] for r in learnable})
 
 
@@ -169,7 +211,9 @@ def plain_ngrams(text):
     one = [x * 0x9E3779B1 & mask for x in c]
     two = [((a ^ a >> 15) * 0x85EBCA77 + b) & mask for a, b in zip(one, one[1:])]
     three = [((a ^ a >> 13) * 0xC2B2AE3D + b) & mask for a, b in zip(two, one[2:])]
-    slots = [x >> 17 for x in one[1:]] + [(x * 0x27D4EB2F & mask) >> 17 for x in two] + [(x * 0x165667B1 & mask) >> 17 for x in three]
+    slots = [x >> 17 for x in one[1:]] + [(x * 0x27D4EB2F & mask) >> 17 for x in two] + [
+        (x * 0x165667B1 & mask) >> 17 for x in three
+    ]
     return Counter(slots) if letters else None
 
 
@@ -217,9 +261,15 @@ def plain_model(rows, order, train_rows=2400):
 
 def test_op2_by_dictionaries(spark, docs):
     """Predictions of the query against a model that is trained by loops over dictionaries."""
-    rows = [(i, plain_ngrams(text), lang) for i, text, lang, _ in docs if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [
+        (i, plain_ngrams(text), lang)
+        for i, text, lang, _ in docs
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1
+    ]
     rows = [r for r in rows if r[1] is not None]
-    ids = spark.createDataFrame([(r[0],) for r in rows], "i long").select("i", F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 40)).alias("h"))
+    ids = spark.createDataFrame([(r[0],) for r in rows], "i long").select(
+        "i", F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 40)).alias("h")
+    )
     order = [r["i"] for r in sorted(ids.collect(), key=lambda r: r["h"])]
     langs, vector, logits, t = plain_model(rows, order)
     got = {r["doc_id"]: r for r in queries.QUERIES["op2_language_id"](spark, SF).collect()}
@@ -298,13 +348,20 @@ def brute_spans(rows):
 
 
 def test_op3(spark, docs, odd, none):
-    got = {r["doc_id"]: (r["n_removed"], r["words_removed"]) for r in queries.QUERIES["op3_repeated_spans"](spark, SF).collect()}
+    got = {
+        r["doc_id"]: (r["n_removed"], r["words_removed"])
+        for r in queries.QUERIES["op3_repeated_spans"](spark, SF).collect()
+    }
     assert got == brute_spans([(d[0], d[1]) for d in docs]) and len(got) > 5
     rows = spans.remove_repeats(clash(odd)).collect()
     assert {r["doc_id"] for r in rows} == {6} and rows[0]["text"].startswith("One two three")
     assert spans.remove_repeats(none).count() == 0
     passage = "Alpha beta gamma delta epsilon zeta eta. Theta iota kappa lambda mu nu. Xi omicron pi rho sigma tau upsilon. Phi chi psi omega one two three. " * 1
-    extra = [(10, f"Unique start here. {passage}Own end one."), (11, f"Another one\n{passage}And more."), (12, "Nothing is shared here. At all. " + " ".join(map(str, range(50))))]
+    extra = [
+        (10, f"Unique start here. {passage}Own end one."),
+        (11, f"Another one\n{passage}And more."),
+        (12, "Nothing is shared here. At all. " + " ".join(map(str, range(50)))),
+    ]
     r = spans.remove_repeats(spark.createDataFrame(extra, "doc_id long, text string")).collect()
     assert [(x["doc_id"], x["first_docs"], x["text"]) for x in r] == [(11, [10], "Another one\nAnd more.")]
 
@@ -317,7 +374,9 @@ def test_op3_passages_without_marks(spark):
             own = words(1000 + 2 * k + side, 60)
             rows.append((2 * k + side, " ".join([*own[:30], *words(k, 52), *own[30:]])))
     rows += [(900, "ha " * 60), (901, "ho ho " + "ha " * 70), (902, " ".join(words(5000, 300)))]
-    r = {x["doc_id"]: x for x in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    r = {
+        x["doc_id"]: x for x in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
     assert len([k for k in range(100) if 2 * k + 1 in r]) >= 98 and not [k for k in range(100) if 2 * k in r]
     assert 901 in r and 902 not in r
     assert all(x["words_removed"] <= 52 for i, x in r.items() if i < 900)
@@ -357,16 +416,42 @@ def test_op4_clusters_copies_and_odd_vectors(spark, monkeypatch, block, leaf):
         center = rng.normal(size=6)
         rows += [(center + rng.normal(size=6) * s) for s in (0.03, 0.1, 0.2, 0.6) for _ in range(8)]
     rows = [(i, [float(np.float32(x)) for x in v], i % 2) for i, v in enumerate(rows)]
-    rows += [(1000 + i, rows[0][1], 0) for i in range(70)] + [(2000, None, 0), (2001, [0.0] * 6, 0), (2002, [1.0, None], 0), (2003, [float("nan")] * 6, 0), (2004, [1.0] * 6, None), (2005, [], 1), (2006, [1.0, 0.0], 1), (2007, [2.0, 0.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("weight", F.lit(9)).withColumn("rep", F.lit(1))
+    rows += [(1000 + i, rows[0][1], 0) for i in range(70)] + [
+        (2000, None, 0),
+        (2001, [0.0] * 6, 0),
+        (2002, [1.0, None], 0),
+        (2003, [float("nan")] * 6, 0),
+        (2004, [1.0] * 6, None),
+        (2005, [], 1),
+        (2006, [1.0, 0.0], 1),
+        (2007, [2.0, 0.0], 1),
+    ]
+    df = spark.createDataFrame(
+        rows, "vec_id long, embedding array<float>, label int"
+    ).withColumn("weight", F.lit(9)).withColumn("rep", F.lit(1))
     check_vectors(covertree.near_vectors(df), rows)
     assert covertree.near_vectors(df.limit(0)).count() == 0
-    assert covertree.near_vectors(spark.createDataFrame([(None, [1.0], 1), (None, [1.0], 1)], "vec_id long, embedding array<float>, label int")).where("n_links > 0").count() == 0
+    assert covertree.near_vectors(
+        spark.createDataFrame([(None, [1.0], 1), (None, [1.0], 1)], "vec_id long, embedding array<float>, label int")
+    ).where("n_links > 0").count() == 0
 
 
 def test_op4_any_finite_magnitude(spark):
-    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.0001e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 5e-324], 0), (5, [1.7e308, 1.0], 0), (6, [2.0, 0.0], 0), (7, [-1.0, -1.0], 0)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    rows = [
+        (1, [1e200, 1e200], 0),
+        (2, [1e200, 1.0001e200], 0),
+        (3, [1e-200, 1e-200], 0),
+        (4, [5e-324, 5e-324], 0),
+        (5, [1.7e308, 1.0], 0),
+        (6, [2.0, 0.0], 0),
+        (7, [-1.0, -1.0], 0),
+    ]
+    got = {
+        r["vec_id"]: (r["n_links"], r["component_id"])
+        for r in covertree.near_vectors(
+            spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        ).collect()
+    }
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
 
 
@@ -378,7 +463,12 @@ def brute_shingles(text):
 def check_near(df, rows, percent=85):
     sets = {i: brute_shingles(t) for i, t in rows}
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    links = [
+        (a, b)
+        for k, a in enumerate(ids)
+        for b in ids[k + 1 :]
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
     want = comps(ids, links)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in ids}
@@ -400,7 +490,14 @@ def test_op5_near_groups_whose_members_differ(spark, monkeypatch, block):
         for k in rng.integers(0, 200, rng.integers(0, 7)):
             w[k] = f"n{rng.integers(0, 9999)}"
         rows.append((i, " ".join(w)))
-    rows += [(200, "a b"), (201, "A  B"), (202, "a c"), (203, None), (204, " "), (205, rows[3][1].upper().replace("W", "w").replace("N", "n"))]
+    rows += [
+        (200, "a b"),
+        (201, "A  B"),
+        (202, "a c"),
+        (203, None),
+        (204, " "),
+        (205, rows[3][1].upper().replace("W", "w").replace("N", "n")),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit("x"))
     for percent in (85, 60) if block == 7 else (80,):
         check_near(minhash.near_groups(df, percent=percent), rows, percent)
@@ -448,7 +545,9 @@ def check_packing(rows, want):
     if want is not None:
         for i, ids in want.items():
             own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
-            assert sum(n for _, n, _ in own) == len(ids) and [s for s, *_ in own] == np.cumsum([0, *[n for _, n, _ in own]])[:-1].tolist()
+            assert sum(n for _, n, _ in own) == len(ids) and [s for s, *_ in own] == np.cumsum(
+                [0, *[n for _, n, _ in own]]
+            )[:-1].tolist()
             assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in own)
 
 
@@ -459,14 +558,18 @@ def test_op6(spark, docs, odd, none, monkeypatch, window):
     check_packing(rows, dict(zip([d[0] for d in docs], reference_ids([d[1] for d in docs], 1))))
     rows = packing.pack(clash(odd).coalesce(1), tokens.byte_bpe_path()).collect()
     check_packing(rows, None)
-    assert sum(r["length"] for r in rows) == sum(map(len, reference_ids([r[1] for r in ROWS], 1))) and packing.pack(none, tokens.byte_bpe_path()).count() == 0
+    assert sum(r["length"] for r in rows) == sum(
+        map(len, reference_ids([r[1] for r in ROWS], 1))
+    ) and packing.pack(none, tokens.byte_bpe_path()).count() == 0
 
 
 def test_packing_goes_to_the_cheapest_sequence_with_room():
     done, rest = packing.pack_window([6, 5, 4, 3, 2], 10, False)
     assert [[d for d, *_ in s] for s in done] == [[0, 3, 4], [1, 2, 4]] and not rest
     done, rest = packing.pack_window([25, 7, 7], 10, True)
-    assert sum(n for s in done for *_, n in s) == 39 and not rest and all(sum(n for *_, n in s) in (10, 8, 1) for s in done)
+    assert sum(n for s in done for *_, n in s) == 39 and not rest and all(
+        sum(n for *_, n in s) in (10, 8, 1) for s in done
+    )
 
 
 def run_sql(sql, rows):
@@ -484,17 +587,32 @@ def same(df, rel):
     assert fold(map(tuple, df.select(*cols).collect())) == fold(rel.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
-@pytest.mark.parametrize("name,f", [("op7_mix_sources", mixing.mix_report), ("op8_exact_dedup", exact_dedup.mark), ("op9_license_scan", licenses.scan)])
+@pytest.mark.parametrize(
+    "name,f",
+    [
+        ("op7_mix_sources", mixing.mix_report),
+        ("op8_exact_dedup", exact_dedup.mark),
+        ("op9_license_scan", licenses.scan),
+    ],
+)
 def test_sql_operators_on_odd_rows(spark, odd, none, name, f):
     own = [r for r in ROWS if not r[1] or "\x1c" not in r[1]]
-    extra = own + [(20, "Released under the MIT License. apache license mit license", "en", None, 1), (21, "GNU General Public-License v3", "en", "e", 1)]
+    extra = own + [
+        (20, "Released under the MIT License. apache license mit license", "en", None, 1),
+        (21, "GNU General Public-License v3", "en", "e", 1),
+    ]
     same(f(clash(spark.createDataFrame(extra, DOCS))), run_sql(queries.SQL[name], extra))
     assert f(none).count() == 0
-    same(queries.QUERIES[name](spark, SF), duckdb.sql(queries.SQL[name].replace("FROM documents", f"FROM '{SF}/documents.parquet'")))
+    same(
+        queries.QUERIES[name](spark, SF),
+        duckdb.sql(queries.SQL[name].replace("FROM documents", f"FROM '{SF}/documents.parquet'")),
+    )
 
 
 def test_op7_targets_fill_up_by_weight(spark):
-    t = mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 30), (None, 60)], "source string, size long")).orderBy("source").collect()
+    t = mixing.targets(
+        spark.createDataFrame([("a", 10), ("b", 1000), ("c", 30), (None, 60)], "source string, size long")
+    ).orderBy("source").collect()
     got = {r["source"]: r["target"] for r in t}
     want, open_, total = {}, {"a": 5, "b": 2, "c": 1, None: 5}, 1100.0
     size = {"a": 10, "b": 1000, "c": 30, None: 60}
@@ -529,9 +647,19 @@ def test_op7_a_document_is_taken_with_the_fraction_as_its_probability(spark):
         assert ((out["copies"] == np.floor(rate)) | (out["copies"] == np.floor(rate) + 1)).all()
         for r, own in out.groupby(rate.round(9)):
             assert abs(own["copies"].mean() - r) <= tolerance and (r % 1 < 0.01 or own["copies"].nunique() == 2)
-    one = Counter(tuple(r) for r in mixing.mix_report(spark.createDataFrame(many, DOCS)).select("doc_id", "copies").collect())
-    times = [[r["copies"] for r in mixing.mix_report(spark.createDataFrame(many[:30], DOCS), seed=s).orderBy("doc_id").collect()] for s in range(12)]
-    assert one == Counter(tuple(r) for r in mixing.mix_report(spark.createDataFrame(many, DOCS)).select("doc_id", "copies").collect())
+    one = Counter(
+        tuple(r) for r in mixing.mix_report(spark.createDataFrame(many, DOCS)).select("doc_id", "copies").collect()
+    )
+    times = [
+        [
+            r["copies"]
+            for r in mixing.mix_report(spark.createDataFrame(many[:30], DOCS), seed=s).orderBy("doc_id").collect()
+        ]
+        for s in range(12)
+    ]
+    assert one == Counter(
+        tuple(r) for r in mixing.mix_report(spark.createDataFrame(many, DOCS)).select("doc_id", "copies").collect()
+    )
     assert len(set(map(tuple, times))) > 1
 
 
@@ -553,17 +681,30 @@ def largest_task(df):
 
 def test_hot_keys_stay_spread(spark, plain_joins, monkeypatch):
     """18,000 of 20,000 rows are copies; no task gets more than a quarter of all rows."""
-    rows = spark.range(0, 20_000, 1, 16).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "the same few words here").otherwise(F.concat(F.lit("words of "), F.col("id"))).alias("text"))
+    rows = spark.range(0, 20_000, 1, 16).select(
+        F.col("id").alias("doc_id"),
+        F.when(
+            F.col("id") % 10 > 0, "the same few words here"
+        ).otherwise(F.concat(F.lit("words of "), F.col("id"))).alias("text"),
+    )
     assert largest_task(exact_dedup.mark(rows)) <= 5000
     monkeypatch.setattr("brevispark.llm.common.HOT_ROWS", 1000)
     assert largest_task(minhash.near_groups(rows)) <= 5000
-    vectors = rows.select(F.col("doc_id").alias("vec_id"), F.lit(0).alias("label"), F.array(*[F.when(F.col("doc_id") % 10 > 0, 1.0).otherwise(F.sin(F.col("doc_id") * k)) for k in (1, 2, 3)]).alias("embedding"))
+    vectors = rows.select(
+        F.col("doc_id").alias("vec_id"),
+        F.lit(0).alias("label"),
+        F.array(
+            *[F.when(F.col("doc_id") % 10 > 0, 1.0).otherwise(F.sin(F.col("doc_id") * k)) for k in (1, 2, 3)]
+        ).alias("embedding"),
+    )
     assert largest_task(covertree.near_vectors(vectors)) <= 5000
     hub = spark.range(1, 20_000, 1, 16).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
     table = hub.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     from brevispark.llm.common import join_spread
 
-    assert largest_task(join_spread(hub, table, ["u"], "n")) <= 5000 and join_spread(hub, table, ["u"], "n").count() == 19_999
+    assert largest_task(
+        join_spread(hub, table, ["u"], "n")
+    ) <= 5000 and join_spread(hub, table, ["u"], "n").count() == 19_999
     got = connected_components(hub.select(F.col("v").alias("a"), F.col("u").alias("b")))
     assert got.count() == 20_000 and got.where("component <> 0").count() == 0
 
@@ -587,7 +728,12 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 
 def test_memory_does_not_follow_long_words():
     """5,000 texts without spaces and a word of 40 MB: under 400 MB more than at the start."""
-    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.environ["PYTHONPATH"]})
+    out = subprocess.run(
+        [sys.executable, "-c", MEMORY],
+        capture_output=True,
+        text=True,
+        env=os.environ | {"PYTHONPATH": os.environ["PYTHONPATH"]},
+    )
     assert out.returncode == 0, out.stderr
     assert int(out.stdout.split()[-1]) < 400
 
@@ -597,19 +743,33 @@ def test_op8_compares_texts_not_digests(spark):
     weak = lambda t: F.substring(t, 1, 1)
     for hot in (2, 1000):
         out = exact_dedup.mark(spark.createDataFrame(rows, DOCS), digest=weak, hot_rows=hot).collect()
-        assert Counter((r["keep_id"], r["group_size"]) for r in out) == {(295 + k, 60): 60 for k in range(5)} | {(902, 3): 3}
-    assert Counter(r["keep_id"] for r in exact_dedup.mark(spark.createDataFrame(rows, DOCS), hot_rows=10).collect()) == {295 + k: 60 for k in range(5)} | {902: 3}
+        assert Counter(
+            (r["keep_id"], r["group_size"]) for r in out
+        ) == {(295 + k, 60): 60 for k in range(5)} | {(902, 3): 3}
+    assert Counter(
+        r["keep_id"] for r in exact_dedup.mark(spark.createDataFrame(rows, DOCS), hot_rows=10).collect()
+    ) == {295 + k: 60 for k in range(5)} | {902: 3}
 
 
 def test_op8_deduplicate_keeps_one(spark, odd):
     out = exact_dedup.deduplicate(odd)
-    assert out.columns == odd.columns and sorted((r["text"] or "") for r in out.collect()) == sorted({r[1] or "" for r in ROWS})
+    assert out.columns == odd.columns and sorted(
+        (r["text"] or "") for r in out.collect()
+    ) == sorted({r[1] or "" for r in ROWS})
 
 
 def test_op9_finds_a_notice_anywhere_in_a_long_text(spark):
     filler = "lorem ipsum dolor sit amet " * 300
-    rows = [(1, filler + "This Work is licensed under the GNU General Public License, version 3." + filler, None, None, 0), (2, filler + "Licensed under CC BY-NC 4.0." + filler, None, None, 0), (3, filler, None, None, 0), (4, "Released under the Apache License", None, None, 0)]
-    got = {r["doc_id"]: (r["base_labels"], r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    rows = [
+        (1, filler + "This Work is licensed under the GNU General Public License, version 3." + filler, None, None, 0),
+        (2, filler + "Licensed under CC BY-NC 4.0." + filler, None, None, 0),
+        (3, filler, None, None, 0),
+        (4, "Released under the Apache License", None, None, 0),
+    ]
+    got = {
+        r["doc_id"]: (r["base_labels"], r["labels"], r["score"])
+        for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()
+    }
     assert got == {1: ("gpl", "gpl", 1.0), 2: ("", "cc-by-nc", 1.0), 3: ("", "", 0.0), 4: ("apache", "apache", 1.0)}
 
 
@@ -618,7 +778,9 @@ def test_feistel_is_a_permutation(n):
     f = pii.Feistel(b"k")
     some = range(n) if n <= 1000 else range(0, n, n // 97)
     out = [f.permute(x, n, "t") for x in some]
-    assert len(set(out)) == len(out) and all(0 <= y < n for y in out) and [f.invert(y, n, "t") for y in out] == list(some)
+    assert len(set(out)) == len(out) and all(0 <= y < n for y in out) and [
+        f.invert(y, n, "t") for y in out
+    ] == list(some)
 
 
 PII = [
@@ -633,13 +795,18 @@ PII = [
 def test_pseudonyms_keep_format_link_and_invert(kind, value):
     names, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, invert=True)
     new = names.pseudonym(kind, value)
-    assert new != value and re.sub("[0-9]", "0", re.sub("[a-z]", "a", new)) != "" and names.pseudonym(kind, new) is not None and back.pseudonym(kind, new) == value
+    assert new != value and re.sub(
+        "[0-9]", "0", re.sub("[a-z]", "a", new)
+    ) != "" and names.pseudonym(kind, new) is not None and back.pseudonym(kind, new) == value
     if kind not in ("secret", "ip", "access"):
         assert [c.isdigit() for c in new] == [c.isdigit() for c in value] and len(new) == len(value)
     head, tail = ('token = "', '"') if kind == "secret" else ("", "")
     text, found = pii.replace(f"See {head}{value}{tail}, and {head}{value}{tail} again.", names)
     assert text == f"See {head}{new}{tail}, and {head}{new}{tail} again." and [f[0] for f in found] == [kind] * 2
-    assert [f[1:3] for f in found] == [(m.start(), len(value)) for m in re.finditer(re.escape(value), f"See {head}{value}{tail}, and {head}{value}{tail} again.")]
+    assert [f[1:3] for f in found] == [
+        (m.start(), len(value))
+        for m in re.finditer(re.escape(value), f"See {head}{value}{tail}, and {head}{value}{tail} again.")
+    ]
     assert pii.replace(text, back)[0] == f"See {head}{value}{tail}, and {head}{value}{tail} again."
     assert len(pii.replace("+1 (826) 555-4081 190.137.2.3", names)[1]) == 2
     for other in ("9", "b"):
@@ -647,14 +814,35 @@ def test_pseudonyms_keep_format_link_and_invert(kind, value):
 
 
 def test_pii_leaves_what_fails_its_check():
-    for text in ("4111 1111 1111 1112", "2021-02-30", "300.1.1.1", "000-12-3456", "version 1.2.3.4.5", "DE00 3704 0044 0532 0130 00", "no numbers", "in 1999, 12 of 30"):
+    for text in (
+        "4111 1111 1111 1112",
+        "2021-02-30",
+        "300.1.1.1",
+        "000-12-3456",
+        "version 1.2.3.4.5",
+        "DE00 3704 0044 0532 0130 00",
+        "no numbers",
+        "in 1999, 12 of 30",
+    ):
         assert pii.replace(text, pii.Pseudonyms(KEY)) == (text, [])
 
 
 NEIGHBOURS = [
     (k, v, before, after)
     for k, v, pairs in (
-        ("card", "4111 1111 1111 1111", [("", " 12/27"), ("order 12 ", ""), ("", " 123"), ("", " 2027"), ("2027 ", " 12-27"), ("x 7 ", " 7"), ("12 3 ", " 4 5")]),
+        (
+            "card",
+            "4111 1111 1111 1111",
+            [
+                ("", " 12/27"),
+                ("order 12 ", ""),
+                ("", " 123"),
+                ("", " 2027"),
+                ("2027 ", " 12-27"),
+                ("x 7 ", " 7"),
+                ("12 3 ", " 4 5"),
+            ],
+        ),
         ("card", "4111-1111-1111-1111", [("", "-2027"), ("2027-", ""), ("", " 12/27")]),
         ("card", "4111111111111111", [("", " 123"), ("", " 12/27"), ("999999-", ""), ("12 ", " 2027")]),
         ("card", "3782 822463 10005", [("", " 1234"), ("17 ", " 12/27")]),
@@ -670,7 +858,9 @@ NEIGHBOURS = [
 def test_values_beside_other_numbers(kind, value, before, after):
     names = pii.Pseudonyms(KEY)
     new = names.pseudonym(kind, value)
-    assert pii.replace(f"{before}{value}{after}", names) == (f"{before}{new}{after}", [(kind, len(before), len(value), new)])
+    assert pii.replace(f"{before}{value}{after}", names) == (
+        f"{before}{new}{after}", [(kind, len(before), len(value), new)]
+    )
 
 
 def test_cards_in_one_run_of_digits():
@@ -678,8 +868,12 @@ def test_cards_in_one_run_of_digits():
     for n in range(100):  # some of these longer numbers hold by chance, too
         text, found = pii.replace(f"4111 1111 1111 1111 {n:02d}", names)
         assert [f[:3] for f in found] == [("card", 0, 19)]
-    assert [f[:3] for f in pii.replace("4111111111111111 5500005555555559", names)[1]] == [("card", 0, 16), ("card", 17, 16)]
-    assert [f[0] for f in pii.replace("12 2027-01-31 4111 1111 1111 1111 2027-01-31", names)[1]] == ["date", "card", "date"]
+    assert [
+        f[:3] for f in pii.replace("4111111111111111 5500005555555559", names)[1]
+    ] == [("card", 0, 16), ("card", 17, 16)]
+    assert [
+        f[0] for f in pii.replace("12 2027-01-31 4111 1111 1111 1111 2027-01-31", names)[1]
+    ] == ["date", "card", "date"]
 
 
 def plain_permute(value, n, tweak):
@@ -746,7 +940,9 @@ def plain_pseudonyms(text):
             add("ip", m, ".".join(str(x >> 8 * (3 - k) & 255) for k in range(4)))
     for m in re.finditer(r"(?<![\w+])(\+1)( \(\d{3}\) \d{3}-\d{4})(?![\d-])", text):
         d = re.sub(r"\D", "", m[2])
-        add("phone", m, m[1] + digits_in(m[2], str(plain_permute(int(d), 10 ** len(d), f"phone{len(d)}")).zfill(len(d))))
+        add(
+            "phone", m, m[1] + digits_in(m[2], str(plain_permute(int(d), 10 ** len(d), f"phone{len(d)}")).zfill(len(d)))
+        )
     for m in re.finditer(r"(?<![\d.-])\d{13,19}(?![\d-])", text):
         if plain_luhn(m[0]):
             new = str(plain_permute(int(m[0][:-1]), 10 ** (len(m[0]) - 1), f"card{len(m[0]) - 1}")).zfill(len(m[0]) - 1)
@@ -759,7 +955,10 @@ def plain_pseudonyms(text):
 
 def test_op10(spark, odd, none, docs):
     """Against patterns and a permutation of the test's own."""
-    out = {r["doc_id"]: (r["n_items"], r["text_sha256"]) for r in queries.QUERIES["op10_pseudonyms"](spark, "/root/testdata/sf0.01").collect()}
+    out = {
+        r["doc_id"]: (r["n_items"], r["text_sha256"])
+        for r in queries.QUERIES["op10_pseudonyms"](spark, "/root/testdata/sf0.01").collect()
+    }
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     want = {i: plain_pseudonyms(t) for i, t in rows if t}
     assert out == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (t, n) in want.items() if n} and len(out) > 20
@@ -779,10 +978,17 @@ def test_pipeline_by_brute_force(spark):
     rows = [r for r in rows if last[r["text"]] == r["doc_id"]]
     sets = {r["doc_id"]: brute_shingles(r["text"]) for r in rows}
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    links = [
+        (a, b)
+        for k, a in enumerate(ids)
+        for b in ids[k + 1 :]
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0
+    ]
     root = comps(ids, links)
     rows = [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
-    mixed = run_sql(mixing.SQL7, [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows]).select("doc_id", "copies").fetchall()
+    mixed = run_sql(
+        mixing.SQL7, [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows]
+    ).select("doc_id", "copies").fetchall()
     texts = {r["doc_id"]: r["text"] for r in rows}
     ids_of = dict(zip(texts, reference_ids(texts.values(), 1)))
     pieces = Counter()
@@ -807,4 +1013,6 @@ def test_stages_take_odd_and_empty_documents(spark, odd, none, tmp_path):
                 docs = out
     few = clash(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60"))
     kept = langid.keep_identified(few)
-    assert kept.columns == few.columns and 30 < kept.count() <= 60 and kept.where("score = 'x' AND lang_pred = 'x'").count() == kept.count()
+    assert kept.columns == few.columns and 30 < kept.count() <= 60 and kept.where(
+        "score = 'x' AND lang_pred = 'x'"
+    ).count() == kept.count()
