@@ -22,7 +22,8 @@ from brevispark.llm.common import connected_components, cut, join_spread, named
 BLOCK = 2048
 LEAF = 32
 SAMPLE = 16384
-PER_CENTER, MOST_CENTERS = 2048, 1024
+PER_CENTER = 2048  # a label's net has a point for so many vectors, as far as its part of the sample goes
+CHUNK = 512
 SLACK = 1e-6  # bounds are relaxed by more than rounding can be; links are decided on the cosine alone
 
 
@@ -236,10 +237,10 @@ def near_vectors(
 ) -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
-    Ids are integers (others are cast). Only rows of one non-null label and one length are compared. Vectors that are null, empty, zero or hold null or
-    non-finite numbers link with nothing, as do rows with a null id. Equal vectors of a label are one class, so a group of
-    copies of any size costs as much as one vector; rows that share an id are further rows of that id. Other columns are
-    ignored; an empty table gives no row.
+    Ids are integers (others are cast). Only rows of one non-null label and one length are compared. Vectors that are null,
+    empty, zero or hold null or non-finite numbers link with nothing, as do rows with a null id. Equal vectors of a label
+    are one class, so a group of copies of any size costs as much as one vector; rows that share an id are further rows of
+    that id. Other columns are ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
     rows = vectors.select(
@@ -263,7 +264,7 @@ def near_vectors(
     ).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("label", "dim", "n", "vec").toPandas()
     nets = {
         (label.item() if hasattr(label, "item") else label, int(dim)): _net(
-            _unit(g["vec"].tolist()), int(min(MOST_CENTERS, -(-g["n"].iloc[0] // PER_CENTER)))
+            _unit(g["vec"].tolist()), int(-(-g["n"].iloc[0] // PER_CENTER))
         )
         for (label, dim), g in sample.groupby(["label", "dim"])
     } if len(sample) else {}
@@ -278,9 +279,10 @@ def near_vectors(
             for i, k in enumerate(keys):
                 by.setdefault(k, []).append(i)
             for k, at in by.items():
-                if k in shared.value:
-                    d = distances(_unit(vecs.take(pa.array(at)).to_pylist()), shared.value[k])
-                    cell[at], far[at] = d.argmin(1), d.min(1)
+                for start in range(0, len(at) if k in shared.value else 0, CHUNK):
+                    part = at[start : start + CHUNK]  # distances to the net take CHUNK * SAMPLE numbers at most
+                    d = distances(_unit(vecs.take(pa.array(part)).to_pylist()), shared.value[k])
+                    cell[part], far[part] = d.argmin(1), d.min(1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"]
             )
