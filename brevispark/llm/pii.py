@@ -10,6 +10,7 @@ import bisect
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,10 +21,17 @@ from pyspark.sql.types import StructType
 from brevispark.llm.common import map_rows, named
 
 ROUNDS = 10
+#: Numbers of more bits are written in hexadecimal (Python writes no long decimals), texts of more bytes enter a round by
+#: their digest, and remainders by powers of two are masks, so the work grows as the length of a value.
+LONG_NUMBER, LONG_TEXT = 4096, 4096
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+def _mod(x: int, n: int) -> int:
+    return x % n if n & (n - 1) else x & (n - 1)
+
+
 class Feistel:
     """Keyed permutations of [0, n), alternating unbalanced Feistel rounds over two factors that cover n, with cycle walking."""
 
@@ -33,11 +41,14 @@ class Feistel:
         self.key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
 
     def _round(self, tweak: bytes, i: int, x: int, n: int) -> int:
-        """Pseudo-random, with 128 bits more than n needs, however large n is."""
-        text, size, out = tweak + b"|%d|%x" % (i, x), n.bit_length() + 128, b""
-        while 8 * len(out) < size:
-            out += hashlib.blake2b(b"%d|" % len(out) + text, key=self.key, digest_size=64).digest()
-        return int.from_bytes(out, "big") % n
+        """Pseudo-random, with 128 bits more than n needs, however large n is. Long texts enter by their digest."""
+        text, size, out, made = tweak + b"|%d|%x" % (i, x), n.bit_length() + 128, [], 0
+        if len(text) > LONG_TEXT:
+            text = hashlib.blake2b(text, key=self.key, digest_size=64).digest()
+        while 8 * made < size:
+            out.append(hashlib.blake2b(b"%d|" % made + text, key=self.key, digest_size=64).digest())
+            made += 64
+        return _mod(int.from_bytes(b"".join(out), "big"), n)
 
     def permute(self, value: int, n: int, tweak: str) -> int:
         return self._walk(value, n, tweak, self._once)
@@ -49,26 +60,29 @@ class Feistel:
     def _walk(value: int, n: int, tweak: str, step) -> int:
         if not 0 <= value < n:
             raise ValueError("value outside its domain")
-        a = 1 << ((n - 1).bit_length() + 1) // 2
-        b = -(-n // a)
+        half = ((n - 1).bit_length() + 1) // 2
+        b = -(-n >> half)
+        size = b"%d" % n if n.bit_length() <= LONG_NUMBER else b"0x%x" % n
         while True:
-            value = step(value, a, b, tweak.encode() + b"|%d" % n)
+            value = step(value, half, b, tweak.encode() + b"|" + size)
             if value < n:
                 return value
 
-    def _once(self, x: int, a: int, b: int, tweak: bytes) -> int:
-        left, right = x % a, x // a
+    def _once(self, x: int, half: int, b: int, tweak: bytes) -> int:
+        a = 1 << half
+        left, right = _mod(x, a), x >> half
         for i in range(0, ROUNDS, 2):
-            left = (left + self._round(tweak, i, right, a)) % a
-            right = (right + self._round(tweak, i + 1, left, b)) % b
-        return right * a + left
+            left = _mod(left + self._round(tweak, i, right, a), a)
+            right = _mod(right + self._round(tweak, i + 1, left, b), b)
+        return right << half | left
 
-    def _back(self, x: int, a: int, b: int, tweak: bytes) -> int:
-        left, right = x % a, x // a
+    def _back(self, x: int, half: int, b: int, tweak: bytes) -> int:
+        a = 1 << half
+        left, right = _mod(x, a), x >> half
         for i in reversed(range(0, ROUNDS, 2)):
-            right = (right - self._round(tweak, i + 1, left, b)) % b
-            left = (left - self._round(tweak, i, right, a)) % a
-        return right * a + left
+            right = _mod(right - self._round(tweak, i + 1, left, b), b)
+            left = _mod(left - self._round(tweak, i, right, a), a)
+        return right << half | left
 
 
 def luhn_digit(payload: str) -> int:
@@ -115,7 +129,7 @@ def _joined() -> re.Pattern:
 
 _ANY = _joined()
 _NAMES = [k for k, _ in KINDS]
-_MAYBE = re.compile(r"[0-9@]")
+_MAYBE = re.compile(r"[\d@]")
 _RUN = re.compile(r"\d(?:[ -]?\d)*")
 #: How cards are written, the likeliest first; one group is a card of 13 to 19 digits without separators.
 LAYOUTS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)]
@@ -156,6 +170,9 @@ class Pseudonyms:
         return str(self.p(int(digits), 10 ** len(digits), f"{tweak}{len(digits)}")).zfill(len(digits))
 
     def pseudonym(self, kind: str, value: str) -> str | None:
+        """Digits of other scripts count, and are written, as 0 to 9."""
+        if not value.isascii():
+            value = "".join(str(unicodedata.decimal(c, c)) for c in value)
         return getattr(self, kind)(value)
 
     def card(self, value: str) -> str | None:
