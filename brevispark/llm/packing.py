@@ -101,9 +101,9 @@ def pack(
 
     Packs each input partition by itself and without a shuffle, in windows of WINDOW tokens, so memory is bounded by the
     window and the longest document; pieces that do not fill a sequence wait for the next window. Only a partition's last
-    tokens, under one sequence, make shorter sequences. Ids are integers (others are cast). Null texts count as empty, a null id is kept, rows that share an id
-    are packed each for itself, other columns are ignored and an empty table gives no row. Sequence ids are unique: the
-    partition's number in the high bits.
+    tokens, under one sequence, make shorter sequences. Ids are integers (others are cast). Null texts count as empty, a
+    null id is kept, rows that share an id are packed each for itself, other columns are ignored and an empty table gives
+    no row. Sequence ids are unique: the partition's number in the high bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,7 +76,10 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-CLEAN = "doc_id long, n_sentences long, n_removed long, n_words long, words_removed long, spans array<struct<start:long,end:long>>, first_docs array<long>, text string"
+CLEAN = (
+    "doc_id long, n_sentences long, n_removed long, n_words long, words_removed long, "
+    "spans array<struct<start:long,end:long>>, first_docs array<long>, text string"
+)
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +133,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row for each document that loses something (see CLEAN): its spans in bytes, the documents that hold the first
     occurrences, and the text that is left.
 
-    Ids are integers (others are cast). The first occurrence of a run is that in the document of the smallest id, and there the foremost. Rows that share an id
-    count as one document and take nothing from each other; null ids count as one document behind all others. Null and
-    short texts hold no run; a text may become empty. Other columns are ignored; an empty table gives no row. Runs are
-    compared by 64-bit hashes of all their words. The rows of a very common run are joined where they are (join_spread).
+    Ids are integers (others are cast). The first occurrence of a run is that in the document of the smallest id, and there
+    the foremost. Rows that share an id count as one document and take nothing from each other; null ids count as one
+    document behind all others. Null and short texts hold no run; a text may become empty. Other columns are ignored; an
+    empty table gives no row. Runs are compared by 64-bit hashes of all their words. The rows of a very common run are
+    joined where they are (join_spread).
     """
     last = (1 << 63) - 1
     base = docs.select(

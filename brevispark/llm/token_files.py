@@ -176,12 +176,14 @@ def write(
     shard_ids: int = 1 << 23,
     most_pieces: int = 1_200_000,
 ) -> DataFrame:
-    """Writes token shards in ascending id order below folder; returns the manifest (see MANIFEST) with start long, the ids before each shard.
+    """Writes token shards in ascending id order below folder.
+
+    Returns the manifest (see MANIFEST) with start long, the ids before each shard.
 
     Ids are integers (others are cast). Null texts count as empty; a null id sorts first; rows that share an id all stay,
-    next to each other, in an order of their texts; other columns are ignored. An empty table gives an empty manifest. A task writes under a name of its own attempt, so a repeated task
-    never damages a file, and only files in the manifest count. Shards hold about shard_ids ids, and a worker remembers
-    most_pieces pieces, which bounds memory.
+    next to each other, in an order of their texts; other columns are ignored. An empty table gives an empty manifest. A
+    task writes under a name of its own attempt, so a repeated task never damages a file, and only files in the manifest
+    count. Shards hold about shard_ids ids, and a worker remembers most_pieces pieces, which bounds memory.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

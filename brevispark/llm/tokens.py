@@ -72,7 +72,10 @@ class Encoder:
         return [np.array(x.ids, "<u4") for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, words: list[str], mark: str, edges, known: Pieces) -> None:
-        """Remembers the ids of words without white space, encoded together with mark between them; edges(ids) finds where each begins and ends."""
+        """Remembers the ids of words without white space, encoded together with mark between them.
+
+        edges(ids) finds where each begins and ends.
+        """
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
             raw = self._ids([mark + mark.join(part) + mark])[0]
@@ -93,7 +96,12 @@ class Encoder:
         self._joined([w for w in words if w not in self.heads], "\n", edges, self.heads)
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of ' ' + piece. Stems are remembered, and so are pieces of a stem known before (a new one will hardly come again). A piece is put together from its lines, and these from a stem and the marks behind it, as far as the pre-tokeniser always cuts there."""
+        """The ids of ' ' + piece.
+
+        Stems are remembered, and so are pieces of a stem known before (a new one will hardly come again). A piece is put
+        together from its lines, and these from a stem and the marks behind it, as far as the pre-tokeniser always cuts
+        there.
+        """
         marked, made, other, spaced, heads = [], [], [], set(), set()
         for p in pieces:
             if len(p) > LONGEST:
