@@ -18,7 +18,10 @@ def rice_bins(n_bins: int | str, n: int) -> int:
 
 
 def bin_of(x: Column, lo: float | Column, hi: float | Column, bins: int | Column) -> Column:
-    """The number of inner edges at or below x. A division guesses the bin; comparing with the two edges around it makes it exact, within generated code."""
+    """The number of inner edges at or below x.
+
+    A division guesses the bin; comparing with the two edges around it makes it exact, within generated code.
+    """
     lo, hi, bins = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi, bins))
     step = (hi - lo) / bins
     guess = F.least(bins - 1, F.greatest(F.lit(0), F.floor((x - lo) / step).cast("int")))

@@ -84,9 +84,13 @@ def _perceptron(m, features: list[str], classes: list) -> Model:
 
 REGRESSORS = {"DecisionTreeRegressionModel": _tree, "LinearRegressionModel": _linear}
 CLASSIFIERS = {
-    "DecisionTreeClassificationModel": _tree, "LogisticRegressionModel": _logistic, "LinearSVCModel": _svc, "OneVsRestModel": _one_vs_rest,
-    "NaiveBayesModel": _naive_bayes, "MultilayerPerceptronClassificationModel": _perceptron,
-}
+    "DecisionTreeClassificationModel": _tree,
+    "LogisticRegressionModel": _logistic,
+    "LinearSVCModel": _svc,
+    "OneVsRestModel": _one_vs_rest,
+    "NaiveBayesModel": _naive_bayes,
+    "MultilayerPerceptronClassificationModel": _perceptron,
+}
 
 
 def _n_classes(m) -> int:

@@ -22,8 +22,9 @@ RULES = {
     "regression": ("residual_quantile", "standardized_residual", "bin_mismatch"),
 }
 KINDS = ("all", "misclassified", "under_predicted", "over_predicted")
-GROUPS = "attribute_1 int, attribute_1_name string, dimensions int, inertia double, cluster_0_size long, cluster_1_size long, balance double, n_anomalies long"
-GROUPS_2 = "attribute_1 int, attribute_1_name string, attribute_2 int, attribute_2_name string, dimensions int, inertia double, cluster_0_size long, cluster_1_size long, balance double, n_anomalies long"
+_GROUP = "dimensions int, inertia double, cluster_0_size long, cluster_1_size long, balance double, n_anomalies long"
+GROUPS = f"attribute_1 int, attribute_1_name string, {_GROUP}"
+GROUPS_2 = f"attribute_1 int, attribute_1_name string, attribute_2 int, attribute_2_name string, {_GROUP}"
 
 
 def robust_scale(df: DataFrame, column: str) -> float:
@@ -90,8 +91,10 @@ class AnomalyDetector:
             raise ValueError("the rule does not fit the task")
         if not 0 < anomaly_quantile < 1 or z_score_threshold <= 0 or not 0 <= min_cluster_fraction <= 0.5 or not 0 <= redundancy_threshold <= 1:
             raise ValueError("a threshold is out of range")
-        self.task, self.X_type, self.y_type, self.rule, self.quantile, self.z, self.n_bins = task, X_type, y_type, anomaly_rule, anomaly_quantile, z_score_threshold, n_bins
-        self.fit_model, self.kwargs, self.min_fraction, self.max_redundancy, self.seed = fit_model, auto_model_kwargs or {}, min_cluster_fraction, redundancy_threshold, random_state or 0
+        self.task, self.X_type, self.y_type = task, X_type, y_type
+        self.rule, self.quantile, self.z, self.n_bins = anomaly_rule, anomaly_quantile, z_score_threshold, n_bins
+        self.fit_model, self.kwargs, self.seed = fit_model, auto_model_kwargs or {}, random_state or 0
+        self.min_fraction, self.max_redundancy = min_cluster_fraction, redundancy_threshold
 
     def fit(
         self,

@@ -17,9 +17,28 @@ from brevispark.functions.text import class_token, feature_token, sci_number
 from brevispark.operators.adapters import fit_ml, from_ml
 from brevispark.operators.combined import COMPONENTS, CombinedScore
 from brevispark.operators.inaccuracy import inaccuracy_of_candidates
-from brevispark.operators.models import MLP, DecisionTree, GaussianNB, LinearClassifier, LinearRegressor, LinearSVC, LinearSVR, Model, TreeNode, artifacts, gram, partial_sums, pruning_steps, solve_ols
-
-RESULTS = "candidate string, family string, model_type string, hyperparameters map<string,string>, combined double, deficiency double, surplus double, inaccuracy double, surfeit double, native_estimator_score double, selected_features array<int>, n_selected_features int, description_length int"
+from brevispark.operators.models import (
+    MLP,
+    DecisionTree,
+    GaussianNB,
+    LinearClassifier,
+    LinearRegressor,
+    LinearSVC,
+    LinearSVR,
+    Model,
+    TreeNode,
+    artifacts,
+    gram,
+    partial_sums,
+    pruning_steps,
+    solve_ols,
+)
+
+RESULTS = (
+    "candidate string, family string, model_type string, hyperparameters map<string,string>, combined double, "
+    "deficiency double, surplus double, inaccuracy double, surfeit double, native_estimator_score double, "
+    "selected_features array<int>, n_selected_features int, description_length int"
+)
 
 
 @dataclass

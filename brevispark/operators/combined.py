@@ -74,10 +74,14 @@ def aggregate_values(values: Mapping[str, float], mode: str, weights=None) -> fl
     total = sum(w for _, w in pairs)
     zero = any(v <= 0 for v, _ in pairs)
     forms = {
-        "euclidean": lambda: math.sqrt(sum(w * v * v for v, w in pairs) / total), "arithmetic": lambda: sum(w * v for v, w in pairs) / total,
-        "geometric": lambda: 0.0 if zero else math.exp(sum(w * math.log(v) for v, w in pairs) / total), "harmonic": lambda: 0.0 if zero else total / sum(w / v for v, w in pairs),
-        "maximum": lambda: max(v for v, _ in pairs), "addition": lambda: sum(w * v for v, w in pairs), "product": lambda: math.prod(v**w for v, w in pairs),
-    }
+        "euclidean": lambda: math.sqrt(sum(w * v * v for v, w in pairs) / total),
+        "arithmetic": lambda: sum(w * v for v, w in pairs) / total,
+        "geometric": lambda: 0.0 if zero else math.exp(sum(w * math.log(v) for v, w in pairs) / total),
+        "harmonic": lambda: 0.0 if zero else total / sum(w / v for v, w in pairs),
+        "maximum": lambda: max(v for v, _ in pairs),
+        "addition": lambda: sum(w * v for v, w in pairs),
+        "product": lambda: math.prod(v**w for v, w in pairs),
+    }
     if mode not in forms:
         raise ValueError(f"a mode is one of {', '.join(MODES)}")
     return forms[mode]()
@@ -87,10 +91,15 @@ def profile(d: Column, s: Column, i: Column, f: Column) -> Column:
     """The first profile that fits, from thresholds HIGH and LOW."""
     high, low = (lambda c: c >= HIGH), (lambda c: c <= LOW)
     return (
-        F.when(low(d) & low(s) & low(i) & low(f), "low_combined_model").when(high(d) & ~high(s), "under_informed_model").when(high(s) & ~high(d), "over_fed_model")
-        .when(low(d) & low(s) & high(i), "bad_learner").when(low(d) & low(s) & low(i) & high(f), "over_complex_model").when(high(d) & high(s), "poor_input_representation")
-        .when(high(i) & high(f), "complex_but_inaccurate_model").otherwise("mixed_profile")
-    )
+        F.when(low(d) & low(s) & low(i) & low(f), "low_combined_model")
+        .when(high(d) & ~high(s), "under_informed_model")
+        .when(high(s) & ~high(d), "over_fed_model")
+        .when(low(d) & low(s) & high(i), "bad_learner")
+        .when(low(d) & low(s) & low(i) & high(f), "over_complex_model")
+        .when(high(d) & high(s), "poor_input_representation")
+        .when(high(i) & high(f), "complex_but_inaccurate_model")
+        .otherwise("mixed_profile")
+    )
 
 
 def dominant(d: Column, s: Column, i: Column, f: Column) -> Column:
@@ -154,7 +163,8 @@ class CombinedScore:
         self.metric = Miscoding(self.X_type, self.y_type, self.n_bins).fit(df, features, target)
         kind = "numeric" if self.metric.y_numeric else "categorical"
         self.inaccuracy = Inaccuracy(kind, self.n_bins)
-        self.inaccuracy.df, self.inaccuracy.target, self.inaccuracy.y_numeric, self.inaccuracy.y_length = df, target, self.metric.y_numeric, self.metric.y_length
+        own = self.inaccuracy
+        own.df, own.target, own.y_numeric, own.y_length = df, target, self.metric.y_numeric, self.metric.y_length
         self.surfeit = Surfeit(kind, self.n_bins, *self.zlib)
         self.surfeit.y_length = self.metric.y_length
         return self

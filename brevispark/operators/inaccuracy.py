@@ -55,7 +55,11 @@ def inaccuracy_of_candidates(
     equal = F.col("candidate").isin(same) if same else F.lit(False)
     counts = states.groupBy("candidate", "y", "p").agg(F.count(F.lit(1)).alias("c"))
     joint = counts.groupBy("candidate").agg(length_of(F.col("c"), n).alias("joint"))
-    one = lambda c: counts.groupBy("candidate", c).agg(F.sum("c").alias("c")).groupBy("candidate").agg(length_of(F.col("c"), n).alias(f"k_{c}"))
+
+    def one(c: str) -> DataFrame:
+        own = counts.groupBy("candidate", c).agg(F.sum("c").alias("c"))
+        return own.groupBy("candidate").agg(length_of(F.col("c"), n).alias(f"k_{c}"))
+
     out = joint.join(one("y"), "candidate").join(one("p"), "candidate")
     return out.select("candidate", distance(F.col("joint"), F.col("k_y"), F.col("k_p"), equal).alias("inaccuracy"))
 

@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 from brevispark.operators.codelength import code_lengths, encode
 from brevispark.sources.tables import resolve_numeric, resolve_target
 
-ANALYSIS = "feature_index int, feature_name string, is_numeric boolean, code_length double, deficiency double, surplus double, miscoding double"
-PATH = "step int, feature_index int, feature_name string, deficiency double, surplus double, miscoding double, improvement double, selected_feature_indices array<int>, selected_feature_names array<string>"
+ANALYSIS = (
+    "feature_index int, feature_name string, is_numeric boolean, code_length double, deficiency double, "
+    "surplus double, miscoding double"
+)
+PATH = (
+    "step int, feature_index int, feature_name string, deficiency double, surplus double, miscoding double, "
+    "improvement double, selected_feature_indices array<int>, selected_feature_names array<string>"
+)
 
 
 def _ratio(a: float, b: float, default: float) -> float:
@@ -129,9 +135,16 @@ class Miscoding:
             ) / weight if weight > 0 else 0.0
         total = sum(alpha)
         return {
-            "deficiency": d, "surplus": s, "miscoding": max(d, s), "features_in_use": [int(i in chosen) for i in range(len(self.features))], "n_selected_features": len(chosen),
-            "selected_feature_indices": chosen, "selected_feature_names": [self.features[j] for j in chosen], "redundancy_weights": alpha, "feature_weights": [a / total for a in alpha],
-        }
+            "deficiency": d,
+            "surplus": s,
+            "miscoding": max(d, s),
+            "features_in_use": [int(i in chosen) for i in range(len(self.features))],
+            "n_selected_features": len(chosen),
+            "selected_feature_indices": chosen,
+            "selected_feature_names": [self.features[j] for j in chosen],
+            "redundancy_weights": alpha,
+            "feature_weights": [a / total for a in alpha],
+        }
 
     def subset_analysis(self, subset: Sequence, as_mask: bool | None = None) -> dict:
         return self.measures(self.indices(subset, as_mask))

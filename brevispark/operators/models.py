@@ -433,9 +433,11 @@ def pruning_path(root: TreeNode, tolerance: float = 1e-12) -> list[TreeNode]:
 
 
 ACTIVATIONS: dict[str, tuple[str, Callable[[Column], Column]]] = {
-    "identity": ("v", lambda s: s), "relu": ("max(0,v)", lambda s: F.greatest(F.lit(0.0), s)), "logistic": ("1/(1+E**-v)", lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-s))),
+    "identity": ("v", lambda s: s),
+    "relu": ("max(0,v)", lambda s: F.greatest(F.lit(0.0), s)),
+    "logistic": ("1/(1+E**-v)", lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-s))),
     "tanh": ("(E**v-E**-v)/(E**v+E**-v)", F.tanh),
-}
+}
 
 
 @dataclass

@@ -20,6 +20,8 @@ from brevispark.sources.shared import cut
 MODELS = ("autoregressive", "moving_average", "exponential_smoothing")
 ALPHAS = (0.1, 0.2, 0.3, 0.5, 0.8)
 CHUNK = 1 << 16
+#: The first line of a forecaster's text: a name of the library's own, as long as is usual in this grammar.
+SCHEMA = "canonical_weighting_time_series_model_v1"
 
 
 def window_size(n: int, window: int | str = "auto") -> int:
@@ -124,7 +126,7 @@ def description(
     precision: int = 6,
 ) -> str:
     lines = [
-        "SCHEMA time-series/1",
+        f"SCHEMA {SCHEMA}",
         f"MODEL {kind}",
         "TASK forecasting",
         f"NAME {name}",
@@ -159,7 +161,8 @@ class Forecaster:
         return weighted(self.inputs, self.weights, self.intercept)
 
     def text(self) -> str:
-        return description(self.family, self.name, self.inputs, self.weights, self.intercept, self.learned)
+        kind = f"{self.family}_linear" if self.learned else self.family
+        return description(kind, self.name, self.inputs, self.weights, self.intercept, self.learned)
 
 
 def lag_analysis_of(
@@ -199,9 +202,14 @@ def lag_analysis_of(
     keys, m = ["attribute", "lag", "feature_name"], F.lit(n) - F.col("lag")
     counts = states.groupBy(*keys, "xb", "yb").agg(F.count(F.lit(1)).alias("c"))
     joint = counts.groupBy(*keys).agg(F.sum(-F.col("c") * F.log2(F.col("c") / m)).alias("xy"))
-    one = lambda c: counts.groupBy(*keys, c).agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum(-F.col("c") * F.log2(F.col("c") / m)).alias(f"k_{c}"))
+
+    def one(c: str) -> DataFrame:
+        own = counts.groupBy(*keys, c).agg(F.sum("c").alias("c"))
+        return own.groupBy(*keys).agg(F.sum(-F.col("c") * F.log2(F.col("c") / m)).alias(f"k_{c}"))
+
     out = joint.join(one("xb"), keys).join(one("yb"), keys)
-    d, s = clip01(safe_divide(F.col("xy") - F.col("k_xb"), F.col("k_yb"), 0.0)), clip01(safe_divide(F.col("xy") - F.col("k_yb"), F.col("k_xb"), 0.0))
+    d = clip01(safe_divide(F.col("xy") - F.col("k_xb"), F.col("k_yb"), 0.0))
+    s = clip01(safe_divide(F.col("xy") - F.col("k_yb"), F.col("k_xb"), 0.0))
     return out.select(
         "lag",
         "feature_name",
@@ -304,12 +312,18 @@ class TimeSeries:
                 "miscoding": c["miscoding"],
                 **parts,
             }
+        self.lags.unpersist()  # what is asked for later is computed again from the indexed series
         self.candidates = sorted(specs, key=lambda s: s.results["combined"])
         self.best = self.candidates[0]
         return self
 
     def results_dataframe(self) -> DataFrame:
-        schema = "model_name string, model_family string, window_size int, combined double, estimator_score double, n_selected_features int, description_length int, selected_feature_indices array<int>, selected_feature_names array<string>, miscoding double, deficiency double, surplus double, inaccuracy double, surfeit double"
+        schema = (
+            "model_name string, model_family string, window_size int, combined double, estimator_score double, "
+            "n_selected_features int, description_length int, selected_feature_indices array<int>, "
+            "selected_feature_names array<string>, miscoding double, deficiency double, surplus double, "
+            "inaccuracy double, surfeit double"
+        )
         rows = [
             (
                 s.name,

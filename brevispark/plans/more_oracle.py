@@ -106,11 +106,26 @@ def texts() -> str:
     """Texts of given parameters are written out; those of learned ones are put together from aggregates."""
     best = [" best=0", " best_s=s0"]
     net = [
-        "P StandardScaler", " X0 = (X0-1.00e+00)/4.00e+00", " X1 = (X1-2.00e+00)/1.00e+00", "def predict(x):",
-        " W=[[[1.00e+00,2.00e+00],[5.00e-01,0]],[[1.00e+00],[-1.00e+00]]]", " B=[[0,1.00e+00],[2.00e+00]]", " a=[x[0],x[1]]",
-        " for l in range(len(W)):", "  z=[]", "  for j in range(len(B[l])):", "   s=B[l][j]", "   for i in range(len(a)):", "    s+=a[i]*W[l][i][j]",
-        "   z.append(s)", "  if l<len(W)-1:", "   a=[max(0,v) for v in z]", "  else:", "   a=z", " return a[0]",
-    ]
+        "P StandardScaler",
+        " X0 = (X0-1.00e+00)/4.00e+00",
+        " X1 = (X1-2.00e+00)/1.00e+00",
+        "def predict(x):",
+        " W=[[[1.00e+00,2.00e+00],[5.00e-01,0]],[[1.00e+00],[-1.00e+00]]]",
+        " B=[[0,1.00e+00],[2.00e+00]]",
+        " a=[x[0],x[1]]",
+        " for l in range(len(W)):",
+        "  z=[]",
+        "  for j in range(len(B[l])):",
+        "   s=B[l][j]",
+        "   for i in range(len(a)):",
+        "    s+=a[i]*W[l][i][j]",
+        "   z.append(s)",
+        "  if l<len(W)-1:",
+        "   a=[max(0,v) for v in z]",
+        "  else:",
+        "   a=z",
+        " return a[0]",
+    ]
     tree = [
         "def predict(X0, X1):",
         " if X0<=2.55e+01:",
@@ -233,7 +248,7 @@ _stump = """(WITH g AS (SELECT l_quantity AS x, count(*) AS n, sum(l_extendedpri
 _mean = "(SELECT l_extendedprice AS y, (SELECT avg(l_extendedprice) FROM lineitem) AS p FROM lineitem)"
 
 _lags = f"(SELECT x, y FROM (SELECT lag(y) OVER (ORDER BY t) AS x, y FROM {EVENTS}) WHERE x IS NOT NULL)"
-_ar_text = "'SCHEMA time-series/1' || chr(10) || 'MODEL autoregressive' || chr(10) || 'TASK forecasting' || chr(10) || 'NAME autoregressive' || chr(10) || 'INPUTS y_lag_1' || chr(10) || 'PARAMETERS' || chr(10) || '    n_features = 1' || chr(10) || '    learned_coefficients = true' || chr(10) || 'RULE' || chr(10)"
+_ar_text = "'SCHEMA canonical_weighting_time_series_model_v1' || chr(10) || 'MODEL autoregressive_linear' || chr(10) || 'TASK forecasting' || chr(10) || 'NAME autoregressive' || chr(10) || 'INPUTS y_lag_1' || chr(10) || 'PARAMETERS' || chr(10) || '    n_features = 1' || chr(10) || '    learned_coefficients = true' || chr(10) || 'RULE' || chr(10)"
 _ar = f"""WITH f AS (SELECT regr_slope(y, x) AS w, regr_intercept(y, x) AS b FROM {_lags}),
 {encoded(f'(SELECT x, y, w * x + b AS p FROM {_lags}, f)', ['x', 'y', 'p'], [])},
 l AS (SELECT {length(['x'])} AS kx, {length(['y'])} AS ky, {length(['p'])} AS kp, {length(['x', 'y'])} AS kxy, {length(['y', 'p'])} AS kyp, false AS eq)
@@ -263,7 +278,7 @@ def groups() -> str:
     red = " UNION ALL ".join(
         f"SELECT {i} AS a, {j} AS b, greatest(0.0, least(1.0, 1 - (kab - least(ka, kb)) / greatest(ka, kb))) AS v FROM (SELECT {length([names[i]])} AS ka, {length([names[j]])} AS kb, {length([names[i], names[j]])} AS kab)"
         for i in range(3) for j in range(3) if i != j
-    )
+    )
     views = _two_means.replace("round(inertia, 4) AS inertia", "inertia")
     near = lambda x, y: f"(SELECT v >= 0.85 FROM red WHERE a = {x} AND b = {y})"
     return f"""WITH x AS (SELECT *, cluster_0_size + cluster_1_size AS n FROM ({views})),

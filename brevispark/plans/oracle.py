@@ -124,10 +124,14 @@ def modes() -> str:
     total = sum(w.values())
     zero = " OR ".join(f"{c} <= 0" for c in v)
     forms = {
-        "euclidean": f"sqrt(({' + '.join(f'{c} * {c} * {x}' for c, x in w.items())}) / {total})", "arithmetic": f"({' + '.join(f'{c} * {x}' for c, x in w.items())}) / {total}",
-        "geometric": f"CASE WHEN {zero} THEN 0.0 ELSE exp(({' + '.join(f'ln({c}) * {x}' for c, x in w.items())}) / {total}) END", "harmonic": f"CASE WHEN {zero} THEN 0.0 ELSE {total} / ({' + '.join(f'{x} / {c}' for c, x in w.items())}) END",
-        "maximum": f"greatest({', '.join(v)})", "addition": " + ".join(f"{c} * {x}" for c, x in w.items()), "product": f"CASE WHEN {zero} THEN 0.0 ELSE exp({' + '.join(f'ln({c}) * {x}' for c, x in w.items())}) END",
-    }
+        "euclidean": f"sqrt(({' + '.join(f'{c} * {c} * {x}' for c, x in w.items())}) / {total})",
+        "arithmetic": f"({' + '.join(f'{c} * {x}' for c, x in w.items())}) / {total}",
+        "geometric": f"CASE WHEN {zero} THEN 0.0 ELSE exp(({' + '.join(f'ln({c}) * {x}' for c, x in w.items())}) / {total}) END",
+        "harmonic": f"CASE WHEN {zero} THEN 0.0 ELSE {total} / ({' + '.join(f'{x} / {c}' for c, x in w.items())}) END",
+        "maximum": f"greatest({', '.join(v)})",
+        "addition": " + ".join(f"{c} * {x}" for c, x in w.items()),
+        "product": f"CASE WHEN {zero} THEN 0.0 ELSE exp({' + '.join(f'ln({c}) * {x}' for c, x in w.items())}) END",
+    }
     return f"SELECT id, {', '.join(f'round(CASE WHEN true THEN {e} END, 6) AS {m}' for m, e in forms.items()).replace('CASE WHEN true THEN CASE', 'CASE WHEN true THEN CASE')} FROM (SELECT id, {', '.join(f'{c}::DOUBLE AS {c}' for c in v)} FROM {COMPONENTS})"
 
 

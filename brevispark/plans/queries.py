@@ -348,36 +348,72 @@ def greedy_path(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "feature_analysis_lineitem": lambda s, d: r6(_fit_line(s, d).feature_analysis()),
-    "rice_bins": rice, "discretize_extendedprice": discretize,
-    "empirical_states_flag_status": lambda s, d: r6(empirical_distribution(_line(s, d), [LINE_Y, "l_linestatus"], [False, False]).states),
-    "entropy_code_length_by_column": entropies, "joint_code_length_price_flag": joint, "conditional_code_lengths": conditional,
-    "feature_analysis_numeric_target": lambda s, d: r6(Miscoding().fit(_line(s, d), ["l_quantity", "l_discount", "l_tax", "l_linestatus"], "l_extendedprice").feature_analysis()),
+    "rice_bins": rice,
+    "discretize_extendedprice": discretize,
+    "empirical_states_flag_status": lambda s, d: r6(
+        empirical_distribution(_line(s, d), [LINE_Y, "l_linestatus"], [False, False]).states
+    ),
+    "entropy_code_length_by_column": entropies,
+    "joint_code_length_price_flag": joint,
+    "conditional_code_lengths": conditional,
+    "feature_analysis_numeric_target": lambda s, d: r6(
+        Miscoding().fit(
+            _line(s, d), ["l_quantity", "l_discount", "l_tax", "l_linestatus"], "l_extendedprice"
+        ).feature_analysis()
+    ),
     "feature_redundancy_lineitem": lambda s, d: r6(_fit_line(s, d).feature_redundancy()),
-    "subset_measures_lineitem": subsets, "greedy_selection_path": greedy_path,
-    "greedy_first_step": lambda s, d: r6(_fit_line(s, d).feature_analysis().orderBy("miscoding", "deficiency", "surplus", "feature_index").limit(1).select("feature_index", "feature_name", "deficiency", "surplus", "miscoding")),
+    "subset_measures_lineitem": subsets,
+    "greedy_selection_path": greedy_path,
+    "greedy_first_step": lambda s, d: r6(
+        _fit_line(s, d).feature_analysis().orderBy(
+            "miscoding", "deficiency", "surplus", "feature_index"
+        ).limit(1).select(
+            "feature_index", "feature_name", "deficiency", "surplus", "miscoding"
+        )
+    ),
     "feature_analysis_documents": documents_analysis,
-    "feature_analysis_orders": lambda s, d: r6(Miscoding().fit(table(s, d, "orders"), ["o_totalprice", "o_orderpriority"], "o_orderstatus").feature_analysis()),
+    "feature_analysis_orders": lambda s, d: r6(
+        Miscoding().fit(table(s, d, "orders"), ["o_totalprice", "o_orderpriority"], "o_orderstatus").feature_analysis()
+    ),
     "inaccuracy_rule": lambda s, d: inaccuracies(s, d, {"p": "1000.0D * l_quantity + 50.0D * l_discount"}),
     "inaccuracy_constant_prediction": lambda s, d: inaccuracies(s, d, {"p": "1.0D"}),
-    "inaccuracy_batch_candidates": lambda s, d: inaccuracies(s, d, {c: x.replace("1000.0", "1000.0D").replace("(1.0 -", "(1.0D -") for c, x in CANDIDATES.items()}),
-    "surfeit_from_lengths": surfeit_lengths, "surfeit_documents": surfeit_documents,
-    "aggregate_components_all_modes": modes, "profiles_and_dominant": profiles,
-    "pareto_candidates": lambda s, d: pareto(_grid(s).where("deficiency + surplus + inaccuracy + surfeit >= 1.5"), "id").select("id"),
+    "inaccuracy_batch_candidates": lambda s, d: inaccuracies(
+        s, d, {c: x.replace("1000.0", "1000.0D").replace("(1.0 -", "(1.0D -") for c, x in CANDIDATES.items()}
+    ),
+    "surfeit_from_lengths": surfeit_lengths,
+    "surfeit_documents": surfeit_documents,
+    "aggregate_components_all_modes": modes,
+    "profiles_and_dominant": profiles,
+    "pareto_candidates": lambda s, d: pareto(
+        _grid(s).where("deficiency + surplus + inaccuracy + surfeit >= 1.5"), "id"
+    ).select("id"),
     "lag_matrix_events": lag_matrix,
     "moving_average_forecast": lambda s, d: forecast_of(s, d, ts.moving_average_weights(4)),
     "exp_smoothing_forecast": lambda s, d: forecast_of(s, d, ts.exponential_smoothing_weights(4, 0.3)),
     "auto_lag_analysis_events": lambda s, d: r6(_series(s, d).auto_lag_analysis()),
     "cross_lag_analysis_events": lambda s, d: r6(_series(s, d).cross_lag_analysis("k")),
     "lag_analysis_union": lambda s, d: r6(_series(s, d).lag_analysis(2)),
-    "ts_candidate_scores": candidates_of_series, "ts_fixed_candidate_scores": fixed_candidates_of_series, "recursive_forecast_ma": recursive_forecast, "rolling_segments_code_length": segments,
+    "ts_candidate_scores": candidates_of_series,
+    "ts_fixed_candidate_scores": fixed_candidates_of_series,
+    "recursive_forecast_ma": recursive_forecast,
+    "rolling_segments_code_length": segments,
     "anomaly_residual_quantile": lambda s, d: residual_rule(s, d, "residual_quantile"),
     "anomaly_standardized_residual": lambda s, d: residual_rule(s, d, "standardized_residual", z_score_threshold=2.0),
     "anomaly_bin_mismatch": lambda s, d: residual_rule(s, d, "bin_mismatch").drop("direction"),
-    "anomaly_misclassification": misclassification, "anomaly_probability_quantile": probability_quantile, "anomaly_summary": summary,
+    "anomaly_misclassification": misclassification,
+    "anomaly_probability_quantile": probability_quantile,
+    "anomaly_summary": summary,
     "anomaly_by_kind": lambda s, d: _detector(s, d, "residual_quantile").anomalies("under_predicted"),
     "anomaly_two_means_1d": two_means,
-    "anomaly_group_views": lambda s, d: r6(_detector(s, d, "residual_quantile").group_anomalies(filter_redundant=False), 4),
+    "anomaly_group_views": lambda s, d: r6(
+        _detector(s, d, "residual_quantile").group_anomalies(filter_redundant=False), 4
+    ),
     "anomaly_groups": lambda s, d: r6(_detector(s, d, "residual_quantile").group_anomalies(), 4),
-    "ols_single_feature": ols, "ols_gram_matrix": gram_matrix, "gnb_moments": gnb_moments, "gnb_scores_accuracy": gnb_accuracy,
-    "automl_classifier_results": automl_classifier, "automl_regressor_results": automl_regressor, "windowed_code_length": windowed,
-}
+    "ols_single_feature": ols,
+    "ols_gram_matrix": gram_matrix,
+    "gnb_moments": gnb_moments,
+    "gnb_scores_accuracy": gnb_accuracy,
+    "automl_classifier_results": automl_classifier,
+    "automl_regressor_results": automl_regressor,
+    "windowed_code_length": windowed,
+}

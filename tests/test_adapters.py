@@ -29,11 +29,17 @@ def rows(spark):
 
 
 ESTIMATORS = {
-    "linear": ("y", lambda: LinearRegression()), "tree of numbers": ("y", lambda: DecisionTreeRegressor(maxDepth=3)), "tree": ("three", lambda: DecisionTreeClassifier(maxDepth=3)),
-    "logistic 3": ("three", lambda: LogisticRegression(regParam=0.01)), "logistic 2": ("two", lambda: LogisticRegression(regParam=0.01)), "svc": ("two", lambda: LinearSVC(maxIter=20)),
-    "one against the rest": ("three", lambda: OneVsRest(classifier=LinearSVC(maxIter=20))), "naive Bayes": ("three", lambda: NaiveBayes(modelType="gaussian")),
-    "perceptron 3": ("three", lambda: MultilayerPerceptronClassifier(layers=[2, 3, 3], maxIter=30, seed=1)), "perceptron 2": ("two", lambda: MultilayerPerceptronClassifier(layers=[2, 4, 3, 2], maxIter=30, seed=1)),
-}
+    "linear": ("y", lambda: LinearRegression()),
+    "tree of numbers": ("y", lambda: DecisionTreeRegressor(maxDepth=3)),
+    "tree": ("three", lambda: DecisionTreeClassifier(maxDepth=3)),
+    "logistic 3": ("three", lambda: LogisticRegression(regParam=0.01)),
+    "logistic 2": ("two", lambda: LogisticRegression(regParam=0.01)),
+    "svc": ("two", lambda: LinearSVC(maxIter=20)),
+    "one against the rest": ("three", lambda: OneVsRest(classifier=LinearSVC(maxIter=20))),
+    "naive Bayes": ("three", lambda: NaiveBayes(modelType="gaussian")),
+    "perceptron 3": ("three", lambda: MultilayerPerceptronClassifier(layers=[2, 3, 3], maxIter=30, seed=1)),
+    "perceptron 2": ("two", lambda: MultilayerPerceptronClassifier(layers=[2, 4, 3, 2], maxIter=30, seed=1)),
+}
 
 
 @pytest.mark.parametrize("kind", ESTIMATORS)
