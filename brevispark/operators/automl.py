@@ -504,30 +504,72 @@ def search_naive_bayes(ctx: SearchContext, var_smoothing: float = 1e-9) -> Searc
 
 
 def search_svc(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0), max_iter: int = 5000) -> SearchReport:
-    """One machine a C (hinge loss; one against the rest for three classes or more). A C that cannot be fitted is noted."""
-    from pyspark.ml.classification import LinearSVC as MLSVC
-    from pyspark.ml.classification import OneVsRest
+    """One machine a C (squared hinge loss, penalised intercept; one against the rest for three classes or more).
 
-    rows, n, found, notes = _assembled(ctx, ctx.features).persist(), ctx.score.metric.n_samples, [], []
-    try:
-        for C in dict.fromkeys(C_values):
-            name = f"linear_svc_C{C:g}"
-            try:
-                base = MLSVC(regParam=1 / (C * n), maxIter=max_iter)
-                fits = [base.fit(rows)] if len(ctx.classes) == 2 else OneVsRest(classifier=base).fit(rows).models
-                if any(m.hasSummary and m.summary().totalIterations >= max_iter for m in fits):
-                    notes.append({"reason": "convergence_warning", "candidate": name, "max_iter": max_iter})
-                slopes, intercepts = [m.coefficients.toArray().tolist() for m in fits], [float(m.intercept) for m in fits]
-            except Exception as e:
-                notes.append(failed(name, e))
+    Newton steps with halving; each pass over the data serves all (C, class) at once, on standardised features, with the
+    penalty on the weights of the features as they are. A C that cannot be fitted is noted.
+    """
+    features, k = ctx.features, len(ctx.classes)
+    grid, found, notes = [], [], []
+    for C in dict.fromkeys(C_values):
+        if C > 0 and C < float("inf"):
+            grid += [(C, c) for c in (range(k) if k > 2 else [1])]
+        else:
+            notes.append(failed(f"linear_svc_C{C:g}", ValueError("C is positive and finite")))
+    names, p = [f"f{i}" for i in range(len(features))], len(features) + 1
+    number = (F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1).cast("double")
+    data = ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(features, names)], number.alias("y"))
+    r = data.agg(*[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean, scale = (np.array([r[f"{g}{c}"] for c in names], float) for g in "ms")
+    scale[scale == 0] = 1.0
+    to_raw = np.diag([*(1 / scale), 1.0])  # from weights of standardised features to those of the features as they are
+    to_raw[-1, :-1] = -mean / scale
+    penalty = to_raw.T @ to_raw
+    size = p * p + p + 1
+
+    def sums_at(points: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Of the rows inside the margin at each point: X'X, X'y and the squared hinge loss."""
+
+        def fold(x: np.ndarray) -> np.ndarray:
+            a, out = np.column_stack([(x[:, :-1] - mean) / scale, np.ones(len(x))]), []
+            for g, u in points.items():
+                y = np.where(x[:, -1] == grid[g][1], 1.0, -1.0)
+                short = 1 - y * (a @ u)
+                inside = short > 0
+                b = a[inside]
+                out += [(b.T @ b).ravel(), b.T @ y[inside], [(short[inside] ** 2).sum()]]
+            return np.concatenate(out)
+
+        flat = partial_sums(data, [*names, "y"], fold, size * len(points))
+        return dict(zip(points, flat.reshape(len(points), size)))
+
+    # at: the weights, their loss and the next step with its slope; trial: the weights to be tried and the part of the step
+    at: dict[int, tuple] = {}
+    trial = {g: (np.zeros(p), 1.0) for g in range(len(grid))}
+    for _ in range(max_iter):
+        if not trial:
+            break
+        sums, tried, trial = sums_at({g: u for g, (u, _) in trial.items()}), trial, {}
+        for g, (u, part) in tried.items():
+            C, v = grid[g][0], sums[g]
+            loss = 0.5 * u @ penalty @ u + C * v[-1]
+            if g in at and not loss <= at[g][1] + 1e-4 * part * at[g][3]:
+                if part > 1e-6:  # else the loss cannot be told from its rounding
+                    trial[g] = at[g][0] + part / 2 * at[g][2], part / 2
                 continue
-            found.append(
-                CandidateResult(
-                    name, "linear_svc", LinearSVC(ctx.features, ctx.classes, slopes, intercepts), {"C": f"{C:g}"}
-                )
-            )
-    finally:
-        rows.unpersist()
+            h = penalty + 2 * C * v[: p * p].reshape(p, p)
+            slope = h @ u - 2 * C * v[p * p : -1]
+            step = -np.linalg.lstsq(h, slope, rcond=None)[0]
+            at[g] = u, loss, step, float(slope @ step)
+            if -at[g][3] > 1e-12 * loss:
+                trial[g] = u + step, 1.0
+    for C in dict.fromkeys(C for C, _ in grid):
+        name, own = f"linear_svc_C{C:g}", [g for g, (c, _) in enumerate(grid) if c == C]
+        if any(g in trial for g in own):
+            notes.append({"reason": "convergence_warning", "candidate": name, "max_iter": max_iter})
+        raw = [to_raw @ at[g][0] for g in own]
+        m = LinearSVC(features, ctx.classes, [w[:-1].tolist() for w in raw], [float(w[-1]) for w in raw])
+        found.append(CandidateResult(name, "linear_svc", m, {"C": f"{C:g}"}))
     return SearchReport("linear_svc", evaluate(ctx, found, notes), notes)
 
 

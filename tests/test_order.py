@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brevispark.operators import order
+from brevispark.operators import automl, order
 from brevispark.operators.anomalies import robust_scale, two_means_1d
 from brevispark.operators.automl import Classifier, Regressor
 from brevispark.operators.models import LinearRegressor
@@ -109,3 +109,22 @@ def test_searches_go_on_without_what_fails(spark):
     assert [c.candidate for c in fit.candidates] == ["linear_svc_C1"]
     with pytest.raises(ValueError):
         Classifier("linear_svc")
+
+
+def test_linear_machines_reach_their_minimum_in_few_passes(spark, monkeypatch):
+    rng, n = np.random.default_rng(5), 400
+    x = np.column_stack([rng.uniform(1e3, 5e5, n), rng.integers(1, 13, n)])
+    labels = np.array(["F", "O", "P"])[rng.integers(0, 3, n)]
+    df = spark.createDataFrame([(*map(float, r), str(c)) for r, c in zip(x, labels)], "a double, b double, k string")
+    passes, sums = [], automl.partial_sums
+    monkeypatch.setattr(automl, "partial_sums", lambda *args: passes.append(args) or sums(*args))
+    fit = Classifier(["linear_svc"]).fit(df, ["a", "b"], "k")
+    assert len(fit.candidates) == 3 and not fit.diagnostics_dataframe().count() and 0 < len(passes) < 30
+    ones = np.column_stack([x, np.ones(n)])
+    size = np.abs(ones).sum(0)
+    for c in fit.candidates:
+        C = float(c.hyperparameters["C"])
+        for name, w, b in zip("FOP", c.model.rows, c.model.intercepts):
+            u, y = np.array([*w, b]), np.where(labels == name, 1.0, -1.0)
+            slope = u - 2 * C * ones.T @ (y * np.maximum(0, 1 - y * (ones @ u)))  # of |u|^2 / 2 + C sum of squared hinges
+            assert (np.abs(slope) < 1e-7 * C * size).all()
