@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -174,13 +176,24 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts).astype(np.int64), np.concatenate(hashes)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark remove shuffle files and checkpoints that nothing refers to; it sees them only when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of an edge table that one task reads.
+EDGES_A_TASK = 1 << 16
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of edges (a, b), the smallest node reachable from it.
 
     Alternates large-star and small-star steps until the edges are a forest of stars. Every step is an aggregation with
     map-side combining and a join in which the edges of a hub stay spread over the tasks (join_spread); the edges are cut
-    to the shared folder each round. An empty edge table gives an empty result; edges with null ends or equal ends are
-    ignored.
+    to the shared folder each round, read from there by a task for each EDGES_A_TASK of them (a step never makes more edges),
+    and what earlier rounds shuffled is let go. An empty edge table gives an empty result; edges with null ends or equal
+    ends are ignored.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = cut(e), None
@@ -189,15 +202,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if seen == before or not seen[0]:
             break
         before = seen
+        let_go(e.sparkSession)
+        tasks = math.ceil(seen[0] / EDGES_A_TASK)
+        e = e.coalesce(tasks)
         # a table of fewer edges has no hub
         joined = join_spread if seen[0] >= HOT_ROWS else lambda rows, table, keys, n: rows.join(table, keys)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         least = least.where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
         large = joined(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct())
+        large = cut(large.distinct()).coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = joined(large, low, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     tree = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return tree.unionByName(tree.select(F.col("component").alias("node"), "component").distinct())
+
+
+def merged_components(comps: DataFrame, merged: DataFrame) -> DataFrame:
+    """comps (node, component) after components were merged: merged has (node, component) of components and of nodes that
+    were in none. Rows of a large component stay where they are (join_spread)."""
+    size = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    table = size.join(into, "component", "full_outer")
+    table = cut(table.select("component", F.coalesce("root", "component").alias("root"), F.coalesce("n", F.lit(0)).alias("n")))
+    inside = join_spread(comps, table.where("n > 0"), ["component"], "n").select("node", F.col("root").alias("component"))
+    return inside.unionByName(table.where("n = 0").select(F.col("component").alias("node"), F.col("root").alias("component")))

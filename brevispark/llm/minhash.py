@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevispark.llm.common import connected_components, cut, fresh, join_spread, mix64, named, settle, word_hashes
+from brevispark.llm.common import connected_components, cut, fresh, join_spread, let_go, merged_components, mix64, named, settle, word_hashes
 
 K = 5
 MISS, MOST_SLOTS = 1e-6, 128
@@ -177,14 +177,14 @@ def _verify(percent: int):
 
 
 def _within(percent: int):
-    """Links between documents of different components in one bucket or pair of its blocks; already joined pairs are passed over."""
+    """Components that a link joins in one bucket or pair of its blocks; already joined ones are passed over."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("doc_id").sort_values(["comp", "doc_id"])
         ids, side = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
         size = np.array([len(s) for s in sets])
-        comp, out = pd.factorize(rows["comp"])[0], []
+        own, comp, out = rows["comp"].to_numpy(), pd.factorize(rows["comp"])[0], []
         for i in range(len(ids)):
             ok = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             ok[: i + 1] = False
@@ -192,7 +192,7 @@ def _within(percent: int):
                 ok &= side != side[i]
             for j in np.flatnonzero(ok):
                 if comp[j] != comp[i] and linked(sets[i], sets[j], percent):
-                    out.append((ids[i], ids[j]))
+                    out.append((own[i], own[j]))
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -230,12 +230,15 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = cut(buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = cut(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
+    let_go(docs.sparkSession)
     edges = cut(_linked_pairs(pairs, sets, percent))
     comps = cut(connected_components(edges))
 
+    let_go(docs.sparkSession)
     more = cut(_second_look(buckets, comps, sets, percent))
     if more.limit(1).count():
-        comps = cut(connected_components(edges.unionByName(more)))
+        comps = cut(merged_components(comps, connected_components(more)))
+    let_go(docs.sparkSession)
 
     placed = classes.select("digest", "rep", "n_rows").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     placed = cut(placed.select("digest", "n_rows", F.coalesce("component", "rep").alias("component_id")))
@@ -265,7 +268,8 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _second_look(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within buckets whose members beside the pivot are of several components, by blocks of about BLOCK members."""
+    """Components (a, b) joined by a link within a bucket whose members beside the pivot are of several, by blocks of about
+    BLOCK members."""
     owned = buckets.where("n > 2 AND rep <> pivot").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     owned = owned.select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
     who = F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")

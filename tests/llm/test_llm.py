@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from brevispark.llm import covertree, exact_dedup, langid, licenses, minhash, mixing, packing, pii, queries, spans, token_files, tokens  # noqa: E402
-from brevispark.llm.common import connected_components, word_hashes  # noqa: E402
+from brevispark.llm.common import connected_components, merged_components, word_hashes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -1082,3 +1082,32 @@ def test_stages_take_odd_and_empty_documents(spark, odd, none, tmp_path):
     assert kept.columns == few.columns and 30 < kept.count() <= 60 and kept.where(
         "score = 'x' AND lang_pred = 'x'"
     ).count() == kept.count()
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 300) if k % 100], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few edges", "few edges")
+        got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numTasks for s in stages if (x := tracker.getStageInfo(s)) and x.numCompletedTasks)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {k: (k - 1) // 100 * 100 + 1 for k in range(1, 301)}
+    assert 0 < tasks < 2800  # 3,761 where each table was read by a task for each of its partitions
+
+
+def test_merged_components(spark, monkeypatch):
+    monkeypatch.setattr("brevispark.llm.common.HOT_ROWS", 4)
+    comps = spark.createDataFrame([(k, k // 10 * 10) for k in range(10, 40)], "node long, component long")
+    merged = spark.createDataFrame([(20, 7), (30, 7), (7, 7), (50, 45), (45, 45)], "node long, component long")
+    got = {r["node"]: r["component"] for r in merged_components(comps, merged).collect()}
+    assert got == {7: 7, 45: 45, 50: 45} | {k: 10 if k < 20 else 7 for k in range(10, 40)}
