@@ -279,7 +279,9 @@ def evaluate_nested(ctx: SearchContext, tree: DecisionTree, cells: LeafCells) ->
     waiting: list[tuple] = []
 
     def flush() -> None:
-        for (c, subset, text, bad, native), surfeit in zip(waiting, pool.map(ctx.score.surfeit.surfeit_string, [w[2] for w in waiting])):
+        texts = [w[2] for w in waiting]
+        runs = pool.map(ctx.score.surfeit.surfeit_strings, [texts[k : k + 16] for k in range(0, len(texts), 16)])
+        for (c, subset, text, bad, native), surfeit in zip(waiting, chain.from_iterable(runs)):
             c.tokens = list(range(len(ctx.features)))
             found.append(_scored(ctx, c, subset, len(text.encode()), surfeit, bad, native))
         waiting.clear()
@@ -314,7 +316,7 @@ def evaluate_nested(ctx: SearchContext, tree: DecisionTree, cells: LeafCells) ->
                 {"n_leaves": leaves},
             )
             waiting.append((c, texts.subset(), texts.text(), bad, float(native)))
-            if len(waiting) == 16:
+            if len(waiting) == 64:
                 flush()
         flush()
     return found

@@ -1,5 +1,7 @@
 """Order statistics, prefix sums and two-means against NumPy, and that no task holds a whole column; searches that go on."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from brevispark.operators import automl, order
 from brevispark.operators.anomalies import robust_scale, two_means_1d
 from brevispark.operators.automl import Classifier, Regressor
 from brevispark.operators.models import LinearRegressor
+from brevispark.operators.surfeit import Surfeit
 
 
 @pytest.mark.parametrize("few", [3, 50_000])
@@ -128,3 +131,37 @@ def test_linear_machines_reach_their_minimum_in_few_passes(spark, monkeypatch):
             u, y = np.array([*w, b]), np.where(labels == name, 1.0, -1.0)
             slope = u - 2 * C * ones.T @ (y * np.maximum(0, 1 - y * (ones @ u)))  # of |u|^2 / 2 + C sum of squared hinges
             assert (np.abs(slope) < 1e-7 * C * size).all()
+
+
+def test_texts_with_a_common_beginning_are_compressed_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    lines = [f" return {v:.2e}\n" for v in rng.normal(size=20_000)]
+    texts = []
+    for k in rng.integers(0, 20_000, 40):  # each like the one before, with a line changed and others left out behind it
+        lines = [*lines[: k % len(lines)], " return 0\n", *lines[k % len(lines) + 9 :]]
+        texts.append("".join(lines))
+    texts += [texts[0][:5], texts[0], texts[0], "x"]
+    read, real = [0], zlib.compressobj
+
+    class Counted:
+        def __init__(self, c):
+            self.c = c
+
+        def compress(self, b):
+            read[0] += len(b)
+            return self.c.compress(b)
+
+        def copy(self):
+            return Counted(self.c.copy())
+
+        def flush(self):
+            return self.c.flush()
+
+    s = Surfeit()
+    s.y_length = 1e9
+    want = [s.surfeit_string(t) for t in texts]
+    monkeypatch.setattr("brevispark.operators.surfeit.zlib.compressobj", lambda level: Counted(real(level)))
+    assert s.surfeit_strings(texts) == want
+    assert read[0] < 0.75 * sum(map(len, texts))
+    with pytest.raises(ValueError):
+        s.surfeit_strings(["a", ""])
