@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -9,6 +10,7 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ from brevispark.operators.models import (
     pruning_steps,
     solve_ols,
 )
+from brevispark.operators.order import prefix_sums
 
 RESULTS = (
     "candidate string, family string, model_type string, hyperparameters map<string,string>, combined double, "
@@ -158,10 +161,13 @@ class NestedTexts:
         ) + "\n"
 
 
-def grown_tree(ctx: SearchContext, model) -> tuple[DecisionTree, "LeafCells"]:
+def grown_tree(
+    ctx: SearchContext, model, steps: Mapping[str, Sequence[tuple[float, float]]] | None = None
+) -> tuple[DecisionTree, "LeafCells"]:
     """The tree of a fitted pyspark.ml model, with statistics of all nodes from one grouping of the rows by leaf and state.
 
-    The shape comes from the debug string, as a call for each node of a large tree would take longer than its fit.
+    The shape comes from the debug string, as a call for each node of a large tree would take longer than its fit. The model
+    has seen the features in steps as numbers of parts; their thresholds are put between the values around a step.
     """
     lines = iter([x.strip() for x in model.toDebugString.splitlines()[1:] if x.strip()])
 
@@ -170,7 +176,13 @@ def grown_tree(ctx: SearchContext, model) -> tuple[DecisionTree, "LeafCells"]:
         if line.startswith("Predict"):
             return TreeNode(0.0, 0.0, 0.0)
         feature, threshold = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-        out = TreeNode(0.0, 0.0, 0.0, int(feature), float(threshold), read())
+        feature, threshold = int(feature), float(threshold)
+        pairs = (steps or {}).get(ctx.features[feature])
+        if pairs:
+            low, high = pairs[math.floor(threshold)]
+            threshold = low + (high - low) / 2
+            threshold = threshold if threshold < high else low
+        out = TreeNode(0.0, 0.0, 0.0, feature, threshold, read())
         next(lines)
         out.right = read()
         return out
@@ -379,13 +391,13 @@ def _evaluate_together(ctx: SearchContext, found: list[CandidateResult]) -> list
     return found
 
 
-def _assembled(ctx: SearchContext, features: Sequence[str]) -> DataFrame:
+def _assembled(ctx: SearchContext, features: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     label = F.col(ctx.target).cast("double") if ctx.classes is None else (
         F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1
     ).cast("double")
-    rows = ctx.df.select(
+    rows = (ctx.df if rows is None else rows).select(
         *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], label.alias("label")
     )
     return VectorAssembler(
@@ -393,15 +405,54 @@ def _assembled(ctx: SearchContext, features: Sequence[str]) -> DataFrame:
     ).transform(rows).select("features", "label")
 
 
-def search_tree(ctx: SearchContext, max_depth: int = 30, max_bins: int = 1024) -> SearchReport:
-    """A full tree (to Spark's limit of depth) and its weakest-link pruning path; nested subtrees need no further fit."""
+def quantile_steps(df: DataFrame, column: str, bins: int) -> list[tuple[float, float]] | None:
+    """The pairs of neighbouring values between which a column is cut at the exact quantiles k / bins (over all rows); None
+    for a column of at most that many values, which needs no cuts.
+
+    Values are counted, their counts summed over ranges; what comes to the driver are the pairs.
+    """
+    values = df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c")).withColumn("g", F.lit(0))
+    if values.limit(bins + 1).count() <= bins:
+        return None
+    n = df.count()
+    up, c = F.col("up_c"), F.col("c")
+    ends = prefix_sums(values, "g", "x", ["c"]).where(
+        F.floor(up * bins / F.lit(float(n))) > F.floor((up - c) * bins / F.lit(float(n)))
+    ).select("x").orderBy("x")
+    cuts = np.array([r[0] for r in ends.collect()])
+    part = F.pandas_udf(lambda x: pd.Series(np.searchsorted(cuts, x.to_numpy())), "int")
+    starts = values.groupBy(part("x").alias("k")).agg(F.min("x").alias("x")).collect()
+    after = {r["k"]: r["x"] for r in starts}
+    return [(float(v), after[k + 1]) for k, v in enumerate(cuts) if k + 1 in after]
+
+
+def fitted_tree(ctx: SearchContext, max_depth: int, max_bins: int):
+    """A full tree of pyspark.ml, and the steps between the parts of those features that it has seen in parts.
+
+    Spark takes the thresholds of features from a sample of max_bins ** 2 rows (10,000 at least) where there are more rows.
+    So there features of more than max_bins values are cut at exact quantiles here, Spark gets the numbers of the parts, and
+    so many bins that it reads all rows.
+    """
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.regression import DecisionTreeRegressor
 
     kind = DecisionTreeRegressor if ctx.classes is None else DecisionTreeClassifier
-    model = kind(maxDepth=max_depth, maxBins=max_bins, seed=ctx.seed).fit(_assembled(ctx, ctx.features))
+    rows, steps, n = ctx.df, {}, ctx.score.metric.n_samples
+    if n > max(max_bins * max_bins, 10_000):
+        found = {f: quantile_steps(rows, f, max_bins) for f in ctx.features}
+        steps = {f: x for f, x in found.items() if x is not None}
+        max_bins = math.isqrt(n) + 1
+    for f, pairs in steps.items():
+        lows = np.array([a for a, _ in pairs])
+        part = F.pandas_udf(lambda x, lows=lows: pd.Series(np.searchsorted(lows, x.to_numpy()).astype(float)), "double")
+        rows = rows.withColumn(f, part(f))
+    return kind(maxDepth=max_depth, maxBins=max_bins, seed=ctx.seed).fit(_assembled(ctx, ctx.features, rows)), steps
+
+
+def search_tree(ctx: SearchContext, max_depth: int = 30, max_bins: int = 1024) -> SearchReport:
+    """A full tree (to Spark's limit of depth) and its weakest-link pruning path; nested subtrees need no further fit."""
     found, notes, seen = [], [], set()
-    for c in evaluate_nested(ctx, *grown_tree(ctx, model)):
+    for c in evaluate_nested(ctx, *grown_tree(ctx, *fitted_tree(ctx, max_depth, max_bins))):
         shape = tuple(c.subset), c.length, c.components["surfeit"], c.components["inaccuracy"], c.hyperparameters["n_leaves"]
         if shape in seen:
             notes.append({"reason": "duplicate_tree_structure", "candidate": c.candidate})
@@ -671,8 +722,8 @@ def train_mlps(shapes: Sequence[Sequence[int]], gradients, seed: int, max_iter:
     return nets
 
 
-#: Distinct rows of features up to which a regression network's sums are taken on the driver.
-LOCAL_GROUPS = 100_000
+#: Distinct rows up to which a network's sums are taken on the driver, the numbers they may hold there, and rows of a block.
+LOCAL_GROUPS, LOCAL_NUMBERS, BLOCK = 1 << 20, 1 << 23, 1 << 13
 
 
 def _sorted(table, names: Sequence[str]) -> list[np.ndarray]:
@@ -688,15 +739,13 @@ def search_mlp(
     max_layers: int = 2,
     max_units: int = 6,
     min_gain: float = 1e-4,
-    sample_rows: int = 20_000,
+    sample_rows: int | None = None,
 ) -> SearchReport:
     """Greedy growth from two features and three units: add a feature, a layer or a unit while the score improves.
 
-    Regression networks are trained on all rows: on counts and means of the target for each distinct row of features, which
-    give the same gradients, or with gradients summed by the tasks where there are more than LOCAL_GROUPS. Classifiers are
-    trained on counted distinct rows (features, target), all of them or a sample of sample_rows: those with the largest
-    count divided by a hash in (0, 1], weighted so that sums over the sample are unbiased (priority sampling), so that a
-    row with many copies takes one place. All networks are evaluated on all rows.
+    Networks are trained and evaluated on all rows: on counted distinct rows (of features, with means of the target, or of
+    features and class), which give the same gradients, or with gradients summed by the tasks where there are more than
+    LOCAL_GROUPS. `sample_rows` is accepted and has no effect.
     """
     order = ctx.order()
     names, k = [f"f{i}" for i in range(len(order))], len(ctx.classes or [])
@@ -704,53 +753,58 @@ def search_mlp(
         F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1
     ).cast("double")
     data, mid, spread = ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(order, names)], target.alias("y")), 0.0, 1.0
-    x = None
+    r = data.agg(
+        F.avg("y").alias("y"),
+        F.stddev_pop("y").alias("s"),
+        *[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))],
+    ).first()
+    mean, scale = (np.array([r[f"{g}{c}"] for c in names], float) for g in "ms")
+    scale[scale == 0] = 1.0
     if ctx.classes is None:
-        r = data.agg(
-            F.avg("y").alias("y"),
-            F.stddev_pop("y").alias("s"),
-            *[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))],
-        ).first()
         kind, mid, spread = "regression", r["y"], r["s"] or 1.0
-        mean, scale = (np.array([r[f"{g}{c}"] for c in names], float) for g in "ms")
-        groups = data.groupBy(*names).agg(
-            F.avg("y").alias("y"), F.count(F.lit(1)).alias("c")
-        ).limit(LOCAL_GROUPS + 1).toArrow()
-        if groups.num_rows <= LOCAL_GROUPS:
-            *x, y, w = _sorted(groups, [*names, "y", "c"])
-            y = (y[:, None] - mid) / spread
+        groups = data.groupBy(*names).agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("c"))
     else:
-        uniform = (F.pmod(F.xxhash64(F.lit(ctx.seed), *names, "y"), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
-        rows = data.groupBy(*names, "y").agg(
-            F.count(F.lit(1)).alias("c")
-        ).withColumn("p", F.col("c") / uniform).orderBy(F.desc("p"), *names, "y").limit(sample_rows + 1).toArrow()
-        least = rows["p"][sample_rows].as_py() if rows.num_rows > sample_rows else 0.0
-        *x, y, w = _sorted(rows.slice(0, sample_rows), [*names, "y", "c"])
-        w, at = np.maximum(w, least), y.astype(int)
-        kind, y = ("binary", y[:, None]) if k == 2 else ("multiclass", np.eye(k)[at])
-    if x is not None:
-        x, total = np.column_stack(x), w.sum()
-        if ctx.classes is not None:
-            mean = w @ x / total
-            scale = np.sqrt(w @ (x - mean) ** 2 / total)
-    scale[scale == 0] = 1.0
-    outputs = k if k > 2 else 1
+        kind = "binary" if k == 2 else "multiclass"
+        groups = data.groupBy(*names, "y").agg(F.count(F.lit(1)).alias("c"))
+
+    def wanted(y: np.ndarray) -> np.ndarray:
+        """What the outputs are held against: the scaled target, the second class, or a column for each class."""
+        return np.eye(k)[y.astype(int)] if kind == "multiclass" else ((y - mid) / spread)[:, None]
+
+    most, x = min(LOCAL_GROUPS, LOCAL_NUMBERS // (len(names) + 2)), None
+    found = groups.limit(most + 1).toArrow()
+    if found.num_rows <= most:
+        *x, y, w = _sorted(found, [*names, "y", "c"])
+        x, y = (np.column_stack(x) - mean) / scale, wanted(y)
+    outputs, n = k if k > 2 else 1, ctx.score.metric.n_samples
+
+    def local(features: Sequence[int], pool: ThreadPoolExecutor):
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(x), BLOCK)]
 
-    def local(features: Sequence[int]):
-        z = [(x[:, :p] - mean[:p]) / scale[:p] for p in features]
-        return lambda nets: [[g / total for g in mlp_gradients(net, own, y, w, kind)] for net, own in zip(nets, z)]
+        def gradients(nets: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+            def part(b: slice) -> list[list[np.ndarray]]:
+                return [mlp_gradients(net, x[b, :p], y[b], w[b], kind) for p, net in zip(features, nets)]
+
+            total = [[np.zeros_like(q) for q in net] for net in nets]
+            for found in pool.map(part, blocks):
+                for own, grads in zip(total, found):
+                    for q, g in zip(own, grads):
+                        q += g
+            return [[q / n for q in own] for own in total]
+
+        return gradients
 
     def summed(features: Sequence[int]):
         def gradients(nets: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
             def fold(block: np.ndarray) -> np.ndarray:
-                z, t, one = (block[:, :-1] - mean) / scale, (block[:, -1:] - mid) / spread, np.ones(len(block))
+                z, t, one = (block[:, :-1] - mean) / scale, wanted(block[:, -1]), np.ones(len(block))
                 return np.concatenate(
                     [g.ravel() for p, net in zip(features, nets) for g in mlp_gradients(net, z[:, :p], t, one, kind)]
                 )
 
             flat = partial_sums(
                 data, [*names, "y"], fold, sum(q.size for net in nets for q in net)
-            ) / ctx.score.metric.n_samples
+            ) / n
             parts = iter(np.split(flat, np.cumsum([q.size for net in nets for q in net])[:-1]))
             return [[next(parts).reshape(q.shape) for q in net] for net in nets]
 
@@ -761,9 +815,9 @@ def search_mlp(
 
     def fit(states: Sequence[tuple[int, tuple[int, ...]]]) -> list[CandidateResult]:
         out, features = [], [p for p, _ in states]
-        nets = train_mlps(
-            [(p, *hidden, outputs) for p, hidden in states], (summed if x is None else local)(features), ctx.seed
-        )
+        shapes = [(p, *hidden, outputs) for p, hidden in states]
+        with ThreadPoolExecutor(8) as pool:
+            nets = train_mlps(shapes, summed(features) if x is None else local(features, pool), ctx.seed)
         for (p, hidden), net in zip(states, nets):
             W, B = net[: len(hidden) + 1], net[len(hidden) + 1 :]
             W[-1], B[-1] = W[-1] * spread, B[-1] * spread + mid

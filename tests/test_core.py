@@ -328,6 +328,43 @@ def test_regression_networks_use_all_rows_by_either_way(spark, monkeypatch):
             assert a == pytest.approx(b, abs=1e-6)
 
 
+def test_classification_networks_use_all_rows_by_either_way(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(300, 2))
+    rows = [(float(a), float(b), "npq"[int(a > 0) + int(a > b)]) for a, b in x]
+    df = frame(spark, "a double, b double, k string", rows).repartition(3).persist()
+    for classes in (["n", "p"], ["n", "p", "q"]):
+        own = df.where(df.k.isin(classes))
+        here = _networks(own, ["a", "b"], "k", classes, max_candidates=2)
+        capped = _networks(own, ["a", "b"], "k", classes, max_candidates=2, sample_rows=20)
+        with monkeypatch.context() as m:
+            m.setattr(automl, "LOCAL_GROUPS", 10)
+            there = _networks(own, ["a", "b"], "k", classes, max_candidates=1)
+        for p, q in [*zip(here, capped), *zip(here, there)]:
+            assert p.candidate == q.candidate
+            for a, b in zip([*p.model.weights, *p.model.biases], [*q.model.weights, *q.model.biases]):
+                assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_thresholds_of_trees_come_from_all_rows(spark):
+    n = 12_000
+    rare = [float(i * 500) for i in range(20)]  # Spark's own sample of 10,000 rows misses some of them
+    rows = [(float(i), float(i in rare), "np"[i in rare]) for i in range(n)]
+    df = frame(spark, "a double, b double, k string", rows).repartition(4)
+    assert automl.quantile_steps(df, "b", 16) is None
+    steps = automl.quantile_steps(df, "a", 16)
+    assert steps == [(n / 16 * k - 1, n / 16 * k) for k in range(1, 16)]
+    df = df.selectExpr("a", *[f"cast(a = {x} as double) r{k}" for k, x in enumerate(rare)], "k").persist()
+    features = df.columns[:-1]
+    score = cs.CombinedScore("numeric", "categorical").fit(df, features[:2], "k")
+    ctx = automl.SearchContext(df, features, "k", score, ["n", "p"], 0)
+    tree, _ = automl.grown_tree(ctx, *automl.fitted_tree(ctx, 30, 16))
+    assert df.where(tree.column() != F.col("k")).count() == 0
+    by_a = frame(spark, "a double, k string", [(float(i), "np"[i >= 6750]) for i in range(n)])
+    ctx = automl.SearchContext(by_a, ["a"], "k", score, ["n", "p"], 0)
+    tree, _ = automl.grown_tree(ctx, *automl.fitted_tree(ctx, 30, 16))
+    assert tree.root.threshold == 6749.5 and len(tree.root.leaves()) == 2
+
+
 def test_regressor(labelled):
     auto = Regressor().fit(
         labelled, ["a", "b", "c"], "y", candidates={"mine": LinearRegressor(["a", "b"], [3.0, -2.0], 0.0)}
