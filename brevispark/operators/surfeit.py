@@ -3,29 +3,33 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from brevispark.operators.inaccuracy import Inaccuracy
 
 
-@pandas_udf(IntegerType())
-def zlib_length(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bytes of the compressed UTF-8 text at level 9 (null: null)."""
-    for s in texts:
-        yield s.map(lambda t: None if t is None else len(zlib.compress(t.encode(), 9))).astype("Int32")
+@F.udf(IntegerType(), useArrow=False)
+def zlib_length(text: str | None) -> int | None:
+    """Bytes of the compressed UTF-8 text at level 9 (null: null).
+
+    Plain, as Arrow would bring 10,000 texts of any length to a worker at once, and this brings 100.
+    """
+    return None if text is None else len(zlib.compress(text.encode(), 9))
 
 
 def surfeit_from_lengths(length: Column, compressed: Column, y_length: Column, overhead: int = 6) -> Column:
-    """1 - min(target bits, effective compressed bytes) / length, within 0 and 1; the units are mixed on purpose."""
+    """1 - min(target bits, effective compressed bytes) / length, within 0 and 1; the units are mixed on purpose.
+
+    An empty or missing description has none: null.
+    """
     effective = F.greatest(F.lit(0), F.least(length, compressed - overhead))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.least(y_length, effective) / length))
+    part = F.least(y_length, effective) / F.when(length > 0, length)
+    return F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - part)))
 
 
 #: Bytes of a text between two states of the compressor that are kept.

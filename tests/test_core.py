@@ -295,6 +295,24 @@ def test_trees_grow_past_five_levels_and_many_bins(spark, by_class):
         assert components == pytest.approx(c.components) and native == pytest.approx(c.native, abs=1e-9)
 
 
+def test_surfeit_of_empty_missing_and_long_texts(spark, tmp_path):
+    from brevispark.operators.surfeit import zlib_length
+    from brevispark.plans.queries import surfeit_documents
+
+    long = "".join(map(chr, np.random.default_rng(2).integers(97, 123, 300_000)))
+    frame(spark, "doc_id int, text string", [(1, ""), (2, None), (3, "é" * 40), (4, long)]).write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    frame(spark, "quality int", [(0,), (1,)] * 50).write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r for r in surfeit_documents(spark, str(tmp_path)).collect()}
+    assert len(got) == 4 and got[1]["surfeit"] is None and got[2]["surfeit"] is None and got[1]["compressed"] == 8
+    assert got[4]["compressed"] == len(zlib.compress(long.encode(), 9)) and got[4]["surfeit"] == 1 - 100 / 300_000
+    part = min(100, max(0, got[3]["compressed"] - 6))
+    assert got[3]["length"] == 80 and got[3]["surfeit"] == 1 - part / 80
+    plan = spark.range(1).select(zlib_length(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan  # 100 texts at once, not as many as an Arrow batch has
+
+
 def _networks(df, features, target, classes, **options):
     score = cs.CombinedScore("numeric", "numeric" if classes is None else "categorical").fit(df, features, target)
     return automl.search_mlp(automl.SearchContext(df, features, target, score, classes, 0), **options).candidates
