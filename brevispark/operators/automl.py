@@ -7,6 +7,7 @@ import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 from itertools import chain
 
 import numpy as np
@@ -31,6 +32,7 @@ from brevispark.operators.models import (
     TreeNode,
     artifacts,
     gram,
+    linear_column,
     partial_sums,
     pruning_steps,
     solve_ols,
@@ -83,6 +85,68 @@ class SearchContext:
     def order(self) -> list[str]:
         return [self.features[i] for i in self.score.metric.feature_order()]
 
+    @cached_property
+    def cells(self) -> "Cells":
+        return Cells(self)
+
+    def close(self) -> None:
+        if "cells" in self.__dict__:
+            self.cells.close()
+
+
+class Cells:
+    """All rows, counted: those of equal features and state of the target, and those a fit cannot tell apart.
+
+    frame has a row for each of the former with their number (count), the target's mean and, in within, its sum of squares
+    around that mean; points one for each distinct row of features (or features and class) with count and mean (or number
+    of the class). What would not be a quarter of the rows (by a count of distinct hashes that only decides this) is not
+    grouped: each row then stands for itself.
+    """
+
+    def __init__(self, ctx: SearchContext):
+        def free(name: str) -> str:
+            while name in ctx.features:
+                name = f"_{name}"
+            return name
+
+        self.state, self.count, self.mean, self.within = map(free, ("state", "count", "mean", "within"))
+        y, n, self.lo, self.spread, self.bins = F.col(ctx.target), ctx.score.metric.n_samples, 0.0, 0.0, 0
+        if ctx.classes is None:
+            y = y.cast("double")
+            self.lo, hi, self.spread = ctx.df.agg(F.min(y), F.max(y), F.var_pop(y)).first()
+            self.bins = rice_bins(ctx.score.n_bins, n)
+            state = bin_of(y, self.lo, hi, self.bins)
+        else:
+            state = F.array_position(F.array(*map(F.lit, ctx.classes)), y) - 1
+            y = state.cast("double")
+        features = [F.col(f).cast("double").alias(f) for f in ctx.features]
+        rows = ctx.df.select(*features, state.alias(self.state), y.alias(self.mean))
+        different = lambda *c: F.approx_count_distinct(F.xxhash64(*map(F.col, c)))
+        groups, own = rows.agg(different(*ctx.features, self.state), different(*ctx.features)).first()
+        count, mean, self.kept = F.count(F.lit(1)), F.col(self.mean), []
+        single = rows.withColumns({self.count: F.lit(1).cast("long"), self.within: F.lit(0.0)})
+        self.frame, self.grouped = single, False
+        if groups * 4 <= n:
+            self.frame = self._keep(rows.groupBy(*ctx.features, self.state).agg(
+                count.alias(self.count), F.avg(mean).alias(self.mean), (F.var_pop(mean) * count).alias(self.within)
+            ))
+            self.grouped = ctx.classes is not None
+        self.points = self.frame if self.grouped else single
+        if ctx.classes is None and own * 4 <= n:
+            c = F.col(self.count)
+            self.points = self._keep(self.frame.groupBy(*ctx.features).agg(
+                F.sum(c).alias(self.count), (F.lit(self.lo) + F.sum(c * (mean - self.lo)) / F.sum(c)).alias(self.mean)
+            ))
+            self.grouped = True
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist())
+        return self.kept[-1]
+
+    def close(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+
 
 def _finish(ctx: SearchContext, c: CandidateResult, inaccuracy: float, native: float) -> CandidateResult:
     a = artifacts(c.model, ctx.features)
@@ -213,20 +277,14 @@ class LeafCells:
     """Rows counted by leaf of a tree and state of the target: only cells with rows, in order of the leaves."""
 
     def __init__(self, ctx: SearchContext, tree: DecisionTree):
-        y, n = F.col(ctx.target), ctx.score.metric.n_samples
-        self.lo, self.bins, sums = 0.0, 0, []
-        if ctx.classes is None:
-            y = y.cast("double")
-            self.lo, hi = ctx.df.agg(F.min(y), F.max(y)).first()
-            self.bins = rice_bins(ctx.score.n_bins, n)
-            state, v = bin_of(y, self.lo, hi, self.bins), F.col("y") - F.lit(self.lo)
-            sums = [F.sum(v).alias("s"), F.sum(v * v).alias("q")]
-        else:
-            state = F.array_position(F.array(*map(F.lit, ctx.classes)), y) - 1
-        rows = ctx.df.select(
-            tree.leaf_column().alias("leaf"), state.alias("state"), y.alias("y")
-        ).groupBy("leaf", "state").agg(F.count(F.lit(1)).alias("c"), *sums).toArrow()
-        leaf, state, c = (rows[x].to_numpy() for x in ("leaf", "state", "c"))
+        t = ctx.cells
+        self.lo, self.bins, c, v = t.lo, t.bins, F.col("c"), F.col("m") - F.lit(t.lo)
+        sums = [F.sum(c * v).alias("s"), F.sum(F.col("q") + c * v * v).alias("q")] if ctx.classes is None else []
+        rows = t.frame.select(
+            tree.leaf_column().alias("leaf"),
+            *[F.col(x).alias(a) for x, a in ((t.state, "state"), (t.count, "c"), (t.mean, "m"), (t.within, "q"))],
+        ).groupBy("leaf", "state").agg(F.sum(c).alias("n"), *sums).toArrow()
+        leaf, state, c = (rows[x].to_numpy() for x in ("leaf", "state", "n"))
         order = np.lexsort((state, leaf))
         leaves = len(tree.root.leaves())
         self.leaf, self.state, self.c = leaf[order].astype(int), state[order].astype(int), c[order].astype(float)
@@ -365,56 +423,72 @@ def failed(candidate: str, error: Exception) -> dict:
 
 
 def _native_scores(ctx: SearchContext, wide: DataFrame, names: Sequence[str]) -> dict[str, float]:
-    """R squared or accuracy of each prediction column; NaN where it cannot be computed."""
-    y = F.col("y")
+    """R squared or accuracy of each prediction column over counted rows; NaN where it cannot be computed."""
+    y, c, n, spread = F.col("y"), F.col("c"), ctx.score.metric.n_samples, ctx.cells.spread
     if ctx.classes is None:
-        aggs = [F.var_pop(y.cast("double")).alias("v"), *[F.avg((y - F.col(n)) ** 2).alias(n) for n in names]]
+        aggs = [F.sum(F.col("q") + c * (y - F.col(p)) ** 2).alias(p) for p in names]
     else:
-        aggs = [F.avg((y.cast("string") == F.col(n).cast("string")).cast("double")).alias(n) for n in names]
+        aggs = [
+            F.sum(F.when(y.cast("string") == F.col(p).cast("string"), c).otherwise(F.lit(0))).alias(p) for p in names
+        ]
     try:
         r = wide.agg(*aggs).first()
     except Exception:
         return dict.fromkeys(names, float("nan"))
     if ctx.classes is None:
-        return {n: 1 - r[n] / r["v"] if r["v"] else 0.0 for n in names}
-    return r.asDict()
+        return {p: 1 - r[p] / n / spread if spread else 0.0 for p in names}
+    return {p: r[p] / n for p in names}
 
 
 def _evaluate_together(ctx: SearchContext, found: list[CandidateResult]) -> list[CandidateResult]:
-    names = [f"p{k}" for k in range(len(found))]
-    wide = ctx.df.select(F.col(ctx.target).alias("y"), *[c.model.column().alias(n) for n, c in zip(names, found)])
-    kind = "numeric" if ctx.classes is None else "categorical"
-    rows = inaccuracy_of_candidates(wide, "y", names, y_type=kind, n_bins=ctx.score.n_bins).collect()
+    names, t = [f"p{k}" for k in range(len(found))], ctx.cells
+    y = F.col(t.mean) if ctx.classes is None else F.element_at(
+        F.array(*map(F.lit, ctx.classes)), (F.col(t.state) + 1).cast("int")
+    )
+    wide = t.frame.select(
+        y.alias("y"),
+        *[F.col(x).alias(a) for x, a in ((t.state, "s"), (t.count, "c"), (t.within, "q"))],
+        *[c.model.column().alias(n) for n, c in zip(names, found)],
+    )
+    numeric = {"y_type": "numeric", "state": "s", "low": t.lo}
+    kind = numeric if ctx.classes is None else {"y_type": "categorical"}
+    rows = inaccuracy_of_candidates(wide, "y", names, n_bins=ctx.score.n_bins, weight="c", **kind).collect()
     bad, native = {r["candidate"]: r["inaccuracy"] for r in rows}, _native_scores(ctx, wide, names)
     for n, c in zip(names, found):
         _finish(ctx, c, bad[n], native[n])
     return found
 
 
-def _assembled(ctx: SearchContext, features: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
+def _assembled(ctx: SearchContext, features: Sequence[str], points: DataFrame | None = None) -> DataFrame:
+    """Vector, label and, of points, weight: of the rows, or of points that stand for them."""
     from pyspark.ml.feature import VectorAssembler
 
-    label = F.col(ctx.target).cast("double") if ctx.classes is None else (
-        F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1
-    ).cast("double")
-    rows = (ctx.df if rows is None else rows).select(
-        *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], label.alias("label")
+    if points is not None:
+        label, more = F.col(ctx.cells.mean), [F.col(ctx.cells.count).cast("double").alias("weight")]
+    else:
+        label, more = F.col(ctx.target).cast("double") if ctx.classes is None else (
+            F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1
+        ).cast("double"), []
+    rows = (ctx.df if points is None else points).select(
+        *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], label.alias("label"), *more
     )
     return VectorAssembler(
         inputCols=[f"f{k}" for k in range(len(features))], outputCol="features"
-    ).transform(rows).select("features", "label")
+    ).transform(rows).drop(*[f"f{k}" for k in range(len(features))])
 
 
-def quantile_steps(df: DataFrame, column: str, bins: int) -> list[tuple[float, float]] | None:
+def quantile_steps(df: DataFrame, column: str, bins: int, weight: str | None = None) -> list[tuple[float, float]] | None:
     """The pairs of neighbouring values between which a column is cut at the exact quantiles k / bins (over all rows); None
     for a column of at most that many values, which needs no cuts.
 
     Values are counted, their counts summed over ranges; what comes to the driver are the pairs.
     """
-    values = df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c")).withColumn("g", F.lit(0))
+    values = df.groupBy(F.col(column).cast("double").alias("x")).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("c")
+    ).withColumn("g", F.lit(0))
     if values.limit(bins + 1).count() <= bins:
         return None
-    n = df.count()
+    n = values.agg(F.sum("c")).first()[0]
     up, c = F.col("up_c"), F.col("c")
     ends = prefix_sums(values, "g", "x", ["c"]).where(
         F.floor(up * bins / F.lit(float(n))) > F.floor((up - c) * bins / F.lit(float(n)))
@@ -437,16 +511,21 @@ def fitted_tree(ctx: SearchContext, max_depth: int, max_bins: int):
     from pyspark.ml.regression import DecisionTreeRegressor
 
     kind = DecisionTreeRegressor if ctx.classes is None else DecisionTreeClassifier
-    rows, steps, n = ctx.df, {}, ctx.score.metric.n_samples
+    t = ctx.cells
+    rows, steps = t.points, {}
+    n = rows.count() if t.grouped else ctx.score.metric.n_samples
     if n > max(max_bins * max_bins, 10_000):
-        found = {f: quantile_steps(rows, f, max_bins) for f in ctx.features}
+        found = {f: quantile_steps(rows, f, max_bins, t.count) for f in ctx.features}
         steps = {f: x for f, x in found.items() if x is not None}
         max_bins = math.isqrt(n) + 1
     for f, pairs in steps.items():
         lows = np.array([a for a, _ in pairs])
         part = F.pandas_udf(lambda x, lows=lows: pd.Series(np.searchsorted(lows, x.to_numpy()).astype(float)), "double")
         rows = rows.withColumn(f, part(f))
-    return kind(maxDepth=max_depth, maxBins=max_bins, seed=ctx.seed).fit(_assembled(ctx, ctx.features, rows)), steps
+    options = {"weightCol": "weight"} if t.grouped else {}
+    return kind(maxDepth=max_depth, maxBins=max_bins, seed=ctx.seed, **options).fit(
+        _assembled(ctx, ctx.features, rows)
+    ), steps
 
 
 def search_tree(ctx: SearchContext, max_depth: int = 30, max_bins: int = 1024) -> SearchReport:
@@ -467,7 +546,7 @@ def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:
     order = ctx.order()
     if not order:
         return SearchReport("linear_regression", [], [{"reason": "empty_feature_order"}])
-    g = gram(ctx.df, order, ctx.target)
+    g = gram(ctx.cells.points, order, ctx.cells.mean, ctx.cells.count)
     found = [
         CandidateResult(
             f"linear_regression_{p}",
@@ -495,12 +574,15 @@ def search_ols(ctx: SearchContext, patience: int | None = None) -> SearchReport:
 def search_logistic(ctx: SearchContext, max_iter: int = 1000) -> SearchReport:
     from pyspark.ml.classification import LogisticRegression
 
-    order, found, notes = ctx.order(), [], []
+    order, found, notes, t = ctx.order(), [], [], ctx.cells
+    options = {"weightCol": "weight"} if t.grouped else {}
     if not order:
         notes.append({"reason": "empty_feature_order"})
     for p in range(1, len(order) + 1):
         try:
-            m = LogisticRegression(regParam=0.0, maxIter=max_iter).fit(_assembled(ctx, order[:p]))
+            m = LogisticRegression(regParam=0.0, maxIter=max_iter, **options).fit(
+                _assembled(ctx, order[:p], t.points)
+            )
         except Exception as e:  # a family goes on without a prefix that does not fit
             notes.append({"reason": "logistic_fit_failed", "n_features": p, "error": str(e)[:200]})
             continue
@@ -570,11 +652,13 @@ def search_svc(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0),
         else:
             notes.append(failed(f"linear_svc_C{C:g}", ValueError("C is positive and finite")))
     names, p = [f"f{i}" for i in range(len(features))], len(features) + 1
-    number = (F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1).cast("double")
-    data = ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(features, names)], number.alias("y"))
+    t, data = ctx.cells, ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(features, names)])
     r = data.agg(*[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean, scale = (np.array([r[f"{g}{c}"] for c in names], float) for g in "ms")
     scale[scale == 0] = 1.0
+    data = t.points.select(
+        *[F.col(f).alias(c) for f, c in zip(features, names)], F.col(t.mean).alias("y"), F.col(t.count).alias("c")
+    )
     to_raw = np.diag([*(1 / scale), 1.0])  # from weights of standardised features to those of the features as they are
     to_raw[-1, :-1] = -mean / scale
     penalty = to_raw.T @ to_raw
@@ -584,16 +668,16 @@ def search_svc(ctx: SearchContext, C_values: Sequence[float] = (0.1, 1.0, 10.0),
         """Of the rows inside the margin at each point: X'X, X'y and the squared hinge loss."""
 
         def fold(x: np.ndarray) -> np.ndarray:
-            a, out = np.column_stack([(x[:, :-1] - mean) / scale, np.ones(len(x))]), []
+            a, c, out = np.column_stack([(x[:, :-2] - mean) / scale, np.ones(len(x))]), x[:, -1], []
             for g, u in points.items():
-                y = np.where(x[:, -1] == grid[g][1], 1.0, -1.0)
+                y = np.where(x[:, -2] == grid[g][1], 1.0, -1.0)
                 short = 1 - y * (a @ u)
                 inside = short > 0
-                b = a[inside]
-                out += [(b.T @ b).ravel(), b.T @ y[inside], [(short[inside] ** 2).sum()]]
+                b, w = a[inside], c[inside]
+                out += [((b * w[:, None]).T @ b).ravel(), b.T @ (w * y[inside]), [w @ short[inside] ** 2]]
             return np.concatenate(out)
 
-        flat = partial_sums(data, [*names, "y"], fold, size * len(points))
+        flat = partial_sums(data, [*names, "y", "c"], fold, size * len(points))
         return dict(zip(points, flat.reshape(len(points), size)))
 
     # at: the weights, their loss and the next step with its slope; trial: the weights to be tried and the part of the step
@@ -632,37 +716,73 @@ def search_svr(
     epsilons: Sequence[float] = (0.0, 0.1),
     max_iter: int = 50,
 ) -> SearchReport:
-    """Squared epsilon-insensitive regression by Newton steps; each pass over the data serves all (C, epsilon) at once."""
+    """Squared epsilon-insensitive regression by Newton steps; each pass over the data serves all (C, epsilon) at once.
+
+    A step needs sums over the rows outside the tube: those of all rows are had once, so a pass adds up the signs of the
+    residuals and, where that is less, the rows inside the tube, else those outside. Without a tube all rows count.
+    """
     p, grid = len(ctx.features) + 1, [(C, e) for C in dict.fromkeys(C_values) for e in dict.fromkeys(epsilons)]
-    w, size = np.zeros((len(grid), p)), p * p + p
+    w, size, t, n = np.zeros((len(grid), p)), p * p + p, ctx.cells, ctx.score.metric.n_samples
+    g, at = gram(t.points, ctx.features, t.mean, t.count), [*range(1, p), 0]
+    xx, xy = g[np.ix_(at, at)], g[at, -1]
+    x = [f"x{i}" for i in range(p)]
+    rows = ctx.df.select(
+        *[F.col(f).cast("double").alias(c) for f, c in zip(ctx.features, x)],
+        F.lit(1.0).alias(x[-1]),
+        F.col(ctx.target).cast("double").alias("y"),
+    )
 
-    def fold_at(w: np.ndarray):
-        def fold(x: np.ndarray) -> np.ndarray:
-            a, y, out = np.column_stack([x[:, :-1], np.ones(len(x))]), x[:, -1], []
-            for (_, eps), own in zip(grid, w):
-                r = y - a @ own
-                act = np.abs(r) > eps
-                b = a[act]
-                out += [(b.T @ b).ravel(), b.T @ (y[act] - eps * np.sign(r[act]))]
-            return np.concatenate(out)
+    def sums_at(points: Sequence[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Of the rows outside the tube around each point: X'X and X'(y - epsilon * sign)."""
+        tubes = [k for k in points if grid[k][1]]
+        out = {k: (xx, xy) for k in points}
+        if not tubes:
+            return out
+        wide = rows.select("*", *[(F.col("y") - linear_column(x[:-1], w[k, :-1], w[k, -1])).alias(f"r{k}") for k in tubes])
+        outside = {k: F.abs(f"r{k}") > grid[k][1] for k in tubes}
+        r = wide.agg(
+            *[F.count_if(outside[k]).alias(f"n{k}") for k in tubes],
+            *[
+                F.sum(F.when(outside[k], F.signum(f"r{k}") * F.col(c)).otherwise(0.0)).alias(f"{c}_{k}")
+                for k in tubes
+                for c in x
+            ],
+        ).first()
+        few = [k for k in tubes if min(r[f"n{k}"], n - r[f"n{k}"])]
+        taken = {k: r[f"n{k}"] * 2 < n for k in few}  # the rows outside are taken, or those inside
+        parts = {}
+        if few:
+            any_ = reduce(lambda a, b: a | b, [outside[k] if taken[k] else ~outside[k] for k in few])
+            columns = [*x, "y", *[f"r{k}" for k in few]]
 
-        return fold
+            def fold(block: np.ndarray) -> np.ndarray:
+                found = []
+                for i, k in enumerate(few):
+                    own = (np.abs(block[:, p + 1 + i]) > grid[k][1]) == taken[k]
+                    a, y = block[own, :p], block[own, p]
+                    found += [(a.T @ a).ravel(), a.T @ y]
+                return np.concatenate(found)
+
+            parts = dict(zip(few, partial_sums(wide.where(any_), columns, fold, size * len(few)).reshape(len(few), size)))
+        for k in tubes:
+            signs = np.array([r[f"{c}_{k}"] for c in x])
+            if k in parts:
+                a, b = parts[k][: p * p].reshape(p, p), parts[k][p * p :]
+                a, b = (a, b) if taken[k] else (xx - a, xy - b)
+            else:
+                a, b = (xx, xy) if r[f"n{k}"] else (np.zeros_like(xx), np.zeros_like(xy))
+            out[k] = a, b - grid[k][1] * signs
+        return out
 
     ridge, done = np.diag([1.0] * (p - 1) + [1e-9]), np.zeros(len(grid), bool)
     names, notes, broken = [f"linear_svr_C{C:g}_e{e:g}" for C, e in grid], [], {}
     for _ in range(max_iter):
-        sums = partial_sums(
-            ctx.df, [*ctx.features, ctx.target], fold_at(w.copy()), size * len(grid)
-        ).reshape(len(grid), size)
-        for k, (C, _) in enumerate(grid):
-            if k in broken:
-                continue
+        for k, (a, b) in sums_at([k for k in range(len(grid)) if not done[k]]).items():
+            C = grid[k][0]
             try:
                 if C <= 0:
                     raise ValueError("C is positive")
-                new = np.linalg.lstsq(
-                    2 * C * sums[k, : p * p].reshape(p, p) + ridge, 2 * C * sums[k, p * p :], rcond=None
-                )[0]
+                new = np.linalg.lstsq(2 * C * a + ridge, 2 * C * b, rcond=None)[0]
             except (ValueError, np.linalg.LinAlgError) as e:
                 broken[k], done[k] = failed(names[k], e), True
                 continue
@@ -749,23 +869,25 @@ def search_mlp(
     """
     order = ctx.order()
     names, k = [f"f{i}" for i in range(len(order))], len(ctx.classes or [])
-    target = F.col(ctx.target).cast("double") if ctx.classes is None else (
-        F.array_position(F.array(*map(F.lit, ctx.classes)), F.col(ctx.target)) - 1
-    ).cast("double")
-    data, mid, spread = ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(order, names)], target.alias("y")), 0.0, 1.0
-    r = data.agg(
+    t, mid, spread = ctx.cells, 0.0, 1.0
+    r = ctx.df.select(*[F.col(f).cast("double").alias(c) for f, c in zip(order, names)], (
+        F.col(ctx.target).cast("double") if ctx.classes is None else F.lit(0.0)
+    ).alias("y")).agg(
         F.avg("y").alias("y"),
         F.stddev_pop("y").alias("s"),
         *[f(c).alias(f"{g}{c}") for c in names for g, f in (("m", F.avg), ("s", F.stddev_pop))],
     ).first()
+    data = t.points.select(
+        *[F.col(f).alias(c) for f, c in zip(order, names)], F.col(t.mean).alias("y"), F.col(t.count).alias("c")
+    )
     mean, scale = (np.array([r[f"{g}{c}"] for c in names], float) for g in "ms")
     scale[scale == 0] = 1.0
     if ctx.classes is None:
         kind, mid, spread = "regression", r["y"], r["s"] or 1.0
-        groups = data.groupBy(*names).agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("c"))
+        groups = data.groupBy(*names).agg((F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("y"), F.sum("c").alias("c"))
     else:
         kind = "binary" if k == 2 else "multiclass"
-        groups = data.groupBy(*names, "y").agg(F.count(F.lit(1)).alias("c"))
+        groups = data.groupBy(*names, "y").agg(F.sum("c").alias("c"))
 
     def wanted(y: np.ndarray) -> np.ndarray:
         """What the outputs are held against: the scaled target, the second class, or a column for each class."""
@@ -797,13 +919,13 @@ def search_mlp(
     def summed(features: Sequence[int]):
         def gradients(nets: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
             def fold(block: np.ndarray) -> np.ndarray:
-                z, t, one = (block[:, :-1] - mean) / scale, wanted(block[:, -1]), np.ones(len(block))
+                z, y, c = (block[:, :-2] - mean) / scale, wanted(block[:, -2]), block[:, -1]
                 return np.concatenate(
-                    [g.ravel() for p, net in zip(features, nets) for g in mlp_gradients(net, z[:, :p], t, one, kind)]
+                    [g.ravel() for p, net in zip(features, nets) for g in mlp_gradients(net, z[:, :p], y, c, kind)]
                 )
 
             flat = partial_sums(
-                data, [*names, "y"], fold, sum(q.size for net in nets for q in net)
+                data, [*names, "y", "c"], fold, sum(q.size for net in nets for q in net)
             ) / n
             parts = iter(np.split(flat, np.cumsum([q.size for net in nets for q in net])[:-1]))
             return [[next(parts).reshape(q.shape) for q in net] for net in nets]
@@ -924,6 +1046,7 @@ class _Auto:
                 notes: list[dict] = []
                 self.reports.append(SearchReport("explicit", evaluate(ctx, explicit, notes), notes))
         finally:
+            ctx.close()
             rows.unpersist()
         self.candidates = sorted((c for r in self.reports for c in r.candidates), key=lambda c: c.combined)
         if not self.candidates:

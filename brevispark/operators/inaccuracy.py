@@ -19,41 +19,59 @@ def distance(joint: Column, y: Column, p: Column, equal: Column) -> Column:
 
 
 def inaccuracy_of_candidates(
-    df: DataFrame, target: str, predictions: Sequence[str], *, y_type: str = "auto", n_bins: int | str = "auto"
+    df: DataFrame,
+    target: str,
+    predictions: Sequence[str],
+    *,
+    y_type: str = "auto",
+    n_bins: int | str = "auto",
+    weight: str | None = None,
+    state: str | None = None,
+    low: float | None = None,
 ) -> DataFrame:
     """(candidate, inaccuracy) for each prediction column, in two jobs however many there are.
 
     Bounds and validity of all columns are plain aggregates of one row. Target and predictions are binned each within its
     own bounds; then states, not values, become a row for each candidate and are counted in one grouping.
+    A row can stand for several: weight is the column of their number, state that of the target's state, and low its bound.
     """
     numeric = resolve_target(df, target, y_type)
     names = list(predictions)
     cast = (lambda c: as_number(df, c)) if numeric else (lambda c: F.col(c).cast("string"))
-    wide = df.select(cast(target).alias("y"), *[cast(p).alias(f"p{k}") for k, p in enumerate(names)])
+    wide = df.select(
+        cast(target).alias("y"),
+        *[cast(p).alias(f"p{k}") for k, p in enumerate(names)],
+        (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w"),
+        *([] if state is None else [F.col(state).alias("s")]),
+    )
     bad = (lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) if numeric else (lambda c: c.isNull())
-    columns = wide.columns
+    columns = wide.columns[: len(names) + 1]
     aggs = [f(c).alias(f"{g}_{c}") for c in columns for f, g in ((F.min, "lo"), (F.max, "hi"))]
     aggs += [F.count_if(bad(F.col(c))).alias(f"bad_{c}") for c in columns]
-    seen = wide.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+    seen = wide.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), *aggs).first()
     n = seen["n"]
     if not n:
         raise ValueError("the table is empty")
     if any(seen[f"bad_{c}"] for c in columns):
         raise ValueError("missing or non-finite values")
 
-    def state(c: str) -> Column:
+    def state_of(c: str) -> Column:
+        if c == "y" and state is not None:
+            return F.col("s")
         return bin_of(F.col(c), seen[f"lo_{c}"], seen[f"hi_{c}"], rice_bins(n_bins, n)) if numeric else F.col(c)
 
-    cells = [F.struct(F.lit(p).alias("candidate"), state(f"p{k}").alias("p")) for k, p in enumerate(names)]
-    states = wide.select(state("y").alias("y"), F.explode(F.array(*cells)).alias("x")).select("y", "x.candidate", "x.p")
+    cells = [F.struct(F.lit(p).alias("candidate"), state_of(f"p{k}").alias("p")) for k, p in enumerate(names)]
+    states = wide.select("w", state_of("y").alias("y"), F.explode(F.array(*cells)).alias("x")).select(
+        "w", "y", "x.candidate", "x.p"
+    )
 
     def equal_first(k: int) -> bool:
-        a, b = seen["lo_y"], seen[f"lo_p{k}"]
+        a, b = seen["lo_y"] if low is None else low, seen[f"lo_p{k}"]
         return abs(a - b) <= 1e-8 + 1e-5 * abs(b) if numeric else a == b
 
     same = [p for k, p in enumerate(names) if equal_first(k)]
     equal = F.col("candidate").isin(same) if same else F.lit(False)
-    counts = states.groupBy("candidate", "y", "p").agg(F.count(F.lit(1)).alias("c"))
+    counts = states.groupBy("candidate", "y", "p").agg(F.sum("w").alias("c"))
     joint = counts.groupBy("candidate").agg(length_of(F.col("c"), n).alias("joint"))
 
     def one(c: str) -> DataFrame:

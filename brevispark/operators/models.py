@@ -39,12 +39,18 @@ def partial_sums(
     return out
 
 
-def gram(df: DataFrame, features: Sequence[str], target: str) -> np.ndarray:
-    """X'X of the rows (1, features, target), in one pass; every OLS prefix is solved from it."""
+def gram(df: DataFrame, features: Sequence[str], target: str, weight: str | None = None) -> np.ndarray:
+    """X'X of the rows (1, features, target), in one pass; every OLS prefix is solved from it.
+
+    A row can stand for weight rows with these features and this mean of the target; then the square of the target is less.
+    """
     p = len(features) + 2
-    sums = partial_sums(
-        df, [*features, target], lambda x: (lambda a: (a.T @ a).ravel())(np.column_stack([np.ones(len(x)), x])), p * p
-    )
+
+    def fold(x: np.ndarray) -> np.ndarray:
+        a = np.column_stack([np.ones(len(x)), x[:, : p - 1]])
+        return (a.T @ a if weight is None else (a * x[:, -1:]).T @ a).ravel()
+
+    sums = partial_sums(df, [*features, target, *([] if weight is None else [weight])], fold, p * p)
     return sums.reshape(p, p)
 
 

@@ -383,6 +383,47 @@ def test_thresholds_of_trees_come_from_all_rows(spark):
     assert tree.root.threshold == 6749.5 and len(tree.root.leaves()) == 2
 
 
+@pytest.mark.parametrize("target,classes", [("y", None), ("k", ["n", "p", "q"])])
+def test_searches_over_counted_rows_equal_those_over_all_rows(spark, target, classes):
+    from brevispark.operators.inaccuracy import inaccuracy_of_candidates
+
+    rng = np.random.default_rng(9)
+    rows = [
+        (float(a), float(b), "npq"[(a + b) % 3], float(a - 2 * b + e))
+        for a, b, e in zip(rng.integers(0, 6, 200), rng.integers(0, 4, 200), rng.integers(-2, 3, 200) / 8)
+    ]
+    df = frame(spark, "a double, b double, k string, y double", rows * 12).repartition(3).persist()
+    score = cs.CombinedScore("numeric", "categorical" if classes else "numeric").fit(df, ["a", "b"], target)
+    ctx = automl.SearchContext(df, ["a", "b"], target, score, classes, 0)
+    t = ctx.cells
+    assert t.grouped and t.points.count() <= 24 * (3 if classes else 1) and t.frame.count() < 2400 / 4
+    assert t.frame.agg(F.sum(t.count)).first()[0] == t.points.agg(F.sum(t.count)).first()[0] == 2400
+    found = (
+        automl.search_naive_bayes(ctx) if classes else automl.search_ols(ctx)
+    ).candidates + automl.search_tree(ctx).candidates[:3]
+    for c in found:
+        wide = df.select(F.col(target).alias("y"), c.model.column().alias("p"))
+        kind = "categorical" if classes else "numeric"
+        bad = inaccuracy_of_candidates(wide, "y", ["p"], y_type=kind).first()["inaccuracy"]
+        if classes:
+            native = wide.agg(F.avg((F.col("y") == F.col("p")).cast("int"))).first()[0]
+        else:
+            e, v = wide.agg(F.avg((F.col("y") - F.col("p")) ** 2), F.var_pop("y")).first()
+            native = 1 - e / v
+        assert c.components["inaccuracy"] == pytest.approx(bad) and c.native == pytest.approx(native)
+    if classes:
+        return
+    x, y = np.array([(a, b, 1.0) for a, b, *_ in rows] * 12), np.array([r[3] for r in rows] * 12)
+    for c in automl.search_svr(ctx, epsilons=(0.0, 0.1, 0.2, 5.0)).candidates:  # tubes that hold no, few, most and all rows
+        C, eps = float(c.hyperparameters["C"]), float(c.hyperparameters["epsilon"])
+        u = np.array([*c.model.coefficients, c.model.intercept])
+        r = y - x @ u
+        slope = np.array([*u[:2], 0.0]) - 2 * C * x.T @ (np.sign(r) * np.maximum(0, np.abs(r) - eps))
+        assert c.hyperparameters["converged"] == "false" or (np.abs(slope) < 1e-5 * C * np.abs(x).sum(0)).all()
+        assert eps or c.hyperparameters["converged"] == "true"
+    ctx.close()
+
+
 def test_regressor(labelled):
     auto = Regressor().fit(
         labelled, ["a", "b", "c"], "y", candidates={"mine": LinearRegressor(["a", "b"], [3.0, -2.0], 0.0)}
